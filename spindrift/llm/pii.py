@@ -1,0 +1,391 @@
+r"""Personal data: base patterns, and a linear-chain conditional random field (CRF) over word shapes that adds spans.
+
+Base patterns (email, ip, card, phone) run over the whole text as stated in BASE; matches that fail their check are dropped.
+
+The CRF labels each word O, email, ip, card or phone. Its features are the collapsed shapes of a word and of its neighbours
+(runs of letters a/A, digits d1..d9+, other signs as they are), so that it knows formats that the patterns leave out:
+"(743) 555-3824", "name at mail dot org", "10.0.0.1:8080". It is fitted on LABELLED, a table of some dozens of lines, by gradient
+ascent with forward-backward sums, deterministically, on the driver; the weights are a few kilobytes.
+
+The model has one hard constraint, in training as in decoding: a word of a plain shape (no digit, no @, no +) between two plain
+words is O. So a text falls into stretches of odd words and their neighbours that don't depend on each other, and only these are
+decoded, by exact Viterbi in numpy over batches of stretches.
+
+A labelled run becomes a span when it holds what its kind needs (digits, an @ or "at"), less punctuation at its ends, and only
+where it doesn't touch a base span: base spans stay as they are. Offsets are code points, end exclusive. Nulls and empty texts
+have no spans; repeated rows are worked off alike; columns of the names to be added are replaced.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from .common import without
+from .textbytes import blocks
+
+KINDS = ("email", "ip", "card", "phone")
+# fixed values: the base patterns
+BASE = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_DIGIT = re.compile("[0-9]")
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def _holds(kind: str, s: str) -> bool:
+    if kind == "email":
+        return True
+    if kind == "ip":
+        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+    digits = "".join(_DIGIT.findall(s))
+    return 16 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 8 <= len(digits) <= 15
+
+
+def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
+    out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
+    if "@" in text:
+        # the pattern holds no white space, so it is looked for in the words with an @ only
+        at = -1
+        end = 0
+        while (at := text.find("@", max(at + 1, end))) >= 0:
+            left = at
+            while left > 0 and not text[left - 1].isspace():
+                left -= 1
+            word = _WORD.match(text, max(left, end))
+            end = word.end() if word else at + 1
+            out["email"] += [(m.start(), m.end()) for m in BASE["email"].finditer(text, max(left, 0), end)]
+    if _DIGIT.search(text):
+        for kind in KINDS[1:]:
+            if kind != "phone" or "+" in text:
+                out[kind] = [(m.start(), m.end()) for m in BASE[kind].finditer(text) if _holds(kind, m.group())]
+    return out
+
+
+# the labelled table: {kind:...} marks a span
+LABELLED = """
+the rain fell over the town and nobody spoke a word .
+She wrote back to {email:anna.berg@mail.example.org} on the same day.
+you may reach me at {email:j_smith99@uni.example.edu}, or not at all
+write to {email:info@shop.example.co.uk} for help
+mail {email:anna at example dot org} before noon
+contact {email:sales (at) shop dot com} please
+her address {email:li.wei AT mail DOT example DOT net} is old
+we met at noon and at the dot of one they left
+he looked at the house and at the river
+The server {ip:10.0.0.17} did not answer.
+from {ip:192.168.44.2:8080} to {ip:172.16.0.9:443} in one hop
+logs of {ip:203.0.113.77/24} were kept
+address {ip:8.8.4.4} was asked
+version 1.2.3 of the tool came out, then 2.10.1 and 3.0
+section 4.1.2.7.9 says more
+paid with {card:4539 1488 0343 6467} last week
+card {card:4556-7375-8689-9855} expires soon
+number {card:6011000990139424} was refused
+charge {card:3782 822463 10005} now
+her card {card:5105 1051 0510 5100} is lost
+order 12345678901234567890123 has shipped
+call {phone:+1 (743) 555-3824} after six
+call {phone:(743) 555-3824} after six
+my number is {phone:743-555-3824} and hers {phone:523.555.1055}
+ring {phone:+44 20 7946 0958} or {phone:020 7946 0958}
+tel {phone:(521) 555-6210}, ask for Tom
+phone {phone:555-867-5309} rang twice
+dial {phone:+49 30 901820} from abroad
+in 1998 there were 12 of them, 1999 only 3
+between 2001 and 2015 the price rose by 17 % to 4,250
+room 12 b on floor 3 , 45 m long
+on 2024-05-17 at 10:45 he paid $ 1,250.00
+token = "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e" was found
+key 4f7a99c0aa13 and id 8842917 are internal
+see pages 114-118 and 220-231 of volume 2
+isbn 978-3-16-148410-0 is out of print
+the score was 3-2 and 10-12 in the end
+Licensed under the Apache License, Version 2.0.
+the GNU General Public License, version 3.
+a table | of | words | and 12 | 400 | 7 rows
+AND!! THE!! RAIN,!! FELL.
+words$$$ and*** more&&& signs### here%%%
+"""
+_MARK = re.compile(r"\{(email|ip|card|phone):([^}]*)\}")
+_SHAPE = re.compile(r"[0-9]+|[A-Z]+|[^\W\d_A-Z]+|.", re.DOTALL)
+LABELS = ("O", *KINDS)
+_GLUE = {"at", "(at)", "dot", "(dot)"}
+
+
+def shape(word: str) -> str:
+    """The collapsed shape; the words that stand for @ and . keep their letters. Past six parts the rest is one mark."""
+    if word.lower() in _GLUE:
+        return word.lower()
+    parts = ["d" + str(min(len(m), 9)) if "0" <= m[0] <= "9" else "A" if "A" <= m[0] <= "Z" else "a" if m[0].isalpha() else m[0] for m in _SHAPE.findall(word[:64])]
+    # one mark for each run of letters, whatever their case, and of the same sign
+    short: list[str] = []
+    for p in parts:
+        p = "a" if p == "A" else p
+        if not (short and short[-1] == p and p[0] != "d"):
+            short.append(p)
+    return " ".join(short[:6]) + (" .." if len(short) > 6 else "")
+
+
+def plain(s: str) -> bool:
+    return s not in _GLUE and not re.search(r"d[0-9]|[@+]", s)
+
+
+def features(s: str) -> list[str]:
+    """What a word's shape says: itself, and its kinds of signs. Plain shapes say nothing but that."""
+    if plain(s):
+        return ["plain"]
+    digits = sum(int(x) for x in re.findall(r"d([0-9])", s))
+    return ["odd", "s=" + s, "digits=" + str(min(digits, 12)), "begins=" + s.split(" ")[0], "signs=" + "".join(sorted(set(re.findall(r"[^ad\d\s]", s)))), *(["dots4"] if re.match(r"d[1-3] \. d[1-3] \. d[1-3]", s) else [])]
+
+
+def labelled() -> list[tuple[list[str], list[int]]]:
+    """LABELLED as words and labels."""
+    out = []
+    for line in LABELLED.strip().split("\n"):
+        bare, marks, at = "", [], 0
+        for m in _MARK.finditer(line):
+            bare += line[at : m.start()]
+            marks.append((len(bare), len(bare) + len(m[2]), LABELS.index(m[1])))
+            bare += m[2]
+            at = m.end()
+        bare += line[at:]
+        words = list(_WORD.finditer(bare))
+        out.append(([w.group() for w in words], [next((k for lo, hi, k in marks if w.start() < hi and w.end() > lo), 0) for w in words]))
+    return out
+
+
+def _named(shapes: list[str], i: int) -> list[str]:
+    get = lambda j: features(shapes[j]) if 0 <= j < len(shapes) else ["edge"]
+    return [*features(shapes[i]), *("<" + f for f in get(i - 1)), *(">" + f for f in get(i + 1))]
+
+
+def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+
+
+class Crf:
+    """weights: feature name to a score for each label; moves[i, j]: from label i to j."""
+
+    def __init__(self, weights: dict[str, np.ndarray], moves: np.ndarray):
+        self.weights, self.moves = weights, moves
+        self.by_shape: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        zero = np.zeros(len(LABELS))
+        self.edges = weights.get("<edge", zero), weights.get(">edge", zero)
+
+    def scores(self, s: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What a shape adds to its own word, to the next word (as <), and to the word before (as >)."""
+        if s not in self.by_shape:
+            zero = np.zeros(len(LABELS))
+            if len(self.by_shape) > 50_000:
+                self.by_shape.clear()
+            self.by_shape[s] = tuple(sum((self.weights.get(mark + f, zero) for f in features(s)), zero) for mark in ("", "<", ">"))
+        return self.by_shape[s]
+
+    def viterbi(self, scores: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Best labels of many segments at once (segment, place, label), each between two words that are O."""
+        n, most, k = scores.shape
+        best = scores[:, 0] + self.moves[0]
+        back = np.zeros((n, most, k), np.int8)
+        final = best.copy()
+        for j in range(1, most):
+            way = best[:, :, None] + self.moves[None]
+            back[:, j] = way.argmax(axis=1)
+            best = way.max(axis=1) + scores[:, j]
+            final[length > j] = best[length > j]
+        label = (final + self.moves[:, 0]).argmax(axis=1)
+        out = np.zeros((n, most), np.int8)
+        for j in range(most - 1, -1, -1):
+            here = length > j
+            out[here, j] = label[here]
+            label = np.where(here, back[np.arange(n), j, label], label)
+        return out
+
+
+def train(rows: list[tuple[list[str], list[int]]] | None = None, steps: int = 300, rate: float = 0.5, ridge: float = 0.01) -> Crf:
+    """Maximum likelihood with a ridge; every sequence is taken to stand between two O words, as in decoding."""
+    data, fixed = [], []
+    for words, labels in rows or labelled():
+        shapes = [shape(w) for w in words]
+        data.append(([_named(shapes, i) for i in range(len(words))], labels))
+        fixed.append(np.array([all(plain(x) for x in shapes[max(0, i - 1) : i + 2]) for i in range(len(words))]))
+    only_o = np.array([0.0] + [-1e3] * len(KINDS))
+    index = {f: i for i, f in enumerate(sorted({f for x, _ in data for fs in x for f in fs}))}
+    coded = [([np.array([index[f] for f in fs]) for fs in x], np.array(y)) for x, y in data]
+    k = len(LABELS)
+    w, moves = np.zeros((len(index), k)), np.zeros((k, k))
+    gw2, gm2 = np.full_like(w, 1e-8), np.full_like(moves, 1e-8)
+    for _ in range(steps):
+        gw, gm = -ridge * w, -ridge * moves
+        for (x, y), sure in zip(coded, fixed, strict=True):
+            s = np.stack([w[f].sum(axis=0) for f in x]) + sure[:, None] * only_o
+            n = len(y)
+            fwd, bwd = np.zeros((n, k)), np.zeros((n, k))
+            fwd[0] = s[0] + moves[0]
+            for i in range(1, n):
+                fwd[i] = s[i] + _logsum(fwd[i - 1][:, None] + moves, 0)
+            bwd[-1] = moves[:, 0]
+            for i in range(n - 2, -1, -1):
+                bwd[i] = _logsum(moves + (s[i + 1] + bwd[i + 1])[None], 1)
+            z = _logsum(fwd[-1] + bwd[-1], 0)
+            p = np.exp(fwd + bwd - z)
+            for i, f in enumerate(x):
+                gw[f] -= p[i]
+                gw[f, y[i]] += 1
+            gm[0] -= p[0]
+            gm[0, y[0]] += 1
+            gm[:, 0] -= p[-1]
+            gm[y[-1], 0] += 1
+            for i in range(1, n):
+                gm -= np.exp(fwd[i - 1][:, None] + moves + (s[i] + bwd[i])[None] - z)
+                gm[y[i - 1], y[i]] += 1
+        gw2 += gw**2
+        gm2 += gm**2
+        w += rate * gw / np.sqrt(gw2)
+        moves += rate * gm / np.sqrt(gm2)
+    return Crf({f: w[i].copy() for f, i in index.items()}, moves)
+
+
+_TRIM = " \t,;:!?\"'()[]{}<>#*$%&|=."
+
+
+def _trimmed(text: str, kind: str, lo: int, hi: int) -> tuple[int, int] | None:
+    """The span without punctuation around it, if it holds what its kind needs."""
+    while lo < hi and text[lo] in _TRIM and not (kind == "phone" and text[lo] == "(" and ")" in text[lo:hi]):
+        lo += 1
+    while lo < hi and text[hi - 1] in _TRIM:
+        hi -= 1
+    s = text[lo:hi]
+    digits = sum("0" <= c <= "9" for c in s)
+    if kind == "email":
+        ok = re.fullmatch(r"\S+@\S+\.\S+|\S+ +\(?at\)? +\S+( +\(?dot\)? +\S+)+", s, re.IGNORECASE)
+    elif kind == "ip":
+        ok = (m := re.match(r"([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})(?![0-9.])", s)) and all(int(x) <= 255 for x in m.groups())
+    elif kind == "card":
+        ok = 13 <= digits <= 19 and luhn("".join(_DIGIT.findall(s))) and re.fullmatch("[0-9 -]+", s)
+    else:
+        ok = 8 <= digits <= 15 and re.fullmatch(r"\+?[0-9(][0-9() .-]+", s)
+    return (lo, hi) if ok else None
+
+
+class Finder:
+    def __init__(self, crf: Crf):
+        self.crf = crf
+
+    def segments(self, text: str) -> list[list[tuple[int, int]]]:
+        """Runs of words that may not be O for certain: odd words, with a plain word to either side."""
+        words: list[tuple[int, int]] = []
+        for m in re.finditer(r"[^\x20\x09-\x0D]*[0-9@+][^\x20\x09-\x0D]*|(?<![^\x20\x09-\x0D])(?:at|\(at\)|dot|\(dot\))(?![^\x20\x09-\x0D])", text, re.IGNORECASE):
+            words.append(m.span())
+        runs: list[list[tuple[int, int]]] = []
+        for lo, hi in words:
+            left, right = self._before(text, lo), _WORD.search(text, hi)
+            own = [*([left] if left else []), (lo, hi), *([right.span()] if right else [])]
+            if runs and own[0][0] <= runs[-1][-1][0]:
+                runs[-1] += [x for x in own if x[0] > runs[-1][-1][0]]
+            else:
+                runs.append(own)
+        return runs
+
+    @staticmethod
+    def _before(text: str, at: int) -> tuple[int, int] | None:
+        hi = at
+        while hi > 0 and (text[hi - 1] == " " or "\t" <= text[hi - 1] <= "\r"):
+            hi -= 1
+        lo = hi
+        while lo > 0 and not (text[lo - 1] == " " or "\t" <= text[lo - 1] <= "\r"):
+            lo -= 1
+        return (lo, hi) if lo < hi else None
+
+    def added(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+        """Spans of each text by the CRF."""
+        out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+        jobs = [(i, run) for i, t in enumerate(texts) for run in self.segments(t)]
+        jobs.sort(key=lambda j: len(j[1]))
+        at = 0
+        while at < len(jobs):  # batches of like lengths, of some thousand words
+            most = max(1, 20_000 // max(1, len(jobs[min(at + 500, len(jobs) - 1)][1])))
+            batch = jobs[at : at + most]
+            at += len(batch)
+            length = np.array([len(run) for _, run in batch])
+            scores = np.zeros((len(batch), int(length.max()), len(LABELS)))
+            for b, (i, run) in enumerate(batch):
+                text = texts[i]
+                told = [self.crf.scores(shape(text[lo:hi])) for lo, hi in run]
+                first, last = self._before(text, run[0][0]), _WORD.search(text, run[-1][1])
+                before = [self.crf.scores(shape(text[slice(*first)]))[1] if first else self.crf.edges[0], *(t[1] for t in told[:-1])]
+                after = [*(t[2] for t in told[1:]), self.crf.scores(shape(last.group()))[2] if last else self.crf.edges[1]]
+                scores[b, : len(run)] = [t[0] + p + q for t, p, q in zip(told, before, after, strict=True)]
+            labels = self.crf.viterbi(scores, length)
+            for (i, run), own in zip(batch, labels, strict=True):
+                j = 0
+                while j < len(run):
+                    k = j + 1
+                    while k < len(run) and own[k] == own[j]:
+                        k += 1
+                    if own[j] and (span := _trimmed(texts[i], LABELS[own[j]], run[j][0], run[k - 1][1])):
+                        out[i].append((LABELS[own[j]], *span))
+                    j = k
+        return out
+
+    def find(self, texts: list[str]) -> list[tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]]:
+        """(base spans, all spans) of each text, by kind."""
+        out = []
+        odd = [i for i, t in enumerate(texts) if t and re.search(r"[0-9@+]|\bdot\b", t, re.IGNORECASE)]
+        more = dict(zip(odd, self.added([texts[i] for i in odd]), strict=True))
+        for i, text in enumerate(texts):
+            base = base_spans(text)
+            every = {k: list(v) for k, v in base.items()}
+            taken = sorted(x for v in base.values() for x in v)
+            for kind, lo, hi in more.get(i, ()):
+                if not any(a < hi and lo < b for a, b in taken):
+                    every[kind].append((lo, hi))
+            out.append((base, {k: sorted(v) for k, v in every.items()}))
+        return out
+
+
+def joined(spans: dict[str, list[tuple[int, int]]]) -> str:
+    return ",".join(f"{k}:{a}:{b}" for k in KINDS for a, b in spans[k])
+
+
+def with_pii(df: DataFrame, text: str = "text", crf: Crf | None = None) -> DataFrame:
+    """df with n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all spans), n_added."""
+    added = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
+    keep = without(df, *added)
+    names = keep.columns
+    kinds = [T.LongType()] * 4 + [T.StringType()] * 2 + [T.LongType()]
+    schema = T.StructType([*keep.schema.fields, *(T.StructField(n, t) for n, t in zip(added, kinds, strict=True))])
+    crf = crf or train()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(crf)
+        for b in batches:
+            column = pc.fill_null(b.column(names.index(text)), "")
+            new: list[list] = [[] for _ in added]
+            for block in blocks(column):
+                texts = column.slice(block.first, block.n).to_pylist()
+                for base, every in finder.find(texts):
+                    for x, v in zip(new, [*(len(base[k]) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), sum(map(len, every.values())) - sum(map(len, base.values()))], strict=True):
+                        x.append(v)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, pa.int64() if t == T.LongType() else pa.string()) for v, t in zip(new, kinds, strict=True))], names=[*names, *added])
+
+    return keep.mapInArrow(run, schema)
