@@ -6,8 +6,9 @@ sets. That holds for every order at once, so a pair is a candidate only when it
 
 1. Order 1 puts frequent tokens last, by the levels of a count sketch over all shingles of the corpus, and then goes by a hash. Its
    prefix tokens are dealt out, and the documents that meet at a token are looked at together.
-2. Orders 2 and 3 go by two other hashes. Their prefixes travel with the documents; pairs without a common token in either go.
-3. A parity bitmap of the whole set bounds |a xor b| from below; pairs beyond (|a| + |b|) * (100 - P) / (100 + P) go.
+2. A parity bitmap of the whole set, about a bit for each token, bounds |a xor b| from below; pairs beyond
+   (|a| + |b|) * (100 - P) / (100 + P) go before anything larger is sent.
+3. Orders 2 and 3 go by two other hashes; pairs without a common prefix token under either go.
 4. What is left is verified exactly on the sorted sets.
 
 Only exact steps prune: no link between different texts is lost, and there is no cap on documents, tokens or partners.
@@ -25,7 +26,7 @@ nothing and gets a null component; rows that share an id are one document to the
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize
+from .common import join_small, materialize, shipped
 from .graph import components
 from .textbytes import blocks, mix, windows
 
@@ -71,8 +72,8 @@ def prefix(tokens: np.ndarray, rank: np.ndarray, p: int) -> np.ndarray:
 
 
 def parity_bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Bit i: whether an odd number of tokens falls on i. Twice as many bits as tokens or more, 256 to 65536."""
-    size = min(1 << 16, max(256, 1 << int(2 * len(tokens) - 1).bit_length()))
+    """Bit i: whether an odd number of tokens falls on i. As many bits as tokens or more, 256 to 65536."""
+    size = min(1 << 16, max(256, 1 << int(len(tokens) - 1).bit_length()))
     odd = np.bincount((mix(tokens) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -95,13 +96,13 @@ def other_prefixes(tokens: np.ndarray, percent: int) -> tuple[bytes, bytes]:
     return out[0], out[1]
 
 
-def _profiles(df: DataFrame, k: int, percent: int) -> DataFrame:
-    """A row (id, n, s1, s2, parity, second, third) for each text, and a row (part, counts) for each segment of each task's sketch."""
+def _profiles(df: DataFrame, k: int) -> DataFrame:
+    """A row (id, n, s1, s2, parity) for each text, and a row (part, counts) for each segment of each task's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(WIDTH, np.uint32)
-        names = ["id", "n", "s1", "s2", "parity", "second", "third", "part", "counts"]
-        kinds = [pa.int64()] * 4 + [pa.binary()] * 3 + [pa.int32(), pa.binary()]
+        names = ["id", "n", "s1", "s2", "parity", "part", "counts"]
+        kinds = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.binary()]
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -113,9 +114,9 @@ def _profiles(df: DataFrame, k: int, percent: int) -> DataFrame:
                     np.add.at(sketch, (own & np.uint64(WIDTH - 1)).astype(np.int64), 1)
                     scrambled = mix(own ^ _ORDER_SALT[0])
                     s1, s2 = int(np.bitwise_xor.reduce(scrambled).view(np.int64)), int(scrambled.sum(dtype=np.uint64).view(np.int64))
-                    rows.append((ids[i], len(own), s1, s2, parity_bitmap(own).tobytes(), *other_prefixes(own, percent), None, None))
+                    rows.append((ids[i], len(own), s1, s2, parity_bitmap(own).tobytes(), None, None))
                 else:
-                    rows.append((ids[i], 0, None, None, None, None, None, None, None))
+                    rows.append((ids[i], 0, None, None, None, None, None))
                 if len(rows) >= 512:
                     yield out(rows)
                     rows = []
@@ -124,9 +125,9 @@ def _profiles(df: DataFrame, k: int, percent: int) -> DataFrame:
         for part in range(WIDTH // SEGMENT):
             own = sketch[part * SEGMENT : (part + 1) * SEGMENT]
             if own.any():
-                yield out([(None,) * 7 + (part, zlib.compress(own.tobytes(), 1))])
+                yield out([(None,) * 5 + (part, zlib.compress(own.tobytes(), 1))])
 
-    return df.mapInArrow(run, "id long, n long, s1 long, s2 long, parity binary, second binary, third binary, part int, counts binary")
+    return shipped(df).mapInArrow(run, "id long, n long, s1 long, s2 long, parity binary, part int, counts binary")
 
 
 def _levels(sketch: DataFrame) -> np.ndarray:
@@ -141,7 +142,7 @@ def _levels(sketch: DataFrame) -> np.ndarray:
 
     parts = sketch.select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(64)).alias("some"))
     for by in (["part", "some"], ["part"]):  # up a tree: no task adds up what all others left
-        parts = parts.groupBy(*by).applyInPandas(add, "part int, counts binary")
+        parts = shipped(parts).groupBy(*by).applyInPandas(add, "part int, counts binary")
     levels = np.zeros(WIDTH, np.uint8)
     for r in parts.collect():
         total = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
@@ -149,10 +150,14 @@ def _levels(sketch: DataFrame) -> np.ndarray:
     return levels
 
 
+def _hot_level(levels: np.ndarray) -> int:
+    return max(int(np.log2(HOT)), int(np.median(levels)) + 4)
+
+
 def _postings(df: DataFrame, levels: np.ndarray, k: int, percent: int) -> DataFrame:
     """(token, id, hot) for the tokens of each text's prefix under order 1."""
     shared = df.sparkSession.sparkContext.broadcast(levels)
-    hot_level = max(int(np.log2(HOT)), int(np.median(levels)) + 4)
+    hot_level = _hot_level(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
@@ -176,134 +181,164 @@ def _postings(df: DataFrame, levels: np.ndarray, k: int, percent: int) -> DataFr
         hot = level[(tokens & np.uint64(WIDTH - 1)).astype(np.int64)] >= hot_level
         return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(np.concatenate(owner)), pa.array(hot)], names=["token", "id", "hot"])
 
-    return df.mapInArrow(run, "token long, id long, hot boolean")
+    return shipped(df).mapInArrow(run, "token long, id long, hot boolean")
 
 
-def _buckets(postings: DataFrame) -> DataFrame:
+def _buckets(postings: DataFrame, any_hot: bool) -> DataFrame:
     """(bucket, size, leader, id): the documents that meet at a prefix token, tokens with the same documents taken together."""
     mark = F.xxhash64("id")
     told = [F.count("*").alias("size"), F.min("id").alias("leader"), F.bit_xor(mark).alias("x")]
     by = Window.partitionBy("token")
-    cold = postings.where("NOT hot").select("id", F.count("*").over(by).alias("size"), F.min("id").over(by).alias("leader"), F.bit_xor(mark).over(by).alias("x"))
-    hot = postings.where("hot")
-    hot = hot.join(hot.groupBy("token").agg(*told), "token").select("id", "size", "leader", "x")
-    both = cold.where("size > 1").unionByName(hot.where("size > 1"))
+    cold = postings.where("NOT hot") if any_hot else postings
+    cold = cold.select("id", F.count("*").over(by).alias("size"), F.min("id").over(by).alias("leader"), F.bit_xor(mark).over(by).alias("x"))
+    both = cold.where("size > 1")
+    if any_hot:
+        hot = postings.where("hot")
+        both = both.unionByName(hot.join(hot.groupBy("token").agg(*told).where("size > 1"), "token").select("id", "size", "leader", "x"))
     return both.select(F.xxhash64("size", "leader", "x").alias("bucket"), "size", "leader", "id").distinct()
 
 
-def _may_link(a: tuple, b: tuple, percent: int) -> bool:
-    """Whether a pair of profiles (n, parity, second, third) passes size, bitmap and orders 2 and 3."""
-    (n, pa_, sa, ta), (m, pb, sb, tb) = a, b
+def _near(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
+    """Whether sizes and bitmaps leave room for a link."""
     if 100 * min(n, m) < percent * max(n, m):
         return False
-    x, y = np.frombuffer(pa_, np.uint64), np.frombuffer(pb, np.uint64)
-    words = min(len(x), len(y))
-    if int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) * (100 + percent) > (n + m) * (100 - percent):
-        return False
-    return _share(sa, sb) and _share(ta, tb)
-
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    words = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum()) * (100 + percent) <= (n + m) * (100 - percent)
 
-def _share(a: bytes, b: bytes) -> bool:
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    if len(x) > len(y):
-        x, y = y, x
-    return bool((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).any())
 
+def _common(x: bytes, y: bytes, kind: type) -> int:
+    """How many values two sorted sets share."""
+    a, b = np.frombuffer(x, kind), np.frombuffer(y, kind)
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
 
-_PROFILE = ("n", "parity", "second", "third")
 
-
-def _filtered(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the filters."""
+def _pairs_where(pairs: DataFrame, told: DataFrame, cols: Sequence[str], test: Callable[..., bool]) -> DataFrame:
+    """The pairs (a, b) for which test(*cols of a, *cols of b) holds; told has a row for each id."""
+    names = [f"{s}_{c}" for s in "ab" for c in cols]
 
     def side(s: str) -> DataFrame:
-        return profiles.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in _PROFILE])
+        return told.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in cols])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
-            c = {x: r.column(x).to_pylist() for x in r.schema.names}
-            ok = [_may_link(tuple(c[f"a_{x}"][i] for x in _PROFILE), tuple(c[f"b_{x}"][i] for x in _PROFILE), percent) for i in range(r.num_rows)]
-            yield pa.RecordBatch.from_arrays([r.column(x).filter(pa.array(ok, pa.bool_())) for x in ("a", "b")], names=["a", "b"])
+            ok = [test(*row) for row in zip(*(r.column(x).to_pylist() for x in names), strict=True)]
+            yield pa.RecordBatch.from_arrays([r.column(x).filter(pa.array(ok, pa.bool_())) for x in "ab"], names=["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return shipped(pairs).join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+
+
+def _filtered(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    return _pairs_where(pairs, profiles, ("n", "parity"), lambda n, x, m, y: _near(n, x, m, y, percent)).distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose sets link. docs: (id, text)."""
+    """The pairs that pass under orders 2 and 3 and whose sets link. docs: (id, text)."""
     pairs = materialize(pairs, "candidates")
     wanted = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), *[pa.binary()] * 3], strict=True)], names=["id", "tokens", "second", "third"])
+
         for b in batches:
-            ids, out, held = b.column(0).to_pylist(), [], 0
+            ids, rows, held = b.column(0).to_pylist(), [], 0
             for i, own in shingle_sets(b.column(1), k):
-                out.append((ids[i], own.tobytes()))
-                held += own.nbytes
+                if len(own):
+                    rows.append((ids[i], own.tobytes(), *other_prefixes(own, percent)))
+                    held += own.nbytes
                 if held > 1 << 22:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["id", "tokens"])
-                    out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["id", "tokens"])
-
-    sets = materialize(join_small(docs, wanted, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, tokens binary"), "sets")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in batches:
-            ok = []
-            for x, y in zip(r.column("x"), r.column("y"), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(s) > len(t):
-                    s, t = t, s
-                both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum()) if len(s) else 0
-                ok.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([r.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+                    yield out(rows)
+                    rows, held = [], 0
+            if rows:
+                yield out(rows)
 
-    first = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
-    second = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    return materialize(pairs.join(first, "a").join(second, "b").mapInArrow(check, "a long, b long"), "links")
+    sets = materialize(shipped(join_small(docs, wanted, "id", "left_semi")).select("id", "text").mapInArrow(run, "id long, tokens binary, second binary, third binary"), "sets")
+    pairs = _pairs_where(pairs, sets, ("second", "third"), lambda s, t, u, v: _common(s, u, np.uint32) > 0 and _common(t, v, np.uint32) > 0)
+
+    def links(s: bytes, t: bytes) -> bool:
+        both = _common(s, t, np.uint64)
+        return both > 0 and 100 * both >= percent * (len(s) // 8 + len(t) // 8 - both)
+
+    return materialize(_pairs_where(pairs.distinct(), sets, ("tokens",), links).distinct(), "links")
+
+
+def _near_pairs(group: np.ndarray, side: np.ndarray, n: np.ndarray, comp: np.ndarray, maps: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs within a group, across components and (where side is not -1) sides, that sizes and bitmaps leave.
+
+    Rows are in order of group, then n. Row r is compared with r + 1, r + 2, ... of all groups at once, until none is in reach.
+    """
+    words = np.array([len(m) for m in maps])
+    # by number of words: the bitmaps of that many, and those of twice as many folded; a partner in reach has no more
+    stacks = {}
+    for w in np.unique(words):
+        rows = np.flatnonzero((words == w) | (words == 2 * w))
+        place = np.full(len(maps), -1)
+        place[rows] = np.arange(len(rows))
+        stacks[w] = np.stack([folded(maps[r], int(w)) for r in rows]), place
+    left, right = [], []
+    alive, shift = np.arange(len(maps)), 0
+    while True:
+        shift += 1
+        alive = alive[alive + shift < len(maps)]
+        other = alive + shift
+        alive = alive[(group[alive] == group[other]) & (100 * n[alive] >= percent * n[other])]
+        if not len(alive):
+            break
+        other = alive + shift
+        ok = (comp[alive] != comp[other]) & ((side[alive] != side[other]) | (side[alive] < 0))
+        x, y = alive[ok], other[ok]
+        for w, (stack, place) in stacks.items():
+            own = words[x] == w
+            u, v = x[own], y[own]
+            if len(u):
+                far = np.bitwise_count(stack[place[u]] ^ stack[place[v]]).sum(axis=1, dtype=np.int64)
+                near = far * (100 + percent) <= (n[u] + n[v]) * (100 - percent)
+                left.append(u[near])
+                right.append(v[near])
+    none = np.zeros(0, np.int64)
+    return np.concatenate(left or [none]), np.concatenate(right or [none])
 
 
 def _across(members: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components that pass the filters. members: (bucket, size, leader, id, component)."""
+    """Pairs (a, b) of one bucket in different components that sizes and bitmaps leave. members: (bucket, size, id, component).
+
+    A bucket of more than BLOCK documents is dealt out as the pairs of its parts, each a group of its own.
+    """
     sides = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("id"), sides).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "leader", "id", "component")
-    dealt = dealt.join(profiles.select("id", *_PROFILE), "id")
-
-    def compare(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["n", "id"], ignore_index=True)
-        n, comp, ids, own = (g[c].to_numpy() for c in ("n", "component", "id", "own"))
-        names, counts = np.unique(comp, return_counts=True)
-        found: list[tuple[int, int]] = []
-        if len(names) > 1:
-            square = bool(g["i"].iloc[0] != g["j"].iloc[0])
-            major = names[counts.argmax()]
-            maps = [np.frombuffer(x, np.uint64) for x in g["parity"]]
-            stacked = {w: np.stack([folded(m, w) if len(m) >= w else np.zeros(w, np.uint64) for m in maps]) for w in {len(m) for m, c in zip(maps, comp, strict=True) if c != major}}
-            sizes = np.array([len(m) for m in maps])
-            for x in np.flatnonzero(comp != major):
-                ok = (comp != comp[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])) & ((comp == major) | (np.arange(len(n)) > x))
-                if square:
-                    ok &= own != own[x]
-                wide = ok & (sizes >= sizes[x])
-                at = np.flatnonzero(wide)
-                if len(at):
-                    far = np.bitwise_count(stacked[sizes[x]][at] ^ stacked[sizes[x]][x]).sum(axis=1, dtype=np.int64)
-                    ok[at] = far * (100 + percent) <= (n[at] + n[x]) * (100 - percent)
-                for y in np.flatnonzero(ok):
-                    if wide[y] or _may_link(tuple(g.loc[x, list(_PROFILE)]), tuple(g.loc[y, list(_PROFILE)]), percent):
-                        if _share(g.at[x, "second"], g.at[y, "second"]) and _share(g.at[x, "third"], g.at[y, "third"]):
-                            found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("id"), sides).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    dealt = dealt.select(F.xxhash64("bucket", i, j).alias("grp"), F.when(i == j, F.lit(-1)).otherwise(F.col("own")).alias("side"), "id", "component")
+    dealt = dealt.join(profiles.select("id", "n", "parity"), "id").repartition("grp").sortWithinPartitions("grp", "n", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def pairs(t: pa.Table) -> pa.RecordBatch:
+            grp, side, ids, comp, n = (t.column(c).to_numpy() for c in ("grp", "side", "id", "component", "n"))
+            x, y = _near_pairs(grp, side, n, comp, [np.frombuffer(m, np.uint64) for m in t.column("parity").to_pylist()], percent)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], names=["a", "b"])
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+            grp = t.column("grp").to_numpy()
+            whole = int(np.searchsorted(grp, grp[-1])) if len(grp) else 0  # the last group may go on
+            held = t.slice(whole)
+            if whole:
+                yield pairs(t.slice(0, whole))
+        if held is not None and held.num_rows:
+            yield pairs(held)
+
+    return shipped(dealt).select("grp", "side", "id", "component", "n", "parity").mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
     """Per row of df: key, n_shingles, component_id (smallest id that links reach, its own included)."""
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    told = materialize(_profiles(docs, k, percent), "profiles")
+    told = materialize(_profiles(docs, k), "profiles")
     profiles = told.where("part IS NULL").drop("part", "counts")
     levels = _levels(told.where("part IS NOT NULL"))
 
@@ -316,9 +351,9 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
     thin = profiles.where("n > 0 AND id IS NOT NULL").dropDuplicates(["id", "s1", "s2"])
     # a document of one id and several texts has a profile for each
 
-    buckets = materialize(_buckets(_postings(alone, levels, k, percent)), "buckets")
+    buckets = materialize(_buckets(_postings(alone, levels, k, percent), bool((levels >= _hot_level(levels)).any())), "buckets")
     star = buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = _verified(_filtered(star, thin, percent).distinct(), alone, k, percent)
+    links = _verified(_filtered(star, thin, percent), alone, k, percent)
     found = components(links)
 
     # what still lies in several components

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import without
+from .common import shipped, without
 
 MARK = "▁"
 TABLE, LONGEST = 200_000, 256
@@ -107,4 +107,4 @@ def with_pieces(df: DataFrame, path: str, text: str = "text", ids: str | None =
             kinds = {"n_tokens": pa.int64(), ids: pa.list_(pa.int32())}
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, kinds.get(k, pa.string())) for k, v in new.items())], names=[*names, *new])
 
-    return keep.mapInArrow(run, schema)
+    return shipped(keep).mapInArrow(run, schema)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import without
+from .common import shipped, without
 from .textbytes import blocks
 
 KINDS = ("email", "ip", "card", "phone")
@@ -388,4 +388,4 @@ def with_pii(df: DataFrame, text: str = "text", crf: Crf | None = None) -> DataF
                         x.append(v)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, pa.int64() if t == T.LongType() else pa.string()) for v, t in zip(new, kinds, strict=True))], names=[*names, *added])
 
-    return keep.mapInArrow(run, schema)
+    return shipped(keep).mapInArrow(run, schema)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_small, materialize, without
+from .common import join_small, materialize, shipped, without
 from .textbytes import _SPACE, _SYMBOL, blocks, windows
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -88,7 +88,7 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
             counts = count_texts(b.column(names.index(text)))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v) for v in counts.values())], names=[*names, *counts])
 
-    return keep.mapInArrow(run, schema)
+    return shipped(keep).mapInArrow(run, schema)
 
 
 def base_failed() -> Column:

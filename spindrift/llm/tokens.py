@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import without
+from .common import shipped, without
 
 PIECE, GROUP_BYTES = 32_768, 1 << 20
 _SAFE = re.compile(r"(?<=[A-Za-z0-9.,;:!?)\]'\"])[ \n]")
@@ -99,4 +99,4 @@ def with_token_counts(df: DataFrame, path: str, limit: int = 512, text: str = "t
             n = count(texts.to_pylist(), path)
             yield pa.RecordBatch.from_arrays([*b.columns, pc.binary_length(texts).cast(pa.int64()), pa.array(n), pa.array(n > limit)], names=[*names, n_bytes, n_tokens, over])
 
-    return keep.mapInArrow(run, schema)
+    return shipped(keep).mapInArrow(run, schema)

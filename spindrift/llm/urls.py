@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import without
+from .common import shipped, without
 
 SEP = "\x01"
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -133,4 +133,4 @@ def judge_urls(df: DataFrame, rules: Sequence[Rule], blocked: Sequence[str], url
             verdict = [ranked[k].verdict if h else "block" if g else "allow" for h, k, g in zip(hit, best, by_glob, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string()), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=[*names, *added])
 
-    return keep.mapInArrow(run, schema)
+    return shipped(keep).mapInArrow(run, schema)
