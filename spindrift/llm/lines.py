@@ -48,7 +48,8 @@ def drop_boilerplate(df: DataFrame, key: str = "doc_id", text: str = "text", sit
     drops = hits.groupBy("id").agg(F.collect_set("line").alias("drop"))
     id_, drop = fresh(df.columns, "id_"), fresh(df.columns, "drop_")
     drops = materialize(drops.select(F.col("id").alias(id_), F.col("drop").alias(drop)), "drops")
-    both = df.join(drops, F.col(key).eqNullSafe(F.col(id_)), "left")
+    # joined the same way at any size: a broadcast of the drops would depend on how many documents they come from
+    both = df.join(drops.hint("merge"), F.col(key).eqNullSafe(F.col(id_)), "left")
     all_lines = F.split(F.col(text), "\n", -1)
     kept = F.filter(all_lines, lambda x: ~(x.rlike(WORD) & F.array_contains(F.col(drop), _key(x))))
     new = F.when(F.col(drop).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
