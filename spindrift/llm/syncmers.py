@@ -15,6 +15,8 @@ follow each other in the order of their texts; a row without id has no next docu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,33 +83,36 @@ def _first_of_next(firsts: DataFrame) -> DataFrame:
     return inside.join(beyond, "outer", "left").select("bucket", "first", F.coalesce("upcoming", "beyond").alias("upcoming"))
 
 
-def next_document(df: DataFrame, key: str, text: str, carry: list[str], prefix: str = "next_") -> DataFrame:
-    """df with prefix + c for c in [text, *carry], of the row with the next id; after the last id comes the first.
+def next_document(df: DataFrame, key: str, text: str, derive: Callable[[DataFrame], DataFrame], derived: list[str], prefix: str = "next_") -> DataFrame:
+    """df with what derive() adds to it (the columns `derived`), and prefix + c for c in [text, *derived], of the row with the next
+    id; after the last id comes the first.
 
-    One shuffle: rows meet in stretches of the id range, and a copy of the next stretch's first row closes each stretch.
+    One shuffle, of the texts alone: rows meet in stretches of the id range, where a copy of the next stretch's first row closes each
+    stretch, and what is derived from a text is computed there.
     """
+    df = df.select(key, text)
     own = df.where(F.col(key).isNotNull())
-    cols = [text, *carry]
     n, low, high = own.agg(F.count("*"), F.min(key), F.max(key)).first()
+    cols = [text, *derived]
+    lost = derive(df.where(F.col(key).isNull()))
+    lost = lost.select("*", *[F.lit(None).cast(lost.schema[c].dataType).alias(prefix + c) for c in cols])
     if not n:
-        return df.select("*", *[F.lit(None).cast(df.schema[c].dataType).alias(prefix + c) for c in cols])
+        return lost
     bucket = _bucketed(own, key, n, low, high)
     edges = _first_of_next(own.groupBy(bucket.alias("bucket")).agg(F.min(key).alias("first")))
     edges = edges.select(F.col("bucket").alias("closes"), F.coalesce("upcoming", F.lit(low)).alias("upcoming"))
-    firsts = join_small(own.select(key, *cols), edges, F.col(key) == F.col("upcoming")).groupBy("closes").agg(F.min_by(F.struct(*cols), F.coalesce(F.col(text), F.lit(""))).alias("r"), F.first("upcoming").alias("upcoming"))
-    closing = firsts.select(F.col("upcoming").alias(key), *[F.col(f"r.{c}").alias(c) for c in cols], F.col("closes").alias("bucket_"), F.lit(True).alias("copy_"))
-    rows = own.withColumn("bucket_", bucket).withColumn("copy_", F.lit(False)).unionByName(closing, allowMissingColumns=True)
+    firsts = join_small(own, edges, F.col(key) == F.col("upcoming")).groupBy("closes").agg(F.min(F.coalesce(F.col(text), F.lit(""))).alias(text), F.first("upcoming").alias("upcoming"))
+    closing = firsts.select(F.col("upcoming").alias(key), text, F.col("closes").alias("bucket_"), F.lit(True).alias("copy_"))
+    rows = own.withColumn("bucket_", bucket).withColumn("copy_", F.lit(False)).unionByName(closing).repartition("bucket_")
     order = Window.partitionBy("bucket_").orderBy("copy_", key, F.coalesce(F.col(text), F.lit("")))
-    rows = rows.select("*", F.lead(F.struct(*cols)).over(order).alias("next_")).where(~F.col("copy_"))
-    found = rows.select(*df.columns, *[F.col(f"next_.{c}").alias(prefix + c) for c in cols])
-    lost = df.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(df.schema[c].dataType).alias(prefix + c) for c in cols])
-    return found.unionByName(lost)
+    rows = derive(rows).select("*", F.lead(F.struct(*cols)).over(order).alias("next_")).where(~F.col("copy_"))
+    return rows.select(key, *cols, *[F.col(f"next_.{c}").alias(prefix + c) for c in cols]).unionByName(lost.select(key, *cols, *[prefix + c for c in cols]))
 
 
 def fingerprint_edited(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text and of the same text with its last quarter replaced by the head of the next document."""
-    own = anchors(df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text_")), "text_", "anchors_")
-    both = next_document(own, key, "text_", ["anchors_"], "following_")
+    own = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text_"))
+    both = next_document(own, key, "text_", lambda d: anchors(d, "text_", "anchors_"), ["anchors_"], "following_")
     n = F.length("text_")
     quarter = F.floor(n / 4).cast("int")
     both = both.withColumn("edited_", F.concat(F.substring("text_", F.lit(1), n - quarter), F.substring(F.coalesce("following_text_", F.lit("")), F.lit(1), quarter)))
