@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import shipped  # noqa: F401  what the operators use
+
 #: Small tables (one row per cell, source, rule ...) are broadcast up to this many rows, else joined by shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -27,23 +27,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_SHIPPED: set[str] = set()
-
-
-def shipped(df: DataFrame) -> DataFrame:
-    """df, after making sure that Python workers can import this package, wherever the driver was started: Spark sends it to them."""
-    context = df.sparkSession.sparkContext
-    if context.applicationId not in _SHIPPED:
-        package = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="spindrift-")) / "spindrift.zip"  # read by this driver only, which serves it
-        with zipfile.ZipFile(archive, "w") as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        context.addPyFile(str(archive))
-        _SHIPPED.add(context.applicationId)
-    return df
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: its lineage ends there, and lost executors cost no recomputation."""
     spark = df.sparkSession
