@@ -214,9 +214,9 @@ def _(t):
     return aggregates.progression(m, ["cfg"], "step", "m").select("cfg", "curve", *r6("gain", "mean", "least_step"), "decreases")
 
 
-@query("A39_groupwise_findings", "SELECT l_orderkey, arg_min(l_returnflag, l_linenumber * 1000000 + l_partkey) AS first_flag, count(*) FILTER (WHERE l_quantity > 40) AS findings, round(max(l_quantity / 50.0), 6) AS max_share FROM lineitem GROUP BY 1")
+@query("A39_groupwise_findings", "SELECT l_orderkey, min({'k': l_linenumber * 1000000 + l_partkey, 'f': l_returnflag}).f AS first_flag, count(*) FILTER (WHERE l_quantity > 40) AS findings, round(max(l_quantity / 50.0), 6) AS max_share FROM lineitem GROUP BY 1")
 def _(t):
-    return t.lineitem.groupBy("l_orderkey").agg(F.min_by("l_returnflag", F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("first_flag"), F.count_if(F.col("l_quantity") > 40).alias("findings"), F.round(F.max(F.col("l_quantity") / F.lit(50.0)), 6).alias("max_share"))
+    return t.lineitem.groupBy("l_orderkey").agg(F.min(F.struct((F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("k"), F.col("l_returnflag").alias("f")))["f"].alias("first_flag"), F.count_if(F.col("l_quantity") > 40).alias("findings"), F.round(F.max(F.col("l_quantity") / F.lit(50.0)), 6).alias("max_share"))
 
 
 @query("A40_top_label_shares", """
