@@ -15,8 +15,9 @@ Only exact steps prune: no link between different texts is lost, and there is no
 
 Skew. Equal sets are one class and take part once. Buckets with the same members are one bucket. In a first round each bucket's
 documents are paired with its smallest one only, verified, and joined into components; so a large group of near copies costs as
-many pairs as documents. In a second round a bucket is looked at again only if its documents still belong to several components,
-and only pairs across components are compared, in square blocks of at most BLOCK documents a side, vectorized over bitmaps. Tokens
+many pairs as documents. While many pairs are open, that is repeated around other documents. Then a bucket is looked at again only
+if its documents still belong to several components, and all pairs across components are compared, in square blocks of at most
+BLOCK documents a side, vectorized over bitmaps. Tokens
 that the sketch finds frequent are counted by an aggregation with map-side combine, the others by a window.
 
 Nulls and ties: a null, empty or blank text has an empty set and links with nothing; a row without id is counted but links with
@@ -43,7 +44,9 @@ K, PERCENT = 5, 75
 WIDTH, SEGMENT = 1 << 20, 1 << 16
 #: buckets whose token may stand in more documents than this take the way for hot tokens
 HOT = 50_000
-BLOCK = 2048
+BLOCK = 512
+#: open pairs for each document from which on another round of stars comes before the exact comparison
+OPEN_PAIRS = 4
 _ORDER_SALT = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D))
 
 
@@ -305,13 +308,15 @@ def _near_pairs(group: np.ndarray, side: np.ndarray, n: np.ndarray, comp: np.nda
 def _across(members: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one bucket in different components that sizes and bitmaps leave. members: (bucket, size, id, component).
 
-    A bucket of more than BLOCK documents is dealt out as the pairs of its parts, each a group of its own.
+    A bucket of more than BLOCK documents is dealt out as the pairs of its parts, each a group of its own. A pair that meets in
+    several buckets is told by the first of them only, so each document brings the list of its buckets.
     """
+    lists = members.groupBy("id").agg(F.sort_array(F.collect_list("bucket")).alias("lists"))
     sides = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     dealt = members.withColumn("own", F.pmod(F.xxhash64("id"), sides).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
     i, j = F.least("own", "other"), F.greatest("own", "other")
-    dealt = dealt.select(F.xxhash64("bucket", i, j).alias("grp"), F.when(i == j, F.lit(-1)).otherwise(F.col("own")).alias("side"), "id", "component")
-    dealt = dealt.join(profiles.select("id", "n", "parity"), "id").repartition("grp").sortWithinPartitions("grp", "n", "id")
+    dealt = dealt.select(F.xxhash64("bucket", i, j).alias("grp"), F.when(i == j, F.lit(-1)).otherwise(F.col("own")).alias("side"), "bucket", "id", "component")
+    dealt = dealt.join(profiles.select("id", "n", "parity"), "id").join(lists, "id").repartition("grp").sortWithinPartitions("grp", "n", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -319,6 +324,10 @@ def _across(members: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
         def pairs(t: pa.Table) -> pa.RecordBatch:
             grp, side, ids, comp, n = (t.column(c).to_numpy() for c in ("grp", "side", "id", "component", "n"))
             x, y = _near_pairs(grp, side, n, comp, [np.frombuffer(m, np.uint64) for m in t.column("parity").to_pylist()], percent)
+            bucket, told = t.column("bucket").to_numpy(), t.column("lists")
+            own = {r: frozenset(told[int(r)].as_py()) for r in np.unique(np.concatenate([x, y]))}
+            first = np.array([min(own[u] & own[v]) == bucket[u] for u, v in zip(x, y, strict=True)], bool)
+            x, y = x[first], y[first]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], names=["a", "b"])
 
         for b in batches:
@@ -332,7 +341,7 @@ def _across(members: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield pairs(held)
 
-    return shipped(dealt).select("grp", "side", "id", "component", "n", "parity").mapInArrow(run, "a long, b long").distinct()
+    return shipped(dealt).select("grp", "side", "bucket", "id", "component", "n", "parity", "lists").mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -356,11 +365,26 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
     links = _verified(_filtered(star, thin, percent), alone, k, percent)
     found = components(links)
 
-    # what still lies in several components
-    members = buckets.where("size > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    members = materialize(members, "members")
-    mixed = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    across = _across(members.join(mixed, "bucket", "left_semi"), thin, percent)
+    # Documents that share tokens but no component yet. Where they would make more pairs than some for each document, stars around
+    # other leaders come first: members of a large group link up with one of these, and few are left for the exact comparison.
+    total, done = profiles.count(), 0
+    while True:
+        members = buckets.where("size > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        parts = members.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
+        mixed = materialize(parts.where("n * n > s").withColumn("open", (F.col("n") * F.col("n") - F.col("s")) / 2), "mixed")
+        members = materialize(members.join(mixed.select("bucket"), "bucket", "left_semi"), "members")
+        if (mixed.agg(F.sum("open")).first()[0] or 0) <= OPEN_PAIRS * total:
+            break
+        done += 1
+        heads = members.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(done), "id")).alias("h"))
+        around = members.join(heads, "bucket").where("component <> h.component")
+        again = _verified(_filtered(around.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct(), thin, percent), alone, k, percent)
+        if again.count() <= total // 1000:
+            links = links.unionByName(again)
+            break
+        links = links.unionByName(again)
+        found = components(links)
+    across = _across(members, thin, percent)
     across = across.join(star, ["a", "b"], "left_anti")
     more = _verified(across, alone, k, percent)
     same = copies.where("id IS NOT NULL").select(F.col("leader").alias("a"), F.col("id").alias("b"))
