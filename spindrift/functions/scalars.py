@@ -206,3 +206,9 @@ def presence_prompts(name: Column, stems: Sequence[str] = MUCH) -> Column:
 
 def prompt_ladder(name: Column, words: Sequence[str] = ("no", "a little", "some", "much", "extreme")) -> Column:
     return F.array(*[F.concat(F.lit(f"{w} "), collapse_space(name)) for w in words])
+
+
+def retry_wait(message: Column, default: float) -> Column:
+    """The seconds that a message asks to wait, at least one; else the default."""
+    said = F.regexp_extract(message, r"(?i)retry in\s+([0-9]+(?:\.[0-9]+)?)s", 1).try_cast("double")
+    return F.when(said.isNotNull(), F.greatest(F.lit(1.0), said)).otherwise(F.lit(float(default)))

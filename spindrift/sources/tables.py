@@ -87,8 +87,13 @@ def workbook_rows(data: bytes) -> list[list[str]]:
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """(path, row, cells map<string,string>) of the first sheets; the first row names the columns, blank cells go."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """The workbooks of a folder, as workbooks() has them."""
+    return workbooks(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def workbooks(files: DataFrame) -> DataFrame:
+    """(path, row, cells map<string,string>) of the first sheets of (path, content); the first row names the columns, blank cells
+    go."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -105,6 +110,23 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     return shipped(files).mapInPandas(run, "path string, row int, cells map<string,string>")
 
 
+def archive_members(files: DataFrame, most_bytes: int = 1 << 30) -> DataFrame:
+    """(path, member, content) of the files in zip archives (path, content); folders are left out. A member that unpacks to more
+    than most_bytes is an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, data in zip(b["path"], b["content"], strict=True):
+                with zipfile.ZipFile(BytesIO(data)) as z:
+                    for m in z.infolist():
+                        if m.file_size > most_bytes:
+                            raise ValueError(f"{m.filename} in {p} is too large")
+                        if not m.is_dir():
+                            yield pd.DataFrame({"path": [p], "member": [m.filename], "content": [z.read(m)]})
+
+    return shipped(files).select("path", "content").mapInPandas(run, "path string, member string, content binary")
+
+
 def columnar_json(df: DataFrame, text: str) -> DataFrame:
     """Column-oriented JSON {column: {row: value}} to (row, column, value); rows in numeric order have their number in row_no."""
     m = F.from_json(F.col(text), T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType())))
