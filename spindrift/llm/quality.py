@@ -37,7 +37,7 @@ from .textbytes import _SPACE, _SYMBOL, blocks, windows
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: log mean word length; arcsine of the root of the symbol, repeated-line and repeated-word shares
 DIMS = 4
-FLOORS = (0.12, 0.12, 0.15, 0.15)
+FLOORS = (0.12, 0.12, 0.20, 0.20)
 MIN_CELL = 100
 STEPS = 5
 BINS_PER_OCTAVE = 8
