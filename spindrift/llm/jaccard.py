@@ -46,7 +46,7 @@ WIDTH, SEGMENT = 1 << 20, 1 << 16
 HOT = 50_000
 BLOCK = 512
 #: open pairs for each document from which on another round of stars comes before the exact comparison
-OPEN_PAIRS = 4
+OPEN_PAIRS = 100
 _ORDER_SALT = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D))
 
 
@@ -227,7 +227,10 @@ def _pairs_where(pairs: DataFrame, told: DataFrame, cols: Sequence[str], test: C
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
-            ok = [test(*row) for row in zip(*(r.column(x).to_pylist() for x in names), strict=True)]
+            ok: list[bool] = []
+            for at in range(0, r.num_rows, 128):  # few rows at a time as Python objects: those with sets are large
+                part = r.slice(at, 128)
+                ok += [test(*row) for row in zip(*(part.column(x).to_pylist() for x in names), strict=True)]
             yield pa.RecordBatch.from_arrays([r.column(x).filter(pa.array(ok, pa.bool_())) for x in "ab"], names=["a", "b"])
 
     return shipped(pairs).join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")

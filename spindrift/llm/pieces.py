@@ -3,8 +3,8 @@
 The library writes a text as one marker, then the text with every blank as a marker. Where no piece has a marker after another
 character, no merge crosses from a word into the next marker, so a text is a row of chunks (markers, then other characters) that
 are segmented independently. Each distinct chunk is segmented once per worker while it stays in the table, and the chunks' ids
-are put together again by position; the same table holds what the library decodes of the ids. The table holds TABLE chunks at
-most and is emptied beyond that, which costs time only.
+are put together again by position and decoded as a whole. The table is two of TABLE chunks at most: when the young one is full it
+becomes the old one, from which chunks that are met again come back; what neither has is segmented anew.
 
 check_model says whether a model allows this; others are encoded text by text. Nulls and empty texts have no ids and decode to an
 empty text. Ids are all ids, with no begin or end. Columns of the names to be added are replaced.
@@ -15,9 +15,10 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -25,6 +26,8 @@ from .common import shipped, without
 
 MARK = "▁"
 TABLE, LONGEST = 200_000, 256
+#: rows that are worked off at a time
+SLICE = 64
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 _LOADED: dict[str, Pieces] = {}
 
@@ -34,42 +37,50 @@ class Pieces:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        # one object for each id, and for its decimal form, however often the tables and texts hold it
+        self.numbers = list(range(self.model.get_piece_size()))
+        self.decimals = list(map(str, self.numbers))
         self.by_chunk = self.check_model()
-        self.table: dict[str, tuple[str, int, str]] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def check_model(self) -> bool:
         """No piece has a marker behind another character, blanks are kept, one marker is put in front, nothing else is normalized."""
         m = self.model
-        probe = f"ﬁ  AÅÅ\t\n x　{MARK} "
+        probe = f"ﬁ  AÅÅ\t\n x　{MARK} "
         return not any(re.search(f"[^{MARK}]{MARK}", m.id_to_piece(i)) for i in range(m.get_piece_size())) and m.decode(m.encode(probe)) == probe.replace(MARK, " ") and m.encode("x", out_type=str)[0].startswith(MARK)
 
-    def _learn(self, chunks: list[str]) -> dict[str, tuple[str, int, str]]:
-        """(ids joined by commas, their number, their decoded text) for each chunk; encode() puts the first marker back itself."""
+    def _learn(self, chunks: list[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of each chunk; encode() puts the first marker back itself."""
         plain = [c for c in chunks if c != MARK]
         ids = dict(zip(plain, self.model.encode([c[1:] for c in plain], num_threads=1) if plain else [], strict=True))
-        if MARK in chunks:
+        if len(plain) < len(chunks):
             ids[MARK] = self.model.encode(f"x{MARK}")[len(self.model.encode("x")) :]
-        return {c: (",".join(map(str, v)), len(v), d) for (c, v), d in zip(ids.items(), self.model.decode(list(ids.values())) if ids else [], strict=True)}
-
-    def encode(self, text: str) -> tuple[str, int, str]:
-        if not text:
-            return "", 0, ""
-        if not self.by_chunk:
-            ids = self.model.encode(text)
-            return ",".join(map(str, ids)), len(ids), self.model.decode(ids)
-        chunks = _CHUNK.findall(MARK + text.replace(" ", MARK))
-        table = self.table
-        new = [c for c in dict.fromkeys(chunks) if c not in table]
-        if new:
-            if len(table) + len(new) > TABLE:
-                table.clear()
-                new = list(dict.fromkeys(chunks))
-            learned = self._learn(new)
-            table.update((c, v) for c, v in learned.items() if len(c) <= LONGEST)
-            found = [learned[c] if c in learned else table[c] for c in chunks]
-        else:
-            found = [table[c] for c in chunks]
-        return ",".join([x[0] for x in found]), sum([x[1] for x in found]), " ".join([x[2] for x in found])
+        number = self.numbers.__getitem__
+        return {c: tuple(map(number, v)) for c, v in ids.items()}
+
+    def _look_up(self, chunks: list[str]) -> list[tuple[int, ...]]:
+        found = list(map(self.young.get, chunks))
+        if all(found):
+            return found
+        missing = dict.fromkeys(c for c, v in zip(chunks, found, strict=True) if v is None)
+        known = {c: self.old[c] for c in missing if c in self.old}
+        known |= self._learn([c for c in missing if c not in known])
+        if len(self.young) + len(known) > TABLE:
+            self.young, self.old = {}, self.young
+        self.young.update((c, v) for c, v in known.items() if len(c) <= LONGEST)
+        return [known[c] if v is None else v for c, v in zip(chunks, found, strict=True)]
+
+    def encode(self, text: str) -> list[int]:
+        if not text or not self.by_chunk:
+            return self.model.encode(text) if text else []
+        return list(chain.from_iterable(self._look_up(_CHUNK.findall(MARK + text.replace(" ", MARK)))))
+
+    def decode(self, ids: list[int]) -> str:
+        return self.model.decode(ids) if ids else ""
+
+    def joined(self, ids: list[int]) -> str:
+        return ",".join(map(self.decimals.__getitem__, ids))
 
 
 def pieces(path: str) -> Pieces:
@@ -90,21 +101,24 @@ def with_pieces(df: DataFrame, path: str, text: str = "text", ids: str | None =
     schema = T.StructType([*keep.schema.fields, *(T.StructField(n, t) for n, t in added.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = pieces(path).encode
-        for b in batches:
-            texts = pc.fill_null(b.column(names.index(text)), "")
-            new: dict[str, list] = {n: [] for n in added}
-            for x in texts:
-                joined, n, back = encode(x.as_py())
-                new["n_tokens"].append(n)
-                if ids:
-                    new[ids].append([int(i) for i in joined.split(",")] if joined else [])
-                if decoded:
-                    new[decoded].append(back)
-                if digests:
-                    new["ids_sha256"].append(_sha256(joined))
-                    new["decoded_sha256"].append(_sha256(back))
-            kinds = {"n_tokens": pa.int64(), ids: pa.list_(pa.int32())}
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, kinds.get(k, pa.string())) for k, v in new.items())], names=[*names, *new])
+        model = pieces(path)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):  # ids are several times as large as texts: few rows are out at a time
+                b = whole.slice(at, SLICE)
+                new: dict[str, list] = {n: [] for n in added}
+                for x in b.column(names.index(text)):
+                    own = model.encode(x.as_py() or "")
+                    new["n_tokens"].append(len(own))
+                    if ids:
+                        new[ids].append(np.array(own, np.int32))
+                    if decoded or digests:
+                        back = model.decode(own)
+                    if decoded:
+                        new[decoded].append(back)
+                    if digests:
+                        new["ids_sha256"].append(_sha256(model.joined(own)))
+                        new["decoded_sha256"].append(_sha256(back))
+                kinds = {"n_tokens": pa.int64(), ids: pa.list_(pa.int32())}
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, kinds.get(k, pa.string())) for k, v in new.items())], names=[*names, *new])
 
     return shipped(keep).mapInArrow(run, schema)

@@ -16,6 +16,11 @@ def library(text):
     return ",".join(map(str, ids)), len(ids), LIB.decode(ids) if ids else ""
 
 
+def whole(model, text):
+    ids = model.encode(text)
+    return model.joined(ids), len(ids), model.decode(ids)
+
+
 def sha(s):
     return hashlib.sha256(s.encode()).hexdigest()
 
@@ -33,14 +38,14 @@ def test_query(spark, sf, docs):
 @given(st.text(alphabet="ab ▁\n\té日🙂<s>/0x\x00ﬁ", max_size=60))
 def test_any_text(text):
     assert pieces.Pieces(PATH).by_chunk
-    assert pieces.pieces(PATH).encode(text) == library(text)
+    assert whole(pieces.pieces(PATH), text) == library(text)
 
 
-def test_table_is_emptied(monkeypatch):
+def test_table_is_bounded(monkeypatch):
     monkeypatch.setattr(pieces, "TABLE", 5)
     p = pieces.Pieces(PATH)
-    for text in ["a b c d e f g", "h i j", "a a b", "", " ", "x" * 2000]:
-        assert p.encode(text) == library(text) and len(p.table) <= 12
+    for text in ["a b c d e f g", "h i j", "a a b", "", " ", "x" * 2000, "a h i  j k l m n o p", "b"] * 3:
+        assert whole(p, text) == library(text) and len(p.young) <= 12 and len(p.old) <= 12
 
 
 def test_odd_and_empty(odd, empty):
