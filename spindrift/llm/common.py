@@ -9,8 +9,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workers import shipped  # noqa: F401  what the operators use
+from .. import workers
 
+#: bytes of a batch that Spark hands to Python, unless the session says otherwise: each task holds some copies of one
+BATCH_BYTES = 8 << 20
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 #: Small tables (one row per cell, source, rule ...) are broadcast up to this many rows, else joined by shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -27,6 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def shipped(df: DataFrame) -> DataFrame:
+    """df, ready for Python workers: they get this package, and batches of a size that suits texts."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF, f"{_BATCH_DEFAULT}b") in (f"{_BATCH_DEFAULT}b", str(_BATCH_DEFAULT)):
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return workers.shipped(df)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: its lineage ends there, and lost executors cost no recomputation."""
     spark = df.sparkSession

@@ -14,11 +14,11 @@ sets. That holds for every order at once, so a pair is a candidate only when it
 Only exact steps prune: no link between different texts is lost, and there is no cap on documents, tokens or partners.
 
 Skew. Equal sets are one class and take part once. Buckets with the same members are one bucket. In a first round each bucket's
-documents are paired with its smallest one only, verified, and joined into components; so a large group of near copies costs as
-many pairs as documents. While many pairs are open, that is repeated around other documents. Then a bucket is looked at again only
-if its documents still belong to several components, and all pairs across components are compared, in square blocks of at most
-BLOCK documents a side, vectorized over bitmaps. Tokens
-that the sketch finds frequent are counted by an aggregation with map-side combine, the others by a window.
+documents are paired with its smallest one only (in large buckets with HEADS others too), verified, and joined into components; so
+a large group of near copies costs a few pairs for each document. While many pairs are open, that is repeated around other
+documents. Then a bucket is looked at again only if its documents still belong to several components, and all pairs across
+components are compared, in square blocks of at most BLOCK documents a side, vectorized over bitmaps. Tokens that the sketch finds
+frequent are counted by an aggregation with map-side combine, the others by a window.
 
 Nulls and ties: a null, empty or blank text has an empty set and links with nothing; a row without id is counted but links with
 nothing and gets a null component; rows that share an id are one document to the links. Other columns are ignored.
@@ -45,6 +45,8 @@ WIDTH, SEGMENT = 1 << 20, 1 << 16
 #: buckets whose token may stand in more documents than this take the way for hot tokens
 HOT = 50_000
 BLOCK = 512
+#: in buckets of this many documents or more, so many others are heads of a star besides the smallest
+WIDE, HEADS = 16, 3
 #: open pairs for each document from which on another round of stars comes before the exact comparison
 OPEN_PAIRS = 100
 _ORDER_SALT = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D))
@@ -364,7 +366,11 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
     # a document of one id and several texts has a profile for each
 
     buckets = materialize(_buckets(_postings(alone, levels, k, percent), bool((levels >= _hot_level(levels)).any())), "buckets")
-    star = buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    star = buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    wide = buckets.where(F.col("size") >= WIDE)
+    heads = wide.groupBy("bucket").agg(F.array(*[F.min_by("id", F.xxhash64(F.lit(-h), "id")) for h in range(1, HEADS + 1)]).alias("heads"))
+    around = wide.join(heads, "bucket").select("id", F.explode("heads").alias("head")).where("id <> head")
+    star = materialize(star.unionByName(around.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))).distinct(), "stars")
     links = _verified(_filtered(star, thin, percent), alone, k, percent)
     found = components(links)
 
@@ -376,7 +382,8 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
         parts = members.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
         mixed = materialize(parts.where("n * n > s").withColumn("open", (F.col("n") * F.col("n") - F.col("s")) / 2), "mixed")
         members = materialize(members.join(mixed.select("bucket"), "bucket", "left_semi"), "members")
-        if (mixed.agg(F.sum("open")).first()[0] or 0) <= OPEN_PAIRS * total:
+        open_pairs = mixed.agg(F.sum("open")).first()[0] or 0
+        if open_pairs <= OPEN_PAIRS * total:
             break
         done += 1
         heads = members.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(done), "id")).alias("h"))
@@ -387,11 +394,11 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
             break
         links = links.unionByName(again)
         found = components(links)
-    across = _across(members, thin, percent)
-    across = across.join(star, ["a", "b"], "left_anti")
-    more = _verified(across, alone, k, percent)
+    if open_pairs:
+        across = _across(members, thin, percent)
+        links = links.unionByName(_verified(across.join(star, ["a", "b"], "left_anti"), alone, k, percent))
     same = copies.where("id IS NOT NULL").select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    found = materialize(components(links.unionByName(more).unionByName(same)), "components")
+    found = materialize(components(links.unionByName(same)), "components")
     out = profiles.select("id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "id"), "id", "left")
     return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
