@@ -13,7 +13,9 @@ How the estimate is found over any number of rows:
   yields at most BINS rows however many texts it has, and the nearest bins that hold half of the cell's rows give the next
   estimate. The half is rounded up to a whole bin. No row is sampled or left out.
 * The start with the smaller determinant wins, then one reweighting step over the rows within the REWEIGHT quantile.
-* The variances have floors: statistics that are zero for most texts would otherwise make any other value infinitely far.
+* The variances have floors that only keep a covariance from being singular where most texts have a statistic at zero. What a
+  text's length leaves to chance is added for each text when it is judged: the sampling variance of each of its statistics. A short
+  text with one repeated line or phrase therefore stays, and a long one that repeats itself is far away.
 
 Nulls: a null text has no words; null lang or source is a value of its own. Empty tables give empty results. Repeated rows each
 count. Input columns with the names of added columns are replaced.
@@ -37,7 +39,10 @@ from .textbytes import _SPACE, _SYMBOL, blocks, windows
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: log mean word length; arcsine of the root of the symbol, repeated-line and repeated-word shares
 DIMS = 4
-FLOORS = (0.12, 0.12, 0.20, 0.20)
+FLOORS = (0.05, 0.05, 0.05, 0.05)
+#: Sampling variance of each: the first number by the count. Word lengths spread by about half their mean; the arcsine of the root
+#: of a share of n has 1 / 4n; repeated words come six at a time, the three of a trigram in two places.
+SAMPLING = ((0.25, "n_words"), (0.25, "word_chars"), (0.25, "n_lines"), (1.5, "n_words"))
 MIN_CELL = 100
 STEPS = 5
 BINS_PER_OCTAVE = 8
@@ -115,6 +120,24 @@ def distance(x: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, [F.col(f"p{i}{j}") * d[i] * d[j] * (1.0 if i == j else 2.0) for i, j in UPPER])
 
 
+def with_distance(df: DataFrame, x: list[Column]) -> DataFrame:
+    """df (columns of MODEL and counts) with distance: as distance(), the row's sampling variances added to the covariance.
+
+    A variance v added to coordinate j takes v e_j^2 / (1 + v p_jj) off the squared distance, where e is the inverse covariance times
+    the difference; the rest of e and of the inverse follow by the same rank-one step (Sherman and Morrison), coordinate by coordinate.
+    """
+    p = lambda i, j: F.col(f"p{min(i, j)}{max(i, j)}")
+    e = lambda i: F.col(f"m{i}")
+    df = df.withColumns({f"m{i}": x[i] - e(i) for i in range(DIMS)})
+    df = df.withColumns({"distance": reduce(lambda a, b: a + b, [p(i, j) * e(i) * e(j) * (1.0 if i == j else 2.0) for i, j in UPPER])} | {f"m{i}": reduce(lambda a, b: a + b, [p(i, j) * e(j) for j in range(DIMS)]) for i in range(DIMS)})
+    for j, (v, count) in enumerate(SAMPLING):
+        v = F.lit(v) / F.greatest(F.col(count), F.lit(1))
+        k = v / (1 + v * p(j, j))
+        rest = range(j + 1, DIMS)
+        df = df.withColumns({"distance": F.col("distance") - k * e(j) * e(j)} | {f"m{i}": e(i) - k * p(i, j) * e(j) for i in rest} | {f"p{i}{n}": p(i, n) - k * p(i, j) * p(j, n) for i in rest for n in rest if i <= n})
+    return df
+
+
 def _model(mean: np.ndarray, cov: np.ndarray, scale: float) -> dict[str, float]:
     cov = cov * scale + np.diag(np.square(FLOORS))
     inverse = np.linalg.inv(cov)
@@ -203,8 +226,7 @@ def judge(counted: DataFrame, cell_of: DataFrame, models: DataFrame) -> DataFram
     """counted (with_counts) with base_failed, distance (null: no estimate) and kept."""
     model_of = cell_of.join(models, "cell", "inner").select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), *MODEL)
     both = join_small(without(counted, *MODEL, "lang_", "source_", "base_failed", "distance", "kept"), model_of, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")), "left")
-    far = distance(vector())
-    return both.withColumn("base_failed", base_failed()).withColumn("distance", far).drop("lang_", "source_", *MODEL).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
+    return with_distance(both, vector()).withColumn("base_failed", base_failed()).drop("lang_", "source_", *MODEL).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
 
 
 def quality(df: DataFrame, text: str = "text") -> DataFrame:

@@ -76,6 +76,40 @@ def test_estimate_and_outliers(spark):
     assert far[:60].all() and far[60:].mean() < 0.02
 
 
+def test_length_sets_what_is_far(spark):
+    """Symbols and repeated words reject a text by themselves; a short text with one repeated line or phrase stays."""
+    from pyspark.sql import functions as F
+
+    words = lambda i, n, a=0: " ".join(f"word{chr(97 + (i * 7 + j * 3) % 26)}{i}x{j + a}" for j in range(n))
+    lines = lambda i, n, m: [words(i, m, a * m) for a in range(n)]
+    rows = [(i, "\n".join(lines(i, 6, 20))) for i in range(150)]
+    junk = " | ".join(words(500 + j, 1) for j in range(200))
+    half = lines(600, 30, 20)
+    rows += [(1000, junk), (1001, "\n".join(half + [f"{x} and" for x in half[:10]])), (1002, "\n".join([*lines(700, 3, 20), "one line", "one line"]))]
+    got = {r.doc_id: r for r in Q.quality(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})).collect()}
+    assert 0.07 < got[1000].n_symbols / got[1000].word_chars < 0.15
+    assert 0.4 < got[1001].n_repeat_words / got[1001].n_words < 0.5 and got[1001].n_dup_lines == 0
+    assert not any(got[i].base_failed or got[i].kept for i in (1000, 1001))
+    assert got[1002].n_dup_lines == 1 and all(r.kept for i, r in got.items() if i not in (1000, 1001))
+
+
+def test_sampling_variances(spark):
+    g = np.random.Generator(np.random.PCG64(6))
+    a = g.normal(0, 0.1, (4, 4))
+    cov, mean, x = a @ a.T + np.diag(np.square(Q.FLOORS)), g.normal(0, 1, 4), g.normal(0, 1, (20, 4))
+    n = g.integers(0, 300, (20, 3))
+    p = np.linalg.inv(cov)
+    from pyspark.sql import functions as F
+
+    model = {f"m{i}": F.lit(float(mean[i])) for i in range(4)} | {f"p{i}{j}": F.lit(float(p[i, j])) for i, j in Q.UPPER}
+    df = spark.createDataFrame([(*map(float, r), *map(int, c)) for r, c in zip(x, n, strict=True)], ", ".join(f"{c} double" for c in Q.X) + ", n_words long, word_chars long, n_lines long").withColumns(model)
+    got = Q.with_distance(df, [F.col(c) for c in Q.X]).toPandas()["distance"].to_numpy()
+    at = {"n_words": 0, "word_chars": 1, "n_lines": 2}
+    for r, c, d in zip(x, n, got, strict=True):
+        noise = np.diag([v / max(1, c[at[k]]) for v, k in Q.SAMPLING])
+        assert np.isclose(d, (r - mean) @ np.linalg.inv(cov + noise) @ (r - mean), rtol=1e-9)
+
+
 def test_odd_and_empty(odd, empty):
     got = Q.quality(odd).collect()
     assert len(got) == odd.count() and not any(r.kept and r.base_failed for r in got)
