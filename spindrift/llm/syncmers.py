@@ -5,9 +5,9 @@ too. A k-mer is K tokens in a row, its inner substrings are S tokens in a row. A
 inner substrings is that of the first or of the last: a choice that looks at nothing but the k-mer itself. The same passage
 therefore yields the same anchors wherever it stands, and edits elsewhere leave them as they are.
 
-fingerprint: the 32-bit hashes of the anchors in order of their positions, 8 hex digits each. In a text of 1 to K - 1 tokens
-each token is an anchor; a null, empty or blank text has none and the fingerprint ''. Likeness is the Jaccard similarity
-of the sets of anchors; two fingerprints without anchors are alike (1.0). Equal texts have equal fingerprints.
+fingerprint: the 32-bit hashes of the anchors in order of their positions, 8 hex digits each. In a text without any
+such k-mer (1 to K - 1 tokens, or a few more) each token is an anchor; only a null, empty or blank text has none and the
+fingerprint ''. Likeness is the Jaccard similarity of the sets of anchors; two texts without anchors, so both blank, are alike (1.0). Equal texts have equal fingerprints.
 
 next_document pairs every row with the next one in ascending id without a global sort or window. Ties: rows that share an id
 follow each other in the order of their texts; a row without id has no next document (an empty text stands in) and is none.
@@ -44,8 +44,9 @@ def anchors(df: DataFrame, text: str, out: str, positions: str | None = None) ->
     whole = lambda i: F.xxhash64(*[F.get(inner, i + j) for j in parts], *[F.get(hashes, i + j) for j in range(parts[-1] + S, K)])
     low = lambda h: F.shiftright(h, 32).cast("int")
     few = F.transform(hashes, low)
-    found = F.when(F.size(hashes) >= K, F.transform(at, lambda i: low(whole(i)))).otherwise(few)
-    more = [F.when(F.size(hashes) >= K, at).otherwise(F.transform(few, lambda x, i: i)).alias(positions)] if positions else []
+    some = F.size(at) > 0
+    found = F.when(some, F.transform(at, lambda i: low(whole(i)))).otherwise(few)
+    more = [F.when(some, at).otherwise(F.transform(few, lambda x, i: i)).alias(positions)] if positions else []
     return df.select(*keep, found.alias(out), *more)
 
 

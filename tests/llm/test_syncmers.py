@@ -31,6 +31,20 @@ def test_choice_is_by_definition(spark, docs):
             assert len(r.a) == i.n
 
 
+def test_short_texts_have_anchors(spark):
+    """A text of 8 tokens or a few more may have no closed syncmer; its tokens stand in, so that unrelated texts aren't alike."""
+    rows = [(i, " ".join(f"{chr(97 + j)}{i}" for j in range(8 + i % 5))) for i in range(100)]
+    a = S.anchors(spark.createDataFrame(rows, "doc_id long, text string"), "text", "a", "pos")
+    n = F.size(F.split("text", " "))
+    assert a.where(F.size("a") == n).count() > 10  # those without a closed syncmer
+    got = a.select("*", S.fingerprint(F.col("a")).alias("f")).collect()
+    assert all(len(r.a) == len(r.pos) > 0 for r in got) and len({r.f for r in got}) == 100
+    pairs = a.alias("x").join(a.alias("y"), F.col("x.doc_id") < F.col("y.doc_id"))
+    assert pairs.where(S.likeness(F.col("x.a"), F.col("y.a")) > 0).count() == 0
+    blank = spark.createDataFrame([(None,), ("",), (" \t\n",)], "text string")
+    assert [r.a for r in S.anchors(blank, "text", "a").collect()] == [[]] * 3
+
+
 def test_context_free(spark):
     passage = " ".join(f"w{i * 7 % 101}" for i in range(60))
     df = spark.createDataFrame([(1, f"some words before {passage} and after"), (2, f"quite another beginning of it {passage}")], "doc_id long, text string")
