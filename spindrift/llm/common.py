@@ -68,11 +68,12 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
-def derived(df: DataFrame, text: str, fields: Sequence[T.StructField], start: Callable[[], Callable[[pa.Array], Sequence]]) -> DataFrame:
+def derived(df: DataFrame, text: str, fields: Sequence[T.StructField], start: Callable[[], Callable[[pa.Array], Sequence]], into: str | None = None) -> DataFrame:
     """df with columns that Python derives from one text column, in Arrow batches; null texts come as empty ones.
 
     Only the texts go to Python and only what is derived comes back: the other columns stay in the JVM. start() is called once for
-    each task and gives the function from the texts of a batch to one array or list for each field. Columns of these names are replaced.
+    each task and gives the function from the texts of a batch to one array or list for each field. Columns of these names are replaced;
+    with `into`, all that is new is one struct column of that name.
     """
     names = [f.name for f in fields]
     kinds = {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.BooleanType(): pa.bool_(), T.ArrayType(T.IntegerType()): pa.list_(pa.int32())}
@@ -84,9 +85,11 @@ def derived(df: DataFrame, text: str, fields: Sequence[T.StructField], start: Ca
             made = work(pc.fill_null(texts, ""))
             yield pa.StructArray.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, kinds[f.dataType]) for v, f in zip(made, fields, strict=True)], names=names)
 
-    made = fresh([*df.columns, *names], "made")
+    made = into or fresh([*df.columns, *names], "made")
     # not deterministic to the optimizer: a filter on what is derived must not derive it twice
     whole = shipped(df).withColumn(made, run.asNondeterministic()(F.col(f"`{text}`")))
+    if into:
+        return whole
     low = {n.lower() for n in names}
     return whole.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low], *[F.col(f"`{made}`.`{n}`") for n in names])
 

@@ -1,30 +1,37 @@
 """Quality rules: base counts of each text, and robust multivariate outliers per language and source.
 
-The base rules look at one text. The method compares a text with its peers: the transformed statistic vector of every text that
-passes the base rules enters a minimum-covariance-determinant (MCD) estimate of its cell, and a text is rejected when its
-squared Mahalanobis distance from that estimate exceeds a chi-square quantile.
+The base rules look at one text. The method compares a text with its peers. Every text that passes the base rules has a vector of
+four transformed statistics that vary from text to text, whatever the corpus: the log of the mean word length, the share of
+punctuation and symbols, the share of distinct words within stretches of 50 words (arcsine of the root of either), and the log of
+the share of distinct words in the whole text. The last depends on a text's length, so all four are taken given length: as
+residuals from a polynomial in the log of the number of words. Length by itself is no fault.
+
+A minimum-covariance-determinant (MCD) estimate of location, slopes and covariance (with regressors: the multivariate least
+trimmed squares of Agullo, Croux and Van Aelst, 2008) is found for each (lang, source), and a text is rejected when the squared
+Mahalanobis distance of its residuals exceeds a chi-square quantile.
 
 How the estimate is found over any number of rows:
 
-* A cell is a (lang, source) pair with MIN_CELL rows or more; the smaller pairs of one language are pooled, and what is left over
-  from small languages is pooled once more. A last pool under MIN_CELL rows gives no verdict: its rows are kept.
-* Two deterministic starts (median and MAD; mean and variance) are refined by concentration steps. Each step is one aggregation
-  with map-side combine: rows are counted and their moments summed by cell and by a logarithmic bin of the distance, so a cell
-  yields at most BINS rows however many texts it has, and the nearest bins that hold half of the cell's rows give the next
+* Two starts (median and MAD; all rows) are refined by concentration steps, each as long as its determinant falls by TOLERANCE. Each step is one
+  aggregation with map-side combine: rows are counted and their moments summed by cell and by a logarithmic bin of the distance, so
+  a cell yields at most BINS rows however many texts it has, and the nearest bins that hold half of the cell's rows give the next
   estimate. The half is rounded up to a whole bin. No row is sampled or left out.
-* The start with the smaller determinant wins, then one reweighting step over the rows within the REWEIGHT quantile.
-* The variances have floors that only keep a covariance from being singular where most texts have a statistic at zero. What a
-  text's length leaves to chance is added for each text when it is judged: the sampling variance of each of its statistics. A short
-  text with one repeated line or phrase therefore stays, and a long one that repeats itself is far away.
+* The estimate with the smallest determinant wins, then one reweighting step over the rows within the REWEIGHT quantile.
+* Cells of any size are handled alike: to the moments of a cell come those of SHRINK more rows that are like the cell's language, to
+  a language's those of SHRINK rows like the whole table. A large cell speaks for itself, a cell of one row for its language.
+* What a text's length leaves to chance is added to the covariance when the text is judged: the sampling variance of each of its
+  statistics. GUARD only keeps a covariance regular where all texts are alike; it is a hundredth of what prose shows or less.
 
 Nulls: a null text has no words; null lang or source is a value of its own. Empty tables give empty results. Repeated rows each
-count. Input columns with the names of added columns are replaced.
+count. quality() and quality_table() replace input columns that have the names of the columns they add; kept_rows() adds none, and
+hands every input column on as it is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from math import exp, factorial
 
 import numpy as np
 import pandas as pd
@@ -33,42 +40,61 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_small, materialize, shipped, without
+from .common import derived, fresh, join_small, materialize, shipped, without
 from .textbytes import _SPACE, _SYMBOL, blocks, windows
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: log mean word length; arcsine of the root of the symbol, repeated-line and repeated-word shares
-DIMS = 4
-FLOORS = (0.05, 0.05, 0.05, 0.05)
-#: Sampling variance of each: the first number by the count. Word lengths spread by about half their mean; the arcsine of the root
-#: of a share of n has 1 / 4n; repeated words come six at a time, the three of a trigram in two places.
-SAMPLING = ((0.25, "n_words"), (0.25, "word_chars"), (0.25, "n_lines"), (1.5, "n_words"))
-MIN_CELL = 100
-STEPS = 5
+#: what else the vector is made from: non-alphanumeric ASCII signs, distinct words of the text, and the sum of those of each stretch
+MORE = ("n_punct", "n_distinct", "stretch_distinct")
+STRETCH = 50
+DIMS, TERMS = 4, 3  # statistics; intercept and powers of centred log length
+MIDDLE_LENGTH = 6.0
+SHRINK = 50.0
+GUARD = 1e-3
+TOLERANCE, MOST_STEPS = 0.05, 50
 BINS_PER_OCTAVE = 8
-BINS = (-80, 240)
-#: chi-square quantiles for 4 degrees of freedom: 0.975 and 0.9999
-REWEIGHT, CUTOFF = 11.143, 23.513
+BINS = (-160, 240)
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: chi-square quantiles for DIMS degrees of freedom: 0.5, 0.975 and 0.9999
+HALF, REWEIGHT, CUTOFF = 3.357, 11.143, 23.513
+
+
+def _chi2(q: float, even: int) -> float:
+    return 1 - exp(-q / 2) * sum((q / 2) ** i / factorial(i) for i in range(even // 2))
+
+
+#: the covariance of the inner half, and of the rows within REWEIGHT, of a normal cloud falls short by these factors
+HALF_SCALE, REWEIGHT_SCALE = (_chi2(q, DIMS) / _chi2(q, DIMS + 2) for q in (HALF, REWEIGHT))
+
+_PUNCT = np.array([c < 128 and not chr(c).isalnum() and not _SPACE[c] for c in range(256)])
+
+
+def _distinct(sorted_rows: np.ndarray) -> int:
+    """Distinct values of each row, added up."""
+    return int(sorted_rows.size - (sorted_rows[..., 1:] == sorted_rows[..., :-1]).sum())
 
 
 def count_texts(texts: pa.Array) -> dict[str, np.ndarray]:
-    """The five counts, and n_lines, the lines that have a word, for each text of an Arrow array."""
-    out = {c: np.zeros(len(texts), np.int64) for c in (*COUNTS, "n_lines")}
+    """COUNTS and MORE for each text of an Arrow array."""
+    out = {c: np.zeros(len(texts), np.int64) for c in (*COUNTS, *MORE)}
     for b in blocks(texts):
         rows = slice(b.first, b.first + b.n)
         hashes, bounds = b.words()
         out["n_words"][rows] = np.diff(bounds)
         out["word_chars"][rows] = b.code_points(~_SPACE[b.data])
         out["n_symbols"][rows] = b.per_text(_SYMBOL[b.data])
+        out["n_punct"][rows] = b.per_text(_PUNCT[b.data])
         lines, has_word, line_bounds = b.lines()
         tri = windows(hashes, 3, 3)
         for t in range(b.n):
             lo, hi = bounds[t], bounds[t + 1]
             own = lines[line_bounds[t] : line_bounds[t + 1]][has_word[line_bounds[t] : line_bounds[t + 1]]]
-            out["n_lines"][b.first + t] = len(own)
             if len(own) > 1:
                 out["n_dup_lines"][b.first + t] = len(own) - len(np.unique(own))
+            words = hashes[lo:hi]
+            whole = len(words) // STRETCH * STRETCH
+            out["stretch_distinct"][b.first + t] = _distinct(np.sort(words[:whole].reshape(-1, STRETCH), axis=1))
+            out["n_distinct"][b.first + t] = _distinct(np.sort(words))
             if hi - lo > 3:
                 own = tri[lo : hi - 2]
                 order = np.argsort(own)
@@ -82,168 +108,213 @@ def count_texts(texts: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the counts added, in one pass over the texts in Arrow batches."""
-    keep = without(df, *COUNTS, "n_lines")
-    schema = T.StructType([*keep.schema.fields, *(T.StructField(c, T.LongType()) for c in (*COUNTS, "n_lines"))])
-    names = keep.columns
+def with_counts(df: DataFrame, text: str = "text", into: str | None = None) -> DataFrame:
+    """df with COUNTS and MORE added, as columns or as one struct column `into`."""
+    return derived(df, text, [T.StructField(c, T.LongType()) for c in (*COUNTS, *MORE)], lambda: lambda texts: [pa.array(v) for v in count_texts(texts).values()], into)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts = count_texts(b.column(names.index(text)))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v) for v in counts.values())], names=[*names, *counts])
 
-    return shipped(keep).mapInArrow(run, schema)
+Get = Callable[[str], Column]
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
+def base_failed(get: Get = F.col) -> Column:
+    return (get("n_words") < MIN_WORDS) | (get("n_repeat_words") * 100 > get("n_words") * MAX_REPEAT_PERCENT)
 
 
-def vector() -> list[Column]:
-    """The transformed statistics; texts without words or lines count as all zero."""
+def vector(get: Get = F.col) -> tuple[list[Column], list[Column], list[Column]]:
+    """(terms of length, statistics, their sampling variances). Word lengths spread by about half their mean, the arcsine of the root
+    of a share of n has 1 / 4n, and the log of the number of distinct words the difference of two reciprocals."""
+    least = lambda c: F.greatest(get(c), F.lit(1))
+    n, chars = least("n_words"), least("word_chars")
+    share = lambda a, b: F.asin(F.sqrt(F.least(F.lit(1.0), a / b)))
+    stretches = F.greatest(F.floor(get("n_words") / STRETCH) * STRETCH, F.lit(1))
+    length = F.log(n) - MIDDLE_LENGTH
+    x = [F.log(chars / n), share(get("n_punct"), chars), share(get("stretch_distinct"), stretches), F.log(least("n_distinct") / n)]
+    return [length, length * length], x, [0.25 / n, 0.25 / chars, 0.25 / stretches, 1 / least("n_distinct") - 1 / n]
 
-    def share(a: str, b: str) -> Column:
-        return F.asin(F.sqrt(F.least(F.lit(1.0), F.col(a) / F.greatest(F.col(b), F.lit(1)))))
 
-    return [F.log(F.greatest(F.col("word_chars"), F.lit(1)) / F.greatest(F.col("n_words"), F.lit(1))), share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")]
+V = ["z1", "z2", *(f"x{j}" for j in range(DIMS))]
+UPPER = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
+#: what an estimate consists of: intercepts and slopes of each statistic, and the inverse covariance
+MODEL = [f"{t}{j}" for t in "abc" for j in range(DIMS)] + [f"p{i}{j}" for i, j in UPPER]
+#: the moments it is made from: averages of the products of 1 and V
+MOMENTS = [(i, j) for i in range(len(V) + 1) for j in range(i, len(V) + 1)]
 
 
-UPPER = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
-X = [f"x{i}" for i in range(DIMS)]
-MODEL = [f"m{i}" for i in range(DIMS)] + [f"p{i}{j}" for i, j in UPPER]
+def residuals(z: Sequence[Column], x: Sequence[Column], model: Get) -> list[Column]:
+    return [x[j] - model(f"a{j}") - model(f"b{j}") * z[0] - model(f"c{j}") * z[1] for j in range(DIMS)]
 
 
-def distance(x: list[Column]) -> Column:
-    """Squared Mahalanobis distance from the columns of MODEL: centre m, inverse covariance p."""
-    d = [x[i] - F.col(f"m{i}") for i in range(DIMS)]
-    return reduce(lambda a, b: a + b, [F.col(f"p{i}{j}") * d[i] * d[j] * (1.0 if i == j else 2.0) for i, j in UPPER])
+def distance(z: Sequence[Column], x: Sequence[Column], model: Get) -> Column:
+    """Squared Mahalanobis distance of the residuals."""
+    d = residuals(z, x, model)
+    return reduce(lambda a, b: a + b, [model(f"p{i}{j}") * d[i] * d[j] * (1.0 if i == j else 2.0) for i, j in UPPER])
 
 
-def with_distance(df: DataFrame, x: list[Column]) -> DataFrame:
-    """df (columns of MODEL and counts) with distance: as distance(), the row's sampling variances added to the covariance.
+def with_distance(df: DataFrame, out: str, z: Sequence[Column], x: Sequence[Column], noise: Sequence[Column], model: Get) -> DataFrame:
+    """df with `out`: as distance(), each row's sampling variances added to the covariance.
 
     A variance v added to coordinate j takes v e_j^2 / (1 + v p_jj) off the squared distance, where e is the inverse covariance times
-    the difference; the rest of e and of the inverse follow by the same rank-one step (Sherman and Morrison), coordinate by coordinate.
+    the residuals; the rest of e and of the inverse follow by the same rank-one step (Sherman and Morrison), coordinate by coordinate.
     """
-    p = lambda i, j: F.col(f"p{min(i, j)}{max(i, j)}")
-    e = lambda i: F.col(f"m{i}")
-    df = df.withColumns({f"m{i}": x[i] - e(i) for i in range(DIMS)})
-    df = df.withColumns({"distance": reduce(lambda a, b: a + b, [p(i, j) * e(i) * e(j) * (1.0 if i == j else 2.0) for i, j in UPPER])} | {f"m{i}": reduce(lambda a, b: a + b, [p(i, j) * e(j) for j in range(DIMS)]) for i in range(DIMS)})
-    for j, (v, count) in enumerate(SAMPLING):
-        v = F.lit(v) / F.greatest(F.col(count), F.lit(1))
-        k = v / (1 + v * p(j, j))
+    keep = [F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()]
+    name = {k: fresh(df.columns, f"q_{k}") for k in [*(f"e{j}" for j in range(DIMS)), *(f"v{j}" for j in range(DIMS)), *(f"p{i}{j}" for i, j in UPPER), "d"]}
+    get = lambda k: F.col(f"`{name[k]}`")
+    e = lambda j: get(f"e{j}")
+    p = lambda i, j: get(f"p{min(i, j)}{max(i, j)}")
+    put = lambda cols: {name[k]: c for k, c in cols.items()}
+    df = df.withColumns(put({f"e{j}": r for j, r in enumerate(residuals(z, x, model))} | {f"v{j}": v for j, v in enumerate(noise)} | {f"p{i}{j}": model(f"p{i}{j}") for i, j in UPPER}))
+    df = df.withColumns(put({"d": reduce(lambda a, b: a + b, [p(i, j) * e(i) * e(j) * (1.0 if i == j else 2.0) for i, j in UPPER])} | {f"e{i}": reduce(lambda a, b: a + b, [p(i, j) * e(j) for j in range(DIMS)]) for i in range(DIMS)}))
+    for j in range(DIMS):
+        k = get(f"v{j}") / (1 + get(f"v{j}") * p(j, j))
         rest = range(j + 1, DIMS)
-        df = df.withColumns({"distance": F.col("distance") - k * e(j) * e(j)} | {f"m{i}": e(i) - k * p(i, j) * e(j) for i in rest} | {f"p{i}{n}": p(i, n) - k * p(i, j) * p(j, n) for i in rest for n in rest if i <= n})
-    return df
-
+        df = df.withColumns(put({"d": get("d") - k * e(j) * e(j)} | {f"e{i}": e(i) - k * p(i, j) * e(j) for i in rest} | {f"p{i}{n}": p(i, n) - k * p(i, j) * p(j, n) for i in rest for n in rest if i <= n}))
+    return df.select(*keep, get("d").alias(out))
 
-def _model(mean: np.ndarray, cov: np.ndarray, scale: float) -> dict[str, float]:
-    cov = cov * scale + np.diag(np.square(FLOORS))
-    inverse = np.linalg.inv(cov)
-    return dict(zip(MODEL, [*mean, *(inverse[i, j] for i, j in UPPER)], strict=True)) | {"logdet": float(np.linalg.slogdet(cov)[1])}
 
+def estimates(average: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """(values of MODEL, log determinant) for each row of average moments."""
+    full = np.empty((len(average), len(V) + 1, len(V) + 1))
+    for k, (i, j) in enumerate(MOMENTS):
+        full[:, i, j] = full[:, j, i] = average[:, k]
+    zz, zx, xx = full[:, :TERMS, :TERMS], full[:, :TERMS, TERMS:], full[:, TERMS:, TERMS:]
+    coef = np.linalg.solve(zz + np.diag([0] + [1e-8] * (TERMS - 1)), zx)  # the ridge is for tables whose texts are all as long
+    back = coef.transpose(0, 2, 1)
+    scatter = (xx - back @ zx - zx.transpose(0, 2, 1) @ coef + back @ zz @ coef) * scale
+    eigen = np.maximum(np.linalg.eigvalsh(scatter), 1e-12)
+    inverse = np.linalg.inv(scatter + GUARD**2 * np.eye(DIMS))
+    return np.concatenate([coef.reshape(len(average), -1), np.stack([inverse[:, i, j] for i, j in UPPER], axis=1)], axis=1), np.log(eigen).sum(axis=1)
 
-def _moments(rows: pd.DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
-    n = float(rows["n"].sum())
-    mean = np.array([rows[f"s{i}"].sum() for i in range(DIMS)]) / n
-    second = np.zeros((DIMS, DIMS))
-    for i, j in UPPER:
-        second[i, j] = second[j, i] = rows[f"s{i}{j}"].sum() / n
-    return n, mean, second - np.outer(mean, mean)
 
+def tag(*of: str) -> Column:
+    """The name of a cell: (), (lang) or (lang, source)."""
+    return F.to_json(F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in of])) if of else F.lit("[]")
 
-def _sums() -> list[Column]:
-    return [F.count("*").alias("n"), *(F.sum(X[i]).alias(f"s{i}") for i in range(DIMS)), *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s{i}{j}") for i, j in UPPER)]
 
+_MODEL_KIND = ", ".join(f"{c}: double" for c in MODEL)
+_MODEL_SCHEMA = f"cell string, start int, logdet double, model struct<{_MODEL_KIND}>"
 
-_MODEL_SCHEMA = "cell string, start int, " + ", ".join(f"{c} double" for c in [*MODEL, "logdet"])
-#: the covariance of the inner half, and of the rows within REWEIGHT, of a normal cloud in 4 dimensions falls short by these factors
-_HALF_SCALE, _REWEIGHT_SCALE = 2.44, 1.11
 
+def _moments() -> list[Column]:
+    v = [F.lit(1.0), *map(F.col, V)]
+    return [F.sum(v[i] * v[j]).alias(f"s{k}") for k, (i, j) in enumerate(MOMENTS)]
 
-def cells(vectors: DataFrame) -> DataFrame:
-    """(lang, source, cell): the cell of each pair; null where too few rows are left for any estimate."""
-    sizes = vectors.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    small = F.col("n") < MIN_CELL
-    by_lang = Window.partitionBy("lang", "small")
-    rest = Window.partitionBy("lost")
-    sizes = sizes.withColumn("small", small).withColumn("pool", F.sum("n").over(by_lang)).withColumn("lost", F.col("small") & (F.col("pool") < MIN_CELL)).withColumn("left_over", F.sum("n").over(rest))
-    tag = lambda *c: F.to_json(F.array(*[F.coalesce(x, F.lit("\u0000")) for x in c]))
-    lang, source = F.col("lang").cast("string"), F.col("source").cast("string")
-    cell = F.when(~F.col("small"), tag(lang, source)).when(~F.col("lost"), tag(lang)).when(F.col("left_over") >= MIN_CELL, F.lit("[]"))
-    return sizes.select("lang", "source", cell.alias("cell"))
 
+def _models(sums: DataFrame, every: DataFrame, tree: DataFrame, scale: float) -> DataFrame:
+    """Estimates from (cell, start, s: sums of moments), each cell drawn towards the cell above it, and that towards the one above; every has the sums of those."""
+    up = lambda k: every.select(F.col("cell").alias(f"up{k}"), "start", F.col("s").alias(f"s{k}"))
+    both = sums.join(tree, "cell").join(up(1), ["up1", "start"], "left").join(up(2), ["up2", "start"], "left")
 
-def fit(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cells, models) for a table of lang, source, x0..x3: one estimate for each cell."""
-    cell_of = materialize(cells(vectors), "cells")
-    # the hot cells stay spread: the join is against a small table, everything after it is combined before it is shuffled
-    rows = join_small(vectors.select("lang", "source", *X), cell_of.select(F.col("lang").alias("l_"), F.col("source").alias("s_"), "cell"), F.col("lang").eqNullSafe(F.col("l_")) & F.col("source").eqNullSafe(F.col("s_")))
-    rows = materialize(rows.where("cell IS NOT NULL").select("cell", *X), "vectors")
-
-    middle = materialize(rows.groupBy("cell").agg(*[F.percentile_approx(x, F.lit(0.5), F.lit(2000)).alias(f"c{x}") for x in X]), "middle")
-    spread = join_small(rows, middle, "cell").groupBy("cell").agg(*[F.first(f"c{x}").alias(f"c{x}") for x in X], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"c{x}")), F.lit(0.5), F.lit(2000)).alias(f"d{x}") for x in X], *_sums())
-
-    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for _, r in b.iterrows():
-                _, mean, cov = _moments(r.to_frame().T)
-                robust = np.array([r[f"c{x}"] for x in X], float), np.diag([(1.4826 * r[f"d{x}"]) ** 2 for x in X])
-                out += [{"cell": r["cell"], "start": 0} | _model(*robust, 1.0), {"cell": r["cell"], "start": 1} | _model(mean, np.diag(np.diag(cov)), 1.0)]
-            yield pd.DataFrame(out, columns=["cell", "start", *MODEL, "logdet"])
-
-    models = materialize(spread.mapInPandas(begin, _MODEL_SCHEMA), "models")
-
-    def binned(models: DataFrame) -> DataFrame:
-        d = F.floor(F.log2(F.greatest(distance([F.col(x) for x in X]), F.lit(1e-9))) * BINS_PER_OCTAVE)
-        return join_small(rows, models, "cell").groupBy("cell", "start", F.least(F.greatest(d, F.lit(BINS[0])), F.lit(BINS[1])).alias("bin")).agg(*_sums())
-
-    def half(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("bin")
-        below = b["n"].cumsum() - b["n"]
-        n, mean, cov = _moments(b[below < (b["n"].sum() + DIMS + 1) // 2])
-        return pd.DataFrame([{"cell": b["cell"].iloc[0], "start": int(b["start"].iloc[0])} | _model(mean, cov, _HALF_SCALE)])[["cell", "start", *MODEL, "logdet"]]
-
-    for _ in range(STEPS):
-        models = materialize(binned(models).groupBy("cell", "start").applyInPandas(half, _MODEL_SCHEMA), "models")
-    best = models.groupBy("cell").agg(F.min_by(F.struct("start", *MODEL, "logdet"), F.struct("logdet", "start")).alias("b")).select("cell", "b.*")
-    inner = join_small(rows, best, "cell").where(distance([F.col(x) for x in X]) <= REWEIGHT).groupBy("cell").agg(*_sums())
-
-    def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for _, r in b.iterrows():
-                _, mean, cov = _moments(r.to_frame().T)
-                out.append({"cell": r["cell"], "start": 0} | _model(mean, cov, _REWEIGHT_SCALE))
-            yield pd.DataFrame(out, columns=["cell", "start", *MODEL, "logdet"])
-
-    return cell_of, materialize(inner.mapInPandas(last, _MODEL_SCHEMA).select("cell", *MODEL), "models")
-
-
-def judge(counted: DataFrame, cell_of: DataFrame, models: DataFrame) -> DataFrame:
-    """counted (with_counts) with base_failed, distance (null: no estimate) and kept."""
-    model_of = cell_of.join(models, "cell", "inner").select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), *MODEL)
-    both = join_small(without(counted, *MODEL, "lang_", "source_", "base_failed", "distance", "kept"), model_of, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")), "left")
-    return with_distance(both, vector()).withColumn("base_failed", base_failed()).drop("lang_", "source_", *MODEL).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
+            if not len(b):
+                continue
+            average = None
+            for c in ("s2", "s1", "s"):  # from the whole table down; column 0 is the count
+                missing = b[c].isna().to_numpy()
+                own = np.stack([np.zeros(len(MOMENTS)) if m else np.asarray(s) for s, m in zip(b[c], missing, strict=True)])
+                prior = np.zeros_like(own) if average is None else average
+                weight = np.where(prior[:, :1] > 0, SHRINK, 0.0)
+                total = own + weight * prior
+                average = np.where(total[:, :1] > 0, total / np.maximum(total[:, :1], 1e-300), prior)
+            values, logdet = estimates(average, scale)
+            yield pd.DataFrame({"cell": b["cell"], "start": b["start"], "logdet": logdet, "model": [dict(zip(MODEL, map(float, v), strict=True)) for v in values]})
+
+    return materialize(shipped(both.select("cell", "start", "s", "s1", "s2")).mapInPandas(run, _MODEL_SCHEMA), "models")
+
+
+def fit(vectors: DataFrame) -> DataFrame:
+    """(cell, model) for each (lang, source) of a table of lang, source and V. Cells are named by tag()."""
+    rows = materialize(vectors.select(tag("lang", "source").alias("own"), tag("lang").alias("lang"), *V), "vectors")
+    names = rows.select("own", "lang").distinct()
+    tree = names.select(F.col("own").alias("cell"), F.col("lang").alias("up1"), F.lit("[]").alias("up2")).unionByName(names.select(F.col("lang").alias("cell"), F.lit("[]").alias("up1"), F.lit(None).cast("string").alias("up2")).distinct())
+    tree = materialize(tree.unionByName(names.limit(1).select(F.lit("[]").alias("cell"), F.lit(None).cast("string").alias("up1"), F.lit(None).cast("string").alias("up2"))), "tree")
+    every = rows.select(F.explode(F.array("own", "lang", F.lit("[]"))).alias("cell"), *V)  # a row speaks for its cell, its language and all
+    z, x = [F.col(c) for c in V[: TERMS - 1]], [F.col(c) for c in V[TERMS - 1 :]]
+
+    # start 0: medians and MADs, which are sketched and combined before they are shuffled; start 1: all rows
+    middle = materialize(every.groupBy("cell").agg(F.array(*[F.percentile_approx(c, F.lit(0.5), F.lit(2000)) for c in x]).alias("m")), "middle")
+    away = join_small(every, middle, "cell").groupBy("cell").agg(F.first("m").alias("m"), F.array(*[F.percentile_approx(F.abs(c - F.col("m")[j]), F.lit(0.5), F.lit(2000)) for j, c in enumerate(x)]).alias("d"))
+    model = {f"a{j}": F.col("m")[j] for j in range(DIMS)} | {f"p{j}{j}": 1 / (F.pow(1.4826 * F.col("d")[j], F.lit(2.0)) + GUARD**2) for j in range(DIMS)}
+    first = away.select("cell", F.lit(0).alias("start"), F.lit(float("inf")).alias("logdet"), F.struct(*[model.get(c, F.lit(0.0)).alias(c) for c in MODEL]).alias("model"))
+    sums = materialize(every.groupBy("cell").agg(*_moments()).select("cell", F.lit(1).alias("start"), F.array(*[f"s{k}" for k in range(len(MOMENTS))]).alias("s")), "sums")
+    models = materialize(first.unionByName(_models(sums, sums, tree, 1.0).withColumn("logdet", F.lit(float("inf")))), "models")
+
+    def inner(models: DataFrame) -> DataFrame:
+        """(cell, start, s) of the nearest half of each cell's rows."""
+        d = F.floor(F.log2(F.greatest(distance(z, x, lambda c: F.col(f"model.{c}")), F.lit(1e-6))) * BINS_PER_OCTAVE)
+        binned = join_small(every, models, "cell").groupBy("cell", "start", F.least(F.greatest(d, F.lit(BINS[0])), F.lit(BINS[1])).alias("bin")).agg(*_moments())
+        by = Window.partitionBy("cell", "start")
+        nearer = F.coalesce(F.sum("s0").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        half = binned.withColumn("nearer", nearer).withColumn("all", F.sum("s0").over(by)).where(F.col("nearer") < F.floor((F.col("all") + DIMS + TERMS) / 2))
+        sums = half.groupBy("cell", "start").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(len(MOMENTS))])
+        return sums.select("cell", "start", F.array(*[f"s{k}" for k in range(len(MOMENTS))]).alias("s"))
+
+    # a cell's start takes steps as long as its determinant falls; the cells below go on with the last sums of those above
+    steps, sums = [], None
+    for _ in range(MOST_STEPS):
+        done = [sums.join(models.select("cell", "start"), ["cell", "start"], "left_anti")] if sums is not None else []
+        sums = materialize(reduce(DataFrame.unionByName, [inner(models), *done]), "sums")
+        steps.append(_models(sums.join(models.select("cell", "start"), ["cell", "start"], "left_semi"), sums, tree, HALF_SCALE))
+        was = models.select("cell", "start", F.col("logdet").alias("was"))
+        models = materialize(steps[-1].join(was, ["cell", "start"]).where(F.col("logdet") < F.col("was") - TOLERANCE).drop("was"), "falling")
+        if not models.limit(1).count():
+            break
+    best = reduce(DataFrame.unionByName, steps).groupBy("cell").agg(F.min_by(F.struct("model"), F.struct("logdet", "start")).alias("b")).select("cell", "b.model")
+    near = join_small(every, materialize(best, "best"), "cell").where(distance(z, x, lambda c: F.col(f"model.{c}")) <= REWEIGHT).groupBy("cell").agg(*_moments())
+    sums = materialize(near.select("cell", F.lit(0).alias("start"), F.array(*[f"s{k}" for k in range(len(MOMENTS))]).alias("s")), "sums")
+    last = _models(sums, sums, tree, REWEIGHT_SCALE)
+    # a cell none of whose rows are near its estimate has no moments of its own: it takes its best estimate as it is
+    return materialize(best.join(last.select("cell", F.col("model").alias("after")), "cell", "left").select("cell", F.coalesce("after", "model").alias("model")), "models")
+
+
+def fit_counted(counted: DataFrame, get: Get = F.col) -> DataFrame:
+    z, x, _ = vector(get)
+    return fit(counted.where(~base_failed(get)).select("lang", "source", *[c.alias(n) for c, n in zip([*z, *x], V, strict=True)]))
+
+
+def judged(df: DataFrame, models: DataFrame, get: Get, out: str) -> DataFrame:
+    """df (lang, source, and counts to be had by get) with the struct column `out`: base_failed, distance (null: no peers), kept."""
+    cell, model, d = (fresh([*df.columns, out], n) for n in ("cell_of", "model_of", "distance_of"))
+    both = join_small(df.withColumn(cell, tag("lang", "source")), models.select(F.col("cell").alias(cell), F.col("model").alias(model)), cell, "left")
+    z, x, noise = vector(get)
+    both = with_distance(both, d, z, x, noise, lambda c: F.col(f"`{model}`.`{c}`"))
+    far = F.coalesce(F.col(f"`{d}`") > CUTOFF, F.lit(False))
+    verdict = F.struct(base_failed(get).alias("base_failed"), F.col(f"`{d}`").alias("distance"), (~base_failed(get) & ~far).alias("kept"))
+    return both.select(*[F.col(f"`{c}`") for c in df.columns], verdict.alias(out))
+
+
+ADDED = ("base_failed", "distance", "kept")
+
+
+def _in_place(df: DataFrame, text: str) -> tuple[DataFrame, str, str]:
+    """df with two struct columns, counts and verdict, and their names.
+
+    Two passes over the texts: the first gathers the thin statistic table that the estimates come from, the second judges each row
+    where it lies, so that no text is ever shuffled.
+    """
+    thin = materialize(with_counts(df.select(text, "lang", "source"), text).drop(text), "counts")
+    counts = fresh(df.columns, "counts_of")
+    verdict = fresh([*df.columns, counts], "verdict_of")
+    done = judged(with_counts(df, text, counts), fit_counted(thin), lambda c: F.col(f"`{counts}`.`{c}`"), verdict)
+    return done, counts, verdict
 
 
 def quality(df: DataFrame, text: str = "text") -> DataFrame:
-    """df (text, lang, source and any more columns) with counts, base_failed, distance and kept.
-
-    Two passes over the texts: the first gathers the thin statistic table that the estimates come from, the second judges
-    each row where it lies, so that no text is ever shuffled.
-    """
-    thin = materialize(with_counts(df.select(text, "lang", "source"), text).drop(text), "counts")
-    return judge(with_counts(df, text), *fit_counted(thin))
+    """df (text, lang, source and any more columns) with COUNTS, base_failed, distance and kept."""
+    done, counts, verdict = _in_place(df, text)
+    keep = without(df, *COUNTS, *ADDED).columns
+    return done.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{counts}`.`{c}`") for c in COUNTS], *[F.col(f"`{verdict}`.`{c}`") for c in ADDED])
 
 
-def fit_counted(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return fit(counted.where(~base_failed()).select("lang", "source", *[v.alias(x) for v, x in zip(vector(), X, strict=True)]))
+def kept_rows(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of df that are kept, with df's columns and no others."""
+    done, _, verdict = _in_place(df, text)
+    return done.where(F.col(f"`{verdict}`.kept")).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def quality_table(df: DataFrame, text: str = "text") -> DataFrame:
-    """As quality(), but without the text: one pass, and the statistic table is both fitted and judged."""
-    counted = materialize(without(with_counts(df, text), text), "counts")
-    return judge(counted, *fit_counted(counted))
+def quality_table(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, COUNTS, base_failed, distance and kept: one pass over the texts, then the thin statistic table is both fitted and judged."""
+    thin = with_counts(df.select(F.col(key).alias("key"), text, "lang", "source"), text).drop(text)
+    counted = materialize(thin, "counts")
+    done = judged(counted, fit_counted(counted), F.col, "verdict_of")
+    return done.select(F.col("key").alias(key), *COUNTS, *[F.col(f"verdict_of.{c}") for c in ADDED])

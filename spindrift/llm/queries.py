@@ -18,8 +18,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return quality.quality_table(docs).select("doc_id", *quality.COUNTS, "base_failed", "distance", "kept")
+    return quality.quality_table(table(spark, sf_dir, "documents"))
 
 
 def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
