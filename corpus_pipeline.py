@@ -13,7 +13,7 @@ from spindrift.llm.queries import tokenizer_path
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.quality(docs).where("kept").select(*docs.columns)
+    return quality.kept_rows(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
