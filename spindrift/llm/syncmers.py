@@ -5,12 +5,16 @@ too. A k-mer is K tokens in a row, its inner substrings are S tokens in a row. A
 inner substrings is that of the first or of the last: a choice that looks at nothing but the k-mer itself. The same passage
 therefore yields the same anchors wherever it stands, and edits elsewhere leave them as they are.
 
-fingerprint: the 32-bit hashes of the anchors in order of their positions, 8 hex digits each. In a text without any
-such k-mer (1 to K - 1 tokens, or a few more) each token is an anchor; only a null, empty or blank text has none and the
-fingerprint ''. Likeness is the Jaccard similarity of the sets of anchors; two texts without anchors, so both blank, are alike (1.0). Equal texts have equal fingerprints.
+An anchor is an int: 28 bits of the k-mer's hash, then 4 bits for its place, the number of tokens from here to the next anchor
+(15: as many or more; 0: the last). fingerprint: the anchors in order, 8 hex digits each, so hashes and relative positions can be
+read from it; about one anchor falls on (K - S + 1) / 2 tokens. In a text without any such k-mer (1 to K - 1 tokens, or a few more)
+each token is an anchor; only a null, empty or blank text has none and the fingerprint ''. Likeness compares placed anchors: the
+Jaccard similarity of the sets of hash and place, so the same words in another order or further apart aren't alike; two texts
+without anchors, so both blank, are alike (1.0). Equal texts have equal fingerprints.
 
 next_document pairs every row with the next one in ascending id without a global sort or window. Ties: rows that share an id
-follow each other in the order of their texts; a row without id has no next document (an empty text stands in) and is none.
+follow each other in the order of their texts; a row without id has no next document (an empty text stands in) and is none. Ids are
+cut into stretches at their quantiles, so uneven ids make even stretches; rows of one id stay in one.
 """
 
 from __future__ import annotations
@@ -22,9 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import fresh, join_small, without
 
-TOKEN, K, S = 6, 8, 3
+TOKEN, K, S = 6, 12, 3
 #: rows that meet in one window partition, on average; also the most keys that are put in order in a single task
 BUCKET_ROWS, ONE_TASK = 1024, 20_000
+#: cuts that are made at once, so also the most cuts that a stretch of the first cut is divided by
+CUTS = 1000
 
 
 def anchors(df: DataFrame, text: str, out: str, positions: str | None = None) -> DataFrame:
@@ -42,12 +48,16 @@ def anchors(df: DataFrame, text: str, out: str, positions: str | None = None) ->
     df = df.select(*keep, hashes, inner, starts.alias(names[3]))
     parts = [*range(0, K - S + 1, S)]
     whole = lambda i: F.xxhash64(*[F.get(inner, i + j) for j in parts], *[F.get(hashes, i + j) for j in range(parts[-1] + S, K)])
-    low = lambda h: F.shiftright(h, 32).cast("int")
-    few = F.transform(hashes, low)
+    short = lambda h: F.shiftleft(F.shiftright(h, 36).cast("int"), 4)
     some = F.size(at) > 0
-    found = F.when(some, F.transform(at, lambda i: low(whole(i)))).otherwise(few)
-    more = [F.when(some, at).otherwise(F.transform(few, lambda x, i: i)).alias(positions)] if positions else []
-    return df.select(*keep, found.alias(out), *more)
+    # one list of (hash, position), then each position is taken from the next one
+    found = F.when(some, F.transform(at, lambda i: F.struct(short(whole(i)).alias("h"), i.alias("at")))).otherwise(F.transform(hashes, lambda x, i: F.struct(short(x).alias("h"), i.alias("at"))))
+    names.append(fresh(df.columns, f"{out}_found"))
+    df = df.select(*keep, found.alias(names[4]))
+    found = F.col(f"`{names[4]}`")
+    gap = lambda x, i: F.when(i + 1 < F.size(found), F.least(F.get(found, i + 1)["at"] - x["at"], F.lit(15))).otherwise(F.lit(0))
+    more = [F.transform(found, lambda x: x["at"]).alias(positions)] if positions else []
+    return df.select(*keep, F.transform(found, lambda x, i: x["h"].bitwiseOR(gap(x, i))).alias(out), *more)
 
 
 def fingerprint(anchors: Column) -> Column:
@@ -61,16 +71,39 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def positional_matches(pairs: DataFrame, a: str, a_at: str, b: str, b_at: str) -> DataFrame:
-    """One row per anchor that two texts of a pair share: where it stands in either, and the shift. Repeated anchors match each."""
+    """One row per k-mer that two texts of a pair share: where it stands in either, and the shift. Repeated anchors match each."""
     left = pairs.select("*", F.posexplode(F.arrays_zip(F.col(a).alias("hash"), F.col(a_at).alias("at"))).alias("n_", "left_"))
-    hit = F.filter(F.arrays_zip(F.col(b).alias("hash"), F.col(b_at).alias("at")), lambda x: x["hash"] == F.col("left_.hash"))
+    hit = F.filter(F.arrays_zip(F.col(b).alias("hash"), F.col(b_at).alias("at")), lambda x: F.shiftright(x["hash"], 4) == F.shiftright(F.col("left_.hash"), 4))
     return left.select("*", F.explode(hit).alias("right_")).select(*pairs.columns, F.col("left_.hash").alias("hash"), F.col("left_.at").alias("left_at"), F.col("right_.at").alias("right_at"), (F.col("right_.at") - F.col("left_.at")).alias("shift"))
 
 
 def _bucketed(keys: DataFrame, key: str, n: int, low: int, high: int) -> Column:
-    """Numbers of stretches of the key's range that hold about BUCKET_ROWS of n evenly spread keys each."""
+    """Numbers of stretches of about BUCKET_ROWS keys each, of n keys that lie evenly between low and high."""
     width = max(1, (high - low + 1) * BUCKET_ROWS // max(n, 1))
-    return F.floor((F.col(key).cast("decimal(20,0)") - F.lit(str(low)).cast("decimal(20,0)")) / F.lit(str(width)).cast("decimal(20,0)")).cast("long")
+    return F.floor((F.col(key) - F.lit(low)) / F.lit(width)).cast("long")
+
+
+def _below(cuts: Column, key: str) -> Column:
+    return F.size(F.filter(cuts, lambda c: c < F.col(key))).cast("long")
+
+
+def with_stretch(df: DataFrame, key: str, n: int, out: str) -> DataFrame:
+    """df with the number of each row's stretch of the key: about BUCKET_ROWS rows each, in the order of the key. Where one round of
+    CUTS quantiles leaves more than that, each stretch is cut once more by its own; what is broadcast has CUTS lists of CUTS keys at most."""
+    wanted = -(-n // BUCKET_ROWS)
+    share = lambda k: F.array(*[F.lit(i / k) for i in range(1, k)])
+    m = min(wanted, CUTS)
+    if m < 2:
+        return df.withColumn(out, F.lit(0).cast("long"))
+    cuts = df.agg(F.percentile_approx(key, share(m), F.lit(10 * m)).alias("c")).first()["c"]
+    cuts = F.array(*[F.lit(c) for c in sorted(set(cuts))])
+    first = df.withColumn(out, _below(cuts, key))
+    if wanted <= m:
+        return first
+    k = min(CUTS, -(-wanted // m))
+    inner = first.groupBy(F.col(out).alias("stretch_")).agg(F.array_distinct(F.percentile_approx(key, share(k), F.lit(10 * k))).alias("cuts_"))
+    both = first.join(F.broadcast(inner), F.col(out) == F.col("stretch_"))
+    return both.select(*df.columns, (F.col(out) * CUTS + _below(F.col("cuts_"), key)).alias(out))
 
 
 def _first_of_next(firsts: DataFrame) -> DataFrame:
@@ -93,18 +126,18 @@ def next_document(df: DataFrame, key: str, text: str, derive: Callable[[DataFram
     """
     df = df.select(key, text)
     own = df.where(F.col(key).isNotNull())
-    n, low, high = own.agg(F.count("*"), F.min(key), F.max(key)).first()
+    n, low = own.agg(F.count("*"), F.min(key)).first()
     cols = [text, *derived]
     lost = derive(df.where(F.col(key).isNull()))
     lost = lost.select("*", *[F.lit(None).cast(lost.schema[c].dataType).alias(prefix + c) for c in cols])
     if not n:
         return lost
-    bucket = _bucketed(own, key, n, low, high)
-    edges = _first_of_next(own.groupBy(bucket.alias("bucket")).agg(F.min(key).alias("first")))
+    own = with_stretch(own, key, n, "bucket_")
+    edges = _first_of_next(own.groupBy(F.col("bucket_").alias("bucket")).agg(F.min(key).alias("first")))
     edges = edges.select(F.col("bucket").alias("closes"), F.coalesce("upcoming", F.lit(low)).alias("upcoming"))
-    firsts = join_small(own, edges, F.col(key) == F.col("upcoming")).groupBy("closes").agg(F.min(F.coalesce(F.col(text), F.lit(""))).alias(text), F.first("upcoming").alias("upcoming"))
+    firsts = join_small(own.drop("bucket_"), edges, F.col(key) == F.col("upcoming")).groupBy("closes").agg(F.min(F.coalesce(F.col(text), F.lit(""))).alias(text), F.first("upcoming").alias("upcoming"))
     closing = firsts.select(F.col("upcoming").alias(key), text, F.col("closes").alias("bucket_"), F.lit(True).alias("copy_"))
-    rows = own.withColumn("bucket_", bucket).withColumn("copy_", F.lit(False)).unionByName(closing).repartition("bucket_")
+    rows = own.withColumn("copy_", F.lit(False)).unionByName(closing).repartition("bucket_")
     order = Window.partitionBy("bucket_").orderBy("copy_", key, F.coalesce(F.col(text), F.lit("")))
     rows = derive(rows).select("*", F.lead(F.struct(*cols)).over(order).alias("next_")).where(~F.col("copy_"))
     return rows.select(key, *cols, *[F.col(f"next_.{c}").alias(prefix + c) for c in cols]).unionByName(lost.select(key, *cols, *[prefix + c for c in cols]))
