@@ -6,7 +6,8 @@ The parser is deterministic: it cuts at every "</s>", reads the opening, and tak
 is first rendered as it is ("[INST] "). The rendering is parsed again, and where the recovered turns are not the source turn,
 the turn is rendered with the opening "[INST*] " and its role and body escaped (& < [ as &amp; &lt; &lb;), which leaves no control
 string in them, and is parsed and compared again. The whole conversation is parsed once more and compared in the end: the
-column identical says so.
+column identical says so. The loss is what stands under the mask, unescaped where its turn is; that it is also what the parser reads
+in the turns to learn from is part of identical.
 
 Nulls: a null role or text is empty; rows of a null conv_id form one conversation; a null turn comes first. Ties: rows of the
 same turn follow by role, then text; repeated rows are turns of their own. Empty tables give empty results. Other columns are
@@ -73,11 +74,15 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
     rows = rows.withColumn("n", F.row_number().over(order)).withColumn("begins", F.coalesce(F.sum(F.length("out")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     body = F.col("begins") + F.instr("out", MIDDLE) + len(MIDDLE) - 1
     rows = rows.withColumn("span", F.when(F.col("role") == learn, F.struct(body.alias("start"), (F.col("begins") + F.length("out") - len(END)).alias("end"))))
-    got = rows.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("n", "role", "text", "out", "span"))).alias("t"), F.count_if("escaped").alias("n_escaped"))
-    got = got.select("conv", "n_escaped", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("source"), F.array_join(F.transform("t", lambda x: x["out"]), "").alias("formatted"), F.filter(F.transform("t", lambda x: x["span"]), lambda x: x.isNotNull()).alias("mask"))
+    # the text under the span, from the piece of the output that the span lies in
+    under = F.substring(F.col("out"), F.col("span.start") - F.col("begins") + 1, F.col("span.end") - F.col("span.start"))
+    rows = rows.withColumn("loss", F.when(F.col("escaped"), unescape(under)).otherwise(under))
+    got = rows.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("n", "role", "text", "out", "span", "loss"))).alias("t"), F.count_if("escaped").alias("n_escaped"))
+    got = got.select("conv", "n_escaped", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("source"), F.array_join(F.transform("t", lambda x: x["out"]), "").alias("formatted"), F.filter(F.transform("t", lambda x: x["span"]), lambda x: x.isNotNull()).alias("mask"), F.array_join(F.transform("t", lambda x: x["loss"]), "").alias("loss"))
     got = got.withColumn("turns", parse(F.col("formatted")))
-    got = got.withColumn("loss", F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == learn), lambda t: t["text"]), ""))
-    return got.select(F.col("conv").alias(conv), "formatted", "turns", "mask", "loss", "n_escaped", same(F.col("turns"), F.col("source")).alias("identical"))
+    learned = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == learn), lambda t: t["text"]), "")
+    whole = same(F.col("turns"), F.col("source")) & same(learned, F.col("loss"))
+    return got.select(F.col("conv").alias(conv), "formatted", "turns", "mask", "loss", "n_escaped", whole.alias("identical"))
 
 
 def digests(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:

@@ -32,3 +32,15 @@ def test_ties_nulls_repeats_empty(spark):
     told = "assistant\nz\nuser\na\nuser\na\nuser\nb\n"
     assert got[2].turns_sha256 == hashlib.sha256(told.encode()).hexdigest()
     assert C.format_conversations(spark.createDataFrame([], ROW)).count() == 0
+
+
+def test_loss_is_read_under_the_mask(spark, monkeypatch):
+    """A mask that is off shows in the loss and in identical."""
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "first </s>"), (1, 2, "assistant", "second")]
+    df = spark.createDataFrame(rows, ROW)
+    good = C.format_conversations(df).collect()[0]
+    assert good.loss == "first </s>second" and good.identical
+    whole = C.F.instr
+    monkeypatch.setattr(C.F, "instr", lambda a, b: whole(a, b) + 1 if isinstance(a, str) else whole(a, b))
+    bad = C.format_conversations(df).collect()[0]
+    assert bad.loss != good.loss and not bad.identical
