@@ -23,9 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import shipped, without
+from .common import derived
+from .textbytes import blocks
 
 PIECE, GROUP_BYTES = 32_768, 1 << 20
+#: bytes of texts that are Python objects at a time, unless one text has more
+BATCH = 4 << 20
 _SAFE = re.compile(r"(?<=[A-Za-z0-9.,;:!?)\]'\"])[ \n]")
 _LOADED: dict[str, tuple] = {}
 
@@ -76,7 +79,7 @@ def count(texts: list[str], path: str) -> np.ndarray:
         for piece in pieces(text) if cut else [text]:
             if piece:
                 group.setdefault(piece, []).append(i)
-                held += len(piece)
+                held += len(piece) if piece.isascii() else len(piece.encode())
             if held >= GROUP_BYTES:
                 flush()
                 held = 0
@@ -85,18 +88,20 @@ def count(texts: list[str], path: str) -> np.ndarray:
 
 
 def with_token_counts(df: DataFrame, path: str, limit: int = 512, text: str = "text", n_bytes: str = "n_bytes", n_tokens: str = "n_tokens", over: str = "over_limit") -> DataFrame:
-    """df with the UTF-8 length, the number of tokens, and whether that is over the limit."""
-    keep = without(df, n_bytes, n_tokens, over)
-    names = keep.columns
-    schema = T.StructType([*keep.schema.fields, T.StructField(n_bytes, T.LongType()), T.StructField(n_tokens, T.LongType()), T.StructField(over, T.BooleanType())])
+    """df with the UTF-8 length, the number of tokens, and whether that is over the limit. Texts go to Python, lengths come back."""
+    fields = [T.StructField(n_bytes, T.LongType()), T.StructField(n_tokens, T.LongType()), T.StructField(over, T.BooleanType())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
-        for b in batches:
-            texts = pc.fill_null(b.column(names.index(text)), "")
-            n = count(texts.to_pylist(), path)
-            yield pa.RecordBatch.from_arrays([*b.columns, pc.binary_length(texts).cast(pa.int64()), pa.array(n), pa.array(n > limit)], names=[*names, n_bytes, n_tokens, over])
 
-    return shipped(keep).mapInArrow(run, schema)
+        def work(texts: pa.Array) -> list[pa.Array]:
+            n = np.zeros(len(texts), np.int64)
+            for b in blocks(texts, BATCH):  # some texts at a time as Python objects
+                n[b.first : b.first + b.n] = count(texts.slice(b.first, b.n).to_pylist(), path)
+            return [pc.binary_length(texts).cast(pa.int64()), pa.array(n), pa.array(n > limit)]
+
+        return work
+
+    return derived(df, text, fields, start)
