@@ -40,7 +40,17 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RULES = (urls.Rule("allow", "com", "/"), urls.Rule("block", "example.com", "/en/"), urls.Rule("allow", "www.example.com", "/en/"), urls.Rule("block", "net", "/es/"), urls.Rule("block", "net", "/fr/"))
-BLOCKED = tuple(f"*.{host}.*{urls.SEP}*" for host in ("ads-track", "free-bets", "spam-farm"))
+#: words of host names and paths that no page of a training corpus should come from; the block list has every pair of the first two
+#: groups as a label or the end of one, and every word of the last two as a path segment or a file's ending
+HOST_FIRST = ("ad", "ads", "adult", "best", "bonus", "cheap", "click", "credit", "crypto", "fast", "free", "hot", "instant", "lucky", "live", "mega", "online", "spam", "super", "win")
+HOST_LAST = ("bets", "bonus", "casino", "chat", "clicks", "coins", "deals", "farm", "games", "gifts", "loans", "pills", "poker", "porn", "prizes", "seo", "slots", "track", "tracker", "warez")
+SEGMENTS = ("adserver", "affiliate", "casino", "cgi-bin", "doorway", "porn", "sponsored", "tracking", "viagra", "warez")
+ENDINGS = ("apk", "exe", "torrent", "dmg")
+BLOCKED = (
+    *(f"*.{a}-{b}.*{urls.SEP}*" for a in HOST_FIRST for b in HOST_LAST),
+    *(f"*{urls.SEP}*/{s}/*" for s in SEGMENTS),
+    *(f"*{urls.SEP}*.{e}" for e in ENDINGS),
+)
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,9 +116,9 @@ WITH cut AS (
 )
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-    WHEN '.' || host LIKE '%.ads-track.%' OR '.' || host LIKE '%.free-bets.%' OR '.' || host LIKE '%.spam-farm.%' THEN 'block'
+    WHEN regexp_matches('.' || host, '\.(?:{first})-(?:{last})\.') OR regexp_matches(path, '/(?:{segments})/') OR regexp_matches(path, '\.(?:{endings})$') THEN 'block'
     ELSE 'allow' END AS verdict
-FROM ruled""",
+FROM ruled""".replace("{first}", "|".join(HOST_FIRST)).replace("{last}", "|".join(HOST_LAST)).replace("{segments}", "|".join(SEGMENTS)).replace("{endings}", "|".join(ENDINGS)),
     "op9_jaccard": r"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents

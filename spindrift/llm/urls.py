@@ -19,7 +19,7 @@ first and the longest one that fits wins; elsewhere a url is blocked if a block
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import shipped, without
+from .common import derived
 
 SEP = "\x01"
+#: 64-bit words of automaton state that are held at a time
+STATE_WORDS = 1 << 20
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -114,23 +116,27 @@ class ShiftAnd:
 
 def judge_urls(df: DataFrame, rules: Sequence[Rule], blocked: Sequence[str], url: str = "url") -> DataFrame:
     """df with host, path, rule (name of the longest rule that fits, else null) and verdict. blocked: globs over host + SEP + path."""
-    added = ("host", "path", "rule", "verdict")
-    keep = without(df, *added)
-    names = keep.columns
-    schema = T.StructType([*keep.schema.fields, *(T.StructField(c, T.StringType()) for c in added)])
     ranked = sorted(rules, key=lambda r: -len(r.name))
     globs = [r.glob for r in ranked] + list(blocked)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         machine = ShiftAnd(globs)
-        for b in batches:
-            parts = [split_url(u) for u in b.column(names.index(url)).to_pylist()]
-            fits = machine.run([f".{h}{SEP}{p.replace(SEP, '%01')}".encode() for h, p in ((h.replace(SEP, "%01"), p) for h, p in parts)])
-            by_rule, by_glob = fits[:, : len(ranked)], fits[:, len(ranked) :].any(axis=1)
-            hit = by_rule.any(axis=1)
-            best = by_rule.argmax(axis=1) if ranked else np.zeros(len(parts), int)
-            rule = [ranked[k].name if h else None for h, k in zip(hit, best, strict=True)]
-            verdict = [ranked[k].verdict if h else "block" if g else "allow" for h, k, g in zip(hit, best, by_glob, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string()), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=[*names, *added])
-
-    return shipped(keep).mapInArrow(run, schema)
+
+        def work(urls: pa.Array) -> list[list]:
+            parts = [split_url(u) for u in urls.to_pylist()]
+            # machines of hundreds of words hold their state for a part of the urls at a time
+            step = max(1, STATE_WORDS // machine.width)
+            canonical = [f".{h}{SEP}{p.replace(SEP, '%01')}".encode() for h, p in ((h.replace(SEP, "%01"), p) for h, p in parts)]
+            rule, verdict = [], []
+            for at in range(0, len(parts), step):
+                fits = machine.run(canonical[at : at + step])
+                by_rule, by_glob = fits[:, : len(ranked)], fits[:, len(ranked) :].any(axis=1)
+                hit = by_rule.any(axis=1)
+                best = by_rule.argmax(axis=1) if ranked else np.zeros(len(fits), int)
+                rule += [ranked[k].name if h else None for h, k in zip(hit, best, strict=True)]
+                verdict += [ranked[k].verdict if h else "block" if g else "allow" for h, k, g in zip(hit, best, by_glob, strict=True)]
+            return [[h for h, _ in parts], [p for _, p in parts], rule, verdict]
+
+        return work
+
+    return derived(df, url, [T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")], start)

@@ -51,3 +51,21 @@ def test_query_gives_every_page(spark, sf):
     from spindrift.llm.queries import op5_urls
 
     assert op5_urls(spark, sf).count() == spark.read.parquet(f"{sf}/pages.parquet").count()
+
+
+def test_hundreds_of_globs_and_long_urls(spark):
+    """The query's block list against fnmatch; urls of 100,000 bytes."""
+    import fnmatch
+
+    from spindrift.llm import queries as Q
+
+    long = "x" * 100_000
+    urls = ["https://a.ads-track.com/x", "https://ads-trackx.com/", "http://free-bets.org/", "https://xfree-bets.org", "https://ok.org/a/cgi-bin/b", "https://ok.org/cgi-bin", "https://ok.org/get.exe", "https://ok.org/get.exes", f"https://ok.org/{long}/porn/", f"https://{long}.org/{long}.apk", f"https://ok.org/{long}", "nothing", "", None]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: r for r in U.judge_urls(df, (), Q.BLOCKED).collect()}
+    assert len(Q.BLOCKED) > 400
+    for i, u in enumerate(urls):
+        h, p = U.split_url(u)
+        hit = any(fnmatch.fnmatchcase(f".{h}{U.SEP}{p}", g) for g in Q.BLOCKED)
+        assert got[i].verdict == ("block" if hit else "allow"), u
+    assert [got[i].verdict for i in range(11)] == ["block", "allow", "block", "allow", "block", "allow", "block", "allow", "block", "block", "allow"]
