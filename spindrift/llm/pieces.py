@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import shipped, without
+from .common import derived
 
 MARK = "▁"
 TABLE, LONGEST = 200_000, 256
@@ -94,20 +93,19 @@ def _sha256(s: str) -> str:
 
 
 def with_pieces(df: DataFrame, path: str, text: str = "text", ids: str | None = None, decoded: str | None = None, digests: bool = True) -> DataFrame:
-    """df with n_tokens, and as asked for: ids (array<int>), the decoded text, digests of both."""
+    """df with n_tokens, and as asked for: ids (array<int>), the decoded text, digests of both. Texts go to Python, these come back."""
     added = {"n_tokens": T.LongType()} | ({ids: T.ArrayType(T.IntegerType())} if ids else {}) | ({decoded: T.StringType()} if decoded else {}) | ({"ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} if digests else {})
-    keep = without(df, *added)
-    names = keep.columns
-    schema = T.StructType([*keep.schema.fields, *(T.StructField(n, t) for n, t in added.items())])
+    kinds = {"n_tokens": pa.int64(), ids: pa.list_(pa.int32())}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         model = pieces(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):  # ids are several times as large as texts: few rows are out at a time
-                b = whole.slice(at, SLICE)
+
+        def work(texts: pa.Array) -> list[pa.Array]:
+            done: dict[str, list[pa.Array]] = {n: [pa.array([], kinds.get(n, pa.string()))] for n in added}
+            for at in range(0, len(texts), SLICE):  # ids are several times as large as texts: few rows are Python objects at a time
                 new: dict[str, list] = {n: [] for n in added}
-                for x in b.column(names.index(text)):
-                    own = model.encode(x.as_py() or "")
+                for x in texts.slice(at, SLICE):
+                    own = model.encode(x.as_py())
                     new["n_tokens"].append(len(own))
                     if ids:
                         new[ids].append(np.array(own, np.int32))
@@ -118,7 +116,10 @@ def with_pieces(df: DataFrame, path: str, text: str = "text", ids: str | None =
                     if digests:
                         new["ids_sha256"].append(_sha256(model.joined(own)))
                         new["decoded_sha256"].append(_sha256(back))
-                kinds = {"n_tokens": pa.int64(), ids: pa.list_(pa.int32())}
-                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, kinds.get(k, pa.string())) for k, v in new.items())], names=[*names, *new])
+                for n, v in new.items():
+                    done[n].append(pa.array(v, kinds.get(n, pa.string())))
+            return [pa.concat_arrays(v) for v in done.values()]
+
+        return work
 
-    return shipped(keep).mapInArrow(run, schema)
+    return derived(df, text, [T.StructField(n, t) for n, t in added.items()], start)
