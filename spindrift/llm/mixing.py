@@ -10,7 +10,7 @@ with its own fraction. The taken words miss the target by less than that one doc
 
 Randomness is a hash of the seed and the row, so reruns agree. Nulls: a null text has size 0, a null source is a source of its
 own and comes last, a null id hashes like any value. Documents of size 0 are taken 0 times. Repeated rows are documents of their
-own; those of one id only differ in luck. Empty tables give empty results.
+own; those of one id only differ in luck. Empty tables give empty results. Sources meet in one window: there may be some millions.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize
+from .common import fresh, join_small, materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3.0
@@ -134,15 +134,26 @@ def mix_table(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     return out.select(F.col("id").alias(key), F.col("source").alias(source), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _mark(df: DataFrame) -> Column:
+    """A hash of a whole row; columns of kinds that can't be hashed don't count."""
+    cols = [F.col(f"`{f.name}`") for f in df.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    return F.xxhash64(*cols, *[F.lit(0)])
+
+
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7) -> DataFrame:
-    """The rows of df, each as many times as the mix takes it. Rows alike in id, source and size share what these were given, in the order of their texts."""
-    copies = materialize(mix_table(df, key, text, source, seed).select(F.col(key).alias("id_"), F.col(source).alias("source_"), F.col("size").alias("size_"), "copies"), "copies")
-    given = copies.groupBy("id_", "source_", "size_").agg(F.array_sort(F.collect_list("copies")).alias("copies_"))
-    words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-    on = F.col(key).eqNullSafe(F.col("id_")) & F.col(source).eqNullSafe(F.col("source_")) & (words == F.col("size_"))
-    rows = df.join(given.where("size(copies_) > 1 OR copies_[0] > 0"), on)
-    one = rows.where("size(copies_) = 1").withColumn("take_", F.get("copies_", F.lit(0)))
-    nth = F.row_number().over(Window.partitionBy(key, source, "size_").orderBy(F.coalesce(F.col(text), F.lit(""))))
-    more = rows.where("size(copies_) > 1").withColumn("take_", F.get("copies_", nth - 1))
-    out = one.unionByName(more) if copies.groupBy("id_", "source_", "size_").count().where("count > 1").limit(1).count() else one
-    return out.where("take_ > 0").select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("take_"))).alias("copy_")).select(*df.columns)
+    """The rows of df, each as many times as the mix takes it. A row is known by a hash of all its columns, so rows that differ at all
+    are told apart, whatever their ids. Rows that are alike throughout can stand for one another: one of them brings all copies
+    of all of them, so that however many there are, they meet as counts."""
+    id_, source_, size_, sum_, n_, copy_ = (fresh(df.columns, c) for c in ("mark_of", "source_of", "size_of", "copies_of", "rows_of", "copy_of"))
+    marked = df.withColumn(id_, _mark(df))
+    copies = mix_table(marked.select(F.col(f"`{id_}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{source}`").alias("source")), "id", "text", "source", seed)
+    given = copies.groupBy(F.col("id").alias(id_), F.col("source").alias(source_), F.col("size").alias(size_)).agg(F.sum("copies").alias(sum_), F.count("*").alias(n_))
+    given = materialize(given.where(F.col(sum_) > 0), "copies")
+    col = lambda c: F.col(f"`{c}`")
+    keep = [col(c) for c in df.columns]
+    own = fresh([*df.columns, id_], "own_mark")
+    rows = marked.withColumnRenamed(id_, own).join(given, (col(own) == col(id_)) & col(source).eqNullSafe(col(source_)))
+    out = rows.where(col(n_) == 1)
+    if given.where(col(n_) > 1).limit(1).count():
+        out = out.unionByName(rows.where(col(n_) > 1).dropDuplicates([id_, source_]))
+    return out.select(*keep, F.explode(F.sequence(F.lit(1), col(sum_).cast("int"))).alias(copy_)).select(*keep)

@@ -1,3 +1,4 @@
+from collections import Counter
 import re
 
 from spindrift.llm import mixing as M
@@ -72,3 +73,27 @@ def test_odd_and_empty(odd, empty):
     mixed = M.mix(odd).collect()
     assert len(mixed) == sum(r.copies for r in got) and odd.columns == M.mix(odd).columns
     assert all(WORD.search(r.text or "") for r in mixed)
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    names = ["id_", "source_", "size_", "copies_", "copy_", "mark_of", "source_of", "size_of", "copies_of", "rows_of", "copy_of", "own_mark", "size", "id", "taken", "target"]
+    rows = [(i, f"s{i % 3}", " ".join(["w"] * (1 + i % 7))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").select("*", *[F.concat(F.lit(f"{n} of "), "doc_id").alias(n) for n in names])
+    got = M.mix(df)
+    assert got.columns == df.columns
+    assert all(r[n] == f"{n} of {r.doc_id}" for r in got.collect() for n in names)
+
+
+def test_rows_alike_throughout(spark):
+    """Thousands of equal rows, with and without id: the words that are taken stay near the target, nothing else comes up."""
+    rows = [(None, "hot", "same words here")] * 3000 + [(7, "hot", "same id and text")] * 500 + [(i, "cold", " ".join(["w"] * (i % 9 + 1))) for i in range(400)] + [(8, "cold", "a"), (8, "cold", "b"), (8, "cold", "c d")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sizes = {s: sum(len(t.split()) for _, x, t in rows if x == s) for s in ("hot", "cold")}
+    got = M.mix(df).collect()
+    want = brute_targets(sizes)
+    for s in sizes:
+        assert abs(sum(len(r.text.split()) for r in got if r.source == s) - want[s]) <= 9
+    assert {tuple(r) for r in got} <= set(rows)
+    assert max(Counter(tuple(r) for r in got if r.doc_id not in (None, 7)).values()) <= 3
