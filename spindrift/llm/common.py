@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,10 +43,40 @@ def shipped(df: DataFrame) -> DataFrame:
     return workers.shipped(df)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+class _Open(threading.local):
+    def __init__(self):
+        self.scopes: list[list[str]] = []
+
+
+_OPEN = _Open()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialize() writes inside are deleted at the end, but for those to keep, which go to the scope around, if any.
+
+    Nothing that outlives the scope may read the others: what an operator returns is made of kept tables and its input only.
+    """
+    _OPEN.scopes.append([])
+    try:
+        yield
+    finally:
+        remove(spark, _OPEN.scopes.pop())
+
+
+def remove(spark: SparkSession, paths: Sequence[str]) -> None:
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back: its lineage ends there, and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spindrift-{tag}-{uuid.uuid4().hex}"
+    scopes = _OPEN.scopes[:-1] if keep else _OPEN.scopes
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

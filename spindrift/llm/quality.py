@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import derived, fresh, join_small, materialize, shipped, without
+from .common import derived, fresh, join_small, materialize, scratch, shipped, without
 from .textbytes import _SPACE, _SYMBOL, blocks, windows
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -150,25 +150,40 @@ def distance(z: Sequence[Column], x: Sequence[Column], model: Get) -> Column:
     return reduce(lambda a, b: a + b, [model(f"p{i}{j}") * d[i] * d[j] * (1.0 if i == j else 2.0) for i, j in UPPER])
 
 
-def with_distance(df: DataFrame, out: str, z: Sequence[Column], x: Sequence[Column], noise: Sequence[Column], model: Get) -> DataFrame:
-    """df with `out`: as distance(), each row's sampling variances added to the covariance.
+def _let(value: Column, body: Get) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def noisy_distance(z: Sequence[Column], x: Sequence[Column], noise: Sequence[Column], model: Get) -> Column:
+    """As distance(), a row's sampling variances added to the covariance.
 
     A variance v added to coordinate j takes v e_j^2 / (1 + v p_jj) off the squared distance, where e is the inverse covariance times
     the residuals; the rest of e and of the inverse follow by the same rank-one step (Sherman and Morrison), coordinate by coordinate.
     """
-    keep = [F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()]
-    name = {k: fresh(df.columns, f"q_{k}") for k in [*(f"e{j}" for j in range(DIMS)), *(f"v{j}" for j in range(DIMS)), *(f"p{i}{j}" for i, j in UPPER), "d"]}
-    get = lambda k: F.col(f"`{name[k]}`")
-    e = lambda j: get(f"e{j}")
-    p = lambda i, j: get(f"p{min(i, j)}{max(i, j)}")
-    put = lambda cols: {name[k]: c for k, c in cols.items()}
-    df = df.withColumns(put({f"e{j}": r for j, r in enumerate(residuals(z, x, model))} | {f"v{j}": v for j, v in enumerate(noise)} | {f"p{i}{j}": model(f"p{i}{j}") for i, j in UPPER}))
-    df = df.withColumns(put({"d": reduce(lambda a, b: a + b, [p(i, j) * e(i) * e(j) * (1.0 if i == j else 2.0) for i, j in UPPER])} | {f"e{i}": reduce(lambda a, b: a + b, [p(i, j) * e(j) for j in range(DIMS)]) for i in range(DIMS)}))
-    for j in range(DIMS):
-        k = get(f"v{j}") / (1 + get(f"v{j}") * p(j, j))
+    p = lambda s, i, j: s[f"p{min(i, j)}{max(i, j)}"]
+    put = lambda cols: F.struct(*[c.alias(k) for k, c in cols.items()])
+    state = put({f"e{j}": r for j, r in enumerate(residuals(z, x, model))} | {f"v{j}": v for j, v in enumerate(noise)} | {f"p{i}{j}": model(f"p{i}{j}") for i, j in UPPER})
+
+    def begin(s: Column) -> Column:
+        whole = reduce(lambda a, b: a + b, [p(s, i, j) * s[f"e{i}"] * s[f"e{j}"] * (1.0 if i == j else 2.0) for i, j in UPPER])
+        turned = {f"e{i}": reduce(lambda a, b: a + b, [p(s, i, j) * s[f"e{j}"] for j in range(DIMS)]) for i in range(DIMS)}
+        return put({"d": whole} | turned | {f"v{j}": s[f"v{j}"] for j in range(DIMS)} | {f"p{i}{j}": p(s, i, j) for i, j in UPPER})
+
+    def added(j: int) -> Callable[[Column], Column]:
         rest = range(j + 1, DIMS)
-        df = df.withColumns(put({"d": get("d") - k * e(j) * e(j)} | {f"e{i}": e(i) - k * p(i, j) * e(j) for i in rest} | {f"p{i}{n}": p(i, n) - k * p(i, j) * p(j, n) for i in rest for n in rest if i <= n}))
-    return df.select(*keep, get("d").alias(out))
+
+        def step(s: Column) -> Column:
+            k = s[f"v{j}"] / (1 + s[f"v{j}"] * p(s, j, j))
+            told = {"d": s["d"] - k * s[f"e{j}"] * s[f"e{j}"]} | {f"e{i}": s[f"e{i}"] - k * p(s, i, j) * s[f"e{j}"] for i in rest} | {f"v{i}": s[f"v{i}"] for i in rest}
+            return put(told | {f"p{i}{n}": p(s, i, n) - k * p(s, i, j) * p(s, j, n) for i in rest for n in rest if i <= n})
+
+        return step
+
+    state = _let(state, begin)
+    for j in range(DIMS):
+        state = _let(state, added(j))
+    return state["d"]
 
 
 def estimates(average: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
@@ -224,6 +239,11 @@ def _models(sums: DataFrame, every: DataFrame, tree: DataFrame, scale: float) ->
 
 def fit(vectors: DataFrame) -> DataFrame:
     """(cell, model) for each (lang, source) of a table of lang, source and V. Cells are named by tag()."""
+    with scratch(vectors.sparkSession):
+        return materialize(_fit(vectors), "models", keep=True)
+
+
+def _fit(vectors: DataFrame) -> DataFrame:
     rows = materialize(vectors.select(tag("lang", "source").alias("own"), tag("lang").alias("lang"), *V), "vectors")
     names = rows.select("own", "lang").distinct()
     tree = names.select(F.col("own").alias("cell"), F.col("lang").alias("up1"), F.lit("[]").alias("up2")).unionByName(names.select(F.col("lang").alias("cell"), F.lit("[]").alias("up1"), F.lit(None).cast("string").alias("up2")).distinct())
@@ -264,7 +284,7 @@ def fit(vectors: DataFrame) -> DataFrame:
     sums = materialize(near.select("cell", F.lit(0).alias("start"), F.array(*[f"s{k}" for k in range(len(MOMENTS))]).alias("s")), "sums")
     last = _models(sums, sums, tree, REWEIGHT_SCALE)
     # a cell none of whose rows are near its estimate has no moments of its own: it takes its best estimate as it is
-    return materialize(best.join(last.select("cell", F.col("model").alias("after")), "cell", "left").select("cell", F.coalesce("after", "model").alias("model")), "models")
+    return best.join(last.select("cell", F.col("model").alias("after")), "cell", "left").select("cell", F.coalesce("after", "model").alias("model"))
 
 
 def fit_counted(counted: DataFrame, get: Get = F.col) -> DataFrame:
@@ -277,7 +297,8 @@ def judged(df: DataFrame, models: DataFrame, get: Get, out: str) -> DataFrame:
     cell, model, d = (fresh([*df.columns, out], n) for n in ("cell_of", "model_of", "distance_of"))
     both = join_small(df.withColumn(cell, tag("lang", "source")), models.select(F.col("cell").alias(cell), F.col("model").alias(model)), cell, "left")
     z, x, noise = vector(get)
-    both = with_distance(both, d, z, x, noise, lambda c: F.col(f"`{model}`.`{c}`"))
+    far = noisy_distance(z, x, noise, lambda c: F.col(f"`{model}`.`{c}`"))
+    both = both.withColumn(d, F.when(F.col(f"`{model}`").isNotNull(), far))
     far = F.coalesce(F.col(f"`{d}`") > CUTOFF, F.lit(False))
     verdict = F.struct(base_failed(get).alias("base_failed"), F.col(f"`{d}`").alias("distance"), (~base_failed(get) & ~far).alias("kept"))
     return both.select(*[F.col(f"`{c}`") for c in df.columns], verdict.alias(out))
@@ -292,10 +313,12 @@ def _in_place(df: DataFrame, text: str) -> tuple[DataFrame, str, str]:
     Two passes over the texts: the first gathers the thin statistic table that the estimates come from, the second judges each row
     where it lies, so that no text is ever shuffled.
     """
-    thin = materialize(with_counts(df.select(text, "lang", "source"), text).drop(text), "counts")
+    with scratch(df.sparkSession):
+        thin = materialize(with_counts(df.select(text, "lang", "source"), text).drop(text), "counts")
+        models = materialize(fit_counted(thin), "models", keep=True)
     counts = fresh(df.columns, "counts_of")
     verdict = fresh([*df.columns, counts], "verdict_of")
-    done = judged(with_counts(df, text, counts), fit_counted(thin), lambda c: F.col(f"`{counts}`.`{c}`"), verdict)
+    done = judged(with_counts(df, text, counts), models, lambda c: F.col(f"`{counts}`.`{c}`"), verdict)
     return done, counts, verdict
 
 

@@ -192,7 +192,7 @@ def test_sampling_variances(spark):
     model = {f"{t}{j}": float(coef[k, j]) for k, t in enumerate("abc") for j in range(4)} | {f"p{i}{j}": float(p[i, j]) for i, j in Q.UPPER}
     df = spark.createDataFrame([tuple(map(float, r)) for r in np.hstack([z, x, v])], ", ".join(f"{c} double" for c in names))
     cols = [F.col(c) for c in names]
-    got = Q.with_distance(df, "distance", cols[:2], cols[2:6], cols[6:], lambda c: F.lit(model[c])).toPandas()["distance"].to_numpy()
+    got = df.select(Q.noisy_distance(cols[:2], cols[2:6], cols[6:], lambda c: F.lit(model[c])).alias("distance")).toPandas()["distance"].to_numpy()
     r = x - np.hstack([np.ones((20, 1)), z]) @ coef
     assert np.allclose(got, [e @ np.linalg.inv(cov + np.diag(n)) @ e for e, n in zip(r, v, strict=True)], rtol=1e-8)
 
