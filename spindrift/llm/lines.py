@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, join_small, materialize
+from .common import fresh, join_small, materialize, scratch
 
 SITES = 8
 #: log2 of the sketch's registers: a standard error of 1.6 %. Estimates within NEAR of the threshold are counted exactly.
@@ -41,13 +41,19 @@ def spread(df: DataFrame, key: str = "doc_id", text: str = "text", site: str = "
     return lines, materialize(certain.unionByName(near.join(exact, "line", "left_semi").select("line", "first")), "boilerplate")
 
 
-def drop_boilerplate(df: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES, removed: str | None = None) -> DataFrame:
-    """df with the boilerplate lines gone from `text`; `removed`, if named, says how many lines went."""
+def _drops(df: DataFrame, key: str, text: str, site: str, sites: int) -> DataFrame:
+    """(id, drop: the lines that go from the document)."""
     lines, boilerplate = spread(df, key, text, site, sites)
     hits = join_small(lines, boilerplate, "line").where(F.col("first").isNull() | ~F.col("id").eqNullSafe(F.col("first")))
-    drops = hits.groupBy("id").agg(F.collect_set("line").alias("drop"))
+    return hits.groupBy("id").agg(F.collect_set("line").alias("drop"))
+
+
+def drop_boilerplate(df: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES, removed: str | None = None) -> DataFrame:
+    """df with the boilerplate lines gone from `text`; `removed`, if named, says how many lines went."""
     id_, drop = fresh(df.columns, "id_"), fresh(df.columns, "drop_")
-    drops = materialize(drops.select(F.col("id").alias(id_), F.col("drop").alias(drop)), "drops")
+    with scratch(df.sparkSession):
+        drops = _drops(df, key, text, site, sites).select(F.col("id").alias(id_), F.col("drop").alias(drop))
+        drops = materialize(drops, "drops", keep=True)
     # joined the same way at any size: a broadcast of the drops would depend on how many documents they come from
     both = df.join(drops.hint("merge"), F.col(key).eqNullSafe(F.col(id_)), "left")
     all_lines = F.split(F.col(text), "\n", -1)
