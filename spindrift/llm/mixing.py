@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, join_small, materialize
+from .common import fresh, join_small, materialize, scratch
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3.0
@@ -118,6 +118,11 @@ def pivotal(rows: DataFrame, seed: int = 7, fan: int = FAN) -> DataFrame:
 
 def mix_table(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7) -> DataFrame:
     """Per row of df: key, size, source_size, target, copies, taken (copies * size). No text is shuffled."""
+    with scratch(df.sparkSession):
+        return materialize(_mix_table(df, key, text, source, seed), "mix", keep=True)
+
+
+def _mix_table(df: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
     words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
     sizes = materialize(df.select(F.col(key).alias("id"), F.col(source).alias("source"), words.alias("size")), "sizes")
     per = materialize(targets(sizes), "targets").withColumnRenamed("source", "source_")
@@ -140,15 +145,20 @@ def _mark(df: DataFrame) -> Column:
     return F.xxhash64(*cols, *[F.lit(0)])
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7) -> DataFrame:
+def mix(df: DataFrame, text: str = "text", source: str = "source", seed: int = 7) -> DataFrame:
     """The rows of df, each as many times as the mix takes it. A row is known by a hash of all its columns, so rows that differ at all
     are told apart, whatever their ids. Rows that are alike throughout can stand for one another: one of them brings all copies
     of all of them, so that however many there are, they meet as counts."""
+    with scratch(df.sparkSession):
+        return _mixed(df, text, source, seed)
+
+
+def _mixed(df: DataFrame, text: str, source: str, seed: int) -> DataFrame:
     id_, source_, size_, sum_, n_, copy_ = (fresh(df.columns, c) for c in ("mark_of", "source_of", "size_of", "copies_of", "rows_of", "copy_of"))
     marked = df.withColumn(id_, _mark(df))
     copies = mix_table(marked.select(F.col(f"`{id_}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{source}`").alias("source")), "id", "text", "source", seed)
     given = copies.groupBy(F.col("id").alias(id_), F.col("source").alias(source_), F.col("size").alias(size_)).agg(F.sum("copies").alias(sum_), F.count("*").alias(n_))
-    given = materialize(given.where(F.col(sum_) > 0), "copies")
+    given = materialize(given.where(F.col(sum_) > 0), "copies", keep=True)
     col = lambda c: F.col(f"`{c}`")
     keep = [col(c) for c in df.columns]
     own = fresh([*df.columns, id_], "own_mark")
