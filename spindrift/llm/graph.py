@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import BROADCAST_ROWS, materialize
+
+
+#: a node with more neighbours than this is hot: its edges stay where they are, and its minimum is sent to them
+HOT, SALTS = 256, 16
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """edges (u, v) with the smallest neighbour m of u, u itself included. The minimum is combined before it is shuffled, and a
-    hot u is met by a join that splits skewed keys."""
-    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "u")
+    """edges (u, v) with the smallest neighbour m of u, u itself included.
+
+    The minimum is combined before it is shuffled. Edges of hot nodes aren't shuffled again: these nodes are few (a HOT-th of the edges
+    at most), so their minima are broadcast, or, beyond the size that join_small allows, joined with their edges salted.
+    """
+    told = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+    hot = told.where(F.col("c") > HOT).select("u", "m")
+    n = len(hot.limit(BROADCAST_ROWS + 1).select(F.lit(1)).collect())
+    if not n:
+        return edges.join(told.drop("c"), "u")
+    if n <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
+        return edges.join(hot, "u").unionByName(edges.join(hot.select("u"), "u", "left_anti").join(told.where(F.col("c") <= HOT).drop("c"), "u"))
+    both = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return both.join(told.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), ["u", "salt"]).drop("salt")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -4,8 +4,10 @@ A text's set holds the 64-bit hashes of its distinct K-word shingles; two sets l
 sets share a token among the first n - ceil(PERCENT * n / 100) + 1 of either, in any order of tokens that is the same for all
 sets. That holds for every order at once, so a pair is a candidate only when it passes under all of them:
 
-1. Order 1 puts frequent tokens last, by the levels of a count sketch over all shingles of the corpus, and then goes by a hash. Its
-   prefix tokens are dealt out, and the documents that meet at a token are looked at together.
+1. Order 1 puts frequent tokens last, by the power of two of their number of documents, and then goes by a hash. All tokens of the
+   corpus are counted for that, as sorted runs of their first 32 bits that are merged by range; the frequent ones, at most
+   MOST_FREQUENT of them and none below FREQUENT documents, are known to all tasks. Order 1's prefix tokens are dealt out, and the
+   documents that meet at a token are looked at together.
 2. A parity bitmap of the whole set, about a bit for each token, bounds |a xor b| from below; pairs beyond
    (|a| + |b|) * (100 - P) / (100 + P) go before anything larger is sent.
 3. Orders 2 and 3 go by two other hashes; pairs without a common prefix token under either go.
@@ -35,13 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize, shipped
+from .common import join_small, materialize, scratch, shipped
 from .graph import components
 from .textbytes import blocks, mix, windows
 
 K, PERCENT = 5, 75
-#: counters of the sketch, and how they are cut for adding up
-WIDTH, SEGMENT = 1 << 20, 1 << 16
+#: tokens in fewer documents than this count as rare; how many frequent ones are sent to all tasks at most (5 bytes each)
+FREQUENT, MOST_FREQUENT = 16, 1 << 20
+#: counted tokens: values that a task sorts at a time, ranges that their runs are cut into, and values that one range may have when runs are merged
+RUN, RANGES, MERGED = 1 << 21, 1 << 10, 1 << 22
 #: buckets whose token may stand in more documents than this take the way for hot tokens
 HOT = 50_000
 BLOCK = 512
@@ -101,22 +105,60 @@ def other_prefixes(tokens: np.ndarray, percent: int) -> tuple[bytes, bytes]:
     return out[0], out[1]
 
 
+def _packed(values: np.ndarray, counts: np.ndarray) -> bytes:
+    """A run of distinct sorted values and their counts; steps between values are small, so their high bytes are zero."""
+    step = np.diff(values, prepend=np.uint32(0)).astype("<u4")
+    return zlib.compress(np.concatenate([x.astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel() for x in (step, counts)]).tobytes(), 1)
+
+
+def _unpacked(run: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zlib.decompress(run), np.uint8).reshape(2, 4, -1)
+    step, counts = (np.ascontiguousarray(x.T).view("<u4").ravel() for x in raw)
+    return np.cumsum(step, dtype=np.uint32), counts
+
+
+def _merged(runs: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The values of many runs, and their counts added up (at most 2^32 - 1)."""
+    parts = [_unpacked(r) for r in runs]
+    values = np.concatenate([v for v, _ in parts])
+    order = np.argsort(values, kind="stable")
+    values, counts = values[order], np.concatenate([c for _, c in parts])[order].astype(np.uint64)
+    starts = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    return values[starts], np.minimum(np.add.reduceat(counts, starts), 0xFFFFFFFF).astype(np.uint32)
+
+
+def _cut(values: np.ndarray, counts: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
+    """(range, run) for each of the even ranges of 32 bits that has values."""
+    shift = np.uint32(32 - (ranges.bit_length() - 1))
+    at = np.append(np.searchsorted(values >> shift, np.arange(ranges)) if shift < 32 else 0, len(values))
+    for r in np.flatnonzero(np.diff(at)):
+        yield int(r), _packed(values[at[r] : at[r + 1]], counts[at[r] : at[r + 1]])
+
+
 def _profiles(df: DataFrame, k: int) -> DataFrame:
-    """A row (id, n, s1, s2, parity) for each text, and a row (part, counts) for each segment of each task's sketch."""
+    """A row (id, n, s1, s2, parity) for each text, and rows (part, run) of the tokens of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(WIDTH, np.uint32)
-        names = ["id", "n", "s1", "s2", "parity", "part", "counts"]
+        held: list[np.ndarray] = []
+        names = ["id", "n", "s1", "s2", "parity", "part", "run"]
         kinds = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.binary()]
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
+        def counted() -> Iterator[pa.RecordBatch]:
+            if held:
+                values, counts = np.unique(np.concatenate(held), return_counts=True)
+                held.clear()
+                yield out([(None,) * 5 + row for row in _cut(values, counts.astype(np.uint32), RANGES)])
+
+        size = 0
         for b in batches:
             ids, rows = b.column(0).to_pylist(), []
             for i, own in shingle_sets(b.column(1), k):
                 if len(own):
-                    np.add.at(sketch, (own & np.uint64(WIDTH - 1)).astype(np.int64), 1)
+                    held.append((own >> np.uint64(32)).astype(np.uint32))
+                    size += len(own)
                     scrambled = mix(own ^ _ORDER_SALT[0])
                     s1, s2 = int(np.bitwise_xor.reduce(scrambled).view(np.int64)), int(scrambled.sum(dtype=np.uint64).view(np.int64))
                     rows.append((ids[i], len(own), s1, s2, parity_bitmap(own).tobytes(), None, None))
@@ -125,66 +167,91 @@ def _profiles(df: DataFrame, k: int) -> DataFrame:
                 if len(rows) >= 512:
                     yield out(rows)
                     rows = []
+                if size >= RUN:
+                    yield from counted()
+                    size = 0
             if rows:
                 yield out(rows)
-        for part in range(WIDTH // SEGMENT):
-            own = sketch[part * SEGMENT : (part + 1) * SEGMENT]
-            if own.any():
-                yield out([(None,) * 5 + (part, zlib.compress(own.tobytes(), 1))])
+        yield from counted()
 
-    return shipped(df).mapInArrow(run, "id long, n long, s1 long, s2 long, parity binary, part int, counts binary")
+    return shipped(df).mapInArrow(run, "id long, n long, s1 long, s2 long, parity binary, part int, run binary")
 
 
-def _levels(sketch: DataFrame) -> np.ndarray:
-    """The level (floor of log2) of each counter of the summed sketch: WIDTH bytes, whatever the input."""
+def _frequent(runs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, levels): the first 32 bits of the most frequent tokens, sorted, and floor(log2) of their numbers of documents.
+
+    Ranges are as many as keep each at about MERGED values: a few of those that the runs were cut into are merged together, or, in a
+    large corpus, each is merged in parts, cut again, and dealt out once more.
+    """
+    each = max(1, total // RANGES)
+    key = F.col("part")
+    if each > MERGED:
+        more = 1 << (each // MERGED).bit_length()
+
+        def again(rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(_cut(*_merged(iter(rows["run"])), RANGES * more), columns=["part", "run"])
+
+        # as many parts of a range as there will be ranges of it: each has about MERGED values as well
+        parts = runs.select("part", "run", F.pmod(F.xxhash64("run"), F.lit(more)).alias("some"))
+        runs = materialize(shipped(parts).groupBy("part", "some").applyInPandas(again, "part int, run binary"), "runs")
+    else:
+        key = F.floor(F.col("part") / max(1, MERGED // each))
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(SEGMENT, np.uint64)
-        for c in rows["counts"]:
-            raw = zlib.decompress(c)
-            total += np.frombuffer(raw, np.uint32 if len(raw) == 4 * SEGMENT else np.uint64)
-        return pd.DataFrame({"part": [rows["part"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+        values, counts = _merged(iter(rows["run"]))
+        often = counts >= FREQUENT
+        return pd.DataFrame({"value": values[often].astype(np.int64), "level": np.floor(np.log2(counts[often])).astype(np.int32)})
+
+    found = materialize(shipped(runs.select(key.alias("key"), "run")).groupBy("key").applyInPandas(add, "value long, level int"), "frequent")
+    room, least = MOST_FREQUENT, 64
+    for level, n in sorted(((r["level"], r["count"]) for r in found.groupBy("level").count().collect()), reverse=True):
+        if n > room:
+            break
+        room, least = room - n, level
+    top = found.where(F.col("level") >= least).toArrow()
+    values, levels = top.column("value").to_numpy().astype(np.uint32), top.column("level").to_numpy().astype(np.uint8)
+    order = np.argsort(values)
+    return values[order], levels[order]
+
 
-    parts = sketch.select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(64)).alias("some"))
-    for by in (["part", "some"], ["part"]):  # up a tree: no task adds up what all others left
-        parts = shipped(parts).groupBy(*by).applyInPandas(add, "part int, counts binary")
-    levels = np.zeros(WIDTH, np.uint8)
-    for r in parts.collect():
-        total = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
-        levels[r["part"] * SEGMENT : (r["part"] + 1) * SEGMENT] = np.floor(np.log2(np.maximum(total, 1))).astype(np.uint8)
-    return levels
+def token_levels(tokens: np.ndarray, values: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The level of each token, 0 for those that aren't frequent."""
+    if not len(values):
+        return np.zeros(len(tokens), np.uint8)
+    own = (tokens >> np.uint64(32)).astype(np.uint32)
+    at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+    return np.where(values[at] == own, levels[at], 0).astype(np.uint8)
 
 
-def _hot_level(levels: np.ndarray) -> int:
-    return max(int(np.log2(HOT)), int(np.median(levels)) + 4)
+HOT_LEVEL = HOT.bit_length() - 1
 
 
-def _postings(df: DataFrame, levels: np.ndarray, k: int, percent: int) -> DataFrame:
+def _postings(df: DataFrame, values: np.ndarray, levels: np.ndarray, k: int, percent: int) -> DataFrame:
     """(token, id, hot) for the tokens of each text's prefix under order 1."""
-    shared = df.sparkSession.sparkContext.broadcast(levels)
-    hot_level = _hot_level(levels)
+    shared = df.sparkSession.sparkContext.broadcast((values, levels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = shared.value
+        known = shared.value
         for b in batches:
-            ids, out, owner, held = b.column(0).to_numpy(zero_copy_only=False), [], [], 0
+            ids, out, hot, owner, held = b.column(0).to_numpy(zero_copy_only=False), [], [], [], 0
             for i, own in shingle_sets(b.column(1), k):
                 if not len(own):
                     continue
-                rank = (level[(own & np.uint64(WIDTH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (mix(own ^ _ORDER_SALT[0]) >> np.uint64(8))
-                out.append(prefix(own, rank, prefix_length(len(own), percent)))
-                owner.append(np.full(len(out[-1]), ids[i], np.int64))
-                held += len(out[-1])
+                level = token_levels(own, *known)
+                rank = (level.astype(np.uint64) << np.uint64(56)) | (mix(own ^ _ORDER_SALT[0]) >> np.uint64(8))
+                first = prefix(np.arange(len(own)), rank, prefix_length(len(own), percent))
+                out.append(own[first])
+                hot.append(level[first] >= HOT_LEVEL)
+                owner.append(np.full(len(first), ids[i], np.int64))
+                held += len(first)
                 if held > 50_000:
-                    yield batch(out, owner, level)
-                    out, owner, held = [], [], 0
+                    yield batch(out, hot, owner)
+                    out, hot, owner, held = [], [], [], 0
             if out:
-                yield batch(out, owner, level)
+                yield batch(out, hot, owner)
 
-    def batch(out: list, owner: list, level: np.ndarray) -> pa.RecordBatch:
-        tokens = np.concatenate(out)
-        hot = level[(tokens & np.uint64(WIDTH - 1)).astype(np.int64)] >= hot_level
-        return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(np.concatenate(owner)), pa.array(hot)], names=["token", "id", "hot"])
+    def batch(out: list, hot: list, owner: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(owner)), pa.array(np.concatenate(hot))], names=["token", "id", "hot"])
 
     return shipped(df).mapInArrow(run, "token long, id long, hot boolean")
 
@@ -351,21 +418,29 @@ def _across(members: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
     """Per row of df: key, n_shingles, component_id (smallest id that links reach, its own included)."""
+    with scratch(df.sparkSession):
+        return _components_of(df, key, text, k, percent)
+
+
+def _components_of(df: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     told = materialize(_profiles(docs, k), "profiles")
-    profiles = told.where("part IS NULL").drop("part", "counts")
-    levels = _levels(told.where("part IS NOT NULL"))
+    profiles = told.where("part IS NULL").drop("part", "run")
+    total, shingles = profiles.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    values, levels = _frequent(told.where("part IS NOT NULL").select("part", "run"), shingles)
 
     # one document stands for each distinct set
     classes = profiles.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("leader"), F.count("*").alias("size"))
     classes = materialize(classes.where("size > 1 AND leader IS NOT NULL").drop("size"), "classes")
     copies = materialize(profiles.select("id", "s1", "s2", "n").join(classes, ["s1", "s2", "n"]).where("id IS NULL OR id <> leader").select("id", "leader").distinct(), "copies")
-    spare = copies.where("id IS NOT NULL").select("id")
+    # an id that has several sets isn't told by its copy alone
+    several = profiles.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min(F.struct("s1", "s2", "n")).alias("x"), F.max(F.struct("s1", "s2", "n")).alias("y")).where("x <> y")
+    spare = copies.where("id IS NOT NULL").select("id").join(several, "id", "left_anti")
     alone = join_small(docs.where("id IS NOT NULL"), spare, "id", "left_anti")
     thin = profiles.where("n > 0 AND id IS NOT NULL").dropDuplicates(["id", "s1", "s2"])
     # a document of one id and several texts has a profile for each
 
-    buckets = materialize(_buckets(_postings(alone, levels, k, percent), bool((levels >= _hot_level(levels)).any())), "buckets")
+    buckets = materialize(_buckets(_postings(alone, values, levels, k, percent), bool((levels >= HOT_LEVEL).any())), "buckets")
     star = buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
     wide = buckets.where(F.col("size") >= WIDE)
     heads = wide.groupBy("bucket").agg(F.array(*[F.min_by("id", F.xxhash64(F.lit(-h), "id")) for h in range(1, HEADS + 1)]).alias("heads"))
@@ -376,7 +451,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
 
     # Documents that share tokens but no component yet. Where they would make more pairs than some for each document, stars around
     # other leaders come first: members of a large group link up with one of these, and few are left for the exact comparison.
-    total, done = profiles.count(), 0
+    done = 0
     while True:
         members = buckets.where("size > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         parts = members.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
@@ -400,12 +475,12 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
     same = copies.where("id IS NOT NULL").select(F.col("leader").alias("a"), F.col("id").alias("b"))
     found = materialize(components(links.unionByName(same)), "components")
     out = profiles.select("id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "id"), "id", "left")
-    return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    return materialize(out.select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id")), "jaccard", keep=True)
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
     """The rows of df less those whose component has a smaller id; of rows that share an id one stays. Rows without id stay."""
-    found = materialize(jaccard_components(df, key, text, k, percent), "groups")
+    found = jaccard_components(df, key, text, k, percent)
     spare = found.where(F.col("component_id") != F.col(key)).select(F.col(key)).distinct()
     left = join_small(df, spare, key, "left_anti")
     twice = materialize(found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "twice")

@@ -75,8 +75,8 @@ def test_other_ways_agree(spark, monkeypatch):
     want = brute(rows)
     monkeypatch.setattr(J, "BLOCK", 7)
     monkeypatch.setattr(J, "OPEN_PAIRS", 0.01)
-    monkeypatch.setattr(J, "HOT", 1)
-    monkeypatch.setattr(J, "_hot_level", lambda levels: 1)
+    monkeypatch.setattr(J, "HOT_LEVEL", 1)
+    monkeypatch.setattr(J, "FREQUENT", 2)
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == want
 
 
@@ -101,3 +101,58 @@ def test_odd_empty_and_one_of_each(spark, odd, empty):
     named = [i for i in ids if i is not None]
     assert sorted(named) == sorted({c for d, _, c in brute(rows) if d is not None and c == d})
     assert ids.count(None) == sum(d is None for d, _ in rows)
+
+
+def test_frequent_tokens(spark, monkeypatch):
+    """Counts by merged runs are the counts, however often the runs are cut; the rarest levels go where there is no room."""
+    g = np.random.Generator(np.random.PCG64(2))
+    values = (g.zipf(1.3, 30_000) % 5000 * 858_993).astype(np.uint32)
+    runs = []
+    for part in np.array_split(values, 7):
+        v, c = np.unique(part, return_counts=True)
+        runs += list(J._cut(v, c.astype(np.uint32), J.RANGES))
+    df = spark.createDataFrame(runs, "part int, run binary")
+    v, c = np.unique(values, return_counts=True)
+    want = {int(x): int(np.log2(n)) for x, n in zip(v, c, strict=True) if n >= J.FREQUENT}
+    for merged in (1 << 22, 8):  # the second: ranges are cut and dealt out again
+        monkeypatch.setattr(J, "MERGED", merged)
+        x, level = J._frequent(df, len(values))
+        assert dict(zip(x.tolist(), level.tolist(), strict=True)) == want and (np.diff(x.astype(np.int64)) > 0).all()
+    monkeypatch.setattr(J, "MOST_FREQUENT", len(want) // 2)
+    x, level = J._frequent(df, len(values))
+    assert 0 < len(x) <= len(want) // 2 and set(level.tolist()) == {y for y in want.values() if y >= level.min()}
+    tokens = (np.append(x[:3], np.uint32(1)).astype(np.uint64) << np.uint64(32)) | np.uint64(77)
+    assert J.token_levels(tokens, x, level).tolist() == [*level[:3].tolist(), 0]
+
+
+def test_id_with_several_texts_keeps_its_links(spark):
+    """One id on two rows: a copy of a smaller document, and a text that another document is near to."""
+    a = " ".join(f"a{i}" for i in range(60))
+    b = " ".join(f"b{i}" for i in range(60))
+    rows = [(1, b), (5, a), (5, b), (9, f"{a} more"), (7, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df) == brute(rows)
+
+
+def test_hot_nodes(spark, monkeypatch):
+    """Stars with a hot centre, by either way of joining its minimum."""
+    from spindrift.llm import graph
+
+    links = [(0, i) for i in range(1, 60)] + [(100 + i, 100 + i + 1) for i in range(9)] + [(59, 200), (200, 201)]
+    df = spark.createDataFrame(links, "a long, b long")
+    want = {**{i: 0 for i in range(60)}, 200: 0, 201: 0, **{100 + i: 100 for i in range(10)}}
+    for hot, rows in ((256, 50_000), (4, 50_000), (4, 0)):
+        monkeypatch.setattr(graph, "HOT", hot)
+        monkeypatch.setattr(graph, "BROADCAST_ROWS", rows)
+        assert {r.node: r.component for r in graph.components(df).collect()} == want
+
+
+def test_nothing_is_left_behind(spark, docs):
+    """Of all tables that were written on the way only the result's is left."""
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    out = J.jaccard_components(docs)
+    after = set(os.listdir(folder)) - before
+    assert len(after) == 1 and out.count() == docs.count()
