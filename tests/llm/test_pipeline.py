@@ -6,6 +6,9 @@ import public_tokenizers as P
 import sentencepiece
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
+from spindrift.llm.common import materialize
 
 from . import test_jaccard, test_lines, test_mixing
 
@@ -42,8 +45,42 @@ def test_run(spark, sf):
 
 
 def test_odd_and_empty(spark, sf, odd, empty):
-    for start in (odd, empty):
+    """Nulls, blanks, very long texts, repeated rows: what each stage keeps is told from the one before."""
+    prose = lambda i: " ".join(f"w{i}x{j}" for j in range(90)) + "."
+    long = " ".join(f"word{j}" for j in range(50_000))
+    more = [(40, prose(40), None, None, None), (41, prose(41), "en", "s1", 3), (41, prose(41), "en", "s1", 3), (42, prose(41), "de", "s2", 3), (None, prose(43), "en", None, 1), (44, long, "en", "s1", 1)]
+    more = spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit(None).cast("string").alias(c) for c in odd.columns[5:]])
+    for start, stays in ((odd.unionByName(more), {40, 41, None, 44}), (empty, set())):
         now = start
-        for _, stage in corpus_pipeline.STAGES:
-            now = stage(spark, now, sf)
-        assert now.count() >= 0
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            was = now
+            now = materialize(stage(spark, was, sf), "stage")
+            assert i == 4 or now.columns == start.columns
+            ids = [r.doc_id for r in now.select("doc_id").collect()]
+            if i == 2:
+                assert len(ids) == len(stays) and set(ids) == stays  # all others are too short, or copies
+        assert set(ids) <= stays
+        lib = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+        texts = {r.doc_id: r.text for r in was.collect()}
+        assert all(list(r.ids) == lib.encode(texts[r.doc_id]) for r in now.collect())
+
+
+def test_columns_of_any_name_are_handed_on(spark, sf, docs):
+    """Columns with names that operators use inside keep their values through the stages that return documents."""
+    names = ["source_", "lang_", "m0", "p00", "n_words", "kept", "distance", "id_", "size_", "copies_", "copy_", "id", "size", "component_id", "n_shingles", "drop_", "line", "counts_of", "verdict_of", "mark_of", "made", "taken"]
+    now = docs.select("*", *[F.concat(F.lit(f"{n} of "), "doc_id").alias(n) for n in names])
+    columns = now.columns
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        now = materialize(stage(spark, now, sf), "stage")
+        assert now.columns == columns and now.count() > 20
+    assert all(r[n] == f"{n} of {r.doc_id}" for r in now.collect() for n in names)
+
+
+def test_run_leaves_its_result_only(spark, sf):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    corpus_pipeline.run(spark, sf)
+    after = set(os.listdir(folder)) - before
+    assert len(after) == 1 and os.listdir(f"{folder}/{after.pop()}") == ["4"]
