@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from spindrift.llm import jaccard, lines, mixing, pieces, quality
-from spindrift.llm.common import shared_dir
+from spindrift.llm.common import remove, scratch, shared_dir
 from spindrift.llm.queries import tokenizer_path
 
 
@@ -47,6 +47,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
+        if i:
+            remove(spark, [f"{base}/{i - 1}"])  # the stage that read it has been written
         docs = spark.read.parquet(f"{base}/{i}")
     return docs
