@@ -444,7 +444,7 @@ def _components_of(df: DataFrame, key: str, text: str, k: int, percent: int) ->
     star = buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
     wide = buckets.where(F.col("size") >= WIDE)
     heads = wide.groupBy("bucket").agg(F.array(*[F.min_by("id", F.xxhash64(F.lit(-h), "id")) for h in range(1, HEADS + 1)]).alias("heads"))
-    around = wide.join(heads, "bucket").select("id", F.explode("heads").alias("head")).where("id <> head")
+    around = join_small(wide, materialize(heads, "heads"), "bucket").select("id", F.explode("heads").alias("head")).where("id <> head")
     star = materialize(star.unionByName(around.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))).distinct(), "stars")
     links = _verified(_filtered(star, thin, percent), alone, k, percent)
     found = components(links)
@@ -456,13 +456,13 @@ def _components_of(df: DataFrame, key: str, text: str, k: int, percent: int) ->
         members = buckets.where("size > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         parts = members.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
         mixed = materialize(parts.where("n * n > s").withColumn("open", (F.col("n") * F.col("n") - F.col("s")) / 2), "mixed")
-        members = materialize(members.join(mixed.select("bucket"), "bucket", "left_semi"), "members")
+        members = materialize(join_small(members, mixed.select("bucket"), "bucket", "left_semi"), "members")
         open_pairs = mixed.agg(F.sum("open")).first()[0] or 0
         if open_pairs <= OPEN_PAIRS * total:
             break
         done += 1
         heads = members.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(done), "id")).alias("h"))
-        around = members.join(heads, "bucket").where("component <> h.component")
+        around = join_small(members, materialize(heads, "heads"), "bucket").where("component <> h.component")
         again = _verified(_filtered(around.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct(), thin, percent), alone, k, percent)
         if again.count() <= total // 1000:
             links = links.unionByName(again)
