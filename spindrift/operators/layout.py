@@ -6,12 +6,12 @@ from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..workers import shipped
-from .ranks import min_max
+from .ranks import min_max, row_numbers
 
 
 def pca(df: DataFrame, vector: str, k: int) -> DataFrame:
@@ -56,10 +56,11 @@ def auto_grid(n: int) -> int:
 
 
 def grid_cells(df: DataFrame, x: str, y: str, cells: int) -> DataFrame:
-    """Gx, gy: the cell of each point on a grid over the points' range."""
+    """Gx, gy: the cell of each point. A range has cells - 1 edges, evenly spaced from its smallest to its largest value, and a
+    point's cell is the number of edges at or below it: 1 to cells - 1."""
     out = df
     for c, g in ((x, "gx"), (y, "gy")):
-        out = min_max(out, c, "u_").withColumn(g, F.least(F.floor(F.col("u_") * cells), F.lit(cells - 1)).cast("int")).drop("u_")
+        out = min_max(out, c, "u_", flat=0.0).withColumn(g, (F.floor(F.col("u_") * (cells - 2)) + 1).cast("int")).drop("u_")
     return out
 
 
@@ -67,29 +68,32 @@ def _ring(r: int):
     return [(dx, dy) for dx in range(-r, r + 1) for dy in range(-r, r + 1) if max(abs(dx), abs(dy)) == r]
 
 
-def pack(df: DataFrame, key: str, cells: int, tile: int = 32) -> DataFrame:
-    """A free cell (px, py) for every item, near its own: by id, the own cell, else the nearest free one on growing rings within
-    its tile, else the first free one. Tiles of `tile` cells a side are packed independently, so no task holds more than a tile's
-    items; items beyond a tile's cells share the last cell."""
+def pack(df: DataFrame, key: str, cells: int, reach: int = 5) -> DataFrame:
+    """A cell (px, py) of its own for every item, near its wanted one: items in order of their cells (by rows of gy, then gx),
+    then of key, take the wanted cell, else the first free one of the rings up to `reach` around it, else the first free one of the
+    grid. One after the other over the whole grid, so one task does it; it gets no more items than the grid has cells, as all that
+    come after them share the cell (0, 0)."""
 
     def place(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(key, ignore_index=True)
-        x0, y0 = int(g["tx"].iloc[0]) * tile, int(g["ty"].iloc[0]) * tile
-        w, h = min(tile, cells - x0), min(tile, cells - y0)
-        free = np.ones((w, h), bool)
+        g = g.sort_values("rn_", ignore_index=True)
+        free = np.ones((cells, cells), bool)
+        flat, first = free.ravel(), 0
         px, py = [], []
-        for gx, gy in zip(g["gx"] - x0, g["gy"] - y0, strict=True):
-            spot = next(((gx + dx, gy + dy) for r in range(6) for dx, dy in sorted(_ring(r), key=lambda d: (d[0] ** 2 + d[1] ** 2, d)) if 0 <= gx + dx < w and 0 <= gy + dy < h and free[gx + dx, gy + dy]), None)
+        for gx, gy in zip(g["gx"], g["gy"], strict=True):
+            spot = next(((gx + dx, gy + dy) for r in range(reach + 1) for dx, dy in _ring(r) if 0 <= gx + dx < cells and 0 <= gy + dy < cells and free[gx + dx, gy + dy]), None)
             if spot is None:
-                rest = np.argwhere(free)
-                spot = tuple(rest[0]) if len(rest) else (w - 1, h - 1)
+                while not flat[first]:
+                    first += 1
+                spot = divmod(first, cells)
             free[spot] = False
-            px.append(x0 + int(spot[0]))
-            py.append(y0 + int(spot[1]))
+            px.append(int(spot[0]))
+            py.append(int(spot[1]))
         return pd.DataFrame({key: g[key], "px": px, "py": py})
 
-    d = df.select(key, "gx", "gy", F.floor(F.col("gx") / tile).alias("tx"), F.floor(F.col("gy") / tile).alias("ty"))
-    return shipped(d).groupBy("tx", "ty").applyInPandas(place, f"{key} {df.schema[key].dataType.simpleString()}, px long, py long")
+    ordered = row_numbers(df.select(key, "gx", "gy", (F.col("gy") * cells + F.col("gx")).alias("at_")), "at_", key, "rn_")
+    kind = f"{key} {df.schema[key].dataType.simpleString()}, px long, py long"
+    placed = shipped(ordered.where(F.col("rn_") <= cells * cells).withColumn("grid_", F.lit(0))).groupBy("grid_").applyInPandas(place, kind)
+    return placed.unionByName(ordered.where(F.col("rn_") > cells * cells).select(key, F.lit(0).cast("long").alias("px"), F.lit(0).cast("long").alias("py")))
 
 
 def pack_around(df: DataFrame, key: str, x: str, y: str, centre, k: int) -> DataFrame:
@@ -141,6 +145,3 @@ def kmeans(df: DataFrame, key: str, x: str, y: str, k: int, rounds: int) -> Data
         for r in df.groupBy(nearest().alias("c")).agg(F.avg(x).alias("x"), F.avg(y).alias("y")).collect():
             cs[r["c"]] = (r["x"], r["y"])
     return df.withColumn("cluster", nearest() if cs else F.lit(None).cast("int"))
-
-
-_ = Window

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import average_rank, rank_percentile, with_rank
+from ..workers import shipped
+from .ranks import STRETCHES, average_rank, rank_percentile
 
 
 def pearson(x: str, y: str, flat: float | None = 0.0) -> Column:
@@ -112,40 +115,43 @@ def pava(x: list[float], y: list[float]) -> list[float]:
     return out
 
 
-def isotonic_mae(df: DataFrame, pred: str, ref: str, by: Sequence[str], levels: int = 10_000) -> DataFrame:
+def _pooled(*columns: pd.Series) -> list[list[float]]:
+    """Isotonic blocks of rows (first x, last x, sum, weight) in order of x: neighbours that go down are pooled."""
+    blocks: list[list[float]] = []
+    for row in zip(*columns, strict=True):
+        blocks.append([float(v) for v in row])
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
+            _, last, s, w = blocks.pop()
+            blocks[-1][1:] = [last, blocks[-1][2] + s, blocks[-1][3] + w]
+    return blocks
+
+
+def isotonic_mae(df: DataFrame, pred: str, ref: str, by: Sequence[str]) -> DataFrame:
     """Mean absolute error of the reference against its isotonic fit on the rank percentile of the prediction, clipped to [0, 1].
 
-    Rows are first summed by percentile at `levels` steps, so a group brings at most that many rows to its task.
+    Rows are first summed by percentile. Pooling may go on in any order, so each stretch of percentiles is pooled by itself, and then
+    the blocks that are left of all stretches of a group; rows then look up the block of their percentile.
     """
-    import pandas as pd
-
-    r = rank_percentile(df.select(*by, pred, ref), pred, "p_", by).withColumn("q_", F.round(F.col("p_") * levels).cast("int"))
-    cells = r.groupBy(*by, "q_", ref).agg(F.count("*").alias("n"))
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        x, y, w = g["q_"].to_numpy(), g[ref].to_numpy(float), g["n"].to_numpy()
-        at, inv = np.unique(x, return_inverse=True)
-        weight = np.bincount(inv, w)
-        means = np.bincount(inv, w * y) / weight
-        blocks: list[list] = []
-        for m, v, i in zip(means, weight, range(len(at)), strict=True):
-            blocks.append([m, v, i])
-            while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-                m2, v2, i2 = blocks.pop()
-                m1, v1, _ = blocks.pop()
-                blocks.append([(m1 * v1 + m2 * v2) / (v1 + v2), v1 + v2, i2])
-        fitted = np.empty(len(at))
-        start = 0
-        for m, _, last in blocks:
-            fitted[start : last + 1] = m
-            start = last + 1
-        mae = float((w * np.abs(np.clip(fitted, 0, 1)[inv] - y)).sum() / w.sum())
-        return pd.DataFrame({**{c: [g[c].iloc[0]] for c in by}, "mae": [mae]})
-
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-    return cells.groupBy(*by).applyInPandas(fit, f"{kinds}{', ' if by else ''}mae double")
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
+    r = rank_percentile(df.select(*by, F.col(pred).alias("x_"), F.col(ref).cast("double").alias("y_")).where("x_ IS NOT NULL AND y_ IS NOT NULL"), "x_", "p_", by)
+    part = F.least(F.floor(F.col("p_") * STRETCHES), F.lit(STRETCHES - 1)).cast("int").alias("part_")
+    cells = r.groupBy(*by, "p_").agg(F.sum("y_").alias("s_"), F.count("*").alias("w_")).select(*by, part, F.col("p_").alias("lo_"), F.col("p_").alias("hi_"), "s_", "w_")
+
+    def pool(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("lo_")
+        out = pd.DataFrame(_pooled(g["lo_"], g["hi_"], g["s_"], g["w_"]), columns=["lo_", "hi_", "s_", "w_"], dtype=float)
+        for i, c in enumerate(by):
+            out.insert(i, c, g[c].iloc[0])
+        return out
+
+    schema = f"{kinds}lo_ double, hi_ double, s_ double, w_ double"
+    blocks = shipped(cells).groupBy(*by, "part_").applyInPandas(pool, schema).groupBy(*by).applyInPandas(pool, schema)
+    # a block reaches over stretches: it is dealt to each, so that rows meet the blocks of their stretch only
+    first, last = (F.least(F.floor(F.col(c) * STRETCHES), F.lit(STRETCHES - 1)).cast("int") for c in ("lo_", "hi_"))
+    fits = blocks.select(*[F.col(c).alias(f"{c}_of") for c in by], "lo_", "hi_", F.least(F.greatest(F.col("s_") / F.col("w_"), F.lit(0.0)), F.lit(1.0)).alias("fit_"), F.explode(F.sequence(first, last)).alias("at_"))
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in by], (F.col("part_") == F.col("at_")) & F.col("p_").between(F.col("lo_"), F.col("hi_")))
+    rows = r.groupBy(*by, "p_", "y_").agg(F.count("*").alias("w_")).select(*by, part, "p_", "y_", "w_")
+    return rows.join(fits, on).groupBy(*by).agg((F.sum(F.col("w_") * F.abs(F.col("fit_") - F.col("y_"))) / F.sum("w_")).alias("mae"))
 
 
 def coverage_risk(df: DataFrame, key: str, uncertainty: str, error: str, shares: Sequence[float]) -> DataFrame:
@@ -175,7 +181,3 @@ def confusion_scores(df: DataFrame, axes: Sequence[str], cls: str) -> DataFrame:
     p = F.col("nc") / F.col("n")
     cov = F.col("sc") / F.col("n") - F.col("m") * p
     return part.join(F.broadcast(whole), "axis").select("axis", cls, F.when((F.col("s") > 1e-12) & (p < 1), cov / (F.col("s") * F.sqrt(p * (1 - p)))).otherwise(F.lit(0.0)).alias("corr"))
-
-
-__all__ = [n for n in dir() if not n.startswith("_")]
-_ = with_rank

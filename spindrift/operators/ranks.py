@@ -3,51 +3,60 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: stretches of the value range that a whole-table rank is worked off in
 STRETCHES = 200
+#: values that follow each other by this or less are ties
+TIE = 1e-12
 
 
-def _stretch(df: DataFrame, value: str) -> Column | None:
-    """Number of the value's stretch of the range; None if the table needs no cutting. The bounds are about the quantiles of all
-    rows; where they lie has no influence on results, as ties never part."""
+def _stretch(df: DataFrame, value: str, on: str | None = None) -> Column | None:
+    """Number of the value's stretch of the range; None if the table has no value. The bounds are about the quantiles of all
+    rows; where they lie has no influence on results, as ties never part. `on`: the column to tell the stretch of."""
     cuts = df.agg(F.percentile_approx(value, [i / STRETCHES for i in range(1, STRETCHES)], 1000).alias("c")).first()["c"]
     cuts = sorted(set(cuts or []))
     if not cuts:
         return None
+    if isinstance(cuts[0], float):  # a cut lies a tie's width above a value, and no two cuts divide values that are tied
+        cuts = [c + TIE for c, after in zip(cuts, [*cuts[1:], float("inf")], strict=True) if after - c > 2 * TIE]
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(F.col(value) <= F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return F.when(F.col(on or value) <= F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
     return tree(0, len(cuts))
 
 
-def with_rank(df: DataFrame, value: str, by: Sequence[str] = (), low: str = "rank_low", ties: str = "rank_ties", n: str = "rank_n") -> DataFrame:
+def with_rank(df: DataFrame, value: str, by: Sequence[str] = (), low: str = "rank_low", ties: str = "rank_ties", n: str = "rank_n", tie: float = TIE) -> DataFrame:
     """df with the number of smaller values, of equal values (the row included) and of all, in its group or the whole table.
-    Rows without a value have none of these and aren't counted."""
+    Rows without a value have none of these and aren't counted. Values that follow each other by `tie` or less are equal.
+
+    Values are counted first; the counts are ranked by group and stretch, so neither a table nor a large group is sorted by one task.
+    """
     keep = df.columns
-    if by:
-        order = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
-        same, whole = Window.partitionBy(*by, value), Window.partitionBy(*by)
-        out = df.select(*keep, (F.rank().over(order) - 1).alias(low), F.count(value).over(same).alias(ties), F.count(value).over(whole).alias(n))
-    else:
-        counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value_")).agg(F.count("*").alias("c_"))
-        stretch = _stretch(df, value)
-        if stretch is None:
-            return df.select(*keep, *[F.lit(None).cast("long").alias(c) for c in (low, ties, n)])
-        counts = counts.withColumnRenamed("value_", value).withColumn("part_", stretch).withColumnRenamed(value, "value_")
-        before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # one row a stretch
-        offsets = counts.groupBy("part_").agg(F.sum("c_").alias("s_")).select("part_", F.coalesce(F.sum("s_").over(before), F.lit(0)).alias("before_"), F.sum("s_").over(Window.partitionBy()).alias("n_"))
-        inside = Window.partitionBy("part_").orderBy("value_").rowsBetween(Window.unboundedPreceding, -1)
-        ranked = counts.withColumn("in_", F.coalesce(F.sum("c_").over(inside), F.lit(0))).join(F.broadcast(offsets), "part_")
-        ranked = ranked.select("value_", (F.col("in_") + F.col("before_")).alias(low), F.col("c_").alias(ties), F.col("n_").alias(n))
-        out = df.join(ranked, F.col(value) == F.col("value_"), "left").select(*keep, low, ties, n)
+    stretch = _stretch(df, value, "value_")
+    if stretch is None:
+        return df.select(*keep, *[F.lit(None).cast("long").alias(c) for c in (low, ties, n)])
+    counts = df.where(F.col(value).isNotNull()).groupBy(*[F.col(b).alias(f"by{i}_") for i, b in enumerate(by)], F.col(value).alias("value_")).agg(F.count("*").alias("c_")).withColumn("part_", stretch)
+    own = [f"by{i}_" for i in range(len(by))]
+    before = Window.partitionBy(*own).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # one row a stretch
+    offsets = counts.groupBy(*own, "part_").agg(F.sum("c_").alias("s_")).select(*[F.col(c).alias(f"o{c}") for c in own], F.col("part_").alias("opart_"), F.coalesce(F.sum("s_").over(before), F.lit(0)).alias("before_"), F.sum("s_").over(Window.partitionBy(*own)).alias("n_"))
+    inside = Window.partitionBy(*own, "part_").orderBy("value_")
+    gap = F.col("value_").cast("double") - F.lag("value_").over(inside).cast("double")
+    ranked = counts.select("*", F.coalesce(F.sum("c_").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("in_"), F.when(gap <= tie, 0).otherwise(1).alias("new_"))
+    run = Window.partitionBy(*own, "part_", "run_")
+    ranked = ranked.withColumn("run_", F.sum("new_").over(inside)).withColumns({"in_": F.min("in_").over(run), "c_": F.sum("c_").over(run)})
+    same = (F.col("part_") == F.col("opart_")) if not own else reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"o{c}")) for c in own], F.col("part_") == F.col("opart_"))
+    ranked = ranked.join(offsets if own else F.broadcast(offsets), same)
+    ranked = ranked.select(*own, "value_", (F.col("in_") + F.col("before_")).alias(low), F.col("c_").alias(ties), F.col("n_").alias(n))
+    on = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"by{i}_")) for i, b in enumerate(by)], F.col(value) == F.col("value_"))
+    out = df.join(ranked, on, "left").select(*keep, low, ties, n)
     return out.select(*keep, *[F.when(F.col(value).isNotNull(), F.col(c)).alias(c) for c in (low, ties, n)])
 
 
@@ -126,10 +135,9 @@ def fill_gaps(df: DataFrame, at: str, value: str, by: Sequence[str] = (), out: s
     return t.withColumn(out, F.when(F.col(value).isNotNull(), F.col(value)).when(F.col("lo_").isNull(), F.col("hi_")).when(F.col("hi_").isNull(), F.col("lo_")).otherwise(line)).drop("lo_", "hi_", "al_", "ah_")
 
 
-def kde(df: DataFrame, value: str, grid: int, bandwidth: float | None = None, lo: float = 0.0, hi: float = 100.0, decimals: int = 3) -> DataFrame:
-    """Gaussian kernel curve over a grid, peak 1. Values are first counted at `decimals`, so the kernel meets distinct values
-    only, however many rows there are."""
-    points = df.where(F.col(value).isNotNull()).groupBy(F.round(value, decimals).alias("v")).agg(F.count("*").alias("c"))
+def kde(df: DataFrame, value: str, grid: int, bandwidth: float | None = None, lo: float = 0.0, hi: float = 100.0) -> DataFrame:
+    """Gaussian kernel curve over a grid, peak 1. The kernel meets each distinct value once, and a task sends one row a grid point."""
+    points = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
     if bandwidth is None:
         n = df.where(F.col(value).isNotNull()).count()
         bandwidth = min(10.0, max(2.4, 70.0 / (n + 6) ** 0.5))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import ranks, selection, similarity
+from ..session import stored
 from ..workers import shipped
 from . import models
 
@@ -90,6 +92,7 @@ class Axis:
 
     def __init__(self, items: DataFrame, key: str, vector: str, state: State):
         self.items, self.key, self.vector, self.state = items.select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v")), key, vector, state
+        self.fitted: tuple[str, object] | None = None
 
     @staticmethod
     def create(items: DataFrame, key: str, vector: str, w0, **options) -> Axis:
@@ -116,7 +119,15 @@ class Axis:
         return np.array(self.prior().agg(F.percentile("z0", F.array(*[F.lit(float(p)) for p in ps])).alias("q")).first()["q"])
 
     def model(self):
-        """M2, M4, M6, M7, M8: the fitted model of the present state."""
+        """M2, M4, M6, M7, M8: the fitted model of the present state. E6: it is fitted once for each signature of the state."""
+        if self.fitted is None or self.fitted[0] != self.signature():
+            self.fitted = self.signature(), self._fit()
+        return self.fitted[1]
+
+    def signature(self) -> str:
+        return sha256(self.state.to_json().encode()).hexdigest()
+
+    def _fit(self):
         o, w0 = self.state.options, np.array(self.state.w0)
         moved, p, weight = self._targets()
         if o.mode == "rank":
@@ -142,9 +153,17 @@ class Axis:
     def _prior_percent(self) -> DataFrame:
         return ranks.rank_percentile(self.prior().select("id", "z0"), "z0", "pct")
 
-    def _lengthscale(self) -> float:
-        picked = self.items.orderBy(F.md5("id"), "id").limit(96).collect()
-        return models.median_lengthscale([r["v"] for r in picked])
+    def _lengthscale(self, most: int = 96) -> float:
+        """From `most` items, evenly spaced in the order of their ids."""
+        ordered = stored(self.items.select("id").repartitionByRange("id").sortWithinPartitions("id").withColumn("at", F.monotonically_increasing_id()), "order")
+        sizes = [(r["part"], r["count"]) for r in ordered.groupBy(F.shiftright("at", 33).alias("part")).count().orderBy("part").collect()]
+        n = sum(c for _, c in sizes)
+        wanted, before = [], 0
+        for part, c in sizes:
+            wanted += [(part << 33) + i - before for i in sorted({round(k * (n - 1) / max(1, min(n, most) - 1)) for k in range(min(n, most))}) if before <= i < before + c]
+            before += c
+        picked = [r["id"] for r in ordered.where(F.col("at").isin(wanted)).collect()]
+        return models.median_lengthscale([r["v"] for r in self.items.where(F.col("id").isin(picked)).orderBy("id").collect()])
 
     def _basis(self, k: int) -> np.ndarray:
         from ..operators.layout import _moments
@@ -191,6 +210,8 @@ class Axis:
         return models.fit_mixture(start, w0, x, np.array([place[a] for a, _, _ in pairs]), np.array([place[b] for _, b, _ in pairs]), np.array([w for *_, w in pairs]), np.array([place[k] for k in moved], int), y, weight)
 
     def _graph(self) -> tuple[models.Graph, list[str], np.ndarray]:
+        if len(self.items.select("id").limit(models.GRAPH_ITEMS + 1).collect()) > models.GRAPH_ITEMS:
+            raise ValueError(f"graph models hold {models.GRAPH_ITEMS} items at most")
         rows = self.prior().select("id", "z0", "v").orderBy("id")
         numbered = rows.select("id", "v").withColumn("no", F.row_number().over(Window.orderBy("id")) - 1)  # limited by GRAPH_ITEMS
         ids = [r["id"] for r in rows.select("id").collect()]
@@ -213,9 +234,9 @@ class Axis:
         if o.mode == "graph":
             (graph, ids, z0), _, moved, y, weight = model
             place = {k: i for i, k in enumerate(ids)}
-            mean, taken = graph.posterior(z0, np.array([place[k] for k in moved], int), y, weight, o.sigma2)
-            out = self.items.sparkSession.createDataFrame(pd.DataFrame({"id": ids, "z": mean, "less": taken}))
-            return self.items.join(out, "id").withColumn("std", F.sqrt(F.greatest(F.lit(1e-8), F.lit(1 / graph.prior) - F.col("less")))).select("id", "v", "z", "std")
+            mean, variance = graph.posterior(z0, np.array([place[k] for k in moved], int), y, weight, o.sigma2)
+            out = self.items.sparkSession.createDataFrame(pd.DataFrame({"id": ids, "z": mean, "std": np.sqrt(variance)}))
+            return self.items.join(out, "id").select("id", "v", "z", "std")
         if isinstance(model, models.Linear):
             z = V.cosine(F.col("v"), V.literal(model.mu)) + F.lit(model.b)
             return self._with_std(self.items.withColumn("z", z), model)
@@ -242,6 +263,14 @@ class Axis:
         s = self.scores() if scored is None else scored
         return ranks.rank_percentile(s.select("id", F.round("z", 12).alias("z")), "z", "score").select("id", "score")
 
+    def _percent_of(self, item: str) -> float:
+        """The score of one item: it takes two aggregations, and no order of the others."""
+        z = self.scores().select("id", F.round("z", 12).alias("z"))
+        own = z.where(F.col("id") == item).agg(F.max("z").alias("z")).first()["z"]
+        tie = F.abs(F.col("z") - F.lit(own)) <= ranks.TIE
+        low, ties, n = z.agg(F.count_if(~tie & (F.col("z") < F.lit(own))), F.count_if(tie), F.count("z")).first()
+        return (low + (ties - 1) / 2) / (n - 1) if n > 1 else 0.5
+
     # --- moves
     def move(self, item: str, score: float = 0.0, kind: str = "score") -> Axis:
         """M9: the axis after one event. An unknown id is looked for by its base name, if that is unique."""
@@ -253,10 +282,12 @@ class Axis:
             item = found[0]["id"]
         current, pairs = 0.5, ()
         if kind == "score":
-            now = self.percent()
-            current = float(now.where(F.col("id") == item).first()["score"])
             if self.state.options.mode == "rank":
+                now = self.percent()
+                current = float(now.where(F.col("id") == item).first()["score"])
                 pairs = self._move_pairs(now, item, min(100.0, max(0.0, score)) / 100, current)
+            else:
+                current = self._percent_of(item)
         return Axis(self.items, "id", "v", apply(self.state, kind, item, score, current, pairs))
 
     def _move_pairs(self, now: DataFrame, item: str, target: float, current: float) -> tuple[tuple[str, str, float], ...]:
@@ -296,7 +327,7 @@ class Axis:
     def payload(self, exemplars: int = 4, hotspots: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(items, deciles, hotspots): coordinates (z by its range), score of 100 and deviation of all items; diverse exemplars of
         the deciles of the defined items; the most uncertain ones around the middle."""
-        s = self.scores()
+        s = stored(self.scores(), "scores")  # one scoring pass for what follows
         out = ranks.min_max(s.join(self.percent(s), "id"), "z", "coord").select("id", "coord", (F.col("score") * 100).alias("score100"), "std")
         defined = s.where(~F.col("id").isin(list(self.state.undefined))) if self.state.undefined else s
         d = s.join(self.percent(defined), "id").select("id", "v", "std", "score")

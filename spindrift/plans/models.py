@@ -149,19 +149,26 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+#: fixed value: how far the further experts lean towards the prior direction
+LEAN = 0.15
+
+
+def _across(rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """rows without their part along the prior."""
+    return rows - np.outer(rows @ prior, prior)
+
+
 def initial_experts(w0: np.ndarray, basis: np.ndarray, k: int) -> np.ndarray:
-    """The prior direction first; then directions of greatest spread, made orthogonal to it, leaning 15 % towards it, with
-    alternating sign."""
-    prior = unit(w0)
-    out = [prior]
-    for i in range(1, k):
-        v = basis[min(i - 1, len(basis) - 1)] if len(basis) else np.eye(len(w0))[min(i - 1, len(w0) - 1)]
-        v = v - (v @ prior) * prior
-        if np.linalg.norm(v) <= 1e-6:
-            v = np.eye(len(w0))[min(i, len(w0) - 1)]
-            v = v - (v @ prior) * prior
-        out.append(unit(0.15 * prior + (1 if i % 2 else -1) * unit(v)))
-    return np.array(out)
+    """M7: the prior direction, and k - 1 directions of greatest spread across it that lean towards it, to and fro in turn. Where the
+    spread has no direction left across the prior, an axis of the space stands in."""
+    prior, width = unit(w0), len(w0)
+    n = np.arange(k - 1)
+    spread = basis[np.minimum(n, len(basis) - 1)] if len(basis) else np.eye(width)[np.minimum(n, width - 1)]
+    across = _across(spread, prior)
+    flat = np.linalg.norm(across, axis=1) <= 1e-6
+    across[flat] = _across(np.eye(width)[np.minimum(n + 1, width - 1)], prior)[flat]
+    further = LEAN * prior + np.where(n % 2 == 0, 1.0, -1.0)[:, None] * across / np.maximum(np.linalg.norm(across, axis=1, keepdims=True), 1e-12)
+    return np.vstack([prior, *(unit(v)[None] for v in further)])
 
 
 def fit_mixture(start: Mixture, w0: np.ndarray, x: np.ndarray, winner: np.ndarray, loser: np.ndarray, weight: np.ndarray, labelled: np.ndarray, target: np.ndarray, label_weight: np.ndarray, rate: float = 0.08, steps: int = 48, prior_strength: float = 0.1, l2: float = 1e-3, diversity: float = 0.05, smooth: float = 0.25) -> Mixture:
@@ -254,6 +261,8 @@ def fit_residual(support: np.ndarray, residual: np.ndarray, weight: np.ndarray,
 
 #: items up to which a graph model is solved on the driver, from its list of edges
 GRAPH_ITEMS = 200_000
+#: items up to which prior variances come from a dense inverse, and probes for the estimate beyond
+EXACT_ITEMS, PROBES = 3000, 128
 
 
 @dataclass
@@ -296,16 +305,29 @@ class Graph:
             p = z + (rz / old) * p
         return x
 
+    def variances(self) -> np.ndarray:
+        """Prior variance of each item: the diagonal of the inverse precision. Up to EXACT_ITEMS by inversion; beyond, by PROBES random
+        signs (Hutchinson's estimate, as v * solve(v) averages to the diagonal), with a fixed seed."""
+        if self.n <= EXACT_ITEMS:
+            dense = np.diag(self.smooth * self.degree + self.prior + self.jitter)
+            np.add.at(dense, (self.src, self.dst), -self.smooth * self.w)
+            np.add.at(dense, (self.dst, self.src), -self.smooth * self.w)
+            return np.diag(np.linalg.inv(dense)).copy()
+        g = np.random.Generator(np.random.PCG64(20260313))
+        signs = (g.integers(0, 2, (PROBES, self.n)) * 2 - 1).astype(float)
+        return np.maximum(np.mean([v * self.solve(v, tolerance=1e-6) for v in signs], axis=0), 1 / (self.smooth * self.degree.max() + self.prior + self.jitter))
+
     def posterior(self, z0: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray, sigma2: float) -> tuple[np.ndarray, np.ndarray]:
-        """Mean of all items, and deviation of the observed ones' neighbourhood: covariance columns of the observed items only."""
+        """(mean, variance) of all items given the observed ones; of the covariance only the columns of these are formed."""
         extra = np.zeros(self.n)
         np.add.at(extra, at, np.maximum(weight, 1e-4) / sigma2)
         right = np.zeros(self.n)
         np.add.at(right, at, np.maximum(weight, 1e-4) / sigma2 * (y - z0[at]))
         mean = z0 + (self.solve(right, extra) if len(at) else 0.0)
         columns = np.array([self.solve(np.eye(1, self.n, int(i))[0]) for i in at]).reshape(len(at), self.n)
+        before = self.variances()
         if not len(at):
-            return mean, np.zeros(self.n)
+            return mean, before
         s = columns[:, at] + np.diag(sigma2 / np.maximum(weight, 1e-4))
         reduced = np.einsum("ij,ij->j", columns, np.linalg.solve(s, columns))
-        return mean, reduced  # what the labels take off each item's prior variance
+        return mean, np.maximum(before - reduced, 1e-8)

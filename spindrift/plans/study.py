@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import metrics, similarity
+from ..operators import similarity
 from ..workers import shipped
 from . import models
 
@@ -209,7 +209,7 @@ def loop(x: np.ndarray, ref: np.ndarray, w0: np.ndarray, ids: Sequence, s: Setti
         z = x @ fit.mu / np.maximum(np.linalg.norm(x, axis=1) * max(1e-8, np.linalg.norm(fit.mu)), 1e-8) + fit.b
         if step in budgets:
             out.append((step, _spearman(z, ref), _auroc(z, ref)))
-        rest = [i for i in range(len(x)) if i not in set(queried)]
+        rest = np.setdiff1d(np.arange(len(x)), queried).tolist()
         if not rest or step == max(budgets):
             if not rest:
                 break
@@ -247,12 +247,16 @@ def _auroc(score: np.ndarray, ref: np.ndarray) -> float:
     return float((_ranks(score)[pos].sum() - n * (n + 1) / 2) / (n * m))
 
 
-def sweep(items: DataFrame, key: str, vector: str, ref: str, by: str, w0: Sequence[float], settings: Sequence[Setting], sample: int = 2000) -> DataFrame:
-    """The refinement loop for every task (group of `by`) and setting, as one grouped job. A task brings the `sample` items
-    that come first in hash order, as the study's sampled tasks do."""
-    from ..operators.aggregates import best_per_group
+#: items that a task of the refinement study may have: its loop runs in one Python task
+TASK_ITEMS = 200_000
 
-    d = best_per_group(items.select(by, key, vector, F.col(ref).cast("double").alias("ref")), [by], [F.md5(F.col(key).cast("string")), F.col(key)], sample)
+
+def sweep(items: DataFrame, key: str, vector: str, ref: str, by: str, w0: Sequence[float], settings: Sequence[Setting]) -> DataFrame:
+    """The refinement loop for every task (group of `by`) and setting, as one grouped job, over all items of a task. A
+    task of more than TASK_ITEMS is refused."""
+    d = items.select(by, key, vector, F.col(ref).cast("double").alias("ref"))
+    if d.groupBy(by).count().where(F.col("count") > TASK_ITEMS).limit(1).count():
+        raise ValueError(f"tasks hold {TASK_ITEMS} items at most")
     grid = items.sparkSession.createDataFrame([(i, s.alpha, s.sigma2, s.beta, s.policy, s.replicate) for i, s in enumerate(settings)], "setting int, alpha double, sigma2 double, beta double, policy string, replicate int")
     w = np.array(w0, float)
 
@@ -264,6 +268,3 @@ def sweep(items: DataFrame, key: str, vector: str, ref: str, by: str, w0: Sequen
 
     kind = items.schema[by].dataType.simpleString()
     return shipped(d).crossJoin(F.broadcast(grid)).groupBy(by, "setting").applyInPandas(cell, f"{by} {kind}, setting int, budget int, spearman double, auroc double")
-
-
-_ = metrics

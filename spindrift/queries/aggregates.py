@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..operators import aggregates, metrics, ranks, similarity
+from ..operators import aggregates, ranks, similarity
 from ..operators.metadata import melt_strings
 
 
@@ -277,6 +277,3 @@ def _(t):
 @query("A47_label_statistics", "SELECT c_mktsegment, count(c_acctbal) AS n, min(c_acctbal) AS min, round(quantile_cont(c_acctbal, 0.05), 6) AS p05, round(avg(c_acctbal), 6) AS mean, round(median(c_acctbal), 6) AS median, round(quantile_cont(c_acctbal, 0.95), 6) AS p95, max(c_acctbal) AS max, round(stddev_pop(c_acctbal), 6) AS std FROM customer GROUP BY 1")
 def _(t):
     return aggregates.label_statistics(t.customer, ["c_mktsegment"], "c_acctbal").select("c_mktsegment", "n", "min", *r6("p05", "mean", "median", "p95"), "max", *r6("std"))
-
-
-_ = metrics

@@ -4,23 +4,23 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import metadata, metrics, selection, similarity
-from .aggregates import AXES3, PLANE, PLANE_KNN, axes3, months, plane
+from .aggregates import AXES3, PLANE, PLANE_KNN, axes3, plane
 
 
 @query("J1_fuzzy_key_match", """
-WITH items AS (SELECT 'Set/' || p_name || '_' || p_partkey || '.jpg' AS id FROM part WHERE p_partkey < 500),
-rows_ AS (SELECT p_partkey AS row_id, CASE p_partkey % 5 WHEN 0 THEN 'Set/' || p_name || '_' || p_partkey || '.jpg' WHEN 1 THEN 'set\\' || p_name || '_' || p_partkey || '.jpg' WHEN 2 THEN upper(p_name) || '_' || p_partkey || '.JPG' WHEN 3 THEN 'x/y/' || p_name || '_' || p_partkey || '.png' ELSE 'nothing' END AS k FROM part WHERE p_partkey < 600),
+WITH items AS (SELECT 'Set/' || p_name || '_' || p_partkey || '.jpg' AS id FROM part),
+rows_ AS (SELECT p_partkey AS row_id, CASE p_partkey % 5 WHEN 0 THEN 'Set/' || p_name || '_' || p_partkey || '.jpg' WHEN 1 THEN 'set\\' || p_name || '_' || p_partkey || '.jpg' WHEN 2 THEN upper(p_name) || '_' || p_partkey || '.JPG' WHEN 3 THEN 'x/y/' || p_name || '_' || p_partkey || '.png' ELSE 'nothing' END AS k FROM part),
 fi AS (SELECT id, unnest([0,1,2,3,4,5,6,7]) AS prio, unnest([id, lower(id), id, lower(id), split_part(id, '/', -1), lower(split_part(id, '/', -1)), regexp_replace(split_part(id, '/', -1), '(.)\\.[^.]*$', '\\1'), lower(regexp_replace(split_part(id, '/', -1), '(.)\\.[^.]*$', '\\1'))]) AS form FROM items),
 reg AS (SELECT form, min(id) AS id FROM fi GROUP BY form),
 fr AS (SELECT row_id, unnest([0,1,2,3,4,5,6,7]) AS prio, unnest([k, lower(k), s, lower(s), split_part(s, '/', -1), lower(split_part(s, '/', -1)), regexp_replace(split_part(s, '/', -1), '(.)\\.[^.]*$', '\\1'), lower(regexp_replace(split_part(s, '/', -1), '(.)\\.[^.]*$', '\\1'))]) AS form FROM (SELECT row_id, k, replace(k, '\\', '/') AS s FROM rows_))
 SELECT row_id, id FROM (SELECT row_id, id, row_number() OVER (PARTITION BY row_id ORDER BY prio, id) AS rn FROM fr JOIN reg USING (form)) WHERE rn = 1""")
 def _(t):
     p = t.part.select("p_partkey", F.concat("p_name", F.lit("_"), "p_partkey").alias("n"), "p_name")
-    items = p.where("p_partkey < 500").select(F.concat(F.lit("Set/"), "n", F.lit(".jpg")).alias("id"))
+    items = p.select(F.concat(F.lit("Set/"), "n", F.lit(".jpg")).alias("id"))
     m = F.col("p_partkey") % 5
     upper = F.concat(F.upper("p_name"), F.lit("_"), "p_partkey", F.lit(".JPG"))
     k = F.when(m == 0, F.concat(F.lit("Set/"), "n", F.lit(".jpg"))).when(m == 1, F.concat(F.lit("set\\"), "n", F.lit(".jpg"))).when(m == 2, upper).when(m == 3, F.concat(F.lit("x/y/"), "n", F.lit(".png"))).otherwise(F.lit("nothing"))
-    return metadata.match_keys(p.where("p_partkey < 600").select(F.col("p_partkey").alias("row_id"), k.alias("k")), "k", items, "id").select("row_id", "id")
+    return metadata.match_keys(p.select(F.col("p_partkey").alias("row_id"), k.alias("k")), "k", items, "id").select("row_id", "id")
 
 
 @query("J2_left_align_first_row", "SELECT p_partkey, l_orderkey, l_quantity FROM part LEFT JOIN (SELECT * FROM (SELECT l_partkey, l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS rn FROM lineitem) WHERE rn = 1) ON p_partkey = l_partkey")
@@ -142,20 +142,20 @@ def _(t):
     return selection.anchors(m, s, 3, 0.1).select("move", "side", "id")
 
 
-@query("J18_label_pairs", "SELECT a.doc_id AS i, b.doc_id AS j, sign(a.quality - b.quality)::INT AS y FROM labels a JOIN labels b ON a.doc_id < b.doc_id WHERE a.doc_id < 120 AND b.doc_id < 120 AND abs(a.quality - b.quality) > 0.5")
+@query("J18_label_pairs", "SELECT a.doc_id AS i, b.doc_id AS j, sign(a.quality - b.quality)::INT AS y FROM labels a JOIN labels b ON a.doc_id < b.doc_id WHERE abs(a.quality - b.quality) > 0.5")
 def _(t):
-    p = metrics.pairs_below(t.labels.where("doc_id < 120"), "doc_id", ["quality"])
+    p = metrics.pairs_below(t.labels, "doc_id", ["quality"])
     d = F.col("quality_i") - F.col("quality_j")
     return p.where(F.abs(d) > 0.5).select("i", "j", F.signum(d).cast("int").alias("y"))
 
 
 @query("J19_metadata_upsert", """
-WITH o AS (SELECT CAST(p_partkey AS VARCHAR) AS k, p_name AS name, p_type AS type FROM part WHERE p_partkey < 120), n AS (SELECT CAST(p_partkey AS VARCHAR) AS k, CASE WHEN p_partkey % 2 = 0 THEN ' ' ELSE 'new ' || p_name END AS name, p_brand AS brand FROM part WHERE p_partkey >= 60 AND p_partkey < 180)
+WITH o AS (SELECT CAST(p_partkey AS VARCHAR) AS k, p_name AS name, p_type AS type FROM part), n AS (SELECT CAST(p_partkey + 60 AS VARCHAR) AS k, CASE WHEN p_partkey % 2 = 0 THEN ' ' ELSE 'new ' || p_name END AS name, p_brand AS brand FROM part)
 SELECT coalesce(o.k, n.k) AS k, coalesce(nullif(trim(n.name), ''), o.name) AS name, o.type AS type, nullif(trim(n.brand), '') AS brand FROM o FULL JOIN n ON o.k = n.k""")
 def _(t):
     key = F.col("p_partkey").cast("string").alias("k")
-    old = t.part.where("p_partkey < 120").select(key, F.col("p_name").alias("name"), F.col("p_type").alias("type"))
-    new = t.part.where("p_partkey >= 60 AND p_partkey < 180").select(key, F.when(F.col("p_partkey") % 2 == 0, " ").otherwise(F.concat(F.lit("new "), "p_name")).alias("name"), F.col("p_brand").alias("brand"))
+    old = t.part.select(key, F.col("p_name").alias("name"), F.col("p_type").alias("type"))
+    new = t.part.select((F.col("p_partkey") + 60).cast("string").alias("k"), F.when(F.col("p_partkey") % 2 == 0, " ").otherwise(F.concat(F.lit("new "), "p_name")).alias("name"), F.col("p_brand").alias("brand"))
     return metadata.upsert(old, new, "k", ["name", "type", "brand"])
 
 
@@ -190,16 +190,16 @@ def _(t):
 
 
 @query("J24_exact_then_unique_basename", """
-WITH r AS (SELECT 'd' || (p_partkey % 3) || '/' || (p_partkey % 150) AS k, CAST(p_partkey AS VARCHAR) AS v FROM part WHERE p_partkey < 200), l AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'd0/' || c_custkey ELSE 'q/' || c_custkey END AS k FROM customer WHERE c_custkey < 200),
+WITH r AS (SELECT 'd' || (p_partkey % 3) || '/' || CASE WHEN p_partkey % 5 = 0 THEN p_partkey - 1 ELSE p_partkey END AS k, CAST(p_partkey AS VARCHAR) AS v FROM part), l AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'd0/' || c_custkey ELSE 'q/' || c_custkey END AS k FROM customer),
 e AS (SELECT k, v FROM r), u AS (SELECT split_part(k, '/', -1) AS b, min(v) AS v FROM r GROUP BY 1 HAVING count(*) = 1)
 SELECT c_custkey, coalesce(e.v, u.v) AS v FROM l LEFT JOIN e ON e.k = l.k LEFT JOIN u ON u.b = split_part(l.k, '/', -1)""")
 def _(t):
-    r = t.part.where("p_partkey < 200").select(F.concat(F.lit("d"), F.col("p_partkey") % 3, F.lit("/"), F.col("p_partkey") % 150).alias("k"), F.col("p_partkey").cast("string").alias("v"))
-    left = t.customer.where("c_custkey < 200").select("c_custkey", F.concat(F.when(F.col("c_custkey") % 2 == 0, "d0/").otherwise("q/"), "c_custkey").alias("lk"))
+    r = t.part.select(F.concat(F.lit("d"), F.col("p_partkey") % 3, F.lit("/"), F.when(F.col("p_partkey") % 5 == 0, F.col("p_partkey") - 1).otherwise(F.col("p_partkey"))).alias("k"), F.col("p_partkey").cast("string").alias("v"))
+    left = t.customer.select("c_custkey", F.concat(F.when(F.col("c_custkey") % 2 == 0, "d0/").otherwise("q/"), "c_custkey").alias("lk"))
     return metadata.exact_then_basename(left, "lk", r, "k", "v").select("c_custkey", "v")
 
 
-SPANS = "s AS (SELECT user_id, CAST(floor(value) AS BIGINT) AS start, CAST(floor(value) AS BIGINT) + 1 + event_id % 9 AS \"end\", round(value / 100, 4) AS score, event_type = 'click' AS active FROM events WHERE event_id < 300)"
+SPANS = "s AS (SELECT user_id, CAST(floor(value) AS BIGINT) AS start, CAST(floor(value) AS BIGINT) + 1 + event_id % 9 AS \"end\", round(value / 100, 4) AS score, event_type = 'click' AS active FROM events)"
 
 
 @query("J25_span_segments", f"""
@@ -207,17 +207,17 @@ WITH {SPANS}, e AS (SELECT DISTINCT user_id, unnest([start, "end"]) AS edge FROM
 SELECT g.user_id, seg_start, seg_end, max(score) AS score, bool_or(active) AS active FROM g JOIN s ON s.user_id = g.user_id AND s.start <= seg_start AND seg_end <= s."end" WHERE seg_end IS NOT NULL GROUP BY 1, 2, 3""")
 def _(t):
     lo = F.floor("value")
-    s = t.events.where("event_id < 300").select("user_id", lo.alias("start"), (lo + 1 + F.col("event_id") % 9).alias("end"), F.round(F.col("value") / 100, 4).alias("score"), (F.col("event_type") == "click").alias("active"))
+    s = t.events.select("user_id", lo.alias("start"), (lo + 1 + F.col("event_id") % 9).alias("end"), F.round(F.col("value") / 100, 4).alias("score"), (F.col("event_type") == "click").alias("active"))
     return metadata.segments(s, "user_id")
 
 
 @query("J26_exporter_key_join", """
-WITH i AS (SELECT 'img/' || c_name || '.png' AS id FROM customer WHERE c_custkey < 300), r AS (SELECT p_partkey AS n, CASE p_partkey % 3 WHEN 0 THEN 'img/Customer#' || lpad(CAST(p_partkey % 120 AS VARCHAR), 9, '0') || '.png' WHEN 1 THEN 'CUSTOMER#' || lpad(CAST(p_partkey % 120 AS VARCHAR), 9, '0') || '.PNG' ELSE 'customer#' || lpad(CAST(p_partkey % 120 AS VARCHAR), 9, '0') || '.jpeg' END AS k, p_type FROM part),
+WITH i AS (SELECT 'img/' || c_name || '.png' AS id FROM customer), r AS (SELECT p_partkey AS n, CASE p_partkey % 3 WHEN 0 THEN 'img/Customer#' || lpad(CAST(p_partkey % 120 AS VARCHAR), 9, '0') || '.png' WHEN 1 THEN 'CUSTOMER#' || lpad(CAST(p_partkey % 120 AS VARCHAR), 9, '0') || '.PNG' ELSE 'customer#' || lpad(CAST(p_partkey % 120 AS VARCHAR), 9, '0') || '.jpeg' END AS k, p_type FROM part),
 f AS (SELECT id, unnest([0, 1, 2]) AS p, unnest([id, lower(split_part(id, '/', -1)), lower(regexp_replace(split_part(id, '/', -1), '(.)\\.[^.]*$', '\\1'))]) AS form FROM i), g AS (SELECT n, p_type, unnest([0, 1, 2]) AS p, unnest([k, lower(split_part(k, '/', -1)), lower(regexp_replace(split_part(k, '/', -1), '(.)\\.[^.]*$', '\\1'))]) AS form FROM r),
 m AS (SELECT g.n, g.p_type, f.id, row_number() OVER (PARTITION BY g.n ORDER BY g.p, f.id) AS rn FROM g JOIN f ON g.p = f.p AND g.form = f.form)
 SELECT id, arg_max(p_type, n) AS type FROM m WHERE rn = 1 GROUP BY id""")
 def _(t):
-    items = t.customer.where("c_custkey < 300").select(F.concat(F.lit("img/"), "c_name", F.lit(".png")).alias("id"))
+    items = t.customer.select(F.concat(F.lit("img/"), "c_name", F.lit(".png")).alias("id"))
     num = F.lpad((F.col("p_partkey") % 120).cast("string"), 9, "0")
     m = F.col("p_partkey") % 3
     k = F.when(m == 0, F.concat(F.lit("img/Customer#"), num, F.lit(".png"))).when(m == 1, F.concat(F.lit("CUSTOMER#"), num, F.lit(".PNG"))).otherwise(F.concat(F.lit("customer#"), num, F.lit(".jpeg")))
@@ -229,6 +229,3 @@ def _(t):
 def _(t):
     j = t.orders.select("o_orderkey", "o_orderdate").join(t.lineitem.select("l_orderkey", "l_shipdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     return j.where(F.col("l_shipdate").between(F.col("o_orderdate"), F.col("o_orderdate") + F.expr("INTERVAL 30 DAY"))).groupBy("o_orderkey").agg(F.count("*").alias("shipped"))
-
-
-_ = PLANE, months

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..operators import metrics, ranks, windows
+from ..operators import metrics, ranks
 
 
 def scored(t):
@@ -142,6 +142,3 @@ def _(t):
     e = t.embeddings.select("label", F.slice("embedding", 1, 10).alias("e"))
     hit = (F.array_position("e", F.array_max("e")) - 1) == F.col("label")
     return e.agg(F.round(F.avg(hit.cast("int")), 6).alias("accuracy"), F.count("*").alias("n"))
-
-
-_ = windows

@@ -65,13 +65,13 @@ def _(t):
 
 
 @query("W10_gap_fill", """
-WITH b AS (SELECT s.i AS bin, h.m FROM range(0, 60) s(i) LEFT JOIN (SELECT CAST(floor(value / 2) AS INT) AS bin, round(avg(value), 6) AS m FROM events WHERE event_id % 97 = 0 GROUP BY 1) h ON h.bin = s.i),
+WITH b AS (SELECT s.i AS bin, h.m FROM range(0, 1200) s(i) LEFT JOIN (SELECT CAST(floor(value * 10) AS INT) AS bin, round(avg(value), 6) AS m FROM events WHERE event_type = 'error' GROUP BY 1) h ON h.bin = s.i),
 w AS (SELECT bin, m, last_value(m IGNORE NULLS) OVER p AS lo, first_value(m IGNORE NULLS) OVER f AS hi, last_value(CASE WHEN m IS NOT NULL THEN bin END IGNORE NULLS) OVER p AS al, first_value(CASE WHEN m IS NOT NULL THEN bin END IGNORE NULLS) OVER f AS ah FROM b
  WINDOW p AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT CAST(bin AS BIGINT) AS bin, round(CASE WHEN m IS NOT NULL THEN m WHEN lo IS NULL THEN hi WHEN hi IS NULL THEN lo ELSE lo + (hi - lo) * (bin - al) / (ah - al) END, 6) AS filled FROM w""")
 def _(t):
-    h = t.events.where("event_id % 97 = 0").groupBy(F.floor(F.col("value") / 2).cast("long").alias("bin")).agg(F.round(F.avg("value"), 6).alias("m"))
-    spine = t.spark.range(60).select(F.col("id").alias("bin"))
+    h = t.events.where("event_type = 'error'").groupBy(F.floor(F.col("value") * 10).cast("long").alias("bin")).agg(F.round(F.avg("value"), 6).alias("m"))
+    spine = t.spark.range(1200).select(F.col("id").alias("bin"))
     return ranks.fill_gaps(spine.join(h, "bin", "left"), "bin", "m").select("bin", F.round("filled", 6).alias("filled"))
 
 
@@ -95,7 +95,7 @@ def _(t):
 
 
 @query("W14_kde_curve", """
-WITH v AS (SELECT round(value, 3) AS v, count(*) AS c FROM events GROUP BY 1), g AS (SELECT i, i * (100.0::DOUBLE / 71) AS x FROM range(0, 72) s(i)),
+WITH v AS (SELECT value AS v, count(*) AS c FROM events GROUP BY 1), g AS (SELECT i, i * (100.0::DOUBLE / 71) AS x FROM range(0, 72) s(i)),
 d AS (SELECT i, x, sum(c * exp(-0.5 * ((x - v) / 4.0::DOUBLE) ** 2)) AS d FROM g CROSS JOIN v GROUP BY i, x)
 SELECT i, round(x, 6) AS x, round(d / max(d) OVER (), 6) AS density FROM d""")
 def _(t):
@@ -103,14 +103,14 @@ def _(t):
 
 
 @query("W15_kde_stack", """
-WITH b AS (SELECT 1.06 * stddev_pop(c_acctbal) * pow(count(*), -0.2) AS h FROM customer), v AS (SELECT round(c_acctbal, 0) AS v, count(*) AS c FROM customer GROUP BY 1),
+WITH b AS (SELECT 1.06 * stddev_pop(c_acctbal) * pow(count(*), -0.2) AS h FROM customer), v AS (SELECT c_acctbal AS v, count(*) AS c FROM customer GROUP BY 1),
 g AS (SELECT i, -1000 + i * (11000.0::DOUBLE / 127) AS x FROM range(0, 128) s(i)), d AS (SELECT i, x, sum(c * exp(-0.5 * ((x - v) / h) ** 2)) AS d FROM g CROSS JOIN v CROSS JOIN b GROUP BY i, x),
 k AS (SELECT i, d / max(d) OVER () AS y FROM d), p AS (SELECT c_custkey, (c_acctbal + 1000) / (11000.0::DOUBLE / 127) AS q FROM customer)
 SELECT c_custkey, round(a.y + (b2.y - a.y) * (q - floor(q)), 5) AS height FROM p JOIN k a ON a.i = CAST(floor(q) AS BIGINT) JOIN k b2 ON b2.i = least(CAST(floor(q) AS BIGINT) + 1, 127)""")
 def _(t):
     c = t.customer.select("c_custkey", "c_acctbal")
     h = c.agg(F.lit(1.06) * F.stddev_pop("c_acctbal") * F.pow(F.count("*"), F.lit(-0.2))).first()[0]
-    curve = ranks.kde(c, "c_acctbal", 128, h, -1000.0, 10000.0, 0)
+    curve = ranks.kde(c, "c_acctbal", 128, h, -1000.0, 10000.0)
     return windows.height_on_curve(c, "c_acctbal", curve, -1000.0, 11000.0 / 127).select("c_custkey", F.round("height", 5).alias("height"))
 
 

@@ -52,8 +52,8 @@ def _(t):
 
 @query("F6_phrase_fuzzy")
 def _(t):
-    c = t.conversations.where("turn = 0").select("conv_id", "text", F.array(F.concat(F.substring("text", 3, 12), F.lit("x")), F.lit("no such phrase")).alias("phrases"))
-    return X.align_phrases(c, "text", "phrases").select("conv_id", F.explode("spans").alias("s")).select("conv_id", "s.phrase", "s.start", "s.end", F.round("s.score", 4).alias("score"))
+    c = t.conversations.select("conv_id", "turn", "text", F.array(F.concat(F.substring("text", 3, 12), F.lit("x")), F.lit("no such phrase")).alias("phrases"))
+    return X.align_phrases(c, "text", "phrases").select("conv_id", "turn", F.explode("spans").alias("s")).select("conv_id", "turn", "s.phrase", "s.start", "s.end", F.round("s.score", 4).alias("score"))
 
 
 @query("F7_parse_bool", "SELECT i, CASE WHEN x IN ('1', 'true', 'yes', 'y', 'on') THEN true WHEN x IN ('0', 'false', 'no', 'n', 'off') THEN false END AS flag FROM (SELECT event_id AS i, lower(trim(['Yes', ' no', 'ON', 'off', '1', '0', 'maybe', '', 'TRUE', 'f'][event_id % 10 + 1])) AS x FROM events)")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import vectors as V
-from ..operators import aggregates, ranks, selection
+from ..operators import aggregates, selection
 from .aggregates import PLANE, plane
 
 MD5 = "md5('{s}' || {k})"
@@ -133,6 +133,3 @@ def _(t):
 @query("T19_sort_by_similarity", "SELECT vec_id, round(sqrt(list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 5)), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))), 6) AS distance FROM embeddings")
 def _(t):
     return selection.sort_by_distance(t.embeddings.select("vec_id", "embedding"), "vec_id", "embedding", 5).select("vec_id", F.round("distance", 6).alias("distance"))
-
-
-_ = ranks, MD5

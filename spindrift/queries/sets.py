@@ -3,9 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions import scalars as S
-from ..operators import aggregates, metadata, sets
-from ..operators.ranks import min_max
+from ..operators import metadata, sets
 from .aggregates import PLANE, plane
 
 
@@ -177,6 +175,3 @@ def _(t):
     n = t.nation
     pos, rest = sets.union_and_complement(n.select("n_nationkey"), "n_nationkey", [n.where("n_regionkey IN (0, 2)"), n.where("n_nationkey < 3")], [n.where("n_regionkey = 1"), n.where("n_nationkey > 20")])
     return sets.tagged_union({"positive": pos, "rest": rest}, "kind").select("kind", "n_nationkey")
-
-
-_ = S, aggregates, min_max

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import vectors as V
-from ..operators import layout, ranks, similarity
-from .aggregates import PLANE, axes3, plane
+from ..operators import layout, ranks
+from .aggregates import PLANE, plane
 from .joins import LABELLED, labelled
 
 D = "list_transform({0}, lambda x: x::DOUBLE)"
@@ -92,7 +92,7 @@ def _(t):
     return layout.procrustes(p, "x", "y", "rx", "ry").select("id", F.round("ax", 5).alias("x"), F.round("ay", 5).alias("y"))
 
 
-@query("V11_grid_binning", f"WITH {PLANE}, m AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p) SELECT id, CAST(least(floor((x - x0) / (x1 - x0) * 16), 15) AS INT) AS gx, CAST(least(floor((y - y0) / (y1 - y0) * 16), 15) AS INT) AS gy FROM p, m")
+@query("V11_grid_binning", f"WITH {PLANE}, m AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p) SELECT id, CAST(floor((x - x0) / (x1 - x0) * 14) + 1 AS INT) AS gx, CAST(floor((y - y0) / (y1 - y0) * 14) + 1 AS INT) AS gy FROM p, m")
 def _(t):
     return layout.grid_cells(plane(t), "x", "y", 16).select("id", "gx", "gy")
 
@@ -172,6 +172,3 @@ def _(t):
 
     asked = ["CLIP, dino", "all", "dinov2,clip,DINO"]
     return t.spark.createDataFrame([(a, ",".join(parse_methods(a))) for a in asked], "asked string, methods string")
-
-
-_ = similarity, axes3, DOT

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "spindrift", **conf: str) -> SparkSession:
@@ -17,3 +19,16 @@ def session(app: str = "spindrift", **conf: str) -> SparkSession:
     for k, v in wanted.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the executors share (spark.checkpoint.dir), or under the warehouse where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/spindrift-{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: what follows reads it, and doesn't compute it again."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -151,7 +151,7 @@ def test_residual_moves_and_calms():
     assert fit.correction(x)[3] > 0.15 and fit.std(x)[3] < empty.std(x)[3]
 
 
-def test_graph_solves_the_dense_system():
+def test_graph_solves_the_dense_system(monkeypatch):
     g = np.random.Generator(np.random.PCG64(4))
     n = 30
     src, dst = np.arange(n - 1), np.arange(1, n)
@@ -166,9 +166,13 @@ def test_graph_solves_the_dense_system():
     k = np.linalg.inv(2.0 * lap + (0.1 + 1e-6) * np.eye(n))
     z0, at, y, weight = g.normal(size=n), np.array([4, 17]), np.array([1.0, -1.0]), np.array([1.0, 2.0])
     s = k[np.ix_(at, at)] + np.diag(0.04 / weight)
-    mean, less = graph.posterior(z0, at, y, weight, 0.04)
+    mean, variance = graph.posterior(z0, at, y, weight, 0.04)
     assert np.allclose(mean, z0 + k[:, at] @ np.linalg.solve(s, y - z0[at]), atol=1e-6)
-    assert np.allclose(less, (k[:, at] * np.linalg.solve(s, k[at]).T).sum(1), atol=1e-6)
+    assert np.allclose(variance, np.diag(k) - (k[:, at] * np.linalg.solve(s, k[at]).T).sum(1), atol=1e-6)
+    assert np.allclose(graph.variances(), np.diag(k), atol=1e-9)
+    monkeypatch.setattr(models, "EXACT_ITEMS", 0)
+    monkeypatch.setattr(models, "PROBES", 4000)
+    assert np.allclose(graph.variances(), np.diag(k), rtol=0.15)
 
 
 def test_moves_are_a_pure_fold():
@@ -273,3 +277,79 @@ def test_method_names():
     assert parse_methods("all") == ["clip", "dino", "siglip"] and parse_methods("DINOv2, clip,,dino") == ["dino", "clip"]
     with pytest.raises(ValueError, match="unknown"):
         parse_methods("magic")
+
+
+def test_ties_within_the_tolerance(spark):
+    v = [0.5, 0.5 + 4e-13, 0.5 - 3e-13, 0.25, 0.75, 0.75 + 1e-11]
+    got = {r.id: r.pct for r in ranks.rank_percentile(spark.createDataFrame(list(enumerate(v)), "id int, v double"), "v", "pct").collect()}
+    assert [got[i] for i in range(6)] == [0.4, 0.4, 0.4, 0.0, 0.8, 1.0]
+
+
+def test_ranks_by_group(spark):
+    """Groups, null groups and ties against a loop."""
+    g = np.random.Generator(np.random.PCG64(3))
+    rows = [(i, [None, "a", "b"][i % 3], float(g.integers(0, 40)) if i % 17 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, g string, v double")
+    for r in ranks.with_rank(df, "v", ["g"]).collect():
+        own = [v for _, k, v in rows if k == r.g and v is not None]
+        assert (r.rank_low, r.rank_ties, r.rank_n) == ((None,) * 3 if r.v is None else (sum(x < r.v for x in own), own.count(r.v), len(own)))
+
+
+def test_isotonic_error_by_brute_force(spark):
+    g = np.random.Generator(np.random.PCG64(9))
+    rows = [(k, float(x), float(np.clip(x / 40 + g.normal(0, 0.4), 0, 1))) for k in "ab" for x in g.integers(0, 60, 400)]
+    got = {r.g: r.mae for r in metrics.isotonic_mae(spark.createDataFrame(rows, "g string, x double, y double"), "x", "y", ["g"]).collect()}
+    for k in "ab":
+        x, y = (np.array([r[i] for r in rows if r[0] == k]) for i in (1, 2))
+        at = np.unique(x)
+        mean = np.array([y[x == a].mean() for a in at])
+        weight = np.array([(x == a).sum() for a in at], float)
+        # the fit at a point: the largest over starts of the smallest over ends of the means between
+        cs, cw = np.append(0, np.cumsum(mean * weight)), np.append(0, np.cumsum(weight))
+        fit = [max(min((cs[e + 1] - cs[b]) / (cw[e + 1] - cw[b]) for e in range(i, len(at))) for b in range(i + 1)) for i in range(len(at))]
+        want = np.abs(np.clip(np.array(fit)[np.searchsorted(at, x)], 0, 1) - y).mean()
+        assert abs(got[k] - want) < 1e-9
+
+
+def test_cells_and_packing_order(spark):
+    """Cells are counts of evenly spaced edges; items take free cells in order of wanted cells over the whole grid."""
+    g = np.random.Generator(np.random.PCG64(7))
+    xy = g.uniform(-1, 1, (60, 2))
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "id int, x double, y double")
+    cells = {r.id: (r.gx, r.gy) for r in layout.grid_cells(df, "x", "y", 9).collect()}
+    for c in (0, 1):
+        edges = np.linspace(xy[:, c].min(), xy[:, c].max(), 8)
+        assert [cells[i][c] for i in range(60)] == [int((edges <= v + 1e-12).sum()) for v in xy[:, c]]
+    crowd = spark.createDataFrame([(i, 2 + i % 2, 3) for i in range(30)], "id int, gx int, gy int")
+    free, want = np.ones((5, 5), bool), {}
+    for i in sorted(range(30), key=lambda i: (3 * 5 + 2 + i % 2, i)):
+        near = [(2 + i % 2 + dx, 3 + dy) for r in range(6) for dx in range(-r, r + 1) for dy in range(-r, r + 1) if max(abs(dx), abs(dy)) == r]
+        spot = next((p for p in near if 0 <= p[0] < 5 and 0 <= p[1] < 5 and free[p]), None)
+        want[i] = spot or (0, 0)
+        if spot:
+            free[spot] = False
+    assert {r.id: (r.px, r.py) for r in layout.pack(crowd, "id", 5).collect()} == want
+
+
+def test_phrases_and_objects():
+    from spindrift.functions import text as X
+
+    assert X.locate("the part  x of it", "art x", []) is None or X.locate("the part  x of it", "art x", [])[2] < X.SPACED
+    assert X.locate("the part  x of it", "\"part   x\"", []) == (4, 11, X.SPACED)
+    assert X.locate("A Red   house", " 'red house' ", []) == (2, 13, X.SPACED)
+    assert X.locate("red house", "red house", [(0, 3)]) is None
+    assert X.first_object('x {"a": 1} ```json\n{"b": "}```{"}\n``` {"c": 3}') == '{"b":"}```{"}'
+    assert X.first_object('[1, {"a": {"b": 2}}]') == '{"a":{"b":2}}' and X.first_object("{ no") is None and X.first_object(None) is None
+    assert X.first_object("{} and more") == "{}"
+
+
+def test_one_item_s_score_and_the_fit_cache(spark):
+    g = np.random.Generator(np.random.PCG64(12))
+    x = g.normal(size=(50, 4))
+    df = spark.createDataFrame([(f"i{i:02d}", list(map(float, r))) for i, r in enumerate(x)], "id string, v array<double>")
+    a = Axis.create(df, "id", "v", [1.0, 0, 0, 0]).move("i07", 90.0)
+    whole = {r.id: r.score for r in a.percent().collect()}
+    assert all(abs(a._percent_of(i) - whole[i]) < 1e-12 for i in ("i00", "i07", "i31"))
+    first = a.model()
+    assert a.model() is first and a.move("i08", 10.0).model() is not first
+    assert a._lengthscale() > 0 and a._lengthscale(10) > 0
