@@ -33,16 +33,13 @@ def _stretch(df: DataFrame, value: str, on: str | None = None) -> Column | None:
     return tree(0, len(cuts))
 
 
-def with_rank(df: DataFrame, value: str, by: Sequence[str] = (), low: str = "rank_low", ties: str = "rank_ties", n: str = "rank_n", tie: float = TIE) -> DataFrame:
-    """df with the number of smaller values, of equal values (the row included) and of all, in its group or the whole table.
-    Rows without a value have none of these and aren't counted. Values that follow each other by `tie` or less are equal.
-
-    Values are counted first; the counts are ranked by group and stretch, so neither a table nor a large group is sorted by one task.
-    """
-    keep = df.columns
+def _ranked(df: DataFrame, value: str, by: Sequence[str], tie: float) -> DataFrame | None:
+    """(by0_, ..., value_, low_, ties_, n_, c_): each distinct value of a group with the numbers of smaller, equal and all values, and of
+    its own rows; None without values. Values are counted first; the counts are ranked by group and stretch, so neither a table nor a
+    large group is sorted by one task."""
     stretch = _stretch(df, value, "value_")
     if stretch is None:
-        return df.select(*keep, *[F.lit(None).cast("long").alias(c) for c in (low, ties, n)])
+        return None
     counts = df.where(F.col(value).isNotNull()).groupBy(*[F.col(b).alias(f"by{i}_") for i, b in enumerate(by)], F.col(value).alias("value_")).agg(F.count("*").alias("c_")).withColumn("part_", stretch)
     own = [f"by{i}_" for i in range(len(by))]
     before = Window.partitionBy(*own).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # one row a stretch
@@ -51,10 +48,20 @@ def with_rank(df: DataFrame, value: str, by: Sequence[str] = (), low: str = "ran
     gap = F.col("value_").cast("double") - F.lag("value_").over(inside).cast("double")
     ranked = counts.select("*", F.coalesce(F.sum("c_").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("in_"), F.when(gap <= tie, 0).otherwise(1).alias("new_"))
     run = Window.partitionBy(*own, "part_", "run_")
-    ranked = ranked.withColumn("run_", F.sum("new_").over(inside)).withColumns({"in_": F.min("in_").over(run), "c_": F.sum("c_").over(run)})
+    ranked = ranked.withColumn("run_", F.sum("new_").over(inside)).withColumns({"in_": F.min("in_").over(run), "ties_": F.sum("c_").over(run)})
     same = (F.col("part_") == F.col("opart_")) if not own else reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"o{c}")) for c in own], F.col("part_") == F.col("opart_"))
     ranked = ranked.join(offsets if own else F.broadcast(offsets), same)
-    ranked = ranked.select(*own, "value_", (F.col("in_") + F.col("before_")).alias(low), F.col("c_").alias(ties), F.col("n_").alias(n))
+    return ranked.select(*own, "value_", (F.col("in_") + F.col("before_")).alias("low_"), "ties_", "n_", "c_")
+
+
+def with_rank(df: DataFrame, value: str, by: Sequence[str] = (), low: str = "rank_low", ties: str = "rank_ties", n: str = "rank_n", tie: float = TIE) -> DataFrame:
+    """df with the number of smaller values, of equal values (the row included) and of all, in its group or the whole table.
+    Rows without a value have none of these and aren't counted. Values that follow each other by `tie` or less are equal."""
+    keep = df.columns
+    ranked = _ranked(df, value, by, tie)
+    if ranked is None:
+        return df.select(*keep, *[F.lit(None).cast("long").alias(c) for c in (low, ties, n)])
+    ranked = ranked.select(*[f"by{i}_" for i in range(len(by))], "value_", F.col("low_").alias(low), F.col("ties_").alias(ties), F.col("n_").alias(n))
     on = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"by{i}_")) for i, b in enumerate(by)], F.col(value) == F.col("value_"))
     out = df.join(ranked, on, "left").select(*keep, low, ties, n)
     return out.select(*keep, *[F.when(F.col(value).isNotNull(), F.col(c)).alias(c) for c in (low, ties, n)])
@@ -102,9 +109,18 @@ def ntile(df: DataFrame, value: str, tie: str, bins: int, out: str = "bin") -> D
 
 
 def quantile(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Linear interpolation at p * (n - 1), p clamped to [0, 1]."""
+    """Linear interpolation at p * (n - 1), p clamped to [0, 1]: (by, q: an array). Exact, from counted and ranked values, so
+    that no task holds all values of a group."""
     ps = [min(1.0, max(0.0, p)) for p in probs]
-    return df.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(p) for p in ps])).alias("q"))
+    ranked = _ranked(df.select(*by, F.col(value).cast("double").alias(value)), value, by, -1.0)
+    if ranked is None:
+        return df.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(p) for p in ps])).alias("q"))  # no values: nulls
+    at = [F.lit(p) * (F.col("n_") - 1) for p in ps]
+    holds = lambda k: (F.col("low_") <= k) & (k < F.col("low_") + F.col("ties_"))
+    found = [F.max(F.when(holds(f(x)), F.col("value_"))).alias(f"{f.__name__}{i}_") for i, x in enumerate(at) for f in (F.floor, F.ceil)]
+    told = ranked.groupBy(*[f"by{i}_" for i in range(len(by))]).agg(F.first("n_").alias("n_"), *found)
+    part = lambda i, x: F.col(f"floor{i}_") + (F.col(f"ceil{i}_") - F.col(f"floor{i}_")) * (x - F.floor(x))
+    return told.select(*[F.col(f"by{i}_").alias(b) for i, b in enumerate(by)], F.array(*[part(i, x) for i, x in enumerate(at)]).alias("q"))
 
 
 def zscore(df: DataFrame, value: str, out: str = "z", by: Sequence[str] = ()) -> DataFrame:

@@ -20,7 +20,9 @@ def _(t):
 
 
 CENTRES = "c AS (SELECT (label = 3) AS p, pos, avg(x) AS x FROM (SELECT label, unnest(range(1, 65)) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2), w AS (SELECT list(a.x - b.x ORDER BY a.pos) AS w FROM c a JOIN c b ON a.pos = b.pos AND a.p AND NOT b.p)"
-SCORED = CENTRES + f", s AS (SELECT vec_id, round(list_inner_product({E}, w) / (sqrt(list_inner_product({E}, {E})) * sqrt(list_inner_product(w, w))), 6) AS z FROM embeddings, w)"
+COSINE = f"list_inner_product({E}, w) / (sqrt(list_inner_product({E}, {E})) * sqrt(list_inner_product(w, w)))"
+SCORED = CENTRES + f", s AS (SELECT vec_id, round({COSINE}, 6) AS z FROM embeddings, w)"
+EXACTLY_SCORED = CENTRES + f", s AS (SELECT vec_id, {COSINE} AS z FROM embeddings, w)"
 
 
 def direction(t):

@@ -353,3 +353,48 @@ def test_one_item_s_score_and_the_fit_cache(spark):
     first = a.model()
     assert a.model() is first and a.move("i08", 10.0).model() is not first
     assert a._lengthscale() > 0 and a._lengthscale(10) > 0
+
+
+def test_quantiles_are_exact(spark):
+    g = np.random.Generator(np.random.PCG64(5))
+    rows = [(k, float(v) if i % 11 else None) for k in "ab" for i, v in enumerate(g.normal(0, 3, 333).round(1))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    ps = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    own = {k: [v for x, v in rows if x == k and v is not None] for k in "ab"}
+    for r in ranks.quantile(df, "v", ps, ["g"]).collect():
+        assert np.allclose(r.q, np.quantile(own[r.g], ps))
+    assert np.allclose(ranks.quantile(df, "v", ps).first().q, np.quantile(own["a"] + own["b"], ps))
+    assert ranks.quantile(df.where("v IS NULL"), "v", ps).first().q is None
+
+
+def test_what_is_plugged_in(spark):
+    from spindrift.plans import protocols as P
+
+    g = np.random.Generator(np.random.PCG64(2))
+    x = g.normal(size=(60, 3))
+    items = spark.createDataFrame([(f"i{i}", list(map(float, r))) for i, r in enumerate(x)], "id string, v array<double>")
+    with pytest.raises(ValueError):
+        P.SCORERS.add("GAUSSIAN", None)
+    with pytest.raises(KeyError, match="cosine"):
+        P.SCORERS["none"]
+    s = P.SCORERS["gaussian"]
+    state = s.feedback(items, s.begin([1.0, 0, 0]), [("i3", 100.0, "score"), ("i4", 0.0, "undefined")])
+    again = s.restore(s.export(state))
+    assert again == state and s.score(items, again).count() == 60
+    plain = {r.id: r.z for r in P.SCORERS["prior"].score(items, state).collect()}
+    assert np.isclose(plain["i0"], x[0, 0] / np.linalg.norm(x[0]))
+    truth = 1 / (1 + np.exp(-x @ [1.0, 1.0, 0]))
+    for name in P.SESSIONS.names():
+        told = P.session(name, [1.0, 0, 0])
+        for i in range(20):
+            told = told.observe(f"i{i}", x[i], truth[i])
+        assert len(told.observe("i0", x[0], 0.5).labels) == 20
+        got = {r.id: r.score for r in told.predict(items).collect()}
+        agreement = np.corrcoef([got[f"i{i}"] for i in range(20, 60)], truth[20:])[0, 1]
+        assert agreement > (0.4 if name in ("prior", "prior affine", "ridge") else 0.8), (name, agreement)
+    first = P.extractor("means")
+    assert P.extractor("means") is first and np.allclose(first(np.array([[0, 255, 51], [255, 255, 51.0]])), [0.5, 1, 0.2])
+    p = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.55, 0.55), (3, 0.6, 0.5)], "id long, x double, y double")
+    assert {r.id for r in P.brushed(p, (50.0, 50.0), 6.0, 100.0, 100.0, "square").collect()} == {1, 2}
+    assert {r.id for r in P.brushed(p, (50.0, 50.0), 6.0, 100.0, 100.0).collect()} == {1}
+    assert {r.id for r in P.brushed(p, (0, 0), 1.0, 1.0, 1.0, lambda x, y, at, r: y > 0.5).collect()} == {2}
