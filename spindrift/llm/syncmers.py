@@ -29,6 +29,8 @@ from .common import fresh, join_small, without
 TOKEN, K, S = 6, 12, 3
 #: rows that meet in one window partition, on average; also the most keys that are put in order in a single task
 BUCKET_ROWS, ONE_TASK = 1024, 20_000
+#: rows that a task gets, about, and tasks at most
+TASK_ROWS, MOST_TASKS = 4096, 50_000
 #: cuts that are made at once, so also the most cuts that a stretch of the first cut is divided by
 CUTS = 1000
 
@@ -137,7 +139,9 @@ def next_document(df: DataFrame, key: str, text: str, derive: Callable[[DataFram
     edges = edges.select(F.col("bucket").alias("closes"), F.coalesce("upcoming", F.lit(low)).alias("upcoming"))
     firsts = join_small(own.drop("bucket_"), edges, F.col(key) == F.col("upcoming")).groupBy("closes").agg(F.min(F.coalesce(F.col(text), F.lit(""))).alias(text), F.first("upcoming").alias("upcoming"))
     closing = firsts.select(F.col("upcoming").alias(key), text, F.col("closes").alias("bucket_"), F.lit(True).alias("copy_"))
-    rows = own.withColumn("copy_", F.lit(False)).unionByName(closing).repartition("bucket_")
+    rows = own.withColumn("copy_", F.lit(False)).unionByName(closing)
+    # as many partitions as there are rows for, so that a task's share doesn't grow with the table
+    rows = rows.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-n // TASK_ROWS))), "bucket_")
     order = Window.partitionBy("bucket_").orderBy("copy_", key, F.coalesce(F.col(text), F.lit("")))
     rows = derive(rows).select("*", F.lead(F.struct(*cols)).over(order).alias("next_")).where(~F.col("copy_"))
     return rows.select(key, *cols, *[F.col(f"next_.{c}").alias(prefix + c) for c in cols]).unionByName(lost.select(key, *cols, *[prefix + c for c in cols]))
