@@ -44,8 +44,9 @@ from .textbytes import blocks, mix, windows
 K, PERCENT = 5, 75
 #: tokens in fewer documents than this count as rare; how many frequent ones are sent to all tasks at most (5 bytes each)
 FREQUENT, MOST_FREQUENT = 16, 1 << 20
-#: counted tokens: values that a task sorts at a time, ranges that their runs are cut into, and values that one range may have when runs are merged
-RUN, RANGES, MERGED = 1 << 21, 1 << 10, 1 << 22
+#: counted tokens: values that a task sorts at a time, ranges that their runs are cut into, values that one range may have when runs are merged,
+#: and up to which small ranges are merged by one task
+RUN, RANGES, MERGED, GROUPED = 1 << 21, 1 << 10, 1 << 22, 1 << 18
 #: buckets whose token may stand in more documents than this take the way for hot tokens
 HOT = 50_000
 BLOCK = 512
@@ -195,7 +196,7 @@ def _frequent(runs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
         parts = runs.select("part", "run", F.pmod(F.xxhash64("run"), F.lit(more)).alias("some"))
         runs = materialize(shipped(parts).groupBy("part", "some").applyInPandas(again, "part int, run binary"), "runs")
     else:
-        key = F.floor(F.col("part") / max(1, MERGED // each))
+        key = F.floor(F.col("part") / max(1, GROUPED // each))
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         values, counts = _merged(iter(rows["run"]))
