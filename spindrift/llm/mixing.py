@@ -162,7 +162,8 @@ def _mixed(df: DataFrame, text: str, source: str, seed: int) -> DataFrame:
     col = lambda c: F.col(f"`{c}`")
     keep = [col(c) for c in df.columns]
     own = fresh([*df.columns, id_], "own_mark")
-    rows = marked.withColumnRenamed(id_, own).join(given, (col(own) == col(id_)) & col(source).eqNullSafe(col(source_)))
+    # joined the same way at any size: there is a row of copies for about every row of df
+    rows = marked.withColumnRenamed(id_, own).join(given.hint("merge"), (col(own) == col(id_)) & col(source).eqNullSafe(col(source_)))
     out = rows.where(col(n_) == 1)
     if given.where(col(n_) > 1).limit(1).count():
         out = out.unionByName(rows.where(col(n_) > 1).dropDuplicates([id_, source_]))
