@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from itertools import count
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -49,6 +51,9 @@ class _Open(threading.local):
 
 
 _OPEN = _Open()
+#: of so many tables that are written, each last one is followed by a release
+RELEASE = 6
+_WRITTEN = count(1)
 
 
 @contextmanager
@@ -78,9 +83,18 @@ def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     if scopes:
         scopes[-1].append(path)
     df.write.parquet(path)
+    if next(_WRITTEN) % RELEASE == 0:
+        release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Plans, broadcasts and shuffles that nothing refers to any more go when the driver collects garbage. Operators of many small jobs
+    ask for that now and then, so that the driver holds what is in use and not what has been."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def join_small(df: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join a table that is small as a rule. It is counted first and broadcast only up to `limit` rows; beyond that Spark shuffles and splits skewed keys."""
     return df.join(F.broadcast(small) if len(small.limit(limit + 1).select(F.lit(1)).collect()) <= limit else small, on, how)
