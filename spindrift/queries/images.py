@@ -36,10 +36,10 @@ def _(t):
 WITH {PIXELS}, v AS (SELECT item, x, y, (0.2989 * r + 0.5870 * g + 0.1140 * b) / 255.0::DOUBLE AS v, greatest(r, g, b) / 255.0::DOUBLE AS hi, least(r, g, b) / 255.0::DOUBLE AS lo, (r - b) / 255.0::DOUBLE AS warm, (g - (r + b) / 2.0) / 255.0::DOUBLE AS green, (r - g)::DOUBLE AS rg, (r + g) / 2.0::DOUBLE - b AS yb FROM px),
 l AS (SELECT c.item, n.v + s.v + e.v + w.v - 4 * c.v AS lap FROM v c JOIN v n ON n.item = c.item AND n.x = c.x AND n.y = c.y - 1 JOIN v s ON s.item = c.item AND s.x = c.x AND s.y = c.y + 1 JOIN v e ON e.item = c.item AND e.x = c.x + 1 AND e.y = c.y JOIN v w ON w.item = c.item AND w.x = c.x - 1 AND w.y = c.y),
 q AS (SELECT item, var_pop(lap) AS sharpness FROM l GROUP BY item)
-SELECT v.item, round(avg(hi), 6) AS brightness, round(avg((hi - lo) / (hi + 1e-6)), 6) AS saturation, round(stddev_pop(v), 6) AS contrast, round(coalesce(any_value(sharpness), 0), 6) AS sharpness, round(avg(warm), 6) AS warmth, round(sqrt(var_pop(rg) + var_pop(yb)) + 0.3 * sqrt(avg(rg) ** 2 + avg(yb) ** 2), 5) AS colourfulness, round(avg(green), 6) AS greenness FROM v LEFT JOIN q USING (item) GROUP BY v.item""")
+SELECT v.item, round(avg(hi), 6) AS brightness, round(avg((hi - lo) / (hi + 1e-6)), 6) AS saturation, round(stddev_pop(v), 6) AS contrast, round(coalesce(any_value(sharpness), 0), 6) AS sharpness, round(avg(warm), 8) AS warmth, round(sqrt(var_pop(rg) + var_pop(yb)) + 0.3 * sqrt(avg(rg) ** 2 + avg(yb) ** 2), 5) AS colourfulness, round(avg(green), 8) AS greenness FROM v LEFT JOIN q USING (item) GROUP BY v.item""")
 def _(t):
     s = images.statistics(pixels(t))
-    return s.select("item", *[F.round(c, 5 if c == "colourfulness" else 6).alias(c) for c in ("brightness", "saturation", "contrast", "sharpness", "warmth", "colourfulness", "greenness")])
+    return s.select("item", *[F.round(c, {"colourfulness": 5, "warmth": 8, "greenness": 8}.get(c, 6)).alias(c) for c in ("brightness", "saturation", "contrast", "sharpness", "warmth", "colourfulness", "greenness")])
 
 
 GRID = f"{PLANE}, g0 AS (SELECT CAST(least(floor((x + 1) / 2 * 24), 23) AS INT) AS gx, CAST(least(floor((y + 1) / 2 * 24), 23) AS INT) AS gy, count(*)::DOUBLE AS density FROM p GROUP BY 1, 2)"

@@ -65,12 +65,12 @@ def _(t):
 
 
 @query("W10_gap_fill", """
-WITH b AS (SELECT s.i AS bin, h.m FROM range(0, 1200) s(i) LEFT JOIN (SELECT CAST(floor(value * 10) AS INT) AS bin, round(avg(value), 6) AS m FROM events WHERE event_type = 'error' GROUP BY 1) h ON h.bin = s.i),
+WITH b AS (SELECT s.i AS bin, h.m FROM range(0, 1200) s(i) LEFT JOIN (SELECT CAST(floor(value * 10) AS INT) AS bin, avg(value) AS m FROM events WHERE event_type = 'error' GROUP BY 1) h ON h.bin = s.i),
 w AS (SELECT bin, m, last_value(m IGNORE NULLS) OVER p AS lo, first_value(m IGNORE NULLS) OVER f AS hi, last_value(CASE WHEN m IS NOT NULL THEN bin END IGNORE NULLS) OVER p AS al, first_value(CASE WHEN m IS NOT NULL THEN bin END IGNORE NULLS) OVER f AS ah FROM b
  WINDOW p AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT CAST(bin AS BIGINT) AS bin, round(CASE WHEN m IS NOT NULL THEN m WHEN lo IS NULL THEN hi WHEN hi IS NULL THEN lo ELSE lo + (hi - lo) * (bin - al) / (ah - al) END, 6) AS filled FROM w""")
 def _(t):
-    h = t.events.where("event_type = 'error'").groupBy(F.floor(F.col("value") * 10).cast("long").alias("bin")).agg(F.round(F.avg("value"), 6).alias("m"))
+    h = t.events.where("event_type = 'error'").groupBy(F.floor(F.col("value") * 10).cast("long").alias("bin")).agg(F.avg("value").alias("m"))
     spine = t.spark.range(1200).select(F.col("id").alias("bin"))
     return ranks.fill_gaps(spine.join(h, "bin", "left"), "bin", "m").select("bin", F.round("filled", 6).alias("filled"))
 
