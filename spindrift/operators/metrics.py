@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workers import shipped
-from .ranks import STRETCHES, average_rank, rank_percentile
+from .ranks import STRETCHES, _stretch, average_rank, rank_percentile
 
 
 def pearson(x: str, y: str, flat: float | None = 0.0) -> Column:
@@ -36,18 +37,76 @@ def pairs_below(df: DataFrame, key: str, cols: Sequence[str], by: Sequence[str]
     return a.join(b, list(by)).where(on) if by else a.crossJoin(b).where(on)
 
 
+#: asking rows that one task holds beyond as many as there are told rows
+ASKING = 1 << 18
+
+
+def _dominated(x: np.ndarray, y: np.ndarray, weight: np.ndarray, asks: np.ndarray) -> tuple[int, int, int]:
+    """Weighted pairs of an asking row and a told row of smaller y: those whose told x is smaller, those where it is larger, and all.
+
+    Two places of x differ first in one bit: for each bit, rows that agree in the higher ones are passed in order of y, with running
+    sums of what was told on either side.
+    """
+    order = np.lexsort((~asks, y))  # of equal y, who asks comes before who tells
+    place = np.unique(x, return_inverse=True)[1][order]
+    weight, asks = weight[order], asks[order]
+    told = np.where(asks, 0, weight)
+    every = int((weight * np.cumsum(told))[asks].sum())
+    sides = [0, 0]
+    for bit in range(int(place.max(initial=0)).bit_length()):
+        at = np.argsort(place >> (bit + 1), kind="stable")
+        group, high = place[at] >> (bit + 1), (place[at] >> bit) & 1
+        first = np.searchsorted(group, group)
+        for side in (0, 1):
+            seen = np.concatenate([[0], np.cumsum(np.where(high == side, told[at], 0))])
+            sides[side] += int((weight[at] * (seen[1:] - seen[first]))[asks[at] & (high != side)].sum())
+    return sides[0], sides[1], every
+
+
 def kendall(df: DataFrame, key: str, pred: str, ref: str, by: Sequence[str] = (), eps: float = 1e-6) -> DataFrame:
-    """Over pairs whose references differ by more than eps: tau and pairwise accuracy (ties in the prediction count half).
+    """Over pairs whose references differ by more than eps: tau and pairwise accuracy (ties in the prediction count half). A
+    group without such a pair has no row; without `by` there is always one.
 
-    Distinct (pred, ref) values are counted first and the pairs are made of those, weighted by their counts.
+    No pairs are made. Distinct (pred, ref) are counted; each asks, at ref - eps, for those told below. Both columns are cut into
+    stretches at about their quantiles, and a pair is counted once: by the grid of stretches where both differ, within the stretch of
+    the reference where that is the same, else within the stretch of the prediction. A frequent reference makes many ask in one
+    stretch: they are dealt to several tasks.
     """
-    cells = df.where(F.col(pred).isNotNull() & F.col(ref).isNotNull()).groupBy(*by, pred, ref).agg(F.count("*").alias("c")).withColumn("k_", F.xxhash64(pred, ref))
-    a = cells.select(*by, F.col(pred).alias("p1"), F.col(ref).alias("r1"), F.col("c").alias("c1"))
-    b = cells.select(*by, F.col(pred).alias("p2"), F.col(ref).alias("r2"), F.col("c").alias("c2"))
-    p = (a.join(b, list(by)) if by else a.crossJoin(b)).where(F.col("r1") - F.col("r2") > eps).withColumn("w", F.col("c1") * F.col("c2"))
-    told = [F.sum(F.when(F.col("p1") > F.col("p2"), F.col("w")).otherwise(F.lit(0))).alias("conc"), F.sum(F.when(F.col("p1") < F.col("p2"), F.col("w")).otherwise(F.lit(0))).alias("disc"), F.sum("w").alias("valid")]
-    g = p.groupBy(*by).agg(*told)
-    return g.select(*by, "valid", ((F.col("conc") - F.col("disc")) / F.col("valid")).alias("tau"), ((F.col("conc") + (F.col("valid") - F.col("conc") - F.col("disc")) / 2) / F.col("valid")).alias("accuracy"))
+    own = [f"g{i}_" for i in range(len(by))]
+    cells = df.where(F.col(pred).isNotNull() & F.col(ref).isNotNull()).groupBy(*[F.col(b).alias(o) for b, o in zip(by, own, strict=True)], F.col(pred).cast("double").alias("x_"), F.col(ref).cast("double").alias("y_")).agg(F.count("*").alias("w_"))
+    cells = cells.withColumn("t_", F.col("y_") - F.lit(eps))
+    levels = cells.select(F.explode(F.array("y_", "t_")).alias("y_"))  # told and asking rows have bounds of their own
+    px, py, pt = (_stretch(d, c, on) for d, c, on in ((cells, "x_", "x_"), (levels, "y_", "y_"), (levels, "y_", "t_")))
+    zero = F.lit(0).cast("long")
+    if px is None or py is None:
+        told = df.sparkSession.createDataFrame([], ", ".join([*[f"{o} {df.schema[b].dataType.simpleString()}" for b, o in zip(by, own, strict=True)], "lower long, upper long, every long"]))
+    else:
+        row = lambda kind, part, x, y, asks: F.struct(F.lit(kind).alias("kind_"), part.cast("int").alias("part_"), x.cast("double").alias("x_"), y.cast("double").alias("y_"), F.lit(asks).alias("asks_"))
+        x, y, t = F.col("x_"), F.col("y_"), F.col("t_")
+        each = F.array(*[row(kind, part, a, b, asks) for asks, level, on in ((False, y, F.col("py_")), (True, t, F.col("pt_"))) for kind, part, a, b in (("grid", F.lit(0), F.col("px_"), on), ("ref", on, x, level), ("pred", F.col("px_"), x, on))])
+        where = [*own, "kind_", "part_"]
+        rows = cells.withColumns({"px_": px, "py_": py, "pt_": pt}).select(*own, "w_", F.inline(each)).groupBy(*where, "x_", "y_", "asks_").agg(F.sum("w_").alias("w_"))
+        asks = F.col("asks_")
+        sizes = rows.groupBy(*where).agg(F.min(F.when(~asks, y)).alias("least_"), F.max(F.when(asks, y)).alias("most_"), F.count_if(asks).alias("na_"), F.count_if(~asks).alias("nt_"))
+        sizes = sizes.where("least_ < most_").select(*[F.col(c).alias(f"of{c}") for c in where], "least_", "most_", F.ceil(F.col("na_") / F.greatest("nt_", F.lit(ASKING))).cast("int").alias("deals_"))
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"of{c}")) for c in where])
+        deal = F.when(asks, F.array(F.pmod(F.xxhash64("x_", "y_"), F.col("deals_")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("deals_") - 1))
+        met = rows.join(sizes, same).where(F.when(asks, y > F.col("least_")).otherwise(y < F.col("most_"))).select(*where, "x_", "y_", "asks_", "w_", F.explode(deal).alias("deal_"))
+        kinds = "".join(f"{o} {df.schema[b].dataType.simpleString()}, " for b, o in zip(by, own, strict=True))
+
+        def count(g: pd.DataFrame) -> pd.DataFrame:
+            lower, upper, every = _dominated(g["x_"].to_numpy(), g["y_"].to_numpy(), g["w_"].to_numpy(), g["asks_"].to_numpy(bool))
+            out = pd.DataFrame([(lower, upper, 0 if g["kind_"].iloc[0] == "pred" else every)], columns=["lower", "upper", "every"])  # of the same prediction's stretch the grid has counted all
+            for i, o in enumerate(own):
+                out.insert(i, o, g[o].iloc[0])
+            return out
+
+        told = shipped(met).groupBy(*where, "deal_").applyInPandas(count, f"{kinds}lower long, upper long, every long")
+    wide = [F.coalesce(F.sum(F.col(c).cast("decimal(38,0)")).cast("long"), zero).alias(c) for c in ("lower", "upper", "every")]
+    g = told.groupBy(*own).agg(*wide)
+    n = F.nullif(F.col("every").cast("double"), F.lit(0.0))
+    out = g.select(*[F.col(o).alias(b) for b, o in zip(by, own, strict=True)], F.col("every").alias("valid"), ((F.col("lower") - F.col("upper")) / n).alias("tau"), ((F.col("lower") + (F.col("every") - F.col("lower") - F.col("upper")) / 2) / n).alias("accuracy"))
+    return out.where("valid > 0") if by else out
 
 
 def auroc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: stretches of the value range that a whole-table rank is worked off in
 STRETCHES = 200
@@ -80,16 +81,43 @@ def average_rank(df: DataFrame, value: str, out: str = "avg_rank", by: Sequence[
     return r.withColumn(out, F.col("rank_low") + (F.col("rank_ties") + 1) / 2).drop("rank_low", "rank_ties", "rank_n")
 
 
-def row_numbers(df: DataFrame, value: str, tie: str, out: str = "rn", descending: bool = False) -> DataFrame:
-    """1, 2, ... over the whole table by value, then tie: counted stretch by stretch, with offsets. Nulls come last."""
+def _crowded(df: DataFrame, value: str) -> list:
+    """Values that fill a stretch by themselves, none of them near another."""
+    cuts = df.agg(F.percentile_approx(value, [i / STRETCHES for i in range(1, STRETCHES)], 1000).alias("c")).first()["c"] or []
+    often = sorted({a for a, b in zip(cuts, cuts[1:], strict=False) if a == b})
+    near = {i for i in range(len(often) - 1) if float(often[i + 1]) - float(often[i]) <= 2 * TIE}
+    return [v for i, v in enumerate(often) if i not in near and i - 1 not in near]
+
+
+def row_numbers(df: DataFrame, value: str, tie: str | Sequence[str], out: str = "rn", descending: bool = False, first: Sequence[str] = ()) -> DataFrame:
+    """1, 2, ... over the whole table by `first`, value, then tie: counted stretch by stretch, with offsets. Nulls of value come last.
+
+    The rows of a value that fills a stretch by itself, and those without a value, are cut by the stretches of a numeric tie.
+    """
+    ties = [tie] if isinstance(tie, str) else list(tie)
     keyed = df.withColumn("v_", -F.col(value) if descending else F.col(value))
     stretch = _stretch(keyed, "v_")
     part = F.when(F.col("v_").isNull(), F.lit(STRETCHES + 1)).otherwise(F.lit(0) if stretch is None else stretch)
-    keyed = keyed.withColumn("part_", part)
-    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = keyed.groupBy("part_").agg(F.count("*").alias("s_")).select("part_", F.coalesce(F.sum("s_").over(before), F.lit(0)).alias("before_"))
-    inside = Window.partitionBy("part_").orderBy("v_", tie)
-    return keyed.withColumn("in_", F.row_number().over(inside)).join(F.broadcast(offsets), "part_").select(*df.columns, (F.col("in_") + F.col("before_")).alias(out))
+    often = _crowded(keyed, "v_") if stretch is not None else []
+    finer = F.lit(0)
+    if isinstance(df.schema[ties[0]].dataType, T.NumericType) and (often or stretch is None or keyed.where("v_ IS NULL").limit(1).count()):
+        cut = _stretch(keyed, ties[0])
+        if cut is not None:
+            # in a stretch smaller values come before the crowded one, and those within a tie's width above it after
+            own = F.when(F.col(ties[0]).isNull(), F.lit(1)).otherwise(cut + 2)
+            finer = F.when(F.col("v_").isNull(), own)
+            for v in often:
+                finer = finer.when(F.col("v_") == F.lit(v), own)
+                if isinstance(v, float):
+                    finer = finer.when((F.col("v_") > F.lit(v)) & (F.col("v_") <= F.lit(v + TIE)), F.lit(STRETCHES + 3))
+            finer = finer.otherwise(F.lit(0))
+    keyed = keyed.withColumns({"part_": part, "finer_": finer})
+    at = [*first, "part_", "finer_"]
+    before = Window.orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)  # one row a stretch
+    offsets = keyed.groupBy(*at).agg(F.count("*").alias("s_")).select(*[F.col(c).alias(f"o{i}_") for i, c in enumerate(at)], F.coalesce(F.sum("s_").over(before), F.lit(0)).alias("before_"))
+    inside = Window.partitionBy(*at).orderBy("v_", *ties)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"o{i}_")) for i, c in enumerate(at)])
+    return keyed.withColumn("in_", F.row_number().over(inside)).join(offsets if first else F.broadcast(offsets), same).select(*df.columns, (F.col("in_") + F.col("before_")).alias(out))
 
 
 def descending_rank(df: DataFrame, value: str, tie: str, out: str = "rank_desc") -> DataFrame:

@@ -132,10 +132,11 @@ def low_mid_high(df: DataFrame, value: str, tie: str, k: int) -> DataFrame:
 
 
 def balanced_sample(df: DataFrame, label: str, key: str, seed: str, limit: int | None = None) -> DataFrame:
-    """One of each label in turn, in hash order within a label, until the limit."""
+    """One of each label in turn, in hash order within a label, until the limit; of no label more than the limit are ranked
+    after the shuffle."""
     turn = F.row_number().over(Window.partitionBy(label).orderBy(hash_order(key, seed), key))
     d = df.withColumn("turn", turn)
-    return d.orderBy("turn", label).limit(limit) if limit else d
+    return d.where(F.col("turn") <= limit).orderBy("turn", label).limit(limit) if limit else d
 
 
 def near_percentile(df: DataFrame, value: str, tie: str, target: float, used: Sequence = ()) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import vectors as V
-from ..operators import aggregates, selection
+from ..operators import aggregates, ranks, selection
 from .aggregates import PLANE, plane
 
 MD5 = "md5('{s}' || {k})"
@@ -14,11 +14,7 @@ MD5 = "md5('{s}' || {k})"
 @query("T1_stable_multi_key_sort", "SELECT row_number() OVER (ORDER BY l_returnflag, l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS pos, l_orderkey, l_linenumber FROM lineitem")
 def _(t):
     l = t.lineitem.select("l_returnflag", "l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey")
-    # the flags are few: positions count up within a flag, plus the rows of the flags before it
-    inside = Window.partitionBy("l_returnflag").orderBy(F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber", "l_partkey")
-    sizes = l.groupBy("l_returnflag").agg(F.count("*").alias("c"))
-    before = sizes.select("l_returnflag", F.coalesce(F.sum("c").over(Window.orderBy("l_returnflag").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return l.withColumn("rn", F.row_number().over(inside)).join(F.broadcast(before), "l_returnflag").select((F.col("rn") + F.col("before")).alias("pos"), "l_orderkey", "l_linenumber")
+    return ranks.row_numbers(l, "l_extendedprice", ["l_orderkey", "l_linenumber", "l_partkey"], "pos", True, ["l_returnflag"]).select("pos", "l_orderkey", "l_linenumber")
 
 
 @query("T2_pair_list_cap", "SELECT l_orderkey AS i, l_partkey AS j, l_extendedprice AS w FROM lineitem ORDER BY w DESC, i, j LIMIT 64")

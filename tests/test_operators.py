@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from spindrift.functions import text as X
-from spindrift.operators import aggregates, layout, metrics, ranks, selection
+from spindrift.operators import aggregates, layout, metrics, ranks, selection, similarity
 from spindrift.plans import models, study
 from spindrift.plans.axis import Axis, Options, State, apply, forget
 from spindrift.plans.config import parse_methods
@@ -39,6 +40,57 @@ def test_row_numbers_and_ntile(spark):
         assert {bins[i] for i in part} == {k + 1}
 
 
+def test_row_numbers_of_crowded_values(spark):
+    rows = [(i, [None, 2.0, 2.0, 2.0 + 4e-13, 7.0 + i % 5][i * 7 % 5] if i % 3 else 2.0, "ab"[i % 2]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, v double, g string")
+    last = lambda v: (v is None, v or 0.0)
+    assert [r.id for r in ranks.row_numbers(df, "v", "id").orderBy("rn").collect()] == [i for i, v, _ in sorted(rows, key=lambda r: (last(r[1]), r[0]))]
+    down = ranks.row_numbers(df, "v", ["id"], "rn", True, ["g"]).orderBy("rn").collect()
+    assert [r.id for r in down] == [i for i, _, _ in sorted(rows, key=lambda r: (r[2], r[1] is None, -(r[1] or 0.0), r[0]))]
+    assert [r.rn for r in down] == list(range(1, 3001))
+
+
+@pytest.mark.parametrize("eps", [0.0, 1e-6, 0.3])
+def test_kendall_counts_all_pairs(spark, monkeypatch, eps):
+    monkeypatch.setattr(metrics, "ASKING", 50)
+    rows = [(f"g{i % 3}" if i % 7 else None, float(i * 37 % 101) if i % 4 else 5.0, float(i * 53 % 13) / 10 if i % 2 else 0.4) for i in range(900)] + [("none", None, 1.0), ("one", 1.0, 1.0), ("same", 1.0, 2.0), ("same", 3.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, p double, r double")
+
+    def want(of):
+        of = [(p, r) for p, r in of if p is not None]
+        signs = [(p > q) - (p < q) for p, r in of for q, t in of if t < r - eps]
+        return len(signs), sum(signs) / len(signs), (signs.count(1) + signs.count(0) / 2) / len(signs)
+
+    got = metrics.kendall(df, "p", "p", "r", eps=eps).first()
+    assert got.valid == want([r[1:] for r in rows])[0] and np.allclose(got, want([r[1:] for r in rows]))
+    groups = {r.g: tuple(r)[1:] for r in metrics.kendall(df, "p", "p", "r", ["g"], eps).collect()}
+    assert set(groups) == {None, "g0", "g1", "g2"}
+    assert all(np.allclose(v, want([r[1:] for r in rows if r[0] == g])) for g, v in groups.items())
+    none = metrics.kendall(df.where("g = 'none'"), "p", "p", "r", eps=eps).first()
+    assert tuple(none) == (0, None, None)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "sq_euclidean"])
+def test_knn_is_exhaustive(spark, monkeypatch, metric):
+    monkeypatch.setattr(similarity, "LEAST", 16)
+    monkeypatch.setattr(similarity, "CELLS", 64)
+    rng = np.random.default_rng(5)
+    m = np.round(rng.normal(size=(120, 6)), 1)
+    m[60:70] = m[3]  # ties
+    rows = [(i * 3 % 127, [float(v) for v in x]) for i, x in enumerate(m)]
+    df = spark.createDataFrame([*rows, (900, None)], "id long, v array<double>")
+    near = similarity.knn(df, df, "id", "v", 4, metric)
+    got: dict = {}
+    for r in near.orderBy("src", F.col("sim").desc(), "dst").collect():
+        got.setdefault(r.src, []).append((r.dst, r.sim))
+    ids, norms = [i for i, _ in rows], np.linalg.norm(m, axis=1)
+    sim = np.round(np.clip(m @ m.T / np.outer(norms, norms), -1, 1) if metric == "cosine" else -((m[:, None] - m[None]) ** 2).sum(axis=2), 9)
+    assert set(got) == set(ids)
+    for a, i in enumerate(ids):
+        best = sorted(((-sim[a, b], j) for b, j in enumerate(ids) if j != i))[:4]
+        assert [d for d, _ in got[i]] == [j for _, j in best] and np.allclose([s for _, s in got[i]], [-s for s, _ in best])
+
+
 def test_perfect_ranking(spark):
     df = spark.createDataFrame([(i, p, r) for i, (p, r) in enumerate(zip([0.9, 0.8, 0.2, 0.1], [1, 1, 0, 0], strict=True))], "id int, p double, r int")
     assert metrics.auroc(df, "p", "r").first().auroc == 1.0
