@@ -132,6 +132,13 @@ def block_means(v: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / size).cast("int") - 1), lambda b: V.total(F.slice(d, b * size + 1, F.lit(size))) / size)
 
 
+def correspondence(cells: DataFrame, image: str, x: str, y: str, vector: str, source, at: tuple[int, int]) -> DataFrame:
+    """(image, x, y, cosine) of every cell of the other images to one cell of the source image; no row where that isn't there.
+    Maps are compared at the resolution that they come in."""
+    one = cells.where((F.col(image) == F.lit(source)) & (F.col(x) == at[0]) & (F.col(y) == at[1])).select(F.col(vector).cast("array<double>").alias("from_")).limit(1)
+    return cells.where(F.col(image) != F.lit(source)).crossJoin(F.broadcast(one)).select(image, x, y, V.cosine(F.col(vector).cast("array<double>"), F.col("from_")).alias("cosine"))
+
+
 def kmeans(df: DataFrame, key: str, x: str, y: str, k: int, rounds: int) -> DataFrame:
     """Centroids begin at the first k items; the lowest index wins on ties; an empty cluster keeps its centroid. A round is one
     aggregation to k rows."""

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import similarity
+from ..functions import vectors as V
+from ..operators import metrics, ranks, similarity
 from ..workers import shipped
 from . import models
 
@@ -195,24 +196,43 @@ class Setting:
 BUDGETS = (0, 1, 3, 5, 10, 20)
 
 
-def loop(x: np.ndarray, ref: np.ndarray, w0: np.ndarray, ids: Sequence, s: Setting, budgets: Sequence[int] = BUDGETS) -> list[tuple[int, float, float]]:
-    """E5: select, observe, refit on one task's items; (budget, Spearman, AUROC or NaN) at each budget. Deterministic: the random
-    policy goes by CRC of setting and id."""
+@dataclass(frozen=True)
+class Step:
+    """What is measured at a budget: over all items, and over those that aren't undefined."""
+
+    budget: int
+    numeric: int
+    undefined: int
+    spearman: float
+    auroc: float
+    spearman_defined: float
+    auroc_defined: float
+
+
+def loop(x: np.ndarray, ref: np.ndarray, w0: np.ndarray, ids: Sequence, s: Setting, budgets: Sequence[int] = BUDGETS, undefined: np.ndarray | None = None, allowed: bool = True) -> list[Step]:
+    """E5: select, observe, refit on one task's items; a step at each budget. Deterministic: the random policy goes by CRC of setting
+    and id.
+
+    undefined: the items that the axis says nothing about. Where such an answer is `allowed`, it uses up a query but gives the fit no
+    target; else the item is answered with its reference like any other.
+    """
     from zlib import crc32
 
-    z0 = x @ w0 / np.maximum(np.linalg.norm(x, axis=1) * max(1e-8, np.linalg.norm(w0)), 1e-8)
-    order = np.sort(z0)
+    cosine = lambda w: x @ w / np.maximum(np.linalg.norm(x, axis=1) * max(1e-8, np.linalg.norm(w)), 1e-8)
+    void = np.zeros(len(x), bool) if undefined is None else undefined
+    order = np.sort(cosine(w0))
     queried: list[int] = []
     out = []
     fit = models.fit_gaussian(w0, x[:0], np.zeros(0), np.zeros(0), s.alpha, s.sigma2, s.beta)
     for step in range(max(budgets) + 1):
-        z = x @ fit.mu / np.maximum(np.linalg.norm(x, axis=1) * max(1e-8, np.linalg.norm(fit.mu)), 1e-8) + fit.b
         if step in budgets:
-            out.append((step, _spearman(z, ref), _auroc(z, ref)))
+            z = cosine(fit.mu) + fit.b
+            numeric = sum(not (allowed and void[i]) for i in queried)
+            out.append(Step(step, numeric, len(queried) - numeric, _spearman(z, ref), _auroc(z, ref), _spearman(z[~void], ref[~void]), _auroc(z[~void], ref[~void])))
         rest = np.setdiff1d(np.arange(len(x)), queried).tolist()
-        if not rest or step == max(budgets):
-            if not rest:
-                break
+        if not rest:
+            break
+        if step == max(budgets):
             continue
         if s.policy == "random":
             pick = min(rest, key=lambda i: crc32(f"{s.replicate}||{step}||{ids[i]}".encode()))
@@ -224,8 +244,9 @@ def loop(x: np.ndarray, ref: np.ndarray, w0: np.ndarray, ids: Sequence, s: Setti
             value = {"uncertainty": u, "diversity": nov}.get(s.policy, scaled(u) * (0.5 + scaled(nov)))
             pick = max(rest, key=lambda i: (value[i], -i))
         queried.append(pick)
-        y = np.array([models.quantile(order, float(ref[i])) for i in queried])
-        fit = models.fit_gaussian(w0, x[queried], y, np.ones(len(queried)), s.alpha, s.sigma2, s.beta)
+        told = [i for i in queried if not (allowed and void[i])]
+        y = np.array([models.quantile(order, float(ref[i])) for i in told])
+        fit = models.fit_gaussian(w0, x[told], y, np.ones(len(told)), s.alpha, s.sigma2, s.beta)
     return out
 
 
@@ -235,6 +256,8 @@ def _ranks(v: np.ndarray) -> np.ndarray:
 
 
 def _spearman(a: np.ndarray, b: np.ndarray) -> float:
+    if len(a) < 2:
+        return 0.0
     p, q = _ranks(a), _ranks(b)
     return float(np.corrcoef(p, q)[0, 1]) if p.std() > 0 and q.std() > 0 else 0.0
 
@@ -251,20 +274,119 @@ def _auroc(score: np.ndarray, ref: np.ndarray) -> float:
 TASK_ITEMS = 200_000
 
 
-def sweep(items: DataFrame, key: str, vector: str, ref: str, by: str, w0: Sequence[float], settings: Sequence[Setting]) -> DataFrame:
-    """The refinement loop for every task (group of `by`) and setting, as one grouped job, over all items of a task. A
-    task of more than TASK_ITEMS is refused."""
-    d = items.select(by, key, vector, F.col(ref).cast("double").alias("ref"))
+def _tasks(d: DataFrame, by: str) -> DataFrame:
     if d.groupBy(by).count().where(F.col("count") > TASK_ITEMS).limit(1).count():
         raise ValueError(f"tasks hold {TASK_ITEMS} items at most")
-    grid = items.sparkSession.createDataFrame([(i, s.alpha, s.sigma2, s.beta, s.policy, s.replicate) for i, s in enumerate(settings)], "setting int, alpha double, sigma2 double, beta double, policy string, replicate int")
+    return shipped(d)
+
+
+def _given(v: float) -> float | None:
+    return None if v != v else v
+
+
+def sweep(items: DataFrame, key: str, vector: str, ref: str, by: str, w0: Sequence[float], settings: Sequence[Setting], undefined: str | None = None) -> DataFrame:
+    """The refinement loop for every task (group of `by`) and setting, as one grouped job, over all items of a task. A
+    task of more than TASK_ITEMS is refused. With `undefined`, a boolean column, each setting runs with and without such answers
+    (column allowed), as Step says."""
+    void = F.coalesce(F.col(undefined), F.lit(False)) if undefined else F.lit(False)
+    d = items.select(by, key, vector, F.col(ref).cast("double").alias("ref"), void.alias("void"))
+    grid = items.sparkSession.createDataFrame([(i, s.alpha, s.sigma2, s.beta, s.policy, s.replicate, a) for i, s in enumerate(settings) for a in ((False, True) if undefined else (True,))], "setting int, alpha double, sigma2 double, beta double, policy string, replicate int, allowed boolean")
     w = np.array(w0, float)
+    columns = [by, "setting", "allowed", *Step.__dataclass_fields__]
 
     def cell(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(key, ignore_index=True)
         s = Setting(*(g[c].iloc[0] for c in ("alpha", "sigma2", "beta", "policy")), int(g["replicate"].iloc[0]))
-        rows = loop(np.stack(g[vector].to_numpy()).astype(float), g["ref"].to_numpy(), w, g[key].tolist(), s)
-        return pd.DataFrame([(g[by].iloc[0], int(g["setting"].iloc[0]), b, r, None if a != a else a) for b, r, a in rows], columns=[by, "setting", "budget", "spearman", "auroc"])
+        allowed = bool(g["allowed"].iloc[0])
+        steps = loop(np.stack(g[vector].to_numpy()).astype(float), g["ref"].to_numpy(), w, g[key].tolist(), s, undefined=g["void"].to_numpy(bool), allowed=allowed)
+        return pd.DataFrame([(g[by].iloc[0], int(g["setting"].iloc[0]), allowed, *map(_given, x.__dict__.values())) for x in steps], columns=columns)
+
+    kind = items.schema[by].dataType.simpleString()
+    measured = "budget int, numeric int, undefined int, spearman double, auroc double, spearman_defined double, auroc_defined double"
+    return _tasks(d, by).crossJoin(F.broadcast(grid)).groupBy(by, "setting", "allowed").applyInPandas(cell, f"{by} {kind}, setting int, allowed boolean, {measured}")
+
+
+def zscore(v: np.ndarray) -> np.ndarray:
+    return (v - v.mean()) / v.std() if v.std() > 1e-12 else np.zeros(len(v))
+
+
+def centred_scores(x: np.ndarray, y: np.ndarray, told: Sequence[int], w0: np.ndarray, lam: float, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and direction after the `told` items: items and targets less their means give a ridge towards the prior, whose
+    z-scores are blended with the prior's. Fewer than two different targets leave the prior as it is."""
+    s0 = x @ w0
+    if len(np.unique(y[told])) < 2:
+        return s0, w0
+    c = x - x.mean(axis=0)
+    w = centred_ridge(c[told], y[told] - y[told].mean(), w0, lam)
+    return (1 - share) * zscore(s0) + share * zscore(c @ w), w
+
+
+def centred_sweep(items: DataFrame, key: str, vector: str, ref: str, by: str, priors: dict[str, Sequence[float]], lambdas: Sequence[float], shares: Sequence[float], replicates: int, budgets: Sequence[int] = BUDGETS) -> DataFrame:
+    """M23, centred and by prompts: every task, variant of the prior (name to direction) and replicate is a cell of one grouped job; a
+    row for each lambda, share and budget. Items are told in order of their CRC, the same for all variants."""
+    from zlib import crc32
+
+    d = items.select(by, key, vector, F.col(ref).cast("double").alias("ref"))
+    grid = items.sparkSession.createDataFrame([(v, r) for v in priors for r in range(replicates)], "variant string, replicate int")
+    directions = {v: np.array(w, float) for v, w in priors.items()}
+    measures = ("prior_spearman", "preservation", "direction_cosine", "direction_change", "spearman")
+    columns = [by, "variant", "replicate", "lambda", "share", "budget", *measures]
+
+    def cell(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(key, ignore_index=True)
+        task, variant, replicate = g[by].iloc[0], g["variant"].iloc[0], int(g["replicate"].iloc[0])
+        w0, x, y = directions[variant], np.stack(g[vector].to_numpy()).astype(float), g["ref"].to_numpy()
+        order = sorted(range(len(g)), key=lambda i: (crc32(f"{replicate}||{g[key].iloc[i]}".encode()), i))
+        s0, length = x @ w0, max(float(np.linalg.norm(w0)), 1e-12)
+        before = _spearman(s0, y)
+        out = []
+        for lam in lambdas:
+            for share in shares:
+                for budget in budgets:
+                    z, w = centred_scores(x, y, order[:budget], w0, lam, share)
+                    near = float(w @ w0) / (max(float(np.linalg.norm(w)), 1e-12) * length)
+                    out.append((task, variant, replicate, lam, share, budget, before, _spearman(s0, z), near, float(np.linalg.norm(w - w0)) / length, _spearman(z, y)))
+        return pd.DataFrame(out, columns=columns)
 
     kind = items.schema[by].dataType.simpleString()
-    return shipped(d).crossJoin(F.broadcast(grid)).groupBy(by, "setting").applyInPandas(cell, f"{by} {kind}, setting int, budget int, spearman double, auroc double")
+    return _tasks(d, by).crossJoin(F.broadcast(grid)).groupBy(by, "variant", "replicate").applyInPandas(cell, f"{by} {kind}, variant string, replicate int, lambda double, share double, budget int, " + ", ".join(f"{m} double" for m in measures))
+
+
+def representations(items: DataFrame, key: str, ref: str, reps: dict[str, tuple[str, Sequence[float]]], moves: Sequence[tuple[object, float]], budgets: Sequence[int], s: Setting = Setting()) -> DataFrame:
+    """The same moves (key, target in [0, 1]) replayed on several representations, each a vector column and a prior direction:
+    (representation, budget, key, score, prior, ref) of all items. The fits see only the moved items; scores are expressions."""
+    rows = {r[key]: r for r in items.where(F.col(key).isin([k for k, _ in moves])).collect()}
+    told = [(k, y) for k, y in moves if k in rows]
+    cells = []
+    for name, (vector, w0) in reps.items():
+        w, of = np.array(w0, float), F.col(vector).cast("array<double>")
+        prior = V.cosine(of, V.literal(list(w)))
+        for budget in budgets:
+            now = told[:budget]
+            x = np.array([rows[k][vector] for k, _ in now], float).reshape(len(now), len(w))
+            fit = models.fit_gaussian(w, x, np.array([y for _, y in now]), np.ones(len(now)), s.alpha, s.sigma2, s.beta)
+            score = V.cosine(of, V.literal(fit.mu.tolist())) + F.lit(float(fit.b))
+            cells.append(F.struct(F.lit(name).alias("representation"), F.lit(budget).alias("budget"), score.alias("score"), prior.alias("prior")))
+    return items.select(key, F.col(ref).cast("double").alias("ref"), F.inline(F.array(*cells))).select("representation", "budget", key, "score", "prior", "ref")
+
+
+def representation_steps(scored: DataFrame) -> DataFrame:
+    """How the scores of each step agree with the prior's and with the reference, in ranks."""
+    by = ["representation", "budget"]
+    rounded = scored.withColumns({c: F.round(c, 9) for c in ("score", "prior")})
+    a, b = (metrics.spearman(rounded, "score", c, by).withColumnRenamed("spearman", f"with_{c}") for c in ("prior", "ref"))
+    return a.join(b, by)
+
+
+def representation_pairs(scored: DataFrame, key: str) -> DataFrame:
+    """How the last scores of every two representations agree: Spearman, and share of the 10% at either end that they have in
+    common."""
+    last = scored.where(F.col("budget") == scored.agg(F.max("budget")).first()[0]).withColumn("score", F.round("score", 9))
+    names = [r[0] for r in last.select("representation").distinct().orderBy("representation").collect()]  # as many as were named
+    wide = last.groupBy(key).pivot("representation", names).agg(F.first("score"))
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    long = wide.select(key, F.inline(F.array(*[F.struct(F.lit(a).alias("one"), F.lit(b).alias("other"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])))
+    ranked = ranks.rank_percentile(ranks.rank_percentile(long, "x", "px", ["one", "other"]), "y", "py", ["one", "other"])
+    top, low = ((F.col("px") >= 0.9, F.col("py") >= 0.9), (F.col("px") <= 0.1, F.col("py") <= 0.1))
+    shared = lambda of: F.count_if(of[0] & of[1]) / F.nullif(F.count_if(of[0]), F.lit(0))
+    return ranked.groupBy("one", "other").agg(metrics.pearson("px", "py").alias("spearman"), shared(top).alias("top_shared"), shared(low).alias("low_shared"))

@@ -162,6 +162,20 @@ def _(t):
     return study.sweep(tasks(t), "vec_id", "embedding", "ref", "task", direction(t), [study.Setting(policy=p) for p in ("random", "uncertainty", "diversity", "hybrid")]).select("task", "setting", "budget", F.round("spearman", 4).alias("spearman"), F.round("auroc", 4).alias("auroc"))
 
 
+@query("E5_undefined_feedback")
+def _(t):
+    d = tasks(t).withColumn("void", F.col("vec_id") % 5 == 0)
+    return study.sweep(d, "vec_id", "embedding", "ref", "task", direction(t), [study.Setting(policy=p) for p in ("random", "uncertainty")], "void").select("task", "setting", "allowed", "budget", "numeric", "undefined", F.round("spearman", 4).alias("spearman"), F.round("spearman_defined", 4).alias("spearman_defined"))
+
+
+@query("M23_centred_prompt_sweep")
+def _(t):
+    w = direction(t)
+    priors = {"whole": w, "first": w[:32] + [0.0] * 32}  # two prompt variants of one concept
+    s = study.centred_sweep(tasks(t), "vec_id", "embedding", "ref", "task", priors, (1.0, 100.0), (0.25, 1.0), 2)
+    return s.groupBy("variant", "lambda", "share", "budget").agg(F.round(F.avg("spearman"), 4).alias("spearman"), F.round(F.avg("preservation"), 4).alias("preservation"), F.round(F.avg("direction_change"), 4).alias("direction_change"))
+
+
 @query("M22_M23_gaussian_sweep")
 def _(t):
     grid = [study.Setting(a, s, b) for a in (0.3, 1.0) for s in (0.01, 0.04) for b in (0.5, 1.0)]
@@ -178,17 +192,21 @@ def _(t):
     return s.select("setting", F.round("objective", 4).alias("objective")).orderBy(F.col("objective").desc(), "setting").limit(3)
 
 
-@query("M25_representation_comparison")
+def replayed(t):
+    w = direction(t)
+    d = t.embeddings.select("vec_id", (F.col("label") / F.lit(9.0)).alias("ref"), "embedding", F.slice("embedding", 1, 32).alias("first"), F.slice("embedding", 33, 32).alias("second"))
+    moves = [(r[0], r[1]) for r in d.where("vec_id < 20").orderBy("vec_id").select("vec_id", "ref").collect()]  # what a person has moved
+    return study.representations(d, "vec_id", "ref", {"whole": ("embedding", w), "first": ("first", w[:32]), "second": ("second", w[32:])}, moves, study.BUDGETS)
+
+
+@query("M25_representation_steps")
 def _(t):
-    from functools import reduce
+    return study.representation_steps(replayed(t)).select("representation", "budget", F.round("with_prior", 4).alias("with_prior"), F.round("with_ref", 4).alias("with_ref"))
 
-    w = direction(t)
-    reps = {"whole": (1, 64), "first": (1, 32), "second": (33, 32)}
-    parts = []
-    for name, (at, n) in reps.items():
-        d = tasks(t).withColumn("embedding", F.slice("embedding", at, n)).withColumn("task", F.lit(name))
-        parts.append(study.sweep(d, "vec_id", "embedding", "ref", "task", w[at - 1 : at - 1 + n], [study.Setting()]).where("budget IN (0, 20)"))
-    return reduce(lambda a, b: a.unionByName(b), parts).select(F.col("task").alias("representation"), "budget", F.round("spearman", 4).alias("spearman"))
+
+@query("M25_representation_pairs")
+def _(t):
+    return study.representation_pairs(replayed(t), "vec_id").select("one", "other", *[F.round(c, 4).alias(c) for c in ("spearman", "top_shared", "low_shared")])
 
 
 @query("M26_calibration_override", f"WITH {PLANE} SELECT id, CASE WHEN id % 50 = 1 THEN 0.9::DOUBLE ELSE round((x + 1) / 2, 8) END AS value FROM p")

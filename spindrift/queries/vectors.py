@@ -158,6 +158,14 @@ def _(t):
     return t.embeddings.select("vec_id", F.transform(layout.block_means(F.col("embedding"), 8), lambda x: F.round(x, 6)).alias("pooled"))
 
 
+@query("V20_dense_correspondence", """
+WITH c AS (SELECT vec_id // 16 AS image, vec_id % 4 AS x, vec_id // 4 % 4 AS y, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings), f AS (SELECT e AS f FROM c WHERE image = 0 AND x = 2 AND y = 1)
+SELECT image, x, y, round(list_inner_product(e, f) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(f, f))), 6) AS cosine FROM c, f WHERE image <> 0""")
+def _(t):
+    cells = t.embeddings.select(F.expr("vec_id div 16").alias("image"), (F.col("vec_id") % 4).alias("x"), (F.expr("vec_id div 4") % 4).alias("y"), "embedding")
+    return layout.correspondence(cells, "image", "x", "y", "embedding", 0, (2, 1)).select("image", "x", "y", F.round("cosine", 6).alias("cosine"))
+
+
 @query("V21_kmeans_first_k")
 def _(t):
     return layout.kmeans(plane(t), "id", "x", "y", 3, 8).select("id", "cluster")

@@ -294,7 +294,47 @@ def test_refinement_improves():
     x, w0 = linear_problem(120, 3), np.array([0.2, 1.0, 0.0])
     ref = np.array(percentile(list(x[:, 0])))
     rows = study.loop(x, ref, w0, list(range(120)), study.Setting(policy="uncertainty", sigma2=0.01))
-    assert [b for b, *_ in rows] == list(study.BUDGETS) and rows[-1][1] > rows[0][1] + 0.2
+    assert [r.budget for r in rows] == list(study.BUDGETS) and rows[-1].spearman > rows[0].spearman + 0.2
+
+
+def test_undefined_answers_use_queries_up():
+    x, w0 = linear_problem(60, 3), np.array([0.2, 1.0, 0.0])
+    ref, void = np.array(percentile(list(x[:, 0]))), np.arange(60) % 2 == 0
+    for policy in ("random", "uncertainty", "diversity", "hybrid"):
+        s = study.Setting(policy=policy)
+        plain, told, kept = (study.loop(x, ref, w0, list(range(60)), s, undefined=u, allowed=a) for u, a in ((None, True), (void, False), (void, True)))
+        assert [(r.budget, r.spearman) for r in plain] == [(r.budget, r.spearman) for r in told] and not any(r.undefined for r in told)
+        assert all(r.numeric + r.undefined == r.budget for r in kept) and kept[-1].undefined > 0
+        assert plain[-1].spearman == plain[-1].spearman_defined and kept[0].spearman_defined == told[0].spearman_defined
+    none = study.loop(x, ref, w0, list(range(60)), study.Setting(), undefined=np.ones(60, bool))
+    assert len({r.spearman for r in none}) == 1 and none[-1].spearman_defined == 0.0 and none[-1].undefined == 20
+
+
+def test_centred_scores_solve_the_normal_equations():
+    x, w0 = linear_problem(40, 3), np.array([0.2, 1.0, 0.0])
+    y, told = x @ np.array([0.5, -0.2, 0.1]) + 3, [3, 8, 1, 30, 12]
+    z, w = study.centred_scores(x, y, told, w0, 0.5, 0.25)
+    c = (x - x.mean(axis=0))[told]
+    assert np.allclose((c.T @ c + 0.5 * np.eye(3)) @ (w - w0), c.T @ (y[told] - y[told].mean() - c @ w0))
+    assert np.allclose(z, 0.75 * study.zscore(x @ w0) + 0.25 * study.zscore((x - x.mean(axis=0)) @ w))
+    for few in ([], [3], [3, 3]):
+        same, still = study.centred_scores(x, y, few, w0, 0.5, 0.25)
+        assert np.allclose(same, x @ w0) and still is w0
+
+
+def test_representations_replay_moves(spark):
+    x = linear_problem(60, 3)
+    df = spark.createDataFrame([(i, [float(v) for v in r], float(r[0]), [float(r[0])]) for i, r in enumerate(x)], "id int, v array<double>, y double, one array<double>")
+    moves = [(i, min(1.0, max(0.0, 0.5 + float(x[i, 0])))) for i in range(10)] + [(999, 0.5)]
+    scored = study.representations(df, "id", "y", {"all": ("v", [0.2, 1.0, 0.0]), "one": ("one", [1.0])}, moves, (0, 10), study.Setting(sigma2=0.01)).persist()
+    steps = {(r.representation, r.budget): r for r in study.representation_steps(scored).collect()}
+    assert len(steps) == 4 and abs(steps["all", 0].with_prior - 1) < 1e-9 and steps["all", 10].with_ref > steps["all", 0].with_ref + 0.2
+    pair = study.representation_pairs(scored, "id").first()
+    last = {n: [r.score for r in scored.where(f"budget = 10 AND representation = '{n}'").orderBy("id").collect()] for n in ("all", "one")}
+    a, b = (np.array(percentile([round(v, 9) for v in last[n]])) for n in ("all", "one"))
+    assert (pair.one, pair.other) == ("all", "one") and math.isclose(pair.spearman, np.corrcoef(a, b)[0, 1], abs_tol=1e-9)
+    assert math.isclose(pair.top_shared, ((a >= 0.9) & (b >= 0.9)).sum() / (a >= 0.9).sum())
+    scored.unpersist()
 
 
 def test_phrases_and_json():
