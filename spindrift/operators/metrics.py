@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workers import shipped
-from .ranks import STRETCHES, _stretch, average_rank, rank_percentile
+from .ranks import STRETCHES, _within, average_rank, rank_percentile
 
 
 def pearson(x: str, y: str, flat: float | None = 0.0) -> Column:
@@ -75,12 +75,14 @@ def kendall(df: DataFrame, key: str, pred: str, ref: str, by: Sequence[str] = ()
     own = [f"g{i}_" for i in range(len(by))]
     cells = df.where(F.col(pred).isNotNull() & F.col(ref).isNotNull()).groupBy(*[F.col(b).alias(o) for b, o in zip(by, own, strict=True)], F.col(pred).cast("double").alias("x_"), F.col(ref).cast("double").alias("y_")).agg(F.count("*").alias("w_"))
     cells = cells.withColumn("t_", F.col("y_") - F.lit(eps))
-    levels = cells.select(F.explode(F.array("y_", "t_")).alias("y_"))  # told and asking rows have bounds of their own
-    px, py, pt = (_stretch(d, c, on) for d, c, on in ((cells, "x_", "x_"), (levels, "y_", "y_"), (levels, "y_", "t_")))
+    at = lambda n: [i / n for i in range(1, n)]
+    xs, ys = cells.agg(F.percentile_approx("x_", at(STRETCHES), 1000), F.percentile_approx("y_", at(STRETCHES // 2), 1000)).first()
     zero = F.lit(0).cast("long")
-    if px is None or py is None:
+    if not xs:
         told = df.sparkSession.createDataFrame([], ", ".join([*[f"{o} {df.schema[b].dataType.simpleString()}" for b, o in zip(by, own, strict=True)], "lower long, upper long, every long"]))
     else:
+        levels = [v - e for v in ys for e in (0.0, eps)]  # told and asking rows have bounds of their own
+        px, py, pt = _within(xs, "x_"), _within(levels, "y_"), _within(levels, "t_")
         row = lambda kind, part, x, y, asks: F.struct(F.lit(kind).alias("kind_"), part.cast("int").alias("part_"), x.cast("double").alias("x_"), y.cast("double").alias("y_"), F.lit(asks).alias("asks_"))
         x, y, t = F.col("x_"), F.col("y_"), F.col("t_")
         each = F.array(*[row(kind, part, a, b, asks) for asks, level, on in ((False, y, F.col("py_")), (True, t, F.col("pt_"))) for kind, part, a, b in (("grid", F.lit(0), F.col("px_"), on), ("ref", on, x, level), ("pred", F.col("px_"), x, on))])

@@ -19,9 +19,12 @@ def _stretch(df: DataFrame, value: str, on: str | None = None) -> Column | None:
     """Number of the value's stretch of the range; None if the table has no value. The bounds are about the quantiles of all
     rows; where they lie has no influence on results, as ties never part. `on`: the column to tell the stretch of."""
     cuts = df.agg(F.percentile_approx(value, [i / STRETCHES for i in range(1, STRETCHES)], 1000).alias("c")).first()["c"]
-    cuts = sorted(set(cuts or []))
-    if not cuts:
-        return None
+    return _within(cuts, on or value) if cuts else None
+
+
+def _within(cuts: Sequence, on: str) -> Column:
+    """Number of the stretch between the cuts that a column lies in."""
+    cuts = sorted(set(cuts))
     if isinstance(cuts[0], float):  # a cut lies a tie's width above a value, and no two cuts divide values that are tied
         cuts = [c + TIE for c, after in zip(cuts, [*cuts[1:], float("inf")], strict=True) if after - c > 2 * TIE]
 
@@ -29,7 +32,7 @@ def _stretch(df: DataFrame, value: str, on: str | None = None) -> Column | None:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(F.col(on or value) <= F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return F.when(F.col(on) <= F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
     return tree(0, len(cuts))
 
