@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, lines, mixing, pieces, pii, quality, syncmers, tokens, urls
+from . import chat, jaccard, lines, mixing, pieces, pii, quality, resample, syncmers, tokens, urls
 from .common import table
 
 
@@ -79,11 +79,17 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text"), 256).alias("text_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_syncmers, op3_chat, op4_tokens, op5_urls, op6_pieces, op7_pii, op8_mixing, op9_jaccard, op10_lines)}
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_syncmers, op3_chat, op4_tokens, op5_urls, op6_pieces, op7_pii, op8_mixing, op9_jaccard, op10_lines, op11_resample)}
 
 _ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&lb;')"
 _CONFLICT = "(role LIKE '%</s>%' OR text LIKE '%</s>%' OR role LIKE '% [/INST] %' OR (role || ' ') LIKE '% [/INST] %' OR role LIKE '%[/INST]%')"
 
+_FEATURES = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE: dict[str, str] = {
     "op3_chat": f"""
 WITH src AS (
@@ -151,4 +157,24 @@ WITH cut AS (
   SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text FROM kept GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, length(done.text) AS n_chars, sha256(done.text) AS text_sha256 FROM documents d LEFT JOIN done USING (doc_id)""",
+    "op11_resample": f"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {_FEATURES} AS w FROM documents
+), own AS (SELECT r, unnest(w) AS w FROM docs), wanted AS (SELECT unnest({_FEATURES}) AS w FROM benchmark),
+buckets AS (
+  SELECT w, xor(list_reduce(list_transform(range(1, strlen(w) + 1), lambda i: CAST('0x' || substr(hex(encode(w)), 2 * i - 1, 2) AS BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS b
+  FROM (SELECT w FROM own UNION SELECT w FROM wanted), tab
+), s AS (SELECT b, count(*) AS n FROM own JOIN buckets USING (w) GROUP BY b), t AS (SELECT b, count(*) AS n FROM wanted JOIN buckets USING (w) GROUP BY b),
+gains AS (
+  SELECT b, CAST(floor(1000 * ln(CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM own) + 10000)
+    / (CAST(coalesce(s.n, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM wanted) + 10000)))) AS BIGINT) AS gain FROM s FULL JOIN t USING (b)
+), weights AS (SELECT r, sum(gain) AS weight FROM own JOIN buckets USING (w) JOIN gains USING (b) GROUP BY r),
+scored AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM docs LEFT JOIN weights USING (r)
+), ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS n, count(*) OVER () AS of FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN n <= 10 * of // 100 THEN n END AS rank FROM scored LEFT JOIN ranked USING (doc_id)""",
 }
