@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, lines, mixing, pieces, pii, quality, resample, syncmers, tokens, urls
-from .common import table
+from . import chat, jaccard, lines, mixing, pieces, pii, quality, resample, syncmers, tokens, trie, urls
+from .common import materialize, scratch, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -83,13 +83,34 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_syncmers, op3_chat, op4_tokens, op5_urls, op6_pieces, op7_pii, op8_mixing, op9_jaccard, op10_lines, op11_resample)}
+def rebuilt(thin: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, conversations): each conversation c with the first h turns of conversation c - c % 20 in place of its own first h turns,
+    h = crc32(c) % 4; if that one has fewer, all of them. An opening has three turns at most, and twenty conversations take it."""
+    convs = thin.groupBy("conv").agg(F.count("*").alias("n"))
+    convs = convs.select("conv", (F.crc32(F.col("conv").cast("string").cast("binary")) % 4).cast("int").alias("h"), (F.col("conv") - F.col("conv") % 20).alias("base"))
+    openings = thin.where("conv % 20 = 0 AND pos <= 3").groupBy(F.col("conv").alias("base")).agg(F.array_sort(F.collect_list(F.struct("pos", "x1", "x2", "words"))).alias("first"))
+    told = convs.join(openings, "base", "left").select("conv", "h", F.coalesce(F.slice("first", F.lit(1), F.col("h")), F.array()).alias("first"))
+    told = materialize(told, "openings")
+    own = thin.join(told.select("conv", "h", F.size("first").alias("m")), "conv").where("pos > h").withColumn("pos", F.col("pos") - F.col("h") + F.col("m"))
+    return own.select("conv", "pos", "x1", "x2", "words").unionByName(told.select("conv", F.inline("first")).select("conv", "pos", "x1", "x2", "words")), told.select("conv")
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with scratch(spark):
+        nodes, ends = trie.trie(*rebuilt(trie.turns(table(spark, sf_dir, "conversations"))))
+        return materialize(trie.with_ends(nodes, ends).drop(*trie.NODE), "nodes", keep=True)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_syncmers, op3_chat, op4_tokens, op5_urls, op6_pieces, op7_pii, op8_mixing, op9_jaccard, op10_lines, op11_resample, op12_trie)}
 
 _ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&lb;')"
 _CONFLICT = "(role LIKE '%</s>%' OR text LIKE '%</s>%' OR role LIKE '% [/INST] %' OR (role || ' ') LIKE '% [/INST] %' OR role LIKE '%[/INST]%')"
 
 _FEATURES = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_CRC_TABLE = "tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+_CRC = "xor(list_reduce(list_transform(range(1, strlen({0}) + 1), lambda i: CAST('0x' || substr(hex(encode({0})), 2 * i - 1, 2) AS BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)"
+
 ORACLE: dict[str, str] = {
     "op3_chat": f"""
 WITH src AS (
@@ -158,13 +179,11 @@ WITH cut AS (
 )
 SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, length(done.text) AS n_chars, sha256(done.text) AS text_sha256 FROM documents d LEFT JOIN done USING (doc_id)""",
     "op11_resample": f"""
-WITH tab AS (
-  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
-), docs AS (
+WITH {_CRC_TABLE}, docs AS (
   SELECT row_number() OVER () AS r, doc_id, {_FEATURES} AS w FROM documents
 ), own AS (SELECT r, unnest(w) AS w FROM docs), wanted AS (SELECT unnest({_FEATURES}) AS w FROM benchmark),
 buckets AS (
-  SELECT w, xor(list_reduce(list_transform(range(1, strlen(w) + 1), lambda i: CAST('0x' || substr(hex(encode(w)), 2 * i - 1, 2) AS BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS b
+  SELECT w, {_CRC.format("w")} % 10000 AS b
   FROM (SELECT w FROM own UNION SELECT w FROM wanted), tab
 ), s AS (SELECT b, count(*) AS n FROM own JOIN buckets USING (w) GROUP BY b), t AS (SELECT b, count(*) AS n FROM wanted JOIN buckets USING (w) GROUP BY b),
 gains AS (
@@ -177,4 +196,30 @@ scored AS (
   FROM docs LEFT JOIN weights USING (r)
 ), ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS n, count(*) OVER () AS of FROM scored WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN n <= 10 * of // 100 THEN n END AS rank FROM scored LEFT JOIN ranked USING (doc_id)""",
+    "op12_trie": f"""
+WITH {_CRC_TABLE}, src AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC.format("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM src), tab
+), openings AS (
+  SELECT c.conv_id, s.pos, s.role, s.text FROM convs c JOIN src s ON s.conv_id = c.base AND s.pos <= c.h
+), short AS (SELECT conv_id, count(*) AS m FROM openings GROUP BY conv_id),
+turns AS (
+  SELECT * FROM openings UNION ALL
+  SELECT conv_id, pos - h + coalesce(m, 0), role, text FROM src JOIN convs USING (conv_id) LEFT JOIN short USING (conv_id) WHERE pos > h
+), paths AS (
+  SELECT conv_id, 0 AS d, '' AS k, 0 AS words FROM convs UNION ALL
+  SELECT conv_id, pos, string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING), len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) FROM turns
+), nodes AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM paths GROUP BY k, d),
+up AS (SELECT n.k, n.d, p.k AS parent, o.conv_id AS parent_conv_id FROM nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.d = n.d - 1 JOIN nodes o ON o.k = p.k),
+below AS (SELECT parent AS k, count(*) AS n_children FROM up GROUP BY parent),
+sums AS (
+  SELECT a.k, count(*) FILTER (WHERE b.k IS NULL) AS n_leaves, CAST(sum((n_convs - 1) * n.words) AS BIGINT) AS saved_tokens
+  FROM nodes n JOIN paths a ON a.conv_id = n.conv_id AND a.d <= n.d LEFT JOIN below b ON b.k = n.k GROUP BY a.k
+), ends AS (
+  SELECT k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM paths JOIN (SELECT conv_id, max(d) AS d FROM paths GROUP BY conv_id) USING (conv_id, d) GROUP BY k
+)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n LEFT JOIN up USING (k) LEFT JOIN below USING (k) JOIN sums USING (k) LEFT JOIN ends USING (k)""",
 }
