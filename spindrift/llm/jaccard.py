@@ -23,7 +23,8 @@ components are compared, in square blocks of at most BLOCK documents a side, vec
 frequent are counted by an aggregation with map-side combine, the others by a window.
 
 Nulls and ties: a null, empty or blank text has an empty set and links with nothing; a row without id is counted but links with
-nothing and gets a null component; rows that share an id are one document to the links. Other columns are ignored.
+nothing and gets a null component; rows that share an id are one document to the links. Ids of other kinds than whole numbers are
+refused. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import join_small, materialize, scratch, shipped
 from .graph import components
@@ -378,8 +380,9 @@ def _near_pairs(group: np.ndarray, side: np.ndarray, n: np.ndarray, comp: np.nda
     return np.concatenate(left or [none]), np.concatenate(right or [none])
 
 
-def _across(members: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components that sizes and bitmaps leave. members: (bucket, size, id, component).
+def _across(members: DataFrame, profiles: DataFrame, percent: int, sketch: str = "parity", near: Callable = _near_pairs) -> DataFrame:
+    """Pairs (a, b) of one bucket in different components that sizes and sketches (bitmaps, unless said otherwise) leave, by `near`.
+    members: (bucket, size, id, component).
 
     A bucket of more than BLOCK documents is dealt out as the pairs of its parts, each a group of its own. A pair that meets in
     several buckets is told by the first of them only, so each document brings the list of its buckets.
@@ -389,14 +392,14 @@ def _across(members: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     dealt = members.withColumn("own", F.pmod(F.xxhash64("id"), sides).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
     i, j = F.least("own", "other"), F.greatest("own", "other")
     dealt = dealt.select(F.xxhash64("bucket", i, j).alias("grp"), F.when(i == j, F.lit(-1)).otherwise(F.col("own")).alias("side"), "bucket", "id", "component")
-    dealt = dealt.join(profiles.select("id", "n", "parity"), "id").join(lists, "id").repartition("grp").sortWithinPartitions("grp", "n", "id")
+    dealt = dealt.join(profiles.select("id", "n", sketch), "id").join(lists, "id").repartition("grp").sortWithinPartitions("grp", "n", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def pairs(t: pa.Table) -> pa.RecordBatch:
             grp, side, ids, comp, n = (t.column(c).to_numpy() for c in ("grp", "side", "id", "component", "n"))
-            x, y = _near_pairs(grp, side, n, comp, [np.frombuffer(m, np.uint64) for m in t.column("parity").to_pylist()], percent)
+            x, y = near(grp, side, n, comp, [np.frombuffer(m, np.uint64) for m in t.column(sketch).to_pylist()], percent)
             bucket, told = t.column("bucket").to_numpy(), t.column("lists")
             own = {r: frozenset(told[int(r)].as_py()) for r in np.unique(np.concatenate([x, y]))}
             first = np.array([min(own[u] & own[v]) == bucket[u] for u, v in zip(x, y, strict=True)], bool)
@@ -414,11 +417,43 @@ def _across(members: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield pairs(held)
 
-    return shipped(dealt).select("grp", "side", "bucket", "id", "component", "n", "parity", "lists").mapInArrow(run, "a long, b long").distinct()
+    return shipped(dealt).select("grp", "side", "bucket", "id", "component", "n", sketch, "lists").mapInArrow(run, "a long, b long").distinct()
+
+
+def settled(buckets: DataFrame, star: DataFrame, total: int, check: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) that join all documents of buckets (bucket, size, id) whose sets link, directly or through others.
+
+    star: the first pairs. check: the pairs that are links, as a written table. across: of rows (bucket, size, id, component), the
+    pairs of one bucket and several components that may be links. total: documents, for the measure of what is left open.
+    """
+    links = check(star)
+    found = components(links)
+
+    # Documents that share tokens but no component yet. Where they would make more pairs than some for each document, stars around
+    # other leaders come first: members of a large group link up with one of these, and few are left for the exact comparison.
+    done = 0
+    while True:
+        members = buckets.where("size > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        parts = members.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
+        mixed = materialize(parts.where("n * n > s").withColumn("open", (F.col("n") * F.col("n") - F.col("s")) / 2), "mixed")
+        members = materialize(join_small(members, mixed.select("bucket"), "bucket", "left_semi"), "members")
+        open_pairs = mixed.agg(F.sum("open")).first()[0] or 0
+        if open_pairs <= OPEN_PAIRS * total:
+            break
+        done += 1
+        heads = members.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(done), "id")).alias("h"))
+        around = join_small(members, materialize(heads, "heads"), "bucket").where("component <> h.component")
+        again = check(around.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct())
+        links = links.unionByName(again)
+        if again.count() <= total // 1000:
+            break
+        found = components(links)
+    return links.unionByName(check(across(members).join(star, ["a", "b"], "left_anti"))) if open_pairs else links
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
-    """Per row of df: key, n_shingles, component_id (smallest id that links reach, its own included)."""
+    """Per row of df: key, n_shingles, component_id (smallest id that links reach, its own included). Ids are whole numbers."""
+    whole_ids(df, key)
     with scratch(df.sparkSession):
         return _components_of(df, key, text, k, percent)
 
@@ -447,41 +482,26 @@ def _components_of(df: DataFrame, key: str, text: str, k: int, percent: int) ->
     heads = wide.groupBy("bucket").agg(F.array(*[F.min_by("id", F.xxhash64(F.lit(-h), "id")) for h in range(1, HEADS + 1)]).alias("heads"))
     around = join_small(wide, materialize(heads, "heads"), "bucket").select("id", F.explode("heads").alias("head")).where("id <> head")
     star = materialize(star.unionByName(around.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))).distinct(), "stars")
-    links = _verified(_filtered(star, thin, percent), alone, k, percent)
-    found = components(links)
-
-    # Documents that share tokens but no component yet. Where they would make more pairs than some for each document, stars around
-    # other leaders come first: members of a large group link up with one of these, and few are left for the exact comparison.
-    done = 0
-    while True:
-        members = buckets.where("size > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        parts = members.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
-        mixed = materialize(parts.where("n * n > s").withColumn("open", (F.col("n") * F.col("n") - F.col("s")) / 2), "mixed")
-        members = materialize(join_small(members, mixed.select("bucket"), "bucket", "left_semi"), "members")
-        open_pairs = mixed.agg(F.sum("open")).first()[0] or 0
-        if open_pairs <= OPEN_PAIRS * total:
-            break
-        done += 1
-        heads = members.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(done), "id")).alias("h"))
-        around = join_small(members, materialize(heads, "heads"), "bucket").where("component <> h.component")
-        again = _verified(_filtered(around.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct(), thin, percent), alone, k, percent)
-        if again.count() <= total // 1000:
-            links = links.unionByName(again)
-            break
-        links = links.unionByName(again)
-        found = components(links)
-    if open_pairs:
-        across = _across(members, thin, percent)
-        links = links.unionByName(_verified(across.join(star, ["a", "b"], "left_anti"), alone, k, percent))
+    links = settled(buckets, star, total, lambda pairs: _verified(_filtered(pairs, thin, percent), alone, k, percent), lambda members: _across(members, thin, percent))
     same = copies.where("id IS NOT NULL").select(F.col("leader").alias("a"), F.col("id").alias("b"))
     found = materialize(components(links.unionByName(same)), "components")
     out = profiles.select("id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "id"), "id", "left")
     return materialize(out.select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id")), "jaccard", keep=True)
 
 
+def whole_ids(df: DataFrame, key: str) -> None:
+    """Components go by their smallest id as a number; ids of other kinds are refused, as a cast would lose some of them."""
+    if not isinstance(df.schema[key].dataType, T.IntegralType):
+        raise ValueError(f"{key} must be a whole number")
+
+
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
     """The rows of df less those whose component has a smaller id; of rows that share an id one stays. Rows without id stay."""
-    found = jaccard_components(df, key, text, k, percent)
+    return representatives(df, jaccard_components(df, key, text, k, percent), key)
+
+
+def representatives(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose component, as found has it, goes by their own id; of rows that share an id one stays."""
     spare = found.where(F.col("component_id") != F.col(key)).select(F.col(key)).distinct()
     left = join_small(df, spare, key, "left_anti")
     twice = materialize(found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "twice")

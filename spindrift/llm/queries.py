@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, lines, mixing, pieces, pii, quality, resample, syncmers, tokens, trie, urls
+from . import chat, jaccard, lines, minhash, mixing, pieces, pii, quality, resample, syncmers, tokens, trie, urls
 from .common import materialize, scratch, table
 
 
@@ -101,7 +101,11 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
         return materialize(trie.with_ends(nodes, ends).drop(*trie.NODE), "nodes", keep=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_syncmers, op3_chat, op4_tokens, op5_urls, op6_pieces, op7_pii, op8_mixing, op9_jaccard, op10_lines, op11_resample, op12_trie)}
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_syncmers, op3_chat, op4_tokens, op5_urls, op6_pieces, op7_pii, op8_mixing, op9_jaccard, op10_lines, op11_resample, op12_trie, op13_minhash)}
 
 _ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&lb;')"
 _CONFLICT = "(role LIKE '%</s>%' OR text LIKE '%</s>%' OR role LIKE '% [/INST] %' OR (role || ' ') LIKE '% [/INST] %' OR role LIKE '%[/INST]%')"
@@ -223,3 +227,10 @@ sums AS (
 SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
 FROM nodes n LEFT JOIN up USING (k) LEFT JOIN below USING (k) JOIN sums USING (k) LEFT JOIN ends USING (k)""",
 }
+# the same links, at 85 percent
+ORACLE["op13_minhash"] = (
+    ORACLE["op9_jaccard"]
+    .replace("4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)", "100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)")
+    .replace("100 * count(*) >= 75 *", "100 * count(*) >= 85 *")
+    .replace("AS component_id", "AS component_id, coalesce(l.c, s.doc_id) = s.doc_id AS kept")
+)
