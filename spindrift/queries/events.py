@@ -1,10 +1,9 @@
 """E1 to E9 over the events table, and event-time extensions."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..session import folder
 from ..streaming import feedback as X
 
 FEED = """e AS (SELECT user_id AS axis, event_id AS seq, CASE event_type WHEN 'error' THEN 'undefined' WHEN 'click' THEN 'delete' WHEN 'view' THEN 'prompt_update' WHEN 'signup' THEN 'create' ELSE 'score' END AS kind, CAST(json_extract(props, '$.k') AS INT) % 12 AS item, value AS target FROM events)"""
@@ -35,7 +34,7 @@ SELECT axis, count(*) FILTER (WHERE kind = 'score') AS moves, count(*) FILTER (W
 def _(t):
     """The events as a file stream through the stateful processor, run to its end; the last row of each axis."""
     spark = t.spark
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + f"/spindrift-stream-{uuid.uuid4().hex}"
+    base = folder(spark, "stream")
     src = moves(t).select(F.col("axis").cast("string").alias("axis"), "seq", "kind", F.col("item").cast("string").alias("item"), "target")
     src.write.parquet(f"{base}/in")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +22,27 @@ def session(app: str = "spindrift", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Only a local master may go without it, and then has one of its own
+    for as long as the application runs; Spark doesn't let that setting be made later."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spindrift-")
+        found = _OWN[app]
+    return found.rstrip("/")
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the executors share (spark.checkpoint.dir), or under the warehouse where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/spindrift-{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that the executors share."""
+    return f"{shared_dir(spark)}/spindrift-{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
