@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import workers
+from ..session import shared_dir
 
 #: bytes of a batch that Spark hands to Python, unless the session says otherwise: each task holds some copies of one
 BATCH_BYTES = 8 << 20
@@ -25,18 +25,6 @@ _BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 <
 BROADCAST_ROWS = 50_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only a local master may go without it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spindrift-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def shipped(df: DataFrame) -> DataFrame:
     """df, ready for Python workers: they get this package, and batches of a size that suits texts."""
     conf = df.sparkSession.conf

@@ -55,9 +55,9 @@ def draw(*of: Column | str | int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def _meet(items: Column, seed: int, level: int) -> Column:
-    """Fold of one bucket: (rest: the undecided one, done: array of the decided). Items are struct<key, size, p, ...>."""
-    kind = "struct<key:bigint,size:bigint,p:double>"
+def _meet(items: Column, seed: int, level: int, key: str) -> Column:
+    """Fold of one bucket: (rest: the undecided one, done: array of the decided). Items are struct<key, size, p, ...>; key: its kind."""
+    kind = f"struct<key:{key},size:bigint,p:double>"
     start = F.struct(F.lit(None).cast(kind).alias("rest"), F.array().cast(f"array<{kind}>").alias("done"))
 
     def item(of: Column, p: Column) -> Column:
@@ -86,7 +86,7 @@ def _meet(items: Column, seed: int, level: int) -> Column:
 def _folded(rows: DataFrame, seed: int, level: int) -> DataFrame:
     """(grp, bucket, m): each bucket's rows met, the large ones first."""
     items = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("order"), "key", "size", "p")))
-    return rows.groupBy("grp", "bucket").agg(items.alias("items")).select("grp", "bucket", _meet(F.col("items"), seed, level).alias("m"))
+    return rows.groupBy("grp", "bucket").agg(items.alias("items")).select("grp", "bucket", _meet(F.col("items"), seed, level, rows.schema["key"].dataType.simpleString()).alias("m"))
 
 
 def pivotal(rows: DataFrame, seed: int = 7, fan: int = FAN) -> DataFrame:
@@ -126,7 +126,6 @@ def _mix_table(df: DataFrame, key: str, text: str, source: str, seed: int) -> Da
     words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
     sizes = materialize(df.select(F.col(key).alias("id"), F.col(source).alias("source"), words.alias("size")), "sizes")
     per = materialize(targets(sizes), "targets").withColumnRenamed("source", "source_")
-    rows = join_small(sizes, per, F.col("source").eqNullSafe(F.col("source_")))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     per = per.withColumn("share", share).withColumn("p", share - F.floor(share)).withColumn("p", F.when(F.col("p").between(1e-12, 1 - 1e-12), F.col("p")))
     per = per.withColumn("grp", F.coalesce(F.concat(F.lit("s"), F.col("source_").cast("string")), F.lit("null")))
@@ -140,15 +139,15 @@ def _mix_table(df: DataFrame, key: str, text: str, source: str, seed: int) -> Da
 
 
 def _mark(df: DataFrame) -> Column:
-    """A hash of a whole row; columns of kinds that can't be hashed don't count."""
-    cols = [F.col(f"`{f.name}`") for f in df.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
-    return F.xxhash64(*cols, *[F.lit(0)])
+    """The SHA-256 of a whole row, names, nulls, maps and parts of seconds included."""
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    return F.unhex(F.sha2(whole, 256))
 
 
 def mix(df: DataFrame, text: str = "text", source: str = "source", seed: int = 7) -> DataFrame:
-    """The rows of df, each as many times as the mix takes it. A row is known by a hash of all its columns, so rows that differ at all
-    are told apart, whatever their ids. Rows that are alike throughout can stand for one another: one of them brings all copies
-    of all of them, so that however many there are, they meet as counts."""
+    """The rows of df, each as many times as the mix takes it. A row is known by the SHA-256 of all its columns as JSON, so rows that
+    differ at all are told apart, whatever their ids, and reruns agree in whatever order rows come. Rows that are alike throughout can
+    stand for one another: one of them brings all copies of all of them, so that however many there are, they meet as counts."""
     with scratch(df.sparkSession):
         return _mixed(df, text, source, seed)
 

@@ -97,3 +97,41 @@ def test_rows_alike_throughout(spark):
         assert abs(sum(len(r.text.split()) for r in got if r.source == s) - want[s]) <= 9
     assert {tuple(r) for r in got} <= set(rows)
     assert max(Counter(tuple(r) for r in got if r.doc_id not in (None, 7)).values()) <= 3
+
+
+def test_rows_that_differ_by_nulls_maps_or_parts_of_seconds(spark):
+    """Each row comes as often as its own copies say: none is taken for another."""
+    import datetime
+
+    at = datetime.datetime(2026, 1, 2, 3, 4, 5)
+    rows = [(1, "a b", "s", "x", None, {"k": 1}, at), (1, "a b", "s", None, "x", {"k": 1}, at), (1, "a b", "s", None, "x", {"k": 2}, at), (1, "a b", "s", None, "x", None, at), (1, "a b", "s", None, None, {}, at), (1, "a b", "s", None, None, {}, at.replace(microsecond=1))]
+    rows = [r for r in rows for _ in range(1 + len(r[5] or {}))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, t1 string, t2 string, m map<string,int>, at timestamp")
+    shown = lambda r: (r.t1, r.t2, None if r.m is None else tuple(r.m.items()), r.at)
+    whole = Counter((r[3], r[4], None if r[5] is None else tuple(r[5].items()), r[6]) for r in rows)
+    assert Counter(map(shown, M.mix(df).collect())) == whole  # one source: its share is 1
+    other = spark.createDataFrame([(i, "w " * 5, "t", None, None, {"k": i}, at) for i in range(40)], df.schema)
+    got = Counter(map(shown, M.mix(df.unionByName(other)).collect()))
+    assert all(got[k] % n == 0 or n > 1 for k, n in whole.items()) and all(got[k] <= 3 * n for k, n in whole.items())
+    by = Counter(r.source for r in M.mix(df.unionByName(other)).collect())
+    want = brute_targets({"s": 2 * len(rows), "t": 200})
+    assert abs(2 * by["s"] - want["s"]) <= 2 and abs(5 * by["t"] - want["t"]) <= 5
+
+
+def test_copies_of_each_row_are_those_of_its_mark(spark, docs):
+    """The pipeline's multiset of rows and copies is that of the table of copies, row by row."""
+    twice = docs.limit(40).unionByName(docs.limit(10))
+    marked = twice.withColumn("mark", M._mark(twice))
+    want = {}
+    for r in M.mix_table(marked, "mark").collect():
+        want[bytes(r.mark)] = want.get(bytes(r.mark), 0) + r.copies
+    got = M.mix(twice)
+    found = Counter(bytes(r.mark) for r in got.withColumn("mark", M._mark(got)).collect())
+    assert found == {k: n for k, n in want.items() if n}
+
+
+def test_text_ids(spark, docs):
+    from pyspark.sql import functions as F
+
+    got = M.mix_table(docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")))
+    assert got.count() == docs.count() and all(r.doc_id.startswith("d") for r in got.collect())

@@ -84,3 +84,25 @@ def test_run_leaves_its_result_only(spark, sf):
     corpus_pipeline.run(spark, sf)
     after = set(os.listdir(folder)) - before
     assert len(after) == 1 and os.listdir(f"{folder}/{after.pop()}") == ["4"]
+
+
+def test_local_session_without_a_shared_folder(tmp_path):
+    """Where spark.checkpoint.dir isn't set, a local session gets a folder of its own; operators that write tables run."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+from pyspark.sql import SparkSession
+from spindrift.llm import lines, mixing
+from spindrift.session import folder, shared_dir
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+docs = spark.createDataFrame([(i, f"a line\\nown words {i}", f"s{i}") for i in range(12)], "doc_id long, text string, source string")
+assert lines.drop_boilerplate(docs, removed="n").agg({"n": "sum"}).first()[0] == 11
+assert mixing.mix(docs).count() > 0 and folder(spark, "x").startswith(shared_dir(spark)) and shared_dir(spark) == shared_dir(spark)
+print("done")
+"""
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path)}
+    ran = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert ran.returncode == 0 and "done" in ran.stdout, ran.stderr[-2000:]
