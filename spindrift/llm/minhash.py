@@ -2,8 +2,9 @@
 
 A text's set holds the 64-bit hashes of its distinct K-word shingles; two sets link when 100 * |both| >= PERCENT * |either|.
 
-1. Each of HASHES universal hash functions x -> (a * x + b mod 2^64) >> 32 leaves its minimum over the set in the signature, vectorised
-   over the shingles of many texts at once. Two sets agree at one place with the probability of their similarity.
+1. Each of HASHES universal hash functions x -> (a * x + b mod 2^64) >> 32 leaves its minimum over the set, vectorised over the
+   shingles of many texts at once; the signature has 16 bits of each. Two sets agree at one place with the probability of their
+   similarity, or by chance once in 65,536 times.
 2. Banding: the signature is cut into bands of rows, and documents that agree in a whole band meet in a bucket. `bands_of` takes the
    most rows a band with which a pair at the threshold still meets in some band but for a probability of MISS: 32 bands of 5 rows at
    85 percent miss 7 pairs in 10^9 that are just similar enough, and fewer of those that are more similar.
@@ -12,9 +13,10 @@ A text's set holds the 64-bit hashes of its distinct K-word shingles; two sets l
 4. What is left is confirmed on the full sets, so no link is ever wrong.
 5. Connected components by alternating large-star and small-star steps.
 
-Skew. Equal sets are one class and take part once. A bucket's documents are paired with its smallest one first, and other pairs of the
-bucket are looked at only while they lie in different components (`jaccard.settled`): so a large group of near copies costs a few
-pairs for each document. Buckets of the same documents, as the bands of a group of copies make them, are one bucket. Buckets are
+Skew. Equal sets are one class and take part once. A bucket's documents are paired with one of them first, that which meets most others
+over all its buckets: among copies of one text that is the text itself, or what is nearest to it, and the same one in most bands, so a
+large group of near copies costs a few pairs for each document. Other pairs of a bucket are looked at only while they lie in different
+components (`jaccard.settled`). Buckets of the same documents, as the bands of a group of copies make them, are one bucket. Buckets are
 counted with map-side combine and joined to their documents, which Spark splits where a bucket is hot. Nothing is capped.
 
 Nulls and ties: a null, empty or blank text has an empty set and links with nothing; a row without id is counted, links with nothing,
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_small, materialize, scratch, shipped
@@ -64,29 +66,25 @@ def least_agreement(percent: int, unlikely: float = UNLIKELY) -> int:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """(len(sets), HASHES) minima; the sets are not empty."""
+    """(len(sets), HASHES): 16 bits of each minimum; the sets are not empty."""
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
     x = np.concatenate(sets) >> np.uint64(32)
-    out = np.empty((HASHES, len(sets)), np.uint32)
+    out = np.empty((HASHES, len(sets)), np.uint16)
     for j in range(HASHES):
         # the least of the 64-bit values has the least upper half
-        out[j] = np.minimum.reduceat(x * _A[j] + _B[j], starts) >> np.uint64(32)
+        out[j] = (np.minimum.reduceat(x * _A[j] + _B[j], starts) >> np.uint64(32)).astype(np.uint16)
     return np.ascontiguousarray(out.T)
 
 
-def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """(sets, bands): a 64-bit key of each band, its number included."""
-    cut = signature[:, : bands * rows].reshape(len(signature), bands, rows).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), cut.shape[:2])
-    for r in range(rows):
-        key = mix(key * np.uint64(0xD1342543DE82EF95) + cut[:, :, r])
-    return key.view(np.int64)
+def band_keys(signature: Column, bands: int, rows: int) -> Column:
+    """A 64-bit key of each band, its number included."""
+    return F.array(*[F.xxhash64(F.lit(b), F.substring(signature, 2 * rows * b + 1, 2 * rows)) for b in range(bands)])
 
 
-def _profiles(df: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(id, n, s1, s2, signature, bands) for each row of (id, text); of an empty set only id and n."""
-    names = ["id", "n", "s1", "s2", "signature", "bands"]
-    kinds = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64())]
+def _profiles(df: DataFrame, k: int) -> DataFrame:
+    """(id, n, s1, s2, signature) for each row of (id, text); of an empty set only id and n."""
+    names = ["id", "n", "s1", "s2", "signature"]
+    kinds = [pa.int64()] * 4 + [pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -99,13 +97,12 @@ def _profiles(df: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     held += len(full[last])
                     last += 1
                 some = full[at:last]
-                found = signatures(some)
-                for s, sig, keys in zip(some, found, band_keys(found, bands, rows), strict=True):
+                for s, sig in zip(some, signatures(some), strict=True):
                     scrambled = mix(s)
-                    made.append((len(s), int(np.bitwise_xor.reduce(scrambled).view(np.int64)), int(scrambled.sum(dtype=np.uint64).view(np.int64)), sig.tobytes(), keys))
+                    made.append((len(s), int(np.bitwise_xor.reduce(scrambled).view(np.int64)), int(scrambled.sum(dtype=np.uint64).view(np.int64)), sig.tobytes()))
                 at = last
             own = iter(made)
-            out = [(i, *next(own)) if len(s) else (i, 0, None, None, None, None) for i, s in zip(ids, sets, strict=True)]
+            out = [(i, *next(own)) if len(s) else (i, 0, None, None, None) for i, s in zip(ids, sets, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
         for b in batches:
@@ -120,12 +117,12 @@ def _profiles(df: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             if ids:
                 yield told(ids, sets)
 
-    return shipped(df).mapInArrow(run, "id long, n long, s1 long, s2 long, signature binary, bands array<long>")
+    return shipped(df).mapInArrow(run, "id long, n long, s1 long, s2 long, signature binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Signatures of a binary column."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
 
 
 def _agreeing(pairs: DataFrame, thin: DataFrame, percent: int) -> DataFrame:
@@ -153,7 +150,7 @@ def near_rows(group: np.ndarray, side: np.ndarray, n: np.ndarray, comp: np.ndarr
 
     Rows are in order of group, then n. Row r is compared with r + 1, r + 2, ... of all groups at once, until none is in reach.
     """
-    stack, least = np.stack([s.view(np.uint32) for s in sketches]), least_agreement(percent)
+    stack, least = np.stack([s.view(np.uint16) for s in sketches]), least_agreement(percent)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     alive, shift = np.arange(len(stack)), 0
     while True:
@@ -208,31 +205,40 @@ def minhash_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
 
 def _components_of(df: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    profiles = materialize(_profiles(docs, k, *bands_of(percent)), "profiles")
+    profiles = materialize(_profiles(docs, k), "profiles")
     full = profiles.where("n > 0 AND id IS NOT NULL")
 
     # one document stands for each distinct set
     classes = full.groupBy("s1", "s2", "n").agg(F.min("id").alias("leader"), F.count("*").alias("size"))
     classes = materialize(classes.where("size > 1").drop("size"), "classes")
-    copies = materialize(full.select("id", "s1", "s2", "n").join(classes, ["s1", "s2", "n"]).where("id <> leader").select("id", "leader").distinct(), "copies")
+    copies = materialize(full.select("id", "s1", "s2", "n").join(classes, ["s1", "s2", "n"]).groupBy("id", "leader").agg(F.count("*").alias("rows")), "copies")
     # an id that has several sets isn't told by its copy alone
     several = full.groupBy("id").agg(F.min(F.struct("s1", "s2", "n")).alias("x"), F.max(F.struct("s1", "s2", "n")).alias("y")).where("x <> y")
-    spare = materialize(copies.select("id").distinct().join(several, "id", "left_anti"), "spare")
+    spare = materialize(copies.where("id <> leader").select("id").distinct().join(several, "id", "left_anti"), "spare")
     alone = join_small(docs.where("id IS NOT NULL"), spare, "id", "left_anti")
-    thin = materialize(join_small(full, spare, "id", "left_anti").dropDuplicates(["id", "s1", "s2"]), "thin")
-
-    met = thin.select("id", F.explode("bands").alias("bucket"))
-    sized = met.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("leader"), F.bit_xor(F.xxhash64("id")).alias("x")).where("size > 1")
-    # buckets of the same documents are one
-    sized = materialize(sized.groupBy("size", "leader", "x").agg(F.min("bucket").alias("bucket")).drop("x"), "sized")
-    buckets = materialize(met.join(sized, "bucket").distinct(), "buckets")
-    star = materialize(buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    thin = join_small(full, spare, "id", "left_anti")
+    again = materialize(copies.where("id = leader AND rows > 1").select("id"), "again")  # repeated rows of one id
+    if again.limit(1).count():
+        thin = join_small(thin, again, "id", "left_anti").unionByName(join_small(thin, again, "id", "left_semi").dropDuplicates(["id", "s1", "s2"]))
+
+    met = thin.select("id", F.explode(band_keys(F.col("signature"), *bands_of(percent))).alias("bucket"))
+    sized = met.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("x")).where("size > 1")
+    # buckets of the same documents are one, of as many bands
+    sized = materialize(sized.groupBy("size", "least", "x").agg(F.min("bucket").alias("bucket"), F.count("*").alias("bands")).select("bucket", "size", "bands"), "sized")
+    buckets = materialize(met.join(sized, "bucket"), "buckets")
+    popular = buckets.groupBy("id").agg(F.sum(F.col("size") * F.col("bands")).alias("meets"))
+    popular = materialize(popular, "popular")
+    heads = buckets.join(popular, "id").groupBy("bucket").agg(F.max_by("id", F.struct("meets", -F.col("id"))).alias("head"))
+    around = buckets.join(heads, "bucket").where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
+    star = materialize(around.distinct(), "stars")
+    near = materialize(join_small(thin.select("id", "n", "signature"), popular.select("id"), "id", "left_semi"), "near")
     links = settled(
-        buckets, star, thin.count(),
-        lambda pairs: _confirmed(_agreeing(pairs, thin, percent), alone, k, percent),
-        lambda members: _across(members, thin, percent, "signature", near_rows),
+        buckets.select("bucket", "size", "id"), star, profiles.count(),
+        lambda pairs: _confirmed(_agreeing(pairs, near, percent), alone, k, percent),
+        lambda members: _across(members, near, percent, "signature", near_rows),
     )
-    found = materialize(components(links.unionByName(copies.select(F.col("leader").alias("a"), F.col("id").alias("b")))), "components")
+    same = copies.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    found = materialize(components(links.unionByName(same)), "components")
     out = profiles.select("id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component_id", F.coalesce("component", "id"))
     kept = F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept")
     return materialize(out.select(F.col("id").alias(key), "n_shingles", "component_id", kept), "minhash", keep=True)

@@ -89,10 +89,30 @@ def test_signatures_estimate_similarity():
     for percent in (75, 80, 85, 90, 95, 100):
         bands, rows = M.bands_of(percent)
         assert bands * rows <= M.HASHES and (1 - (percent / 100) ** rows) ** bands <= M.MISS
-        assert M.band_keys(s, bands, rows).shape == (3, bands)
     assert M.least_agreement(85) == 100 and M.least_agreement(100) == M.HASHES
 
 
+def test_band_keys(spark):
+    """Documents share the key of a band where they agree in all its places, and never that of another band."""
+    g = np.random.Generator(np.random.PCG64(3))
+    s = g.integers(0, 3, (60, M.HASHES), dtype=np.uint16)
+    df = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(s)], "id int, signature binary")
+    for bands, rows in (M.bands_of(85), M.bands_of(95), (80, 2)):
+        keys = np.array([r.k for r in df.select("id", M.band_keys(F.col("signature"), bands, rows).alias("k")).orderBy("id").collect()])
+        cut = s[:, : bands * rows].reshape(60, bands, rows)
+        for b in range(bands):
+            assert ((keys[:, None, b] == keys[None, :, b]) == (cut[:, None, b] == cut[None, :, b]).all(axis=2)).all()
+        assert len(np.intersect1d(keys[:, 0], keys[:, 1])) == 0
+
+
+def test_the_middle_of_a_group_leads(spark):
+    """Copies of a text that is there: they link with it and not with each other; few pairs are looked at."""
+    g = np.random.Generator(np.random.PCG64(5))
+    base = [f"w{x}" for x in range(400)]
+    rows = [(500, " ".join(base))] + [(i, edited(g, base, 6)) for i in range(120)]
+    assert got(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+
+
 def test_recall_of_banding():
     """Pairs just at the threshold share a band: of 20,000 drawn signatures with agreement by chance 0.85, none does not."""
     g = np.random.Generator(np.random.PCG64(8))
