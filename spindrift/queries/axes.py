@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import vectors as V
-from ..plans import study
+from ..plans import models, search, study
 from ..plans.axis import Axis, State
+from ..session import folder
 from .aggregates import PLANE, plane
 from .vectors import SCORED, direction
 
@@ -192,6 +193,41 @@ def _(t):
     return s.select("setting", F.round("objective", 4).alias("objective")).orderBy(F.col("objective").desc(), "setting").limit(3)
 
 
+SPACE = {"alpha": search.Number(0.01, 10.0, log=True), "sigma2": search.Number(5e-4, 0.5, log=True), "share": search.Number(0.0, 1.0), "told": search.Number(2, 12, step=1), "targets": search.Choice(("plain", "centred"))}
+
+
+def class_axes(items, named):
+    """Objective of the search: how well the axes of all classes, each fitted with a trial's settings, go with the classes of all items.
+    named: (class, vector) of the few items that a person has named."""
+    import numpy as np
+
+    classes = sorted({c for c, _ in named})
+    x, own = np.array([v for _, v in named], float), np.array([c for c, _ in named])
+    refs = items.select("embedding", *[(F.col("label") == c).cast("double").alias(f"is{c}") for c in classes])
+
+    def direction_of(c, p):
+        mine, others = np.flatnonzero(own == c)[: p["told"]], np.flatnonzero(own != c)[: 3 * p["told"]]
+        told = np.concatenate([mine, others])
+        y = (own[told] == c).astype(float)
+        y = y - y.mean() if p["targets"] == "centred" else y
+        prior = x[mine[:1]].mean(axis=0)
+        fit = models.fit_gaussian(models.unit(prior), x[told], y, np.ones(len(told)), p["alpha"], p["sigma2"])
+        return p["share"] * models.unit(prior) + (1 - p["share"]) * models.unit(fit.mu)
+
+    def objective(batch):
+        directions = np.array([[direction_of(c, p) for c in classes] for p in batch])
+        return np.round(search.correlations(refs, "embedding", [f"is{c}" for c in classes], directions).mean(axis=1), 9).tolist()
+
+    return objective
+
+
+@query("M24_tpe_search")
+def _(t):
+    named = [(r[0], r[1]) for r in t.embeddings.where("vec_id < 100").orderBy("vec_id").select("label", "embedding").collect()]  # what a person has named
+    trials = search.search(t.spark, SPACE, class_axes(t.embeddings, named), 40, folder(t.spark, "trials"))
+    return trials.orderBy(F.col("value").desc(), "trial").limit(5).select("trial", F.round("value", 6).alias("value"), F.round(F.get_json_object("parameters", "$.share").cast("double"), 4).alias("share"), F.get_json_object("parameters", "$.targets").alias("targets"))
+
+
 def replayed(t):
     w = direction(t)
     d = t.embeddings.select("vec_id", (F.col("label") / F.lit(9.0)).alias("ref"), "embedding", F.slice("embedding", 1, 32).alias("first"), F.slice("embedding", 33, 32).alias("second"))
