@@ -2,84 +2,19 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..workers import shipped
-from .aggregates import best_per_group
-
-#: bytes of vectors of one side that a task holds, cells of the matrix it looks at in one go, and least rows of a block
-SIDE, CELLS, LEAST = 64 << 20, 1 << 22, 1024
-
-
-def _matrix(t: pa.Table, c: str) -> np.ndarray:
-    return t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
-
-
-def _best(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k largest finite cells of each row, the first columns of equal ones."""
-    take = min(k, sim.shape[1])
-    bound = np.partition(sim, -take, axis=1)[:, -take]
-    row, column = np.nonzero((sim >= bound[:, None]) & np.isfinite(sim))
-    order = np.lexsort((column, -sim[row, column], row))
-    row, column = row[order], column[order]
-    keep = np.arange(len(row)) - np.searchsorted(row, row) < take
-    return row[keep], column[keep]
+from . import neighbours
 
 
-def knn(left: DataFrame, right: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", decimals: int = 9, skip_self: bool = True) -> DataFrame:
+def knn(left: DataFrame, right: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", decimals: int = 9, skip_self: bool = True, exact: bool = True) -> DataFrame:
     """(src, dst, sim) of the k nearest right rows of each left row; ties by dst. Rows without a vector have no neighbours.
 
-    Both sides are cut into blocks, and each pair of blocks is one task's matrix product, looked at a few left rows at a time; a task
-    keeps its k best, and the best of all tasks are merged. Nothing is broadcast. A block has as many rows as SIDE bytes hold, so that
-    a vector travels n / block times, or fewer where the cluster would else have no work for all its cores.
+    By an index of cells over the right rows (`neighbours`); exact unless said otherwise. Ids may be of any kind that has an order.
     metric: cosine (largest first), or sq_euclidean (smallest first, given as sim = -d2).
     """
-    asis = lambda d: F.col(vector) if d.schema[vector].dataType.simpleString() in ("array<float>", "array<double>") else F.col(vector).cast("array<double>")
-    wide = math.ceil(math.sqrt(2 * left.sparkSession.sparkContext.defaultParallelism))
-
-    def blocks(d: DataFrame) -> int:
-        n, width = d.agg(F.count(vector), F.max(F.size(vector))).first()
-        most = max(LEAST, SIDE // (8 * max(1, width or 1)))
-        return max(1, -(-n // most), min(wide, -(-n // LEAST)))
-
-    def dealt(d: DataFrame, id_: str, v: str, block: str, of: int) -> DataFrame:
-        return d.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(id_), asis(d).alias(v)).withColumn(block, F.pmod(F.xxhash64(id_), F.lit(of)).cast("int"))
-
-    parts, others = blocks(left), blocks(right)
-    l = dealt(left, "src", "v", "part", parts).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-    r = dealt(right, "dst", "w", "block", others).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def nearest(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
-        if lt.num_rows and rt.num_rows:
-            x, y = _matrix(lt, "v"), _matrix(rt, "w")
-            src, dst = lt.column("src").to_numpy(), rt.column("dst").to_numpy()
-            order = np.argsort(dst, kind="stable")
-            y, dst = y[order], dst[order]
-            xn, yn = (np.maximum(np.linalg.norm(m, axis=1), 1e-8) for m in (x, y))
-            step = max(1, CELLS // len(y))
-            for i in range(0, len(x), step):
-                a, of = x[i : i + step], src[i : i + step]
-                if metric == "cosine":
-                    sim = np.clip((a @ y.T) / (xn[i : i + step, None] * yn[None]), -1, 1)
-                elif x.shape[1] <= 4:
-                    sim = -sum((a[:, j, None] - y[None, :, j]) ** 2 for j in range(x.shape[1]))
-                else:
-                    sim = -((a * a).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * a @ y.T)
-                sim = np.round(sim, decimals)
-                if skip_self:
-                    sim[of[:, None] == dst[None]] = -np.inf
-                row, column = _best(sim, k)
-                found.append((of[row], dst[column], sim[row, column]))
-        return pa.table(dict(zip(("src", "dst", "sim"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
-
-    found = shipped(l).groupBy("part", "block").cogroup(r.groupBy("part", "block")).applyInArrow(nearest, "src long, dst long, sim double")
-    return best_per_group(found, ["src"], [F.col("sim").desc(), F.col("dst")], k)
+    return neighbours.search(neighbours.build(right, key, vector, metric), left, key, vector, k, exact=exact, decimals=decimals, skip_self=skip_self)
 
 
 def knn_plane(df: DataFrame, key: str, x: str, y: str, k: int) -> DataFrame:

@@ -72,8 +72,8 @@ def test_kendall_counts_all_pairs(spark, monkeypatch, eps):
 
 @pytest.mark.parametrize("metric", ["cosine", "sq_euclidean"])
 def test_knn_is_exhaustive(spark, monkeypatch, metric):
-    monkeypatch.setattr(similarity, "LEAST", 16)
-    monkeypatch.setattr(similarity, "CELLS", 64)
+    monkeypatch.setattr(similarity.neighbours, "LEAST", 16)
+    monkeypatch.setattr(similarity.neighbours, "CELLS", 64)
     rng = np.random.default_rng(5)
     m = np.round(rng.normal(size=(120, 6)), 1)
     m[60:70] = m[3]  # ties
