@@ -9,7 +9,9 @@ A text's set holds the 64-bit hashes of its distinct K-word shingles; two sets l
    most rows a band with which a pair at the threshold still meets in some band but for a probability of MISS: 32 bands of 5 rows at
    85 percent miss 7 pairs in 10^9 that are just similar enough, and fewer of those that are more similar.
 3. Signature verification: pairs whose sizes exclude a link go, and those that agree at so few places that a pair at the threshold
-   would do so with a probability of UNLIKELY at most.
+   would do so with a probability of UNLIKELY at most. Where many pairs of one bucket are left, sizes and a parity bitmap of each set
+   (`jaccard.parity_bitmap`) go before: they bound the difference of two sets exactly, and tell copies that are nearly similar enough
+   from those that are.
 4. What is left is confirmed on the full sets, so no link is ever wrong.
 5. Connected components by alternating large-star and small-star steps.
 
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import join_small, materialize, scratch, shipped
 from .graph import components
-from .jaccard import K, _across, _common, _pairs_where, representatives, settled, shingle_sets, whole_ids
+from .jaccard import K, _across, _common, _pairs_where, parity_bitmap, representatives, settled, shingle_sets, whole_ids
 from .textbytes import mix
 
 PERCENT, HASHES = 85, 160
@@ -82,9 +84,9 @@ def band_keys(signature: Column, bands: int, rows: int) -> Column:
 
 
 def _profiles(df: DataFrame, k: int) -> DataFrame:
-    """(id, n, s1, s2, signature) for each row of (id, text); of an empty set only id and n."""
-    names = ["id", "n", "s1", "s2", "signature"]
-    kinds = [pa.int64()] * 4 + [pa.binary()]
+    """(id, n, s1, s2, signature, parity) for each row of (id, text); of an empty set only id and n."""
+    names = ["id", "n", "s1", "s2", "signature", "parity"]
+    kinds = [pa.int64()] * 4 + [pa.binary()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -99,10 +101,10 @@ def _profiles(df: DataFrame, k: int) -> DataFrame:
                 some = full[at:last]
                 for s, sig in zip(some, signatures(some), strict=True):
                     scrambled = mix(s)
-                    made.append((len(s), int(np.bitwise_xor.reduce(scrambled).view(np.int64)), int(scrambled.sum(dtype=np.uint64).view(np.int64)), sig.tobytes()))
+                    made.append((len(s), int(np.bitwise_xor.reduce(scrambled).view(np.int64)), int(scrambled.sum(dtype=np.uint64).view(np.int64)), sig.tobytes(), parity_bitmap(s).tobytes()))
                 at = last
             own = iter(made)
-            out = [(i, *next(own)) if len(s) else (i, 0, None, None, None) for i, s in zip(ids, sets, strict=True)]
+            out = [(i, *next(own)) if len(s) else (i, 0, None, None, None, None) for i, s in zip(ids, sets, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
         for b in batches:
@@ -117,7 +119,7 @@ def _profiles(df: DataFrame, k: int) -> DataFrame:
             if ids:
                 yield told(ids, sets)
 
-    return shipped(df).mapInArrow(run, "id long, n long, s1 long, s2 long, signature binary")
+    return shipped(df).mapInArrow(run, "id long, n long, s1 long, s2 long, signature binary, parity binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -145,29 +147,6 @@ def _agreeing(pairs: DataFrame, thin: DataFrame, percent: int) -> DataFrame:
     return shipped(pairs).join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "signature_a", "signature_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_rows(group: np.ndarray, side: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the pairs within a group, across components and (where side is not -1) sides, that sizes and signatures leave.
-
-    Rows are in order of group, then n. Row r is compared with r + 1, r + 2, ... of all groups at once, until none is in reach.
-    """
-    stack, least = np.stack([s.view(np.uint16) for s in sketches]), least_agreement(percent)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    alive, shift = np.arange(len(stack)), 0
-    while True:
-        shift += 1
-        alive = alive[alive + shift < len(stack)]
-        other = alive + shift
-        alive = alive[(group[alive] == group[other]) & (100 * n[alive] >= percent * n[other])]
-        if not len(alive):
-            return np.concatenate(left), np.concatenate(right)
-        other = alive + shift
-        ok = (comp[alive] != comp[other]) & ((side[alive] != side[other]) | (side[alive] < 0))
-        x, y = alive[ok], other[ok]
-        near = (stack[x] == stack[y]).sum(axis=1) >= least
-        left.append(x[near])
-        right.append(y[near])
-
-
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose full sets link. docs: (id, text)."""
     pairs = materialize(pairs, "agreeing")
@@ -231,11 +210,11 @@ def _components_of(df: DataFrame, key: str, text: str, k: int, percent: int) ->
     heads = buckets.join(popular, "id").groupBy("bucket").agg(F.max_by("id", F.struct("meets", -F.col("id"))).alias("head"))
     around = buckets.join(heads, "bucket").where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
     star = materialize(around.distinct(), "stars")
-    near = materialize(join_small(thin.select("id", "n", "signature"), popular.select("id"), "id", "left_semi"), "near")
+    near = materialize(join_small(thin.select("id", "n", "signature", "parity"), popular.select("id"), "id", "left_semi"), "near")
     links = settled(
         buckets.select("bucket", "size", "id"), star, profiles.count(),
         lambda pairs: _confirmed(_agreeing(pairs, near, percent), alone, k, percent),
-        lambda members: _across(members, near, percent, "signature", near_rows),
+        lambda members: _across(members, near, percent),
     )
     same = copies.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
     found = materialize(components(links.unionByName(same)), "components")
