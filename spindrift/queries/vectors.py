@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import vectors as V
-from ..operators import layout, ranks
+from ..operators import graph_layout, layout, ranks
 from .aggregates import PLANE, plane
 from .joins import LABELLED, labelled
 
@@ -88,6 +88,16 @@ def _(t):
     return layout.pca(t.embeddings.select("vec_id", "embedding"), "embedding", 2).select("vec_id", F.round(F.col("pc")[0], 4).alias("x"), F.round(F.col("pc")[1], 4).alias("y"))
 
 
+@query("V9_umap")
+def _(t):
+    return graph_layout.umap(t.embeddings, "vec_id", "embedding").select("vec_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query("V9_tsne")
+def _(t):
+    return graph_layout.tsne(t.embeddings, "vec_id", "embedding").select("vec_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
 @query("V10_align_and_normalise")
 def _(t):
     p = plane(t).select("id", "x", "y", (-F.col("y")).alias("rx"), F.col("x").alias("ry"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +52,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """write(df, name, keep=False) writes df in the shared folder and reads it back: its lineage ends there. Those that aren't to be kept
+    are deleted at the end; a kept one is what the caller gets, and deletes."""
+    paths: list[str] = []
+
+    def write(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+        path = folder(spark, name)
+        if not keep:
+            paths.append(path)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield write
+    finally:
+        for p in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
