@@ -40,19 +40,31 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RULES = (urls.Rule("allow", "com", "/"), urls.Rule("block", "example.com", "/en/"), urls.Rule("allow", "www.example.com", "/en/"), urls.Rule("block", "net", "/es/"), urls.Rule("block", "net", "/fr/"))
-#: words of host names and paths that no page of a training corpus should come from; the block list has every pair of the first two
-#: groups as a label or the end of one, and every word of the last two as a path segment or a file's ending
-HOST_FIRST = ("ad", "ads", "adult", "best", "bonus", "cheap", "click", "credit", "crypto", "fast", "free", "hot", "instant", "lucky", "live", "mega", "online", "spam", "super", "win")
-HOST_LAST = ("bets", "bonus", "casino", "chat", "clicks", "coins", "deals", "farm", "games", "gifts", "loans", "pills", "poker", "porn", "prizes", "seo", "slots", "track", "tracker", "warez")
-SEGMENTS = ("adserver", "affiliate", "casino", "cgi-bin", "doorway", "porn", "sponsored", "tracking", "viagra", "warez")
-ENDINGS = ("apk", "exe", "torrent", "dmg")
+#: the block list, by what gives such pages away. Host globs read "." and the host, path globs what comes after it.
+#: first labels of hosts that show the pages of another host again (for phones, for print, as mirrors), or serve advertisements
+FIRST_LABELS = ("m", "mobile", "wap", "touch", "amp", "print", "printer", "mirror", "mirrors", "cache", "webcache", "proxy", "ad", "ads", "adserver", "banner", "click", "track", "tracking", "pixel")
+#: labels anywhere in a host, with a wildcard for a number or another word
+INNER_LABELS = ("ad?", "ads?", "adserver*", "mirror?", "mirror-*", "*-mirror", "www?", "*-ads", "ads-*", "*-tracker", "click-*", "*-casino", "casino-*", "*-poker", "poker-*", "*-pills", "phish-*", "*-warez", "0-*")
+#: path segments of views of other pages, of lists and accounts, and of scripts
+SEGMENTS = ("print", "printable", "amp", "feed", "feeds", "rss", "atom", "tag", "tags", "category", "search", "login", "signin", "register", "cart", "checkout", "basket", "wp-admin", "wp-json", "wp-content", "cgi-bin", "adserver", "redirect", "goto", "share", "embed", "trackback", "profile", "calendar")
+#: parts of paths: session ids, numbered pages of lists, archives by date, views of a page
+PARTS = ("*;jsessionid=*", "*;sid=*", "*/sid-*/*", "*/page/?", "*/page/??", "*/page/???", "*/page-?", "*/page-??", "*/20??/??/", "*/20??/??", "*/20??-??-??", "*/index?.htm*", "*/wp-*.php*", "*/print-*", "*-print.*", "*_print.*", "*/p?/", "*/*.cgi*", "*/*.php/*")
+ENDINGS = ("apk", "exe", "dmg", "iso", "torrent", "zip", "rar", "7z", "gz", "jpg", "jpeg", "png", "gif", "svg", "mp3", "mp4", "avi", "css", "js", "xml", "json", "rss")
 BLOCKED = (
-    *(f"*.{a}-{b}.*{urls.SEP}*" for a in HOST_FIRST for b in HOST_LAST),
-    *(f"*{urls.SEP}*/{s}/*" for s in SEGMENTS),
-    *(f"*{urls.SEP}*.{e}" for e in ENDINGS),
+    *(f".{x}.*{urls.SEP}*" for x in FIRST_LABELS),
+    *(f"*.{x}.*{urls.SEP}*" for x in INNER_LABELS),
+    *(f"*{urls.SEP}*/{x}/*" for x in SEGMENTS),
+    *(f"*{urls.SEP}{x}" for x in PARTS),
+    *(f"*{urls.SEP}*.{x}" for x in ENDINGS),
 )
 
 
+def _pattern(glob: str) -> str:
+    """A glob as a regular expression of DuckDB."""
+    plain = {"*": ".*", "?": ".", urls.SEP: r"\x01"} | {c: f"[{c}]" for c in ".+()[]{}|$"}
+    return "".join(plain.get(c, c) for c in glob)
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES, BLOCKED).drop("url")
 
@@ -147,9 +159,9 @@ WITH cut AS (
 )
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-    WHEN regexp_matches('.' || host, '\.(?:{first})-(?:{last})\.') OR regexp_matches(path, '/(?:{segments})/') OR regexp_matches(path, '\.(?:{endings})$') THEN 'block'
+    WHEN regexp_full_match('.' || host || chr(1) || path, '(?s:{globs})') THEN 'block'
     ELSE 'allow' END AS verdict
-FROM ruled""".replace("{first}", "|".join(HOST_FIRST)).replace("{last}", "|".join(HOST_LAST)).replace("{segments}", "|".join(SEGMENTS)).replace("{endings}", "|".join(ENDINGS)),
+FROM ruled""".replace("{globs}", "|".join(map(_pattern, BLOCKED))),
     "op9_jaccard": r"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
