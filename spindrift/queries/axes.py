@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import vectors as V
-from ..plans import models, search, study
+from ..plans import graph, models, search, study
 from ..plans.axis import Axis, State
-from ..session import folder
+from ..session import folder, workspace
 from .aggregates import PLANE, plane
 from .vectors import SCORED, direction
 
@@ -46,6 +46,18 @@ def _(t):
     return told(axis(t, "graph", SHORT).scores())
 
 
+@query("M6_graph_field")
+def _(t):
+    """The same field as a table of edges: no item or edge comes to the driver."""
+    e = t.embeddings.select("vec_id", "embedding")
+    with workspace(t.spark) as write:
+        edges = write(graph.neighbour_edges(e, "vec_id", "embedding", 4), "graph")
+        z0 = write(axis(t).scores().select(F.col("id").cast("long").alias("id"), F.col("z").alias("z0")), "prior")
+        field = graph.Field(z0.select("id"), edges, prior=0.5)
+        out = field.posterior(z0, [(3, 0.5, 1.0), (11, -0.5, 1.0)], probes=6)
+        return write(out.select(F.col("id").alias("vec_id"), F.round("z", 5).alias("z"), F.round(F.sqrt("variance"), 4).alias("std"), F.round("error", 4).alias("error")), "field", keep=True)
+
+
 @query("M7_piecewise_mixture")
 def _(t):
     return told(axis(t, "piecewise", SHORT).scores())
