@@ -69,16 +69,6 @@ def attribute_type(s: Column) -> Column:
     return out
 
 
-def phrase_exact(text: Column, phrase: Column) -> Column:
-    """F6, exact part: struct(start, score): a case-insensitive occurrence (1.0), else one with free white space between its words
-    (0.94), else null. start counts from 0."""
-    t, p = F.lower(text), F.lower(F.trim(phrase))
-    pos = F.call_function("instr", t, p)
-    words = F.regexp_replace(F.regexp_replace(p, r"([^\w\s])", r"\\\\$1"), r"\s+", r"\\\\s+")
-    loose = F.regexp_instr(t, words)
-    return F.when((pos > 0) & (p != ""), F.struct((pos - 1).alias("start"), F.lit(1.0).alias("score"))).when((loose > 0) & (p != ""), F.struct((loose - 1).alias("start"), F.lit(0.94).alias("score")))
-
-
 def parse_bool(s: Column) -> Column:
     """F7."""
     x = F.lower(F.trim(s))
@@ -193,11 +183,6 @@ def merge_maps(a: Column, b: Column) -> Column:
     return F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)
 
 
-def fenced_json(s: Column) -> Column:
-    """the text of the first JSON object in free text or a fenced block; an object without nested braces deeper than two."""
-    return F.nullif(F.regexp_extract(s, r"(\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})", 1), F.lit(""))
-
-
 def presence_prompts(name: Column, stems: Sequence[str] = MUCH) -> Column:
     """one prompt for each stem; none for a blank name."""
     n = collapse_space(name)

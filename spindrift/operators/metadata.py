@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .ranks import numbered
 
 
 def melt_strings(df: DataFrame, key: str, fields: Sequence[str], name: str = "field", value: str = "value") -> DataFrame:
@@ -64,13 +65,14 @@ def replace_rows(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFra
 
 def ordered_bins(long: DataFrame, field: str, key: str, value: str) -> DataFrame:
     """coordinate of each item on a field's ordered values: (index + 1) / n plus a jitter of (u - 1) / 2n, where u is a hash of
-    field and item; values are in numeric order if all parse, else in case-insensitive order. Label ticks are at (index + 0.75) / n."""
+    field and item; values are in numeric order if all parse, else in case-insensitive order. Label ticks are at (index + 0.75) / n.
+    Values are numbered by range, so there may be as many as there are rows."""
     v = long.groupBy(value).agg(F.lit(1).alias("one_")).drop("one_")
     x = F.col(value).try_cast("double")
     numeric = v.agg(F.bool_and(x.isNotNull()).alias("num_"))
-    w = Window.orderBy(F.when(F.col("num_"), F.col(value).try_cast("double")), F.lower(value), value)  # distinct values of one field
-    idx = v.crossJoin(F.broadcast(numeric)).select(F.col(value).alias("v_"), (F.row_number().over(w) - 1).alias("idx"), F.count("*").over(Window.partitionBy()).alias("n"))
-    j = long.join(F.broadcast(idx), F.col(value) == F.col("v_"))
+    told = v.crossJoin(F.broadcast(numeric))
+    idx, n = numbered(told, [F.when(F.col("num_"), F.col(value).try_cast("double")), F.lower(value), F.col(value)], "idx")
+    j = long.join(idx.select(F.col(value).alias("v_"), F.col("idx") - 1, F.lit(n).alias("n")).toDF("v_", "idx", "n"), F.col(value) == F.col("v_"))
     u = S.unit_hash(F.concat(F.lit(f"{field}|"), F.col(key).cast("string")))
     return j.select(*long.columns, S.clamp((F.col("idx") + 1) / F.col("n") + (u - 1) / (2 * F.col("n"))).alias("coord"), ((F.col("idx") + 0.75) / F.col("n")).alias("tick"))
 
@@ -98,10 +100,33 @@ def exact_then_basename(left: DataFrame, key: str, right: DataFrame, right_key:
 
 def segments(spans: DataFrame, by: str) -> DataFrame:
     """(by, seg_start, seg_end, score, active) from spans (by, start, end, score, active): the stretches between distinct
-    boundaries, with the best score of the spans that hold them and whether any of those is active."""
-    edges = spans.select(by, F.explode(F.array("start", "end")).alias("at")).distinct()
-    seg = edges.select(by, F.col("at").alias("seg_start"), F.lead("at").over(Window.partitionBy(by).orderBy("at")).alias("seg_end")).where("seg_end IS NOT NULL")
-    j = seg.join(spans, by).where("start <= seg_start AND seg_end <= end")
+    boundaries, with the best score of the spans that hold them and whether any of those is active.
+
+    Boundaries of a group are numbered, and a span is cut into the dyadic ranges that make it up, two a level at most; a stretch lies in
+    one range a level. So spans and stretches meet at ranges, as n log n rows that are combined before they are shuffled: no span meets
+    all the stretches that it holds, and a group is dealt out over as many tasks as it has ranges.
+    """
+    edges = spans.select(by, F.explode(F.array("start", "end")).alias("at")).where("at IS NOT NULL").distinct()
+    edges, _ = numbered(edges, [F.col(by), F.col("at")], "no")
+    first = edges.groupBy(F.col(by).alias("by_")).agg(F.min("no").alias("first_"))
+    edges = edges.join(first, F.col(by).eqNullSafe(F.col("by_"))).select(by, "at", (F.col("no") - F.col("first_")).alias("no"))
+    after = edges.select(F.col(by).alias("by_"), (F.col("no") - 1).alias("no_"), F.col("at").alias("seg_end"))
+    seg = edges.join(after, F.col(by).eqNullSafe(F.col("by_")) & (F.col("no") == F.col("no_"))).select(by, F.col("at").alias("seg_start"), "seg_end", "no")
+    levels = max(1, (seg.agg(F.max("no")).first()[0] or 0).bit_length())
+    number = lambda c: edges.select(F.col(by).alias(f"by_{c}"), F.col("at").alias(f"at_{c}"), F.col("no").alias(f"no_{c}"))
+    s = spans
+    for c in ("start", "end"):
+        s = s.join(number(c), F.col(by).eqNullSafe(F.col(f"by_{c}")) & (F.col(c) == F.col(f"at_{c}")))
+
+    def ranges(level: int) -> Column:
+        lo, hi = F.floor((F.col("no_start") + (1 << level) - 1) / (1 << level)), F.floor(F.col("no_end") / (1 << level))
+        own = lambda odd, at: F.when((lo < hi) & (odd % 2 == 1), F.struct(F.lit(level).alias("level"), at.cast("long").alias("range")))
+        return F.array(own(lo, lo), own(hi, hi - 1))
+
+    held = s.select(by, "score", "active", F.explode(F.filter(F.flatten(F.array(*[ranges(i) for i in range(levels)])), lambda x: x.isNotNull())).alias("r"))
+    held = held.groupBy(F.col(by).alias("by_"), F.col("r.level").alias("level"), F.col("r.range").alias("range")).agg(F.max("score").alias("score"), F.bool_or("active").alias("active"))
+    at = F.inline(F.array(*[F.struct(F.lit(i).alias("level_"), F.floor(F.col("no") / (1 << i)).cast("long").alias("range_")) for i in range(levels)]))
+    j = seg.select(by, "seg_start", "seg_end", at).join(held, F.col(by).eqNullSafe(F.col("by_")) & (F.col("level") == F.col("level_")) & (F.col("range") == F.col("range_")))
     return j.groupBy(by, "seg_start", "seg_end").agg(F.max("score").alias("score"), F.bool_or("active").alias("active"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
+
 #: stretches of the value range that a whole-table rank is worked off in
 STRETCHES = 200
 #: values that follow each other by this or less are ties
@@ -123,6 +125,23 @@ def row_numbers(df: DataFrame, value: str, tie: str | Sequence[str], out: str =
     return keyed.withColumn("in_", F.row_number().over(inside)).join(offsets if first else F.broadcast(offsets), same).select(*df.columns, (F.col("in_") + F.col("before_")).alias(out))
 
 
+def numbered(df: DataFrame, order: Sequence[Column], out: str) -> tuple[DataFrame, int]:
+    """(df with 1, 2, ... over the whole table by `order`, of any kinds of columns; number of rows). Rows are dealt out by range, sorted
+    and written; a row's number is its place within its partition and the rows of the partitions before."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id())
+    rows = stored(rows, "numbered")
+    sizes = sorted((r["part"], r["n"]) for r in rows.groupBy(F.shiftright("at_", 33).alias("part")).agg(F.count("*").alias("n")).collect())  # one row a partition
+    before, total = [], 0
+    for part, n in sizes:
+        before.append((part, total))
+        total += n
+    if not before:
+        return rows.withColumn(out, F.lit(None).cast("long")).drop("at_"), 0
+    offsets = df.sparkSession.createDataFrame(before, "part_ long, before_ long")
+    joined = rows.join(F.broadcast(offsets), F.shiftright("at_", 33) == F.col("part_"))
+    return joined.select(*df.columns, (F.col("before_") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(out)), total
+
+
 def descending_rank(df: DataFrame, value: str, tie: str, out: str = "rank_desc") -> DataFrame:
     """Distinct ranks 1..n, largest first, ties in order of `tie`."""
     return row_numbers(df, value, tie, out, descending=True)
@@ -172,14 +191,23 @@ def min_max(df: DataFrame, value: str, out: str = "norm", flat: float = 0.5) ->
 
 
 def fill_gaps(df: DataFrame, at: str, value: str, by: Sequence[str] = (), out: str = "filled") -> DataFrame:
-    """Missing values are interpolated between the nearest present ones; beyond the ends the nearest is carried."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(at)
-    back, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    here = F.when(F.col(value).isNotNull(), F.col(at))
-    lo, hi, at_lo, at_hi = F.last(value, True).over(back), F.first(value, True).over(on), F.last(here, True).over(back), F.first(here, True).over(on)
-    t = df.select("*", lo.alias("lo_"), hi.alias("hi_"), at_lo.alias("al_"), at_hi.alias("ah_"))
-    line = F.col("lo_") + (F.col("hi_") - F.col("lo_")) * (F.col(at) - F.col("al_")) / (F.col("ah_") - F.col("al_"))
-    return t.withColumn(out, F.when(F.col(value).isNotNull(), F.col(value)).when(F.col("lo_").isNull(), F.col("hi_")).when(F.col("hi_").isNull(), F.col("lo_")).otherwise(line)).drop("lo_", "hi_", "al_", "ah_")
+    """Missing values are interpolated between the nearest present ones; beyond the ends the nearest is carried. Each stretch of
+    `at` is looked at by itself; what it lacks at its ends comes from the others' first and last values, one row a stretch."""
+    stretch = _stretch(df, at)
+    t = df.withColumn("part_", F.lit(0) if stretch is None else stretch)
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col(at).alias("a")))
+    w = Window.partitionBy(*by, "part_").orderBy(at)
+    t = t.withColumns({"lo_": F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "hi_": F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    ends = df.withColumn("part_", F.lit(0) if stretch is None else stretch).where(F.col(value).isNotNull()).groupBy(*by, "part_").agg(F.max_by(known, at).alias("last_"), F.min_by(known, at).alias("first_"))
+    parts = t.select(*by, "part_").distinct().withColumnsRenamed({b: f"p{i}_" for i, b in enumerate(by)}).withColumnRenamed("part_", "ppart_")
+    same = lambda x, y: reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"{y}{i}_")) for i, b in enumerate(by)], F.col(x) == F.col(f"{y}part_"))
+    over = Window.partitionBy(*[f"p{i}_" for i in range(len(by))]).orderBy("ppart_")
+    told = parts.join(ends, same("part_", "p"), "left")
+    told = told.select(*[f"p{i}_" for i in range(len(by))], "ppart_", F.last("last_", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("before_"), F.first("first_", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("after_"))
+    t = t.join(told if by else F.broadcast(told), same("part_", "p")).withColumns({"lo_": F.coalesce("lo_", "before_"), "hi_": F.coalesce("hi_", "after_")})
+    line = F.col("lo_.v") + (F.col("hi_.v") - F.col("lo_.v")) * (F.col(at) - F.col("lo_.a")) / F.nullif(F.col("hi_.a") - F.col("lo_.a"), F.lit(0))
+    filled = F.when(F.col(value).isNotNull(), F.col(value)).when(F.col("lo_").isNull(), F.col("hi_.v")).when(F.col("hi_").isNull(), F.col("lo_.v")).otherwise(line)
+    return t.select(*df.columns, filled.alias(out))
 
 
 def kde(df: DataFrame, value: str, grid: int, bandwidth: float | None = None, lo: float = 0.0, hi: float = 100.0) -> DataFrame:

@@ -40,14 +40,18 @@ def _(t):
     return t.events.select(F.col("event_id").alias("i"), S.attribute_type(F.get(words, (F.col("event_id") % 9).cast("int"))).alias("type"))
 
 
-@query("F6_phrase_exact", """
-WITH p AS (SELECT conv_id, turn, lower(text) AS t, lower(trim(split_part(trim(text), ' ', 3) || ' ' || split_part(trim(text), ' ', 4))) AS p FROM conversations)
-SELECT conv_id, turn, CASE WHEN p <> '' AND strpos(t, p) > 0 THEN strpos(t, p) - 1 END AS start, CASE WHEN p <> '' AND strpos(t, p) > 0 THEN 1.0::DOUBLE END AS score FROM p WHERE position(chr(10) IN t) = 0""")
+@query("F6_phrase_exact", r"""
+WITH w AS (SELECT conv_id, turn, text, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM conversations),
+p AS (SELECT conv_id, turn, lower(text) AS t, trim(lower(coalesce(w[3], '') || ' ' || coalesce(w[4], ''))) AS p FROM w)
+SELECT conv_id, turn, CASE WHEN p <> '' AND strpos(t, p) > 0 THEN strpos(t, p) - 1 END AS start FROM p""")
 def _(t):
-    c = t.conversations.where(~F.col("text").contains("\n"))
-    w = F.split(F.trim("text"), " ")
-    phrase = F.trim(F.concat(F.coalesce(F.get(w, F.lit(2)), F.lit("")), F.lit(" "), F.coalesce(F.get(w, F.lit(3)), F.lit(""))))
-    return c.select("conv_id", "turn", S.phrase_exact(F.col("text"), phrase).alias("m")).select("conv_id", "turn", F.col("m.start").cast("long").alias("start"), F.col("m.score").alias("score"))
+    """Where a phrase of the text's third and fourth word stands as it is; whole texts, line feeds included."""
+    w = F.filter(F.split("text", r"[ \t\n\r\f\x0B]+"), lambda x: x != "")
+    phrase = F.trim(F.lower(F.concat(F.coalesce(F.get(w, F.lit(2)), F.lit("")), F.lit(" "), F.coalesce(F.get(w, F.lit(3)), F.lit("")))))
+    c = t.conversations.select("conv_id", "turn", "text", phrase.alias("phrase"))
+    found = X.align_phrases(c.withColumn("phrases", F.array("phrase")), "text", "phrases").withColumn("s", F.get("spans", F.lit(0)))
+    verbatim = F.lower(F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))) == F.col("phrase")
+    return found.select("conv_id", "turn", F.when(verbatim, F.col("s.start")).cast("long").alias("start"))
 
 
 @query("F6_phrase_fuzzy")
@@ -131,7 +135,7 @@ def _(t):
 @query("F18_json_extract", "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
 def _(t):
     text = F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n``` thanks"))
-    return t.events.select("event_id", F.get_json_object(S.fenced_json(text), "$.k").cast("int").alias("k"))
+    return X.first_json(t.events.select("event_id", text.alias("text")), "text", "json").select("event_id", F.get_json_object("json", "$.k").cast("int").alias("k"))
 
 
 @query("F18_json_first_object")

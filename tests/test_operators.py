@@ -430,9 +430,10 @@ def test_phrases_and_objects():
     assert X.locate("the part  x of it", "\"part   x\"", []) == (4, 11, X.SPACED)
     assert X.locate("A Red   house", " 'red house' ", []) == (2, 13, X.SPACED)
     assert X.locate("red house", "red house", [(0, 3)]) is None
-    assert X.first_object('x {"a": 1} ```json\n{"b": "}```{"}\n``` {"c": 3}') == '{"b":"}```{"}'
+    assert X.first_object('x {"a": 1} ```json\n{"b": "}```{"}\n``` {"c": 3}') == '{"a":1}'
     assert X.first_object('[1, {"a": {"b": 2}}]') == '{"a":{"b":2}}' and X.first_object("{ no") is None and X.first_object(None) is None
-    assert X.first_object("{} and more") == "{}"
+    assert X.first_object("{} and more") == "{}" and X.first_object('```json\n{"b": "}```{"}\n```') == '{"b":"}```{"}'
+    assert X.first_object('{"a":{"b":{"c":{"d":1}}}}') == '{"a":{"b":{"c":{"d":1}}}}' and X.first_object('{"a":"}"}') == '{"a":"}"}'
 
 
 def test_one_item_s_score_and_the_fit_cache(spark):
