@@ -5,9 +5,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workers import shipped
+
 # fixed values: linear sRGB to XYZ for D65, its white point, and the bends of the two curves
 TO_XYZ = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
 WHITE = (0.95047, 1.0, 1.08883)
@@ -88,3 +92,102 @@ def contours(grid: DataFrame, levels: list[float], x: str = "gx", y: str = "gy",
     pair = lambda a, b: F.struct(F.element_at("p", a)["px"].alias("x1"), F.element_at("p", a)["py"].alias("y1"), F.element_at("p", b)["px"].alias("x2"), F.element_at("p", b)["py"].alias("y2"))
     segments = F.when(F.size("p") == 2, F.array(pair(1, 2))).when(F.col("joined"), F.array(pair(1, 2), pair(3, 4))).otherwise(F.array(pair(1, 4), pair(2, 3)))
     return d.select("level", F.inline(segments))
+
+
+# fixed values: thresholds of the share of edges, weights of the grey that it reads, and the tangent that parts the four directions
+WEAK, STRONG = 100, 200
+EDGE_GREY = (0.299, 0.587, 0.114)
+TANGENT = 0.41421356
+
+
+def edges(grey: np.ndarray, weak: float = WEAK, strong: float = STRONG) -> np.ndarray:
+    """Canny edges of one image: Sobel gradients of 3 x 3 pixels with the border repeated, |dx| + |dy| thinned along its direction, and
+    what is above the weak threshold kept where it hangs together, corners included, with something above the strong one."""
+    p = np.pad(grey.astype(np.int64), 1, mode="edge")
+    row = lambda a: a[:, :-2] + 2 * a[:, 1:-1] + a[:, 2:]
+    dy = row(p[2:]) - row(p[:-2])
+    dx = row(p.T[2:]).T - row(p.T[:-2]).T
+    m = np.pad(np.abs(dx) + np.abs(dy), 1)
+    at = lambda j, i: m[1 + j : m.shape[0] - 1 + j, 1 + i : m.shape[1] - 1 + i]
+    here, flat, steep = at(0, 0), np.abs(dy) < TANGENT * np.abs(dx), np.abs(dy) > (TANGENT + 2) * np.abs(dx)
+    down = (dx < 0) == (dy < 0)
+    top = np.where(flat, (here > at(0, -1)) & (here >= at(0, 1)), np.where(steep, (here > at(-1, 0)) & (here >= at(1, 0)), np.where(down, (here > at(-1, -1)) & (here > at(1, 1)), (here > at(-1, 1)) & (here > at(1, -1)))))
+    thin = top & (here > weak)
+    # components of the thinned pixels: each takes the least number around it, until none changes; then numbers of strong ones stay
+    label = np.where(thin, np.arange(thin.size).reshape(thin.shape), thin.size)
+    while True:
+        wide = np.pad(label, 1, constant_values=thin.size)
+        least = np.min([wide[j : j + label.shape[0], i : i + label.shape[1]] for j in range(3) for i in range(3)], axis=0)
+        least = np.where(thin, least, thin.size)
+        # a pixel's number names a pixel of its component, whose own number may be smaller still
+        least = np.where(thin, np.append(least.ravel(), thin.size)[least], thin.size)
+        if (least == label).all():
+            break
+        label = least
+    return thin & np.isin(label, label[thin & (here > strong)])
+
+
+def edge_share(pixels: DataFrame, item: str = "item") -> DataFrame:
+    """(item, edges): the share of Canny edge pixels of each image, which a task holds as a whole. Pixels that aren't there are black."""
+    grey = reduce(lambda a, b: a + b, [F.lit(w) * F.col(c) for w, c in zip(EDGE_GREY, "rgb", strict=True)])
+    p = pixels.select(item, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.round(grey).cast("int").alias("v"))
+
+    def run(t: pa.Table) -> pa.Table:
+        x, y, v = (t.column(c).to_numpy() for c in "xyv")
+        grid = np.zeros((y.max() + 1, x.max() + 1), int)
+        grid[y, x] = v
+        return pa.table([t.column(item).slice(0, 1), pa.array([float(edges(grid).mean())])], names=[item, "edges"])
+
+    return shipped(p).groupBy(item).applyInArrow(run, f"{item} {pixels.schema[item].dataType.simpleString()}, edges double")
+
+
+def _overlaps(at: Column, size: Column, cells: int) -> Column:
+    """(cell, share): the cells, of as many over the whole size, that a pixel's own stretch lies in, and how much of it, in cells."""
+    lo, hi = at * cells / size, (at + 1) * cells / size
+    cell = F.sequence(F.floor(lo).cast("int"), F.greatest(F.floor(lo), F.ceil(hi) - 1).cast("int"))
+    return F.transform(cell, lambda c: F.struct(c.alias("cell"), (F.least(hi, c + 1) - F.greatest(lo, c.cast("double"))).alias("share")))
+
+
+def resampled(pixels: DataFrame, width: int, height: int, item: str = "item") -> DataFrame:
+    """(item, x, y, r, g, b) of width x height pixels: means of what they cover of an image of any size, by area. A pixel gives
+    a row for each pixel that it reaches into, which are added up before they are shuffled."""
+    sizes = pixels.groupBy(F.col(item).alias("item_")).agg((F.max("x") + 1).cast("double").alias("w_"), (F.max("y") + 1).cast("double").alias("h_"))
+    p = pixels.join(sizes, F.col(item).eqNullSafe(F.col("item_")))
+    p = p.select(item, *"rgb", F.explode(_overlaps(F.col("x").cast("double"), F.col("w_"), width)).alias("i"), _overlaps(F.col("y").cast("double"), F.col("h_"), height).alias("js"))
+    p = p.select(item, *"rgb", "i", F.explode("js").alias("j")).withColumn("s", F.col("i.share") * F.col("j.share")).where("s > 1e-12")
+    return p.groupBy(item, F.col("i.cell").alias("x"), F.col("j.cell").alias("y")).agg(*[(F.sum(F.col(c) * F.col("s")) / F.sum("s")).alias(c) for c in "rgb"])
+
+
+def colour_vectors(pixels: DataFrame, size: int = 32, item: str = "item", out: str = "v") -> DataFrame:
+    """(item, v): the colours of size x size pixels in [0, 1], row by row: a vector where there is no model to make one."""
+    rows = F.array_sort(F.collect_list(F.struct("y", "x", *[(F.col(c) / 255).alias(c) for c in "rgb"])))  # size * size rows
+    return resampled(pixels, size, size, item).groupBy(item).agg(F.flatten(F.transform(rows, lambda p: F.array(p["r"], p["g"], p["b"]))).alias(out))
+
+
+def pooled(cells: DataFrame, image: str, x: str, y: str, vector: str, parts: int) -> DataFrame:
+    """(image, i, j, pooled): means over parts x parts equal pieces of each map; columns and rows beyond the last whole piece don't
+    count. Channels are averaged as rows, so that a map may be of any size."""
+    sizes = cells.groupBy(F.col(image).alias("image_")).agg(F.floor((F.max(y) + 1) / parts).alias("size_"))
+    p = cells.join(sizes, F.col(image).eqNullSafe(F.col("image_"))).where("size_ > 0")
+    p = p.select(image, F.floor(F.col(y) / F.col("size_")).alias("i"), F.floor(F.col(x) / F.col("size_")).alias("j"), F.posexplode(F.col(vector).cast("array<double>")).alias("c", "v")).where((F.col("i") < parts) & (F.col("j") < parts))
+    p = p.groupBy(image, "i", "j", "c").agg(F.avg("v").alias("v"))
+    return p.groupBy(image, "i", "j").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda s: s["v"]).alias("pooled"))
+
+
+def _corners(size: int, cells: int) -> list[tuple[int, int, float]]:
+    """(pixel, cell, weight) of linear interpolation between the middles of cells, the outermost ones carried on."""
+    out = []
+    for p in range(size):
+        at = min(max((p + 0.5) * cells / size - 0.5, 0.0), cells - 1.0)
+        lo = min(int(at), max(cells - 2, 0))
+        out += [(p, c, w) for c, w in ((lo, 1 - (at - lo)), (lo + 1, at - lo)) if w > 0]
+    return out
+
+
+def upsampled(cells: DataFrame, image: str, x: str, y: str, vector: str, width: int, height: int, size: int) -> DataFrame:
+    """(image, px, py, feature): maps of width x height vectors at size x size pixels, bilinear. Spines of pixels are as small as maps."""
+    spine = lambda p, c, w, n: F.broadcast(cells.sparkSession.createDataFrame(_corners(size, n), f"{p} int, {c} int, {w} double"))
+    m = cells.join(spine("px", "cx_", "wx_", width), F.col(x) == F.col("cx_")).join(spine("py", "cy_", "wy_", height), F.col(y) == F.col("cy_"))
+    m = m.select(image, "px", "py", F.posexplode(F.transform(F.col(vector).cast("array<double>"), lambda v: v * F.col("wx_") * F.col("wy_"))).alias("c", "v"))
+    m = m.groupBy(image, "px", "py", "c").agg(F.sum("v").alias("v"))
+    return m.groupBy(image, "px", "py").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda s: s["v"]).alias("feature"))

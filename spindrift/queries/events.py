@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..session import folder
+from ..sources.log import Log, snapshot_rules, write_stream
+from ..sources.tables import activity_lines
 from ..streaming import feedback as X
 
 FEED = """e AS (SELECT user_id AS axis, event_id AS seq, CASE event_type WHEN 'error' THEN 'undefined' WHEN 'click' THEN 'delete' WHEN 'view' THEN 'prompt_update' WHEN 'signup' THEN 'create' ELSE 'score' END AS kind, CAST(json_extract(props, '$.k') AS INT) % 12 AS item, value AS target FROM events)"""
@@ -59,6 +61,32 @@ def _(t):
     return X.counters(feed(t)).select("axis", "seq", F.col("prior_revision").cast("long").alias("prior_revision"), "b_interaction")
 
 
+@query("E2_snapshot_log", f"""
+WITH {FEED}, r AS (SELECT axis, seq, kind FROM e WHERE kind <> 'create' UNION ALL SELECT axis, min(seq) - 1, 'create' FROM e GROUP BY axis),
+c AS (SELECT *, sum(CAST(kind = 'prompt_update' AS INT)) OVER (PARTITION BY axis ORDER BY seq ROWS UNBOUNDED PRECEDING)::BIGINT AS prior_revision FROM r)
+SELECT axis, seq, kind, prior_revision, row_number() OVER (PARTITION BY axis, prior_revision ORDER BY seq) - 1 AS b_interaction FROM c""")
+def _(t):
+    """The events appended to a log in three commits: baselines, then the events of even and odd axes, each checked against the rules."""
+    e = feed(t).select("axis", "seq", "kind")
+    log = Log(t.spark, folder(t.spark, "snapshots"), e.schema)
+    log.append(e.groupBy("axis").agg((F.min("seq") - 1).alias("seq"), F.lit("create").alias("kind")), snapshot_rules)
+    for odd in (0, 1):
+        log.append(e.where((F.col("kind") != "create") & (F.col("axis") % 2 == odd)), snapshot_rules)
+    return X.counters(log.rows()).select("axis", "seq", "kind", F.col("prior_revision").cast("long").alias("prior_revision"), "b_interaction")
+
+
+@query("E7_log_stream", "SELECT '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '] [' || event_type || '] [' || props || ']' AS value FROM events")
+def _(t):
+    """The events as a stream of lines that is appended to a log, and started once more: each batch is there once."""
+    e = t.events.select("ts", "event_type", "props")
+    e.write.parquet(f"{(base := folder(t.spark, 'session'))}/in")
+    lines = activity_lines(t.spark.readStream.schema(e.schema).parquet(f"{base}/in"), "ts", "event_type", "props")
+    log = Log(t.spark, f"{base}/log", lines.schema)
+    for again in range(2):
+        write_stream(lines, log, "session", f"{base}/checkpoint{again}").awaitTermination()
+    return log.rows()
+
+
 @query("E3_baseline_attach", f"WITH {FEED}, s AS (SELECT DISTINCT axis FROM e WHERE kind = 'create') SELECT axis, seq, kind FROM e UNION ALL SELECT axis, min(seq) - 1, 'create' FROM e WHERE axis NOT IN (FROM s) GROUP BY axis")
 def _(t):
     e = feed(t)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import scalars as S
-from ..operators import images
+from ..operators import images, layout
 from ..sources import tables
 from .aggregates import PLANE, plane
 
@@ -42,6 +42,52 @@ def _(t):
     return s.select("item", *[F.round(c, {"colourfulness": 5, "warmth": 8, "greenness": 8}.get(c, 6)).alias(c) for c in ("brightness", "saturation", "contrast", "sharpness", "warmth", "colourfulness", "greenness")])
 
 
+@query("F22_edge_share")
+def _(t):
+    return images.edge_share(pixels(t)).select("item", F.round("edges", 6).alias("edges"))
+
+
+@query("V19_resampled_pixels", f"""
+WITH {PIXELS}, s AS (SELECT item, max(x) + 1 AS w, max(y) + 1 AS h FROM px GROUP BY item), c AS (SELECT i.i, j.j FROM range(5) i(i), range(3) j(j)),
+o AS (SELECT item, i, j, r, g, b, (least((x + 1) * 5.0::DOUBLE / w, i + 1) - greatest(x * 5.0::DOUBLE / w, i)) AS sx, (least((y + 1) * 3.0::DOUBLE / h, j + 1) - greatest(y * 3.0::DOUBLE / h, j)) AS sy FROM px JOIN s USING (item), c)
+SELECT item, CAST(i AS INT) AS x, CAST(j AS INT) AS y, round(sum(r * sx * sy) / sum(sx * sy), 6) AS r, round(sum(g * sx * sy) / sum(sx * sy), 6) AS g, round(sum(b * sx * sy) / sum(sx * sy), 6) AS b FROM o WHERE sx > 1e-9 AND sy > 1e-9 GROUP BY 1, 2, 3""")
+def _(t):
+    return images.resampled(pixels(t), 5, 3).select("item", "x", "y", *[F.round(c, 6).alias(c) for c in "rgb"])
+
+
+@query("V19_colour_fallback")
+def _(t):
+    v = F.col("v")
+    return images.colour_vectors(pixels(t)).select("item", F.size(v).alias("width"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.round(v[3], 6).alias("second_red"))
+
+
+def maps(t):
+    """A map of 4 x 4 vectors for every sixteen items."""
+    return t.embeddings.select(F.expr("vec_id div 16").alias("image"), (F.col("vec_id") % 4).alias("x"), (F.expr("vec_id div 4") % 4).alias("y"), "embedding")
+
+
+MAPS = "c AS (SELECT vec_id // 16 AS image, vec_id % 4 AS x, vec_id // 4 % 4 AS y, embedding FROM embeddings)"
+
+
+@query("V20_map_pooling", f"""
+WITH {MAPS}, h AS (SELECT image, (max(y) + 1) // 2 AS size FROM c GROUP BY image), e AS (SELECT image, y // size AS i, x // size AS j, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM c JOIN h USING (image) WHERE size > 0),
+m AS (SELECT image, i, j, k, round(avg(v), 6) AS v FROM e WHERE i < 2 AND j < 2 GROUP BY 1, 2, 3, 4)
+SELECT image, i, j, list(v ORDER BY k) AS pooled FROM m GROUP BY 1, 2, 3""")
+def _(t):
+    return images.pooled(maps(t), "image", "x", "y", "embedding", 2).withColumn("pooled", F.transform("pooled", lambda v: F.round(v, 6)))
+
+
+@query("V20_upsampled_correspondence", f"""
+WITH {MAPS}, a AS (SELECT p, least(greatest((p + 0.5::DOUBLE) * 4 / 8 - 0.5::DOUBLE, 0), 3) AS pos FROM range(8) r(p)),
+w AS (SELECT p, c.c, greatest(0, 1 - abs(pos - c.c)) AS w FROM a, range(4) c(c) WHERE abs(pos - c.c) < 1),
+e AS (SELECT image, wx.p AS px, wy.p AS py, wx.w * wy.w AS w, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM c JOIN w wx ON wx.c = x JOIN w wy ON wy.c = y),
+f AS (SELECT image, px, py, k, sum(w * v) AS v FROM e GROUP BY 1, 2, 3, 4), s AS (SELECT k, v AS s FROM f WHERE image = 0 AND px = 5 AND py = 3)
+SELECT image, CAST(px AS INT) AS px, CAST(py AS INT) AS py, round(sum(v * s) / (sqrt(sum(v * v)) * sqrt(sum(s * s))), 6) AS cosine FROM f JOIN s USING (k) WHERE image <> 0 GROUP BY 1, 2, 3""")
+def _(t):
+    up = images.upsampled(maps(t), "image", "x", "y", "embedding", 4, 4, 8)
+    return layout.correspondence(up, "image", "px", "py", "feature", 0, (5, 3)).select("image", "px", "py", F.round("cosine", 6).alias("cosine"))
+
+
 GRID = f"{PLANE}, g0 AS (SELECT CAST(least(floor((x + 1) / 2 * 24), 23) AS INT) AS gx, CAST(least(floor((y + 1) / 2 * 24), 23) AS INT) AS gy, count(*)::DOUBLE AS density FROM p GROUP BY 1, 2)"
 
 

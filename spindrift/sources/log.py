@@ -106,8 +106,17 @@ class Log:
         self._drop(name)
         return None
 
+    def forget(self, manifests: list[dict]) -> None:
+        """Takes commits out of the log, with their rows; the last one must stay, as numbers go on from it."""
+        for m in manifests:
+            self._delete(f"commits/{m['number']:012d}.json")
+            self._drop(m["data"])
+
     def _drop(self, name: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/{name}")
+        self._delete(f"data/{name}")
+
+    def _delete(self, name: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
 from io import BytesIO
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..workers import shipped
+from .log import Log
 
 
 def list_items(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
@@ -209,15 +209,19 @@ def library(df: DataFrame) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Written aside in the same file system, then renamed into place."""
-    spark = df.sparkSession
-    aside = f"{path}-{uuid.uuid4().hex}"
-    df.write.parquet(aside)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(jvm.Path(path), True)
-    if not fs.rename(jvm.Path(aside), jvm.Path(path)):
-        raise OSError(f"can't rename {aside}")
+    """A new version of the table under `path`: a commit of a log, of which the last one counts. So readers find the old version or
+    the new one at any time. The version before stays for those that read it; older ones go."""
+    log = Log(df.sparkSession, path, df.schema)
+    log.append(df)
+    log.forget(log.manifests()[:-2])
+
+
+def current_table(spark: SparkSession, path: str) -> DataFrame:
+    """The present version of a table that is replaced as a whole."""
+    there = Log(spark, path, T.StructType([])).manifests()
+    if not there:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/data/{there[-1]['data']}")
 
 
 def activity_lines(df: DataFrame, ts: str, action: str, detail: str) -> DataFrame:

@@ -94,3 +94,19 @@ def test_stream_appends_each_batch_once(spark, tmp_path):
     L.write_stream(stream, log, "s", checkpoint).awaitTermination()
     assert log.rows().groupBy("axis").count().orderBy("axis").collect() == [(1, 20), (2, 5)] and len(log.manifests()) == 2
     assert log.rows().agg(F.count_distinct("axis", "seq")).first()[0] == 25
+
+
+def test_tables_are_replaced_in_one_step(spark):
+    """A reader of the version before keeps it while the next one comes; the ones before that go."""
+    from spindrift.sources import tables
+
+    path = folder(spark, "library")
+    with pytest.raises(FileNotFoundError):
+        tables.current_table(spark, path)
+    seen = []
+    for n in (1, 2, 3, 4):
+        tables.replace_table(spark.range(n), path)
+        seen.append(tables.current_table(spark, path))
+        assert seen[-1].count() == n and (n == 1 or seen[-2].count() == n - 1)
+    with pytest.raises(Exception):
+        seen[0].count()
