@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workers import shipped
-from .ranks import STRETCHES, _within, average_rank, rank_percentile
+from .ranks import ROWS, STRETCHES, _within, average_rank, rank_percentile, thinned
 
 
 def pearson(x: str, y: str, flat: float | None = 0.0) -> Column:
@@ -76,11 +76,13 @@ def kendall(df: DataFrame, key: str, pred: str, ref: str, by: Sequence[str] = ()
     cells = df.where(F.col(pred).isNotNull() & F.col(ref).isNotNull()).groupBy(*[F.col(b).alias(o) for b, o in zip(by, own, strict=True)], F.col(pred).cast("double").alias("x_"), F.col(ref).cast("double").alias("y_")).agg(F.count("*").alias("w_"))
     cells = cells.withColumn("t_", F.col("y_") - F.lit(eps))
     at = lambda n: [i / n for i in range(1, n)]
-    xs, ys = cells.agg(F.percentile_approx("x_", at(STRETCHES), 1000), F.percentile_approx("y_", at(STRETCHES // 2), 1000)).first()
+    n, xs, ys = cells.agg(F.count("*"), F.percentile_approx("x_", at(STRETCHES), 1000), F.percentile_approx("y_", at(STRETCHES // 2), 1000)).first()
+    parts = min(STRETCHES, max(1, n // ROWS))  # small tables are few stretches
     zero = F.lit(0).cast("long")
     if not xs:
         told = df.sparkSession.createDataFrame([], ", ".join([*[f"{o} {df.schema[b].dataType.simpleString()}" for b, o in zip(by, own, strict=True)], "lower long, upper long, every long"]))
     else:
+        xs, ys = thinned(xs, parts), thinned(ys, max(1, parts // 2))
         levels = [v - e for v in ys for e in (0.0, eps)]  # told and asking rows have bounds of their own
         px, py, pt = _within(xs, "x_"), _within(levels, "y_"), _within(levels, "t_")
         row = lambda kind, part, x, y, asks: F.struct(F.lit(kind).alias("kind_"), part.cast("int").alias("part_"), x.cast("double").alias("x_"), y.cast("double").alias("y_"), F.lit(asks).alias("asks_"))

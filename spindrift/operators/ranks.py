@@ -11,23 +11,39 @@ from pyspark.sql import types as T
 
 from ..session import stored
 
-#: stretches of the value range that a whole-table rank is worked off in
-STRETCHES = 200
+#: a whole-table rank is worked off in stretches of the value range of about ROWS rows, or as many as MOST stretches leave; the first
+#: look at a table is for STRETCHES of them
+ROWS, STRETCHES, MOST = 4096, 200, 4000
 #: values that follow each other by this or less are ties
 TIE = 1e-12
 
 
+def thinned(cuts: Sequence, parts: int) -> list:
+    """Of the cuts into len(cuts) + 1 equal parts those that leave about `parts`."""
+    return [cuts[i * (len(cuts) + 1) // parts - 1] for i in range(1, parts)]
+
+
+def _cuts(df: DataFrame, value: str) -> list | None:
+    """About the quantiles of a column's values, some of them equal where a value is frequent; None if there are no values."""
+    at = lambda n: [i / n for i in range(1, n)]
+    n, cuts = df.agg(F.count(value), F.percentile_approx(value, at(STRETCHES), 1000)).first()
+    if not n:
+        return None
+    parts = min(MOST, max(1, n // ROWS))
+    return thinned(cuts, parts) if parts <= STRETCHES else df.agg(F.percentile_approx(value, at(parts), 10 * parts)).first()[0]
+
+
 def _stretch(df: DataFrame, value: str, on: str | None = None) -> Column | None:
     """Number of the value's stretch of the range; None if the table has no value. The bounds are about the quantiles of all
     rows; where they lie has no influence on results, as ties never part. `on`: the column to tell the stretch of."""
-    cuts = df.agg(F.percentile_approx(value, [i / STRETCHES for i in range(1, STRETCHES)], 1000).alias("c")).first()["c"]
-    return _within(cuts, on or value) if cuts else None
+    cuts = _cuts(df, value)
+    return None if cuts is None else _within(cuts, on or value)
 
 
 def _within(cuts: Sequence, on: str) -> Column:
     """Number of the stretch between the cuts that a column lies in."""
     cuts = sorted(set(cuts))
-    if isinstance(cuts[0], float):  # a cut lies a tie's width above a value, and no two cuts divide values that are tied
+    if cuts and isinstance(cuts[0], float):  # a cut lies a tie's width above a value, and no two cuts divide values that are tied
         cuts = [c + TIE for c, after in zip(cuts, [*cuts[1:], float("inf")], strict=True) if after - c > 2 * TIE]
 
     def tree(lo: int, hi: int) -> Column:
@@ -86,9 +102,8 @@ def average_rank(df: DataFrame, value: str, out: str = "avg_rank", by: Sequence[
     return r.withColumn(out, F.col("rank_low") + (F.col("rank_ties") + 1) / 2).drop("rank_low", "rank_ties", "rank_n")
 
 
-def _crowded(df: DataFrame, value: str) -> list:
-    """Values that fill a stretch by themselves, none of them near another."""
-    cuts = df.agg(F.percentile_approx(value, [i / STRETCHES for i in range(1, STRETCHES)], 1000).alias("c")).first()["c"] or []
+def _crowded(cuts: Sequence) -> list:
+    """Values that fill a stretch between these cuts by themselves, none of them near another."""
     often = sorted({a for a, b in zip(cuts, cuts[1:], strict=False) if a == b})
     near = {i for i in range(len(often) - 1) if float(often[i + 1]) - float(often[i]) <= 2 * TIE}
     return [v for i, v in enumerate(often) if i not in near and i - 1 not in near]
@@ -101,9 +116,10 @@ def row_numbers(df: DataFrame, value: str, tie: str | Sequence[str], out: str =
     """
     ties = [tie] if isinstance(tie, str) else list(tie)
     keyed = df.withColumn("v_", -F.col(value) if descending else F.col(value))
-    stretch = _stretch(keyed, "v_")
-    part = F.when(F.col("v_").isNull(), F.lit(STRETCHES + 1)).otherwise(F.lit(0) if stretch is None else stretch)
-    often = _crowded(keyed, "v_") if stretch is not None else []
+    cuts = _cuts(keyed, "v_")
+    stretch = None if cuts is None else _within(cuts, "v_")
+    part = F.when(F.col("v_").isNull(), F.lit(MOST + 1)).otherwise(F.lit(0) if stretch is None else stretch)
+    often = _crowded(cuts) if cuts else []
     finer = F.lit(0)
     if isinstance(df.schema[ties[0]].dataType, T.NumericType) and (often or stretch is None or keyed.where("v_ IS NULL").limit(1).count()):
         cut = _stretch(keyed, ties[0])
@@ -114,7 +130,7 @@ def row_numbers(df: DataFrame, value: str, tie: str | Sequence[str], out: str =
             for v in often:
                 finer = finer.when(F.col("v_") == F.lit(v), own)
                 if isinstance(v, float):
-                    finer = finer.when((F.col("v_") > F.lit(v)) & (F.col("v_") <= F.lit(v + TIE)), F.lit(STRETCHES + 3))
+                    finer = finer.when((F.col("v_") > F.lit(v)) & (F.col("v_") <= F.lit(v + TIE)), F.lit(MOST + 3))
             finer = finer.otherwise(F.lit(0))
     keyed = keyed.withColumns({"part_": part, "finer_": finer})
     at = [*first, "part_", "finer_"]

@@ -16,6 +16,16 @@ from spindrift.plans.config import parse_methods
 from spindrift.sources import tables as S
 
 
+@pytest.fixture(autouse=True, params=[4])
+def many_stretches(request, monkeypatch):
+    """Small tables are worked off in many stretches here, as large ones are."""
+    from spindrift.operators import ranks as R
+
+    monkeypatch.setattr(R, "ROWS", request.param)
+    monkeypatch.setattr(metrics, "ROWS", request.param)
+
+
+
 def percentile(values):
     n = len(values)
     return [0.5 if n == 1 else (sum(w < v for w in values) + (sum(w == v for w in values) - 1) / 2) / (n - 1) for v in values]
