@@ -55,7 +55,7 @@ def test_sql_twin(spark, sf):
     oracle.same(spark, sf, "op13_minhash")
 
 
-@pytest.mark.parametrize("percent", [75, 85, 100])
+@pytest.mark.parametrize("percent", [75, 85])
 def test_components(spark, percent):
     rows = near_texts()
     assert got(spark.createDataFrame(rows, SCHEMA), percent=percent) == brute(rows, percent)
