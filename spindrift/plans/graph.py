@@ -22,7 +22,7 @@ from ..operators import neighbours
 from ..session import workspace
 
 #: right-hand sides that are solved side by side, most steps, and observed items: each of these is a column
-TOGETHER, MOST_STEPS, MOST_OBSERVED = 8, 500, 64
+TOGETHER, MOST_STEPS, MOST_OBSERVED = 8, 500, 32
 
 
 def neighbour_edges(items: DataFrame, key: str, vector: str, k: int) -> DataFrame:
