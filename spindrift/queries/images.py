@@ -74,7 +74,7 @@ WITH {MAPS}, h AS (SELECT image, (max(y) + 1) // 2 AS size FROM c GROUP BY image
 m AS (SELECT image, i, j, k, round(avg(v), 6) AS v FROM e WHERE i < 2 AND j < 2 GROUP BY 1, 2, 3, 4)
 SELECT image, i, j, list(v ORDER BY k) AS pooled FROM m GROUP BY 1, 2, 3""")
 def _(t):
-    return images.pooled(maps(t), "image", "x", "y", "embedding", 2).withColumn("pooled", F.transform("pooled", lambda v: F.round(v, 6)))
+    return images.pooled(maps(t), "image", "x", "y", "embedding", 2).withColumn("pooled", F.transform("pooled", lambda v: S.rounded(v, 6)))
 
 
 @query("V20_upsampled_correspondence", f"""
