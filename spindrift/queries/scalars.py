@@ -87,7 +87,7 @@ def _(t):
 @query("F10_softmax", "SELECT vec_id, list_transform(e, lambda x: round(x / list_sum(e), 6)) AS p FROM (SELECT vec_id, list_transform(embedding[1:4], lambda x: exp(x::DOUBLE - list_max(embedding[1:4])::DOUBLE)) AS e FROM embeddings)")
 def _(t):
     e = t.embeddings.select("vec_id", F.slice("embedding", 1, 4).cast("array<double>").alias("a"))
-    return e.select("vec_id", F.transform(S.softmax(F.col("a")), lambda x: F.round(x, 6)).alias("p"))
+    return e.select("vec_id", F.transform(S.softmax(F.col("a")), lambda x: S.rounded(x, 6)).alias("p"))
 
 
 @query("F11_binning", "SELECT p_partkey, 'bin_' || lpad(CAST((p_size >= 10)::INT + (p_size >= 20)::INT + (p_size >= 35)::INT AS VARCHAR), 2, '0') AS bin, lpad(CAST(CAST(floor(p_size / 10) * 10 AS INT) AS VARCHAR), 3, '0') || 's' AS decade, CAST(least(floor(p_size / 50.0 * 5), 4) AS INT) AS class FROM part")
