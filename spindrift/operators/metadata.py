@@ -33,12 +33,14 @@ def key_forms(key: Column) -> list[Column]:
 def match_keys(rows: DataFrame, row_key: str, items: DataFrame, item_id: str) -> DataFrame:
     """Rows with the item that their key names; the best form wins, then the first item (by id); rows without one are dropped.
 
-    A form of a row meets the smallest item id that registers the same form, so common forms cost one row on the items' side.
+    A form of a row meets the smallest item id that registers the same form, so common forms cost one row on the items' side. Of equal
+    forms of a key only the best one is looked for. The registry is as large as the items, which Spark can't tell from the size of a
+    compressed file: it is never broadcast.
     """
-    forms = lambda c: F.array(*[F.struct(F.lit(i).alias("prio"), f.alias("form")) for i, f in enumerate(key_forms(c))])
-    registry = items.select(F.col(item_id).alias("item_"), F.inline(forms(F.col(item_id)))).groupBy("form").agg(F.min("item_").alias("item_"))
-    asked = rows.select("*", F.inline(forms(F.col(row_key))))
-    hit = asked.join(registry, "form")
+    forms = lambda c: F.posexplode(F.array_distinct(F.array(*key_forms(c)))).alias("prio", "form")
+    registry = items.select(F.col(item_id).alias("item_"), forms(F.col(item_id))).where("form IS NOT NULL").groupBy("form").agg(F.min("item_").alias("item_"))
+    asked = rows.select("*", forms(F.col(row_key))).where("form IS NOT NULL")
+    hit = asked.join(registry.hint("merge"), "form")
     best = hit.groupBy(*rows.columns).agg(F.min_by("item_", F.struct("prio", "item_")).alias(item_id if item_id not in rows.columns else "matched_id"))
     return best
 
@@ -145,5 +147,5 @@ def export_join(rows: DataFrame, row_key: str, row_no: str, items: DataFrame, it
         return F.array(*[F.struct(F.lit(i).alias("prio"), f.alias("form")) for i, f in enumerate((c, F.lower(base), F.lower(S.stem(base))))])
 
     registry = items.select(F.col(item_id), F.inline(forms(F.col(item_id)))).groupBy("prio", "form").agg(F.min(item_id).alias(item_id))
-    hit = rows.select("*", F.inline(forms(F.col(row_key)))).join(registry, ["prio", "form"])
+    hit = rows.select("*", F.inline(forms(F.col(row_key)))).join(registry.hint("merge"), ["prio", "form"])  # as large as the items: never broadcast
     return hit.groupBy(*rows.columns).agg(F.min_by(item_id, F.struct("prio", item_id)).alias(item_id))

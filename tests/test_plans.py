@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from spindrift.operators import ranks
+from spindrift.operators import metadata, ranks
 
 
 def test_row_numbers_with_many_crowded_values_have_a_small_plan(spark, monkeypatch):
@@ -14,3 +14,11 @@ def test_row_numbers_with_many_crowded_values_have_a_small_plan(spark, monkeypat
         assert r._jdf.queryExecution().logical().toString().count("CASE WHEN") < 3000
         rows = sorted(r.collect(), key=lambda x: (-x["v"] if descending else x["v"], x["k"]))
         assert [x["rn"] for x in rows] == list(range(1, 6001))
+
+
+def test_match_keys_broadcasts_no_registry(spark):
+    items = spark.range(50).select(F.concat(F.lit("Set/n_"), "id", F.lit(".jpg")).alias("id"))
+    rows = spark.createDataFrame([(1, "set\\N_7.JPG"), (2, "x/n_8.png"), (3, "no"), (4, None), (5, "Set/n_9.jpg")], "row_id int, k string")
+    got = metadata.match_keys(rows, "k", items, "id").select("row_id", "id")
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, "Set/n_7.jpg"), (2, "Set/n_8.jpg"), (5, "Set/n_9.jpg")]
