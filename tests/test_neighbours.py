@@ -110,3 +110,21 @@ def test_odd_tables(spark):
     assert got(N.search(N.build(table(spark, x, ids), "id", "v"), table(spark, x, ids), "id", "v", 4)) == brute(x, ids, range(60), 4, "cosine")
     one = df.where("id = 1").withColumn("v", F.array(F.lit(0.0), F.lit(0.0)))
     assert {(r.dst, r.sim) for r in N.search(N.build(df, "id", "v"), one, "id", "v", 2, skip_self=False).collect()} == {(1, 0.0), (3, 0.0)}
+
+
+def test_a_query_that_wants_most_cells_travels_to_groups_of_them(spark, monkeypatch):
+    import numpy as np
+
+    from spindrift.operators import neighbours
+
+    sent, met = [], neighbours._met
+    monkeypatch.setattr(neighbours, "_met", lambda index, asked, *a, **b: (sent.append(asked), met(index, asked, *a, **b))[1])
+    x = np.random.default_rng(5).standard_normal((3000, 32))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>").repartition(4).cache()
+    got = neighbours.search(neighbours.build(d, "id", "v", "sq_euclidean"), d, "id", "v", 3).collect()
+    d2 = ((x[:, None, :16] - x[None, :, :16]) ** 2).sum(2) + ((x[:, None, 16:] - x[None, :, 16:]) ** 2).sum(2)
+    np.fill_diagonal(d2, np.inf)
+    want = {(i, int(j)) for i in range(3000) for j in np.argsort(d2[i], kind="stable")[:3]}
+    assert {(r["src"], r["dst"]) for r in got} == want
+    assert sent[-1].count() < 3000 * 10  # there are 55 cells
+    d.unpersist()
