@@ -22,3 +22,17 @@ def test_match_keys_broadcasts_no_registry(spark):
     got = metadata.match_keys(rows, "k", items, "id").select("row_id", "id")
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, got.collect())) == [(1, "Set/n_7.jpg"), (2, "Set/n_8.jpg"), (5, "Set/n_9.jpg")]
+
+
+def test_graph_model_numbers_items_in_no_single_task(spark, monkeypatch):
+    from spindrift.operators import similarity
+    from spindrift.plans.axis import Axis
+
+    asked, knn = [], similarity.knn
+    monkeypatch.setattr(similarity, "knn", lambda left, *a, **b: (asked.append(left), knn(left, *a, **b))[1])
+    items = spark.range(60).select("id", F.array(*[F.sin(F.col("id") * (j + 1)) for j in range(4)]).alias("v"))
+    ids = [r["id"] for r in Axis.create(items, "id", "v", [1.0, 0.0, 0.0, 0.0], mode="graph").scores().collect()]
+    assert len(ids) == 60
+    assert "Window" not in asked[0]._jdf.queryExecution().optimizedPlan().toString()
+    rows = asked[0].select("id", "no").collect()
+    assert [r["no"] for r in sorted(rows, key=lambda r: r["id"])] == list(range(60))
