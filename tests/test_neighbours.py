@@ -128,3 +128,29 @@ def test_a_query_that_wants_most_cells_travels_to_groups_of_them(spark, monkeypa
     assert {(r["src"], r["dst"]) for r in got} == want
     assert sent[-1].count() < 3000 * 10  # there are 55 cells
     d.unpersist()
+
+
+@pytest.mark.parametrize("metric,width,names", [("cosine", 24, False), ("sq_euclidean", 24, True), ("sq_euclidean", 3, False)])
+def test_rows_go_past_blocks_of_queries(spark, monkeypatch, metric, width, names):
+    """Queries that want many cells, beside those that don't: small blocks, few rows looked at together, rows alike, k beyond what is near."""
+    for name, v in (("FEW", 3), ("LEAST", 64), ("HELD", 64 * (8 * width + 32 * 40)), ("WAITING", 500), ("CELLS", 2000)):
+        monkeypatch.setattr(N, name, v)
+    g = np.random.Generator(np.random.PCG64(7))
+    x = np.vstack([g.normal(size=(300, width)), clusters(100, width, 2), np.tile(g.normal(size=width), (60, 1)), np.zeros((2, width))])
+    ids = [f"item {i:03d}" for i in range(len(x))] if names else list(range(len(x)))
+    df = table(spark, x, ids)
+    index = N.build(df, "id", "v", metric)
+    swept, met = [], N._swept
+    monkeypatch.setattr(N, "_swept", lambda index, asked, n, *a: (swept.append(n), met(index, asked, n, *a))[1])
+    for k in (5, 40):
+        assert got(N.search(index, df, "id", "v", k, probes=1)) == brute(x, ids, range(len(x)), k, metric)
+    assert swept and all(0 < n < len(x) or width == 24 for n in swept)
+
+
+def test_a_task_gives_the_best_of_all_rows_only(spark):
+    """Queries that want most cells don't bring k rows from each of them: what the search makes are its results, and nothing ranks them."""
+    x = np.random.default_rng(5).standard_normal((1500, 32))
+    df = table(spark, x)
+    found = N.search(N.build(df, "id", "v"), df, "id", "v", 9)
+    assert "Window" not in found._jdf.queryExecution().toString()
+    assert found.count() == 1500 * 9
