@@ -93,30 +93,34 @@ class FeedbackProcessor(StatefulProcessor):
         own = pd.concat(list(rows)).sort_values("seq")
         got = self.last.get() if self.last.exists() else None
         seq, moves, undefined = got if got is not None else (-1, 0, 0)
+        own = own[own["seq"] > seq].drop_duplicates("seq")
+        # each call to the store is a round trip: an item is read once a batch, when it first comes, and written once, at the end
+        before: dict[str, tuple | None] = {}
+        now: dict[str, tuple | None] = {}
         out = []
-        for r in own.itertuples():
-            if r.seq <= seq:
-                continue
-            seq = int(r.seq)
-            old = self.items.getValue((r.item,)) if self.items.containsKey((r.item,)) else None
-            was = old[0] if old is not None else None
+        for at, kind, item, target in zip(own["seq"].tolist(), own["kind"].tolist(), own["item"].tolist(), own["target"].tolist(), strict=True):
+            if item not in now:
+                before[item] = now[item] = self.items.getValue((item,)) if got is not None else None  # a new axis has none
+            was = now[item][0] if now[item] is not None else None
             moves -= was == "score"
             undefined -= was == "undefined"
-            if r.kind == "score":
-                target = min(100.0, max(0.0, float(r.target)))
-                self.items.updateValue((r.item,), ("score", target))
+            value = min(100.0, max(0.0, float(target))) if kind == "score" else None
+            if kind == "score":
                 moves += 1
-                out.append((str(key[0]), seq, r.item, "score", target, moves, undefined))
-            elif r.kind == "undefined":
-                self.items.updateValue((r.item,), ("undefined", None))
+            elif kind == "undefined":
                 undefined += 1
-                out.append((str(key[0]), seq, r.item, "undefined", None, moves, undefined))
-            else:
-                if old is not None:
-                    self.items.removeKey((r.item,))
-                out.append((str(key[0]), seq, r.item, "deleted", None, moves, undefined))
-        self.last.update((seq, int(moves), int(undefined)))
-        yield pd.DataFrame(out, columns=["axis", "seq", "item", "kind", "target", "moves", "undefined"])
+            now[item] = (kind, value) if kind in ("score", "undefined") else None
+            out.append((at, item, kind if now[item] is not None else "deleted", value, moves, undefined))
+        for item, value in now.items():
+            if value is not None:
+                self.items.updateValue((item,), value)
+            elif before[item] is not None:
+                self.items.removeKey((item,))
+        seq = int(own["seq"].iloc[-1]) if len(own) else seq
+        self.last.update((int(seq), int(moves), int(undefined)))
+        told = pd.DataFrame(out, columns=["seq", "item", "kind", "target", "moves", "undefined"])
+        told.insert(0, "axis", str(key[0]))
+        yield told
 
     def close(self) -> None:
         pass
