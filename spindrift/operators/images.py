@@ -3,6 +3,7 @@ left to the source; from here on images are a table like any other, however larg
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -148,14 +149,22 @@ def _overlaps(at: Column, size: Column, cells: int) -> Column:
     return F.transform(cell, lambda c: F.struct(c.alias("cell"), (F.least(hi, c + 1) - F.greatest(lo, c.cast("double"))).alias("share")))
 
 
+#: rows that a task makes of its pixels, about
+SPREAD = 1 << 18
+
+
 def resampled(pixels: DataFrame, width: int, height: int, item: str = "item") -> DataFrame:
     """(item, x, y, r, g, b) of width x height pixels: means of what they cover of an image of any size, by area. A pixel gives
-    a row for each pixel that it reaches into, which are added up before they are shuffled."""
+    a row for each pixel that it reaches into. A small table may become a large one, so the number of tasks follows the rows to be made:
+    pixels are dealt out by image, those of a large image by bands of rows, which are added up before the bands meet."""
     sizes = pixels.groupBy(F.col(item).alias("item_")).agg((F.max("x") + 1).cast("double").alias("w_"), (F.max("y") + 1).cast("double").alias("h_"))
-    p = pixels.join(sizes, F.col(item).eqNullSafe(F.col("item_")))
-    p = p.select(item, *"rgb", F.explode(_overlaps(F.col("x").cast("double"), F.col("w_"), width)).alias("i"), _overlaps(F.col("y").cast("double"), F.col("h_"), height).alias("js"))
-    p = p.select(item, *"rgb", "i", F.explode("js").alias("j")).withColumn("s", F.col("i.share") * F.col("j.share")).where("s > 1e-12")
-    return p.groupBy(item, F.col("i.cell").alias("x"), F.col("j.cell").alias("y")).agg(*[(F.sum(F.col(c) * F.col("s")) / F.sum("s")).alias(c) for c in "rgb"])
+    made = (F.col("w_") + width) * (F.col("h_") + height)
+    parts = max(1, math.ceil((sizes.agg(F.sum(made)).first()[0] or 0) / SPREAD))
+    p = pixels.join(sizes, F.col(item).eqNullSafe(F.col("item_"))).withColumn("band_", F.floor(F.col("y") * F.ceil(made / SPREAD) / F.col("h_"))).repartition(parts, item, "band_")
+    p = p.select(item, "band_", *"rgb", F.explode(_overlaps(F.col("x").cast("double"), F.col("w_"), width)).alias("i"), _overlaps(F.col("y").cast("double"), F.col("h_"), height).alias("js"))
+    p = p.select(item, "band_", *"rgb", "i", F.explode("js").alias("j")).withColumn("s", F.col("i.share") * F.col("j.share")).where("s > 1e-12")
+    p = p.groupBy(item, "band_", F.col("i.cell").alias("x"), F.col("j.cell").alias("y")).agg(*[F.sum(F.col(c) * F.col("s")).alias(c) for c in "rgb"], F.sum("s").alias("s_"))
+    return p.repartition(parts, item).groupBy(item, "x", "y").agg(*[(F.sum(c) / F.sum("s_")).alias(c) for c in "rgb"])
 
 
 def colour_vectors(pixels: DataFrame, size: int = 32, item: str = "item", out: str = "v") -> DataFrame:

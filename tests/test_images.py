@@ -85,3 +85,18 @@ def test_interpolation_between_cells():
         up[p, c] += w
     assert np.allclose(up.sum(axis=1), 1) and np.allclose(up @ [0, 1, 2, 3], [0, 0.25, 0.75, 1.25, 1.75, 2.25, 2.75, 3])
     assert I._corners(3, 1) == [(0, 0, 1.0), (1, 0, 1.0), (2, 0, 1.0)]
+
+
+def test_tasks_follow_the_rows_to_be_made(spark, monkeypatch):
+    """A few pixels that become many are dealt out to several tasks; a large image's bands give what it gives as a whole."""
+    g = np.random.Generator(np.random.PCG64(8))
+    sizes = [(3, 3)] * 40 + [(70, 50)]
+    rows = [(k, x, y, *(int(c) for c in g.integers(0, 256, 3))) for k, (w, h) in enumerate(sizes) for x in range(w) for y in range(h)]
+    df = spark.createDataFrame(rows, "item int, x int, y int, r int, g int, b int").coalesce(1)
+    whole = {(r.item, r.x, r.y): (r.r, r.g, r.b) for r in I.resampled(df, 16, 16).collect()}
+    monkeypatch.setattr(I, "SPREAD", 1000)
+    cut = I.resampled(df, 16, 16)
+    got = {(r.item, r.x, r.y): (r.r, r.g, r.b) for r in cut.collect()}
+    assert got.keys() == whole.keys() and len(got) == 41 * 256
+    assert max(abs(a - b) for k in got for a, b in zip(got[k], whole[k], strict=True)) < 1e-9
+    assert cut.rdd.getNumPartitions() == -(-(40 * 19 * 19 + 86 * 66) // 1000)
