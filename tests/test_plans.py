@@ -36,3 +36,22 @@ def test_graph_model_numbers_items_in_no_single_task(spark, monkeypatch):
     assert "Window" not in asked[0]._jdf.queryExecution().optimizedPlan().toString()
     rows = asked[0].select("id", "no").collect()
     assert [r["no"] for r in sorted(rows, key=lambda r: r["id"])] == list(range(60))
+
+
+def test_scores_of_representations_are_found_once(spark):
+    """Ranks read a written table: no plan holds the cosines, and the second column's ranks don't find the first's again."""
+    import numpy as np
+
+    from spindrift.operators import metrics
+    from spindrift.plans import study
+
+    x = np.random.default_rng(3).standard_normal((300, 6))
+    d = spark.createDataFrame([(i, float(i % 7) / 6, v.tolist()) for i, v in enumerate(x)], "id int, ref double, v array<double>")
+    scored = study.representations(d, "id", "ref", {"all": ("v", [1.0] + [0.0] * 5)}, [(0, 0.2), (1, 0.9)], (0, 2))
+    steps = study.representation_steps(scored)
+    assert "aggregate(" not in steps._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["budget"]: r for r in steps.collect()}
+    assert set(got) == {0, 2} and abs(got[0]["with_prior"] - 1) < 1e-9
+    one = metrics.spearman(scored, "score", "ref", ["budget"])
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("LeftOuter") == 2
+    assert all(abs(r["spearman"] - got[r["budget"]]["with_ref"]) < 1e-9 for r in one.collect())
