@@ -154,3 +154,42 @@ def test_a_task_gives_the_best_of_all_rows_only(spark):
     found = N.search(N.build(df, "id", "v"), df, "id", "v", 9)
     assert "Window" not in found._jdf.queryExecution().toString()
     assert found.count() == 1500 * 9
+
+
+def test_what_a_block_of_queries_keeps_is_small():
+    """Two million rows that may be among the best go past 4,000 queries: a task holds a few MB of them at a time, and the right ones."""
+    import tracemalloc
+
+    g = np.random.Generator(np.random.PCG64(9))
+    sim = g.random((20, 100_000))
+    kept, query = N.Kept(np.full(4000, -np.inf), 5), np.tile(np.arange(4000), 25)
+    tracemalloc.start()
+    for i, s in enumerate(sim):
+        kept.add(query, s, np.repeat(np.arange(25), 4000) + 25 * i)
+    kept.settle()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+    all_ = sim.reshape(500, 4000)
+    assert np.array_equal(kept.settled[2].reshape(4000, 5), np.argsort(-all_, axis=0, kind="stable")[:5].T)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "sq_euclidean"])
+def test_single_precision_leaves_out_nothing(spark, monkeypatch, metric):
+    """Rows that differ by less than single precision tells, groups far from the middle of all, and vectors too long for it."""
+    monkeypatch.setattr(N, "FEW", 1)
+    g = np.random.Generator(np.random.PCG64(8))
+    one = g.normal(size=16)
+    x = np.vstack([one + 1e-4 * g.normal(size=(150, 16)), 20 * np.eye(16)[0] + g.normal(size=(80, 16)), -20 * np.eye(16)[0] + g.normal(size=(80, 16))])
+    if metric == "cosine":
+        x = np.vstack([x, 1e18 * g.normal(size=(4, 16)), 1e-20 * g.normal(size=(4, 16))])
+    df = table(spark, x)
+    swept, met = [], N._swept
+    monkeypatch.setattr(N, "_swept", lambda index, asked, n, *a: (swept.append(n), met(index, asked, n, *a))[1])
+    found = got(N.search(N.build(df, "id", "v", metric), df, "id", "v", 5, probes=1, decimals=8))
+    s = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8) if metric == "cosine" else x
+    true = s @ s.T if metric == "cosine" else -((s[:, None] - s[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(true, -np.inf)
+    assert swept and swept[0] > len(x) // 2 and len(found) == 5 * len(x)
+    fifth = np.sort(true, axis=1)[:, -5]
+    assert all(abs(true[a, b] - sim) < 2e-8 and sim > fifth[a] - 2e-8 for a, b, sim in found)
