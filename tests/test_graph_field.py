@@ -72,3 +72,19 @@ def test_deviation_falls_where_items_are_observed(spark):
     assert abs(before[14].variance - 1 / (0.5 + 1e-6)) < 1e-5 and abs(after[14].z) < 1e-9
     with pytest.raises(ValueError):
         f.posterior(z0, [(i % 12, 0.0, 1.0) for i in range(G.MOST_OBSERVED + 1)], 0.01)
+
+
+def test_means_come_from_the_columns_that_are_solved(spark, field, monkeypatch):
+    """Probes and observed items are solved side by side; the means need no system of their own, however an item was observed."""
+    f, rows = field
+    asked, solve = [], G.Field.solve
+    monkeypatch.setattr(G.Field, "solve", lambda self, rights, names, *a, **b: (asked.append(list(names)), solve(self, rights, names, *a, **b))[1])
+    z0 = np.linspace(-1, 1, 500)
+    observed = [(3, 0.9, 1.0), (3, 0.1, 2.0), (77, -0.5, 0.0)]  # one twice, one with next to no weight
+    base = spark.createDataFrame([(i, float(z)) for i, z in enumerate(z0)], "id long, z0 double")
+    got = {r.id: r.z for r in f.posterior(base, observed, 0.04, probes=2).collect()}
+    assert asked == [["s0", "s1", "s2", "s3", "s4"]]
+    h, d = np.zeros((3, 500)), np.array([max(w, 1e-4) / 0.04 for *_, w in observed])
+    h[np.arange(3), [o[0] for o in observed]] = 1
+    mean = z0 + np.linalg.solve(dense(500, rows, 1.0, 0.5) + h.T @ np.diag(d) @ h, h.T @ (d * (np.array([o[1] for o in observed]) - h @ z0)))
+    assert max(abs(got[i] - mean[i]) for i in range(500)) < 1e-4
